@@ -87,9 +87,16 @@ def digest_line(n: Column, product_name: Column, store: Column, alert_type: Colu
         n.cast("string"), F.lit(". "), sanitize_mail(F.coalesce(product_name, F.lit("Unknown Product")), MAIL_PRODUCT_NAME_MAX),
         F.lit("\n   Store: "), sanitize_mail(F.coalesce(store, F.lit("Unknown Competitor"))),
         F.lit("\n   Change: "), arrow, F.lit(" "),
-        F.format_string("%.1f", F.abs(F.coalesce(pct.cast("double"), F.lit(0.0)))), F.lit("%"),
-        F.lit("\n   Price: "), currency, F.lit(" "), F.format_string("%.2f", F.coalesce(old_price.cast("double"), F.lit(0.0))),
-        F.lit(" → "), currency, F.lit(" "), F.format_string("%.2f", F.coalesce(new_price.cast("double"), F.lit(0.0))))
+        fmt_decimal(F.abs(F.coalesce(pct, F.lit(0))), 1), F.lit("%"),
+        F.lit("\n   Price: "), currency, F.lit(" "), fmt_decimal(F.coalesce(old_price, F.lit(0)), 2),
+        F.lit(" → "), currency, F.lit(" "), fmt_decimal(F.coalesce(new_price, F.lit(0)), 2))
+
+
+def fmt_decimal(x: Column, digits: int) -> Column:
+    """Fixed-point text of a decimal, rounded half-even on the exact decimal
+    value (the application formats binary floats; the two differ only on
+    exact .x5 ties)."""
+    return F.bround(x.cast("decimal(20,4)"), digits).cast(f"decimal(20,{digits})").cast("string")
 
 
 def keyword_match(text_cols: list[Column], keyword: str | None) -> Column:

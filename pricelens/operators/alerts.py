@@ -148,7 +148,7 @@ def alert_decision(candidates: DataFrame, settings: DataFrame, existing_pending:
     ex = F.coalesce(F.col("__existing"), F.lit(0))
     over_cap = F.col("__pos").isNull() | (ex + F.col("__pos") >= cap)
     created = F.col("__blocked").isNull() & (is_cur | ~over_cap)
-    pct_txt = F.format_string("%.2f", F.abs(F.col("price_change_percent")).cast("double"))
+    pct_txt = TX.fmt_decimal(F.abs(F.col("price_change_percent")), 2)
     msg = (F.when(F.col("__blocked").isNotNull(), F.col("__blocked"))
            .when(is_cur, F.concat(F.lit("Currency changed: "), F.col("old_currency"), F.lit(" → "), F.col("new_currency")))
            .when(over_cap, F.concat(F.lit("User has too many pending alerts ("),

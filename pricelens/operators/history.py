@@ -217,3 +217,44 @@ def history_page(price_history: DataFrame, competitors: DataFrame, product_id=No
     page = ranked.filter(F.col("__rn") > offset).withColumn("row_pos", F.col("__rn") - 1).drop("__rn")
     totals = rows.groupBy("product_id").agg(F.count(F.lit(1)).alias("total"))
     return page.join(totals, "product_id")
+
+
+# --- D5: per-competitor insight features -------------------------------------------
+
+def insight_features(price_history: DataFrame, competitors: DataFrame, as_of,
+                     days: int = C.INSIGHT_ANALYSIS_DAYS, n_points: int = C.LAST_N_POINTS) -> DataFrame:
+    """Per competitor with >= 1 successful non-zero price in the window:
+    count, average (half-even, 2 decimals), min, max, first, current and the
+    last ``n_points`` points (ascending).  ``total_competitors`` counts the
+    competitors of the product that have such prices."""
+    win = last_n_days(price_history, as_of, days)
+    ok = success_price(win, zero_is_missing=True)
+    order = F.struct("scraped_at", "id")
+    stats = ok.groupBy("competitor_id").agg(
+        F.count(F.lit(1)).alias("price_count"),
+        F.sum("price").alias("__sum"),
+        F.min("price").alias("min_price"), F.max("price").alias("max_price"),
+        F.min_by("price", order).alias("first_price"), F.max_by("price", order).alias("current_price"))
+    pts = (last_n_points(win, n_points)
+           .groupBy("competitor_id")
+           .agg(F.array_sort(F.collect_list(F.struct("pos", "scraped_at", "price", "currency"))).alias("price_history")))
+    comp = competitors.select(F.col("id").alias("competitor_id"), "product_id",
+                              F.coalesce(F.col("retailer_name"), F.lit("Unknown")).alias("competitor"),
+                              F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1).alias("domain"))
+    out = (stats.join(comp, "competitor_id").join(pts, "competitor_id", "left")
+           .withColumn("average_price", F.bround(F.col("__sum") / F.col("price_count"), 2).cast("decimal(12,2)"))
+           .drop("__sum"))
+    w = Window.partitionBy("product_id")
+    return out.withColumn("total_competitors", F.count(F.lit(1)).over(w)) \
+              .withColumn("analysis_period_days", F.lit(days))
+
+
+def price_variance(price_history: DataFrame, as_of, days: int = C.DEFAULT_HISTORY_DAYS) -> DataFrame:
+    """Population variance of successful non-zero prices per competitor,
+    from exact decimal moments: (n*sum(x^2) - sum(x)^2) / n^2."""
+    ok = success_price(last_n_days(price_history, as_of, days), zero_is_missing=True)
+    g = ok.groupBy("competitor_id").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("s1"),
+                                        F.sum(F.col("price") * F.col("price")).alias("s2"))
+    return g.select("competitor_id",
+                    ((F.col("n") * F.col("s2") - F.col("s1") * F.col("s1")).cast("double")
+                     / (F.col("n") * F.col("n")).cast("double")).alias("price_variance"))

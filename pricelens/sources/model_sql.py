@@ -102,4 +102,9 @@ def with_models(body: str, *names: str) -> str:
     for n in names:
         visit(n)
     ctes = ",\n".join(f"{n} AS ({MODEL_CTES[n]})" for n in order)
-    return f"WITH {ctes}\n{body}" if ctes else body
+    if not ctes:
+        return body
+    b = body.lstrip()
+    if b[:4].upper() == "WITH":
+        return f"WITH {ctes},\n{b[4:].lstrip()}"
+    return f"WITH {ctes}\n{body}"
