@@ -21,7 +21,7 @@ def split_datetime(iso: Column) -> Column:
 
 def time_ago(ts: Column, now: Column) -> Column:
     """I5: 'Just now' / 'Nm ago' / 'Nh ago' / 'Nd ago' / date after 7 days."""
-    ms = F.timestampdiff("MILLISECOND", ts, now)
+    ms = F.timestamp_diff("MILLISECOND", ts, now)
     mins = F.floor(ms / 60000)
     hours = F.floor(ms / 3600000)
     days = F.floor(ms / 86400000)
@@ -34,4 +34,4 @@ def time_ago(ts: Column, now: Column) -> Column:
 
 def digest_due(last_sent: Column, freq_hours: Column, now: Column) -> Column:
     """Never sent, or at least ``freq_hours`` ago."""
-    return last_sent.isNull() | (F.timestampdiff("SECOND", last_sent, now) >= freq_hours * 3600)
+    return last_sent.isNull() | (F.timestamp_diff("SECOND", last_sent, now) >= freq_hours * 3600)

@@ -195,7 +195,7 @@ def users_due_for_digest(settings: DataFrame, pending: DataFrame, users: DataFra
     freq = F.coalesce(F.col("digest_frequency_hours"), F.lit(C.DEFAULT_DIGEST_HOURS))
     due = (settings.filter(F.col("email_enabled"))
            .filter(F.col("last_digest_sent_at").isNull()
-                   | (F.timestampdiff("SECOND", F.col("last_digest_sent_at"), now) >= freq * 3600))
+                   | (F.timestamp_diff("SECOND", F.col("last_digest_sent_at"), now) >= freq * 3600))
            .select("user_id", freq.alias("digest_frequency_hours")))
     return (due.join(pending_counts(pending), "user_id")
             .join(users.select("user_id", "email"), "user_id"))
