@@ -15,3 +15,107 @@ def pending_list(details: DataFrame) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy(F.col("detected_at").desc(), F.col("id").desc())
     totals = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
     return rows.withColumn("list_pos", F.row_number().over(w)).join(totals, "user_id")
+
+
+def dashboard_stats(users: DataFrame, products: DataFrame, competitors: DataFrame, pending: DataFrame,
+                    insights: DataFrame, as_of, days: int = C.RECENT_ALERT_DAYS) -> DataFrame:
+    """Per user #products (inactive too), #competitors, #alerts in the last
+    ``days`` (sent or not) and #insights; four grouped counts joined on users."""
+    prod = products.select(F.col("id").alias("product_id"), "user_id")
+    n_prod = prod.groupBy("user_id").agg(F.count(F.lit(1)).alias("total_products"))
+    n_comp = (competitors.select("product_id").join(prod, "product_id")
+              .groupBy("user_id").agg(F.count(F.lit(1)).alias("total_competitors")))
+    recent = pending.filter(F.col("detected_at") >= ts_lit(as_of) - F.make_dt_interval(F.lit(days)))
+    n_alert = recent.groupBy("user_id").agg(F.count(F.lit(1)).alias("alerts_this_week"))
+    n_ins = (insights.select("product_id").join(prod, "product_id")
+             .groupBy("user_id").agg(F.count(F.lit(1)).alias("total_insights")))
+    out = users.select("user_id")
+    for t in (n_prod, n_comp, n_alert, n_ins):
+        out = out.join(t, "user_id", "left")
+    return out.fillna(0, ["total_products", "total_competitors", "alerts_this_week", "total_insights"])
+
+
+def competitor_count(products: DataFrame, competitors: DataFrame) -> DataFrame:
+    """Competitors per product, 0 kept."""
+    c = competitors.groupBy("product_id").agg(F.count(F.lit(1)).alias("competitor_count"))
+    return (products.select(F.col("id").alias("product_id"), "user_id", "product_name", "created_at")
+            .join(c, "product_id", "left").fillna(0, ["competitor_count"]))
+
+
+def top_per_group(df: DataFrame, group: str, order_cols: list, n: int, pos: str = "pos") -> DataFrame:
+    """Newest ``n`` rows per group.  The constant bound lets Spark apply
+    a map-side WindowGroupLimit before the shuffle."""
+    w = Window.partitionBy(group).orderBy(*order_cols)
+    return df.withColumn(pos, F.row_number().over(w)).filter(F.col(pos) <= n)
+
+
+def product_competitors(products: DataFrame, competitors: DataFrame) -> DataFrame:
+    """One row per product with its competitors as an ordered array
+    (empty array kept).  A product's competitor list is bounded by the
+    tracking request limit, so the collected array per group is bounded."""
+    c = competitors.select("product_id", F.struct("created_at", "id", "url", "retailer_name",
+                                                  "alert_threshold_percent").alias("c"))
+    g = c.groupBy("product_id").agg(F.array_sort(F.collect_list("c")).alias("competitors"))
+    return (products.join(g.withColumnRenamed("product_id", "id"), "id", "left")
+            .withColumn("competitors", F.coalesce("competitors", F.array().cast(g.schema["competitors"].dataType))))
+
+
+def product_list(products: DataFrame, competitors: DataFrame, user_id=None) -> DataFrame:
+    """F7 (+B1, B2, C1, D14): active products newest first with competitors[]
+    and the total per user."""
+    p = products.filter(F.col("is_active"))
+    if user_id is not None:
+        p = p.filter(F.col("user_id") == F.lit(user_id))
+    pc = product_competitors(p, competitors)
+    w = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
+    totals = p.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
+    return pc.withColumn("list_pos", F.row_number().over(w)).join(totals, "user_id")
+
+
+def owned_competitors(competitors: DataFrame, products: DataFrame) -> DataFrame:
+    """Competitors with their owner (inner join on product)."""
+    return competitors.join(products.select(F.col("id").alias("product_id"), "user_id", "product_name"), "product_id")
+
+
+def no_insight_today(products: DataFrame, insights: DataFrame, as_of, force_regenerate: bool = False) -> DataFrame:
+    """Products without an insight since UTC midnight (all with
+    ``force_regenerate``)."""
+    if force_regenerate:
+        return products
+    today = insights.filter(F.col("generated_at") >= F.date_trunc("day", ts_lit(as_of))).select(
+        F.col("product_id").alias("id"))
+    return products.join(today, "id", "left_anti")
+
+
+def scrape_worklist(competitors: DataFrame, products: DataFrame) -> DataFrame:
+    """Competitors of active products (all users)."""
+    active = products.filter(F.col("is_active")).select(F.col("id").alias("product_id"))
+    return competitors.join(active, "product_id", "left_semi")
+
+
+def scrape_success_rate(price_history: DataFrame, competitors: DataFrame | None = None) -> DataFrame:
+    """Success share per UTC day (and per domain when competitors are given)."""
+    from ..functions.url import domain_of
+    d = price_history.withColumn("day", F.to_date("scraped_at"))
+    keys = ["day"]
+    if competitors is not None:
+        d = d.join(competitors.select(F.col("id").alias("competitor_id"), domain_of(F.col("url"), "lower").alias("domain")),
+                   "competitor_id")
+        keys = ["day", "domain"]
+    return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("attempts"),
+                                F.count_if(F.col("scrape_status") == "success").alias("successes"),
+                                F.avg((F.col("scrape_status") == "success").cast("int")).alias("success_rate"))
+
+
+def run_progress(price_history: DataFrame, competitors: DataFrame) -> DataFrame:
+    """Progress of scrape runs; a run is one product's scrapes of one UTC
+    day: total, completed, failed, status and the per-competitor results."""
+    d = (price_history.join(competitors.select(F.col("id").alias("competitor_id"), "product_id"), "competitor_id")
+         .withColumn("run_day", F.to_date("scraped_at")))
+    res = F.struct("competitor_id", "scrape_status", "price", "currency", "error_message")
+    g = d.groupBy("product_id", "run_day").agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(F.col("scrape_status") == "success").alias("completed"),
+        F.count_if(F.col("scrape_status") == "failed").alias("failed"),
+        F.collect_list(res).alias("results"))
+    return g.withColumn("status", F.when(F.col("failed") == F.col("total"), "failed").otherwise("completed"))
