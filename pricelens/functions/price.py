@@ -107,6 +107,6 @@ def format_money(price: Column, currency: Column) -> Column:
 def format_signed_pct(pct: Column, is_drop: Column) -> Column:
     """I9: '-' for drops else '+', absolute value with one decimal; empty when
     the percent is null or zero (dashboard rendering)."""
-    txt = F.concat(F.when(is_drop, F.lit("-")).otherwise(F.lit("+")),
-                   F.format_string("%.1f", F.abs(pct).cast("double")), F.lit("%"))
+    from .text import fmt_decimal
+    txt = F.concat(F.when(is_drop, F.lit("-")).otherwise(F.lit("+")), fmt_decimal(F.abs(pct), 1), F.lit("%"))
     return F.when(pct.isNull() | (pct == 0), F.lit("")).otherwise(txt)
