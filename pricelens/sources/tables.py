@@ -160,3 +160,18 @@ class ModelTables:
             F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).cast("decimal(10,2)").alias("price"),
             F.col("l_shipdate").cast("timestamp_ntz").alias("scraped_at"),
             F.col("l_orderkey"), F.col("l_linenumber"))
+
+
+def model_price_history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model price history as a stream over the events file(s)."""
+    from ..streaming.jobs import price_stream
+    raw = price_stream(spark, sf_dir, read_raw(spark, sf_dir, "events").schema, glob="events*.parquet")
+    failed = F.col("event_type") == "error"
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    return raw.select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("competitor_id"),
+        F.when(~failed, F.col("value").cast("decimal(10,2)")).alias("price"),
+        F.when(k % 25 == 0, F.lit("EUR")).otherwise(F.lit("USD")).alias("currency"),
+        F.col("ts").cast("timestamp_ntz").alias("scraped_at"),
+        F.when(failed, F.lit("failed")).otherwise(F.lit("success")).alias("scrape_status"),
+        F.when(failed, F.lit("timeout")).alias("error_message"))
