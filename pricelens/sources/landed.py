@@ -101,3 +101,70 @@ def woo_rest_pages(parts: DataFrame) -> DataFrame:
 def landed_catalog(parts: DataFrame) -> dict[str, DataFrame]:
     return {"shopify_json": shopify_json_pages(parts), "shopify_storefront": storefront_pages(parts),
             "woo_store": woo_store_pages(parts), "woo_rest": woo_rest_pages(parts)}
+
+
+# --- landed HTML (J5-J8 stand-ins) -------------------------------------------------
+
+def _money(col, sym):
+    return F.concat(F.lit(sym), F.format_number(col, 2))
+
+
+def product_pages(parts: DataFrame) -> DataFrame:
+    """One product page per part (url, page_id, html) in eight markup styles:
+    Shopify theme, WooCommerce, itemprop, meta tag, data-price, a zero price
+    before the real one, no price at all, and a Naira price."""
+    pid = F.col("pid")
+    k = pid % 8
+    url = F.concat(F.lit("https://shop"), (pid % 4).cast("string"), F.lit(".example.com/item/"), pid.cast("string"))
+    p = F.col("price")
+    body = (F.when(k == 0, F.concat(F.lit('<html><head><script src="//cdn.shopify.com/s/t.js"></script></head><body>'
+                                         '<h1>'), F.col("name"), F.lit('</h1><div class="price__current"><span class="money">'),
+                                    _money(p, "$"), F.lit("</span></div>")))
+            .when(k == 1, F.concat(F.lit('<html><body class="woocommerce"><h1>'), F.col("name"),
+                                   F.lit('</h1><p class="price"><span class="woocommerce-Price-amount amount"><bdi>'),
+                                   _money(p, "£"), F.lit("</bdi></span></p>")))
+            .when(k == 2, F.concat(F.lit('<html><body><span itemprop="price" content="'), p.cast("decimal(10,2)").cast("string"),
+                                   F.lit('">'), F.format_number(p, 2), F.lit(" €</span>")))
+            .when(k == 3, F.concat(F.lit('<html><head><meta property="product:price:amount" content="'),
+                                   p.cast("decimal(10,2)").cast("string"), F.lit('"></head><body>')))
+            .when(k == 4, F.concat(F.lit('<html><body><div data-price="1">Now only '), _money(p, "C$"), F.lit("</div>")))
+            .when(k == 5, F.concat(F.lit('<html><body><span class="price">$0.00</span><span class="price">'),
+                                   _money(p, "$"), F.lit("</span>")))
+            .when(k == 6, F.lit("<html><body><p>Call us for a quote</p>"))
+            .otherwise(F.concat(F.lit('<html><body><div class="product-price">₦'), F.format_number(p * 100, 0), F.lit("</div>"))))
+    return parts.select(pid.alias("page_id"), url.alias("url"), F.concat(body, F.lit("</body></html>")).alias("html"))
+
+
+def listing_pages(parts: DataFrame, per_page: int = 8) -> DataFrame:
+    """Catalog listing pages: groups of parts rendered as product cards in
+    three styles; every fifth page has a single card plus a JSON-LD ItemList
+    (so the card parser must fall through to JSON-LD)."""
+    g = (F.col("pid") / per_page).cast("bigint")
+    style = g % 5
+    href = F.concat(F.lit("/products/"), F.replace(F.col("name"), F.lit(" "), F.lit("-")), F.lit("-"), F.col("pid").cast("string"))
+    card = (F.when(style == 1, F.concat(
+                F.lit('<div class="product"><span itemprop="name">'), F.col("name"), F.lit('</span><a href="'), href,
+                F.lit('">more</a><div class="offer"><meta itemprop="priceCurrency" content="EUR"><span itemprop="price" content="'),
+                F.col("price").cast("decimal(10,2)").cast("string"), F.lit('">see price</span></div><img src="/i/'),
+                F.col("pid").cast("string"), F.lit('.png"></div>')))
+            .otherwise(F.concat(
+                F.lit('<div class="product-card"><h3 class="product-card__title">'), F.col("name"),
+                F.lit('</h3><a href="'), href, F.lit('">view</a><div class="product-card__image"><img data-src="//img.example.com/'),
+                F.col("pid").cast("string"), F.lit('.jpg"></div><span class="price">'), _money(F.col("price"), "£"),
+                F.lit("</span></div>"))))
+    ld_item = F.to_json(F.struct(F.lit("ListItem").alias("@type"), F.struct(
+        F.lit("Product").alias("@type"), F.col("name").alias("name"), href.alias("url"),
+        F.array(F.concat(F.lit("https://img.example.com/"), F.col("pid").cast("string"))).alias("image"),
+        F.col("sku").alias("sku"),
+        F.struct(F.col("price").cast("decimal(10,2)").cast("string").alias("price"), F.lit("GBP").alias("priceCurrency")).alias("offers")
+    ).alias("item")))
+    rows = parts.select(g.alias("page_id"), style.alias("style"), "pid", card.alias("card"), ld_item.alias("ld"))
+    agg = rows.groupBy("page_id", "style").agg(F.array_sort(F.collect_list(F.struct("pid", "card", "ld"))).alias("a"))
+    cards_html = F.array_join(F.transform("a", lambda x: x["card"]), "")
+    single = F.element_at(F.col("a"), 1)["card"]
+    ld = F.concat(F.lit('<script type="application/ld+json">{"@type":"ItemList","itemListElement":['),
+                  F.array_join(F.transform("a", lambda x: x["ld"]), ","), F.lit("]}</script>"))
+    html = F.when(F.col("style") == 4, F.concat(F.lit("<html><head>"), ld, F.lit("</head><body>"), single, F.lit("</body></html>"))) \
+        .otherwise(F.concat(F.lit("<html><body><div class='grid'>"), cards_html, F.lit("</div></body></html>")))
+    url = F.concat(F.lit("https://list.example.com/collections/all?page="), F.col("page_id").cast("string"))
+    return agg.select("page_id", url.alias("url"), html.alias("html"))
