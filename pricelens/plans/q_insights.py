@@ -82,7 +82,7 @@ def _raw_insights(m):
     return g.select("product_id", F.to_json(F.struct(F.transform("a", lambda e: e["x"]).alias("insights"))).alias("payload"))
 
 
-@query("M6_validate_insights", r"""
+M6_SQL = r"""
 WITH raw AS (SELECT product_id, id, row_number() OVER (PARTITION BY product_id ORDER BY id) - 1 AS pos,
   CASE WHEN id % 4 = 1 THEN upper(insight_type) WHEN id % 9 = 0 THEN 'trend' ELSE insight_type END AS t,
   CASE WHEN id % 5 = 0 THEN '  <b>' || insight_text || '</b> SELECT javascript:x '
@@ -95,7 +95,10 @@ SELECT product_id, pos,
   CASE WHEN lower(t) IN ('pattern', 'alert', 'recommendation') THEN lower(t) ELSE 'pattern' END AS insight_type,
   CASE WHEN length(st) > 500 THEN substr(st, 1, 497) || '...' ELSE st END AS insight_text,
   CAST(CASE WHEN cd BETWEEN 0 AND 1 THEN round(CAST(c AS DECIMAL(20,10)), 2) ELSE 0.5 END AS DOUBLE) AS confidence_score
-FROM s WHERE pos < 5""", ("insights", "products"))
+FROM s WHERE pos < 5"""
+
+
+@query("M6_validate_insights", M6_SQL, ("insights", "products"))
 def m6(m):
     """M6: external insight JSON validated into insight rows."""
     return IN.validate_insights(_raw_insights(m))

@@ -41,7 +41,7 @@ def query(name: str, sql: str | None = None, models: tuple[str, ...] = ()):
 
 def _load_all():
     # import for side effects: each module registers its queries
-    from . import q_history, q_alerts, q_dashboard, q_scalars, q_stream, q_catalog, q_maint, q_insights, q_html  # noqa: F401
+    from . import q_history, q_alerts, q_dashboard, q_scalars, q_stream, q_catalog, q_maint, q_insights, q_html, q_more  # noqa: F401
 
 
 _load_all()

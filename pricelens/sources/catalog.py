@@ -243,3 +243,20 @@ def discovery_result(catalog: DataFrame, errors: DataFrame | None = None) -> Dat
     if errors is not None:
         g = g.join(errors.select("store", F.left(F.col("error"), F.lit(C.ERROR_TEXT_MAX)).alias("error")), "store", "full")
     return g
+
+
+def write_landed_pages(pages: DataFrame, path: str) -> None:
+    """Land fetched pages as files: one folder per store, one file per page
+    (the fetcher's output layout)."""
+    (pages.select(F.regexp_extract("store", r"^https?://([^/]+)", 1).alias("host"), "page", "payload")
+     .repartition("host", "page")
+     .write.mode("overwrite").partitionBy("host", "page").text(path))
+
+
+def read_landed_pages(spark, path: str) -> DataFrame:
+    """Every landed page of every store in one multi-file scan; store and
+    page number come from the file path (partition columns), the document is
+    the whole file."""
+    df = spark.read.option("wholetext", True).text(path)
+    return df.select(F.concat(F.lit("https://"), F.col("host")).alias("store"), F.col("page").cast("bigint").alias("page"),
+                     F.col("value").alias("payload"))
