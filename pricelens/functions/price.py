@@ -99,7 +99,7 @@ def format_money(price: Column, currency: Column) -> Column:
     """Symbol (fallback 'CODE ') + amount with 2 decimals and thousands
     separators; falsy price -> 'Price N/A'."""
     m = F.create_map(*[F.lit(x) for kv in CURRENCY_SYMBOLS.items() for x in kv])
-    sym = F.coalesce(F.element_at(m, currency), F.concat(currency, F.lit(" ")))
+    sym = F.coalesce(F.try_element_at(m, currency), F.concat(currency, F.lit(" ")))
     return F.when(price.isNull() | (price == 0), F.lit("Price N/A")).otherwise(
         F.concat(sym, F.format_number(price.cast("double"), 2)))
 

@@ -219,7 +219,7 @@ def _match_part(tag, eid, classes, part, attrs=None) -> Column:
           & F.forall(F.coalesce(part["classes"], F.array()), lambda c: F.array_contains(classes, c)))
     if attrs is not None:
         ok = ok & (part["attr"].isNull() | (F.map_contains_key(attrs, part["attr"])
-                                            & (part["val"].isNull() | (F.element_at(attrs, part["attr"]) == part["val"]))))
+                                            & (part["val"].isNull() | (F.try_element_at(attrs, part["attr"]) == part["val"]))))
     return ok
 
 
@@ -248,7 +248,7 @@ def page_price(pages: DataFrame, elements: DataFrame | None = None) -> DataFrame
     m = match_selectors(els, sel).join(plat, "page_id")
     m = m.filter((F.col("grp") == "generic") | (F.col("grp") == F.col("platform")))
     is_meta = F.col("tag") == "meta"
-    raw = F.when(is_meta, F.element_at("attrs", F.lit("content"))).otherwise(F.col("text"))
+    raw = F.when(is_meta, F.try_element_at("attrs", F.lit("content"))).otherwise(F.col("text"))
     pp = parse_price(raw)
     c = (m.filter(~is_meta | (F.coalesce(raw, F.lit("")) != ""))
          .select("page_id", F.when(F.col("grp") == "generic", 2).otherwise(1).alias("grp_rank"), "sel_rank", "idx",
@@ -306,9 +306,9 @@ def product_cards(pages: DataFrame, elements: DataFrame | None = None) -> DataFr
     title = _first(ms.filter(F.col("grp") == "title"), keys, F.col("text"), F.struct("sel_rank", "idx"), "t1")
     heading = _first(within.filter(F.col("tag").isin("h1", "h2", "h3", "h4", "a")), keys, F.col("text"), F.col("idx"), "t2")
     link = _first(within.filter((F.col("tag") == "a") & F.map_contains_key("attrs", F.lit("href"))), keys,
-                  F.element_at("attrs", F.lit("href")), F.col("idx"), "href")
-    src = F.coalesce(F.when(F.element_at("attrs", F.lit("src")) != "", F.element_at("attrs", F.lit("src"))),
-                     F.when(F.element_at("attrs", F.lit("data-src")) != "", F.element_at("attrs", F.lit("data-src"))))
+                  F.try_element_at("attrs", F.lit("href")), F.col("idx"), "href")
+    src = F.coalesce(F.when(F.try_element_at("attrs", F.lit("src")) != "", F.try_element_at("attrs", F.lit("src"))),
+                     F.when(F.try_element_at("attrs", F.lit("data-src")) != "", F.try_element_at("attrs", F.lit("data-src"))))
     # select_one per image selector: the first element of the selector decides
     img_first = (ms.filter(F.col("grp") == "image").groupBy(*keys, "sel_rank")
                  .agg(F.min_by(src, F.col("idx")).alias("src")))
@@ -317,18 +317,18 @@ def product_cards(pages: DataFrame, elements: DataFrame | None = None) -> DataFr
     # price: first element of each price selector; content attribute first
     pr = (ms.filter(F.col("grp") == "price").groupBy(*keys, "sel_rank")
           .agg(F.min_by(F.struct("idx", "text", "attrs", "ancestors"), F.col("idx")).alias("el")))
-    content = F.element_at(F.col("el.attrs"), F.lit("content"))
+    content = F.try_element_at(F.col("el.attrs"), F.lit("content"))
     c_price = F.when(content.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)\s*$"), F.trim(content).try_cast("decimal(18,4)"))
     t_pp = parse_price_catalog(F.col("el.text"))
     pr = pr.select(*keys, "sel_rank", F.col("el.idx").alias("el_idx"),
-                   F.element_at(F.col("el.ancestors"), -1)["idx"].alias("parent_idx"),
+                   F.try_element_at(F.col("el.ancestors"), F.lit(-1))["idx"].alias("parent_idx"),
                    F.when(c_price.isNotNull(), c_price).otherwise(t_pp["price"]).alias("price"),
                    c_price.isNotNull().alias("from_content"), t_pp["currency"].alias("text_currency"))
     pr = pr.filter(F.col("from_content") | (F.coalesce(F.col("price"), F.lit(0)) != 0))
     best_price = _first(pr, keys, F.struct("price", "from_content", "text_currency", "parent_idx"), F.col("sel_rank"), "p")
-    cur_el = els.filter(F.element_at("attrs", F.lit("itemprop")) == "priceCurrency").select(
+    cur_el = els.filter(F.try_element_at("attrs", F.lit("itemprop")) == "priceCurrency").select(
         "page_id", F.explode(F.col("ancestors.idx")).alias("parent_idx"),
-        F.coalesce(F.element_at("attrs", F.lit("content")), F.lit("USD")).alias("cur"), "idx")
+        F.coalesce(F.try_element_at("attrs", F.lit("content")), F.lit("USD")).alias("cur"), "idx")
     cur = cur_el.groupBy("page_id", "parent_idx").agg(F.min_by("cur", "idx").alias("parent_currency"))
     out = cards
     for t in (title, heading, link, img1, img2, best_price):
@@ -380,9 +380,9 @@ def json_ld_products(pages: DataFrame) -> DataFrame:
     e = e.withColumn("it", it)
     name = F.try_variant_get("it", "$.name", "string")
     img = F.coalesce(F.try_variant_get("it", "$.image", "array<variant>"), F.array(F.try_variant_get("it", "$.image", "variant")))
-    img0 = F.element_at(img, 1)
+    img0 = F.try_element_at(img, F.lit(1))
     img_s = F.coalesce(F.try_variant_get(img0, "$.url", "string"), F.try_variant_get(img0, "$", "string"))
-    offers = F.coalesce(F.element_at(F.try_variant_get("it", "$.offers", "array<variant>"), 1),
+    offers = F.coalesce(F.try_element_at(F.try_variant_get("it", "$.offers", "array<variant>"), F.lit(1)),
                         F.try_variant_get("it", "$.offers", "variant"))
     price_s = F.try_variant_get(offers, "$.price", "string")
     price = F.when(price_s.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)\s*$") & (price_s.try_cast("double") != 0),

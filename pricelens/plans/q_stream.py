@@ -74,3 +74,16 @@ FROM pending_alerts a LEFT JOIN user_alert_settings s ON s.user_id = a.user_id G
 def l4(m):
     """L4 batch twin: alerts per user per digest window of their frequency."""
     return _ntz(S.digest_window(m.pending_alerts, m.user_alert_settings), "window_start")
+
+
+@query("L3_daily_price_window_lineitem", """
+SELECT date_trunc('day', CAST(l_shipdate AS TIMESTAMP)) AS window_start, l_suppkey AS competitor_id,
+  CAST(min(p) AS DOUBLE) AS min_price, CAST(max(p) AS DOUBLE) AS max_price, CAST(sum(p) AS DOUBLE) / count(*) AS avg_price,
+  count(*) AS n
+FROM (SELECT l_suppkey, l_shipdate, CAST(round(l_extendedprice / l_quantity, 2) AS DECIMAL(10,2)) AS p FROM lineitem) t
+GROUP BY 1, 2""")
+def l3_li(m):
+    """L3 batch twin over the large lineitem-derived history (supplier =
+    competitor, unit price = price, ship date = observation time)."""
+    b = m.bench_history.withColumn("scrape_status", F.lit("success"))
+    return _ntz(S.daily_price_window(b), "window_start")

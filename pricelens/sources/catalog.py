@@ -98,11 +98,11 @@ def shopify_products_json(pages: DataFrame) -> DataFrame:
     p = pages.select("store", "page", F.from_json("payload", SHOPIFY_JSON).alias("j"))
     e = p.select("store", "page", F.posexplode("j.products").alias("pos", "x"))
     e = e.filter(F.col("x.variants").isNull() | (F.size("x.variants") > 0))
-    v = F.element_at(F.col("x.variants"), 1)
+    v = F.try_element_at(F.col("x.variants"), F.lit(1))
     has_v = F.col("x.variants").isNotNull()
     return e.select(*_unified(
         F.col("store"), 1, _ordinal(F.col("page"), F.col("pos")), F.col("x.title"), _price(v["price"]), F.lit("USD"),
-        F.element_at(F.col("x.images"), 1)["src"],
+        F.try_element_at(F.col("x.images"), F.lit(1))["src"],
         F.concat(F.col("store"), F.lit("/products/"), F.col("x.handle")), "shopify",
         F.when(has_v, v["id"]), v["sku"], F.when(has_v, F.coalesce(v["available"], F.lit(False))).otherwise(F.lit(False)),
         F.col("x.product_type"), tags_of(F.col("x.tags")), F.col("x.body_html")))
@@ -113,11 +113,11 @@ def shopify_storefront(pages: DataFrame) -> DataFrame:
     p = pages.select("store", "page", F.from_json("payload", STOREFRONT).alias("j")).filter(F.col("j.errors").isNull())
     e = p.select("store", "page", F.posexplode("j.data.products.edges").alias("pos", "x"))
     n = F.col("x.node")
-    v = F.element_at(n["variants"]["edges"], 1)["node"]
+    v = F.try_element_at(n["variants"]["edges"], F.lit(1))["node"]
     mvp = n["priceRange"]["minVariantPrice"]
     return e.select(*_unified(
         F.col("store"), 2, _ordinal(F.col("page"), F.col("pos")), n["title"], _price(mvp["amount"]),
-        F.coalesce(mvp["currencyCode"], F.lit("USD")), F.element_at(n["images"]["edges"], 1)["node"]["url"],
+        F.coalesce(mvp["currencyCode"], F.lit("USD")), F.try_element_at(n["images"]["edges"], F.lit(1))["node"]["url"],
         url_join(F.col("store"), F.concat(F.lit("/products/"), n["handle"])), "shopify", v["id"], v["sku"],
         F.coalesce(v["availableForSale"], F.lit(False)), n["productType"], _nonempty(F.coalesce(n["tags"], F.array())),
         n["description"]))
@@ -134,7 +134,7 @@ def woo_store_api(pages: DataFrame) -> DataFrame:
     return e.select(*_unified(
         F.col("store"), 3, _ordinal(F.col("page"), F.col("pos")), x["name"],
         minor_units(x["prices"]["price"], x["prices"]["currency_minor_unit"]),
-        F.coalesce(x["prices"]["currency_code"], F.lit("USD")), F.element_at(x["images"], 1)["src"], url, "woocommerce",
+        F.coalesce(x["prices"]["currency_code"], F.lit("USD")), F.try_element_at(x["images"], F.lit(1))["src"], url, "woocommerce",
         x["id"], x["sku"], F.coalesce(x["is_in_stock"], F.lit(True)), F.lit(None).cast("string"),
         _names(x["categories"]), desc))
 
@@ -149,7 +149,7 @@ def woo_rest_api(pages: DataFrame) -> DataFrame:
     desc = F.coalesce(F.when(x["description"] != "", x["description"]), x["short_description"])
     return e.select(*_unified(
         F.col("store"), 4, _ordinal(F.col("page"), F.col("pos")), x["name"], _price(x["price"]), F.lit("USD"),
-        F.element_at(x["images"], 1)["src"], url, "woocommerce", x["id"], x["sku"],
+        F.try_element_at(x["images"], F.lit(1))["src"], url, "woocommerce", x["id"], x["sku"],
         F.coalesce(x["in_stock"], F.lit(True)), F.lit(None).cast("string"),
         F.concat(_names(x["categories"]), _names(x["tags"])), desc))
 

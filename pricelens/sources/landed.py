@@ -93,7 +93,7 @@ def woo_rest_pages(parts: DataFrame) -> DataFrame:
         F.col("sku"), F.col("name").alias("description"), F.lit("").alias("short_description"),
         F.col("price_s").alias("price"), F.col("in_stock"),
         F.array(F.struct(F.concat(F.lit("https://img.example.com/"), F.col("pid").cast("string")).alias("src"))).alias("images"),
-        F.array(F.struct(F.element_at("tags", 1).alias("name"))).alias("categories"),
+        F.array(F.struct(F.try_element_at("tags", F.lit(1)).alias("name"))).alias("categories"),
         F.array(F.struct(F.col("sku").alias("name")), F.struct(F.lit("").alias("name"))).alias("tags"))
     return _pages(b.withColumn("js", F.to_json(x)), lambda body: F.concat(F.lit("["), body, F.lit("]")))
 
@@ -161,7 +161,7 @@ def listing_pages(parts: DataFrame, per_page: int = 8) -> DataFrame:
     rows = parts.select(g.alias("page_id"), style.alias("style"), "pid", card.alias("card"), ld_item.alias("ld"))
     agg = rows.groupBy("page_id", "style").agg(F.array_sort(F.collect_list(F.struct("pid", "card", "ld"))).alias("a"))
     cards_html = F.array_join(F.transform("a", lambda x: x["card"]), "")
-    single = F.element_at(F.col("a"), 1)["card"]
+    single = F.try_element_at(F.col("a"), F.lit(1))["card"]
     ld = F.concat(F.lit('<script type="application/ld+json">{"@type":"ItemList","itemListElement":['),
                   F.array_join(F.transform("a", lambda x: x["ld"]), ","), F.lit("]}</script>"))
     html = F.when(F.col("style") == 4, F.concat(F.lit("<html><head>"), ld, F.lit("</head><body>"), single, F.lit("</body></html>"))) \
