@@ -2,7 +2,7 @@
 
 J4 turns each landed page into an element table (one row per element, with
 its ancestor path) - the only per-row Python here, a tokeniser run inside
-Arrow batches by ``mapInPandas``.  Everything after that is relational:
+Arrow batches by ``mapInArrow``.  Everything after that is relational:
 CSS-like selectors become a small fixed table; elements are matched to
 selectors by an equi-join on one token of the selector's last compound
 (a class, id, attribute or tag) followed by an exact predicate, and the
@@ -16,7 +16,6 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -133,21 +132,64 @@ def _elements_of(page_id: int, html: str) -> list[dict]:
     return rows
 
 
+_BATCH_ROWS = 20000   # output rows per Arrow batch (bounds executor memory per task)
+
+
+def _arrow_schema():
+    import pyarrow as pa
+    anc = pa.struct([("idx", pa.int32()), ("tag", pa.string()), ("elem_id", pa.string()),
+                     ("classes", pa.list_(pa.string()))])
+    return pa.schema([("page_id", pa.int64()), ("idx", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()),
+                      ("tag", pa.string()), ("elem_id", pa.string()), ("classes", pa.list_(pa.string())),
+                      ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("ancestors", pa.list_(anc))])
+
+
 def _explode_pages(batches):
-    cols = [f.name for f in ELEMENT_SCHEMA.fields]
-    for pdf in batches:
-        for pid, html in zip(pdf["page_id"], pdf["html"]):
+    """Arrow batches of (page_id, html) -> Arrow batches of element rows."""
+    import pyarrow as pa
+    schema = _arrow_schema()
+    names = schema.names
+    cols = {n: [] for n in names}
+
+    def flush():
+        out = pa.RecordBatch.from_arrays([pa.array(cols[n], type=schema.field(n).type) for n in names], schema=schema)
+        for n in names:
+            cols[n].clear()
+        return out
+
+    for batch in batches:
+        ids = batch.column("page_id").to_pylist()
+        htmls = batch.column("html").to_pylist()
+        for pid, html in zip(ids, htmls):
             if html is None:
                 continue
-            rows = _elements_of(int(pid), html)
-            if rows:
-                yield pd.DataFrame(rows)[cols]
+            for r in _elements_of(int(pid), html):
+                cols["page_id"].append(r["page_id"])
+                cols["idx"].append(r["idx"])
+                cols["parent"].append(r["parent"])
+                cols["depth"].append(r["depth"])
+                cols["tag"].append(r["tag"])
+                cols["elem_id"].append(r["elem_id"])
+                cols["classes"].append(r["classes"])
+                cols["attrs"].append(list(r["attrs"].items()))
+                cols["text"].append(r["text"])
+                cols["ancestors"].append(r["ancestors"])
+            if len(cols["idx"]) >= _BATCH_ROWS:
+                yield flush()
+    if cols["idx"]:
+        yield flush()
 
 
 def html_elements(pages: DataFrame) -> DataFrame:
-    """(page_id, html) -> element table.  Runs per Arrow batch; one page
-    is parsed at a time and yields its own output batch."""
-    return pages.select("page_id", "html").mapInPandas(_explode_pages, ELEMENT_SCHEMA)
+    """(page_id, html) -> element table.  Runs per Arrow batch inside the
+    executors (``mapInArrow``); output batches are bounded in rows."""
+    p = pages.select(F.col("page_id").cast("bigint"), "html")
+    # parsing is CPU-bound Python: make sure every core gets pages even when
+    # the scan yields few partitions (few large files / row groups)
+    par = p.sparkSession.sparkContext.defaultParallelism
+    if p.rdd.getNumPartitions() < par:
+        p = p.repartition(par)
+    return p.mapInArrow(_explode_pages, ELEMENT_SCHEMA)
 
 
 def landed_html(pages: DataFrame, max_bytes: int = C.MAX_PAGE_BYTES) -> DataFrame:
