@@ -371,29 +371,29 @@ def product_cards(pages: DataFrame, elements: DataFrame | None = None) -> DataFr
     cur_el = els.filter(F.try_element_at("attrs", F.lit("itemprop")) == "priceCurrency").select(
         "page_id", F.explode(F.col("ancestors.idx")).alias("parent_idx"),
         F.coalesce(F.try_element_at("attrs", F.lit("content")), F.lit("USD")).alias("cur"), "idx")
-    cur = cur_el.groupBy("page_id", "parent_idx").agg(F.min_by("cur", "idx").alias("parent_currency"))
+    cur = (cur_el.groupBy("page_id", "parent_idx").agg(F.min_by("cur", "idx").alias("parent_currency"))
+           .withColumnRenamed("parent_idx", "p_parent_idx"))
     out = cards
     for t in (title, heading, link, img1, img2, best_price):
         out = out.join(t, keys, "left")
     out = (out.join(base, "page_id")
-           .join(cur, (out["page_id"] == cur["page_id"]) & (F.col("p.parent_idx") == cur["parent_idx"]), "left")
-           .drop(cur["page_id"]).drop(cur["parent_idx"]))
+           .withColumn("p_parent_idx", F.col("p.parent_idx"))
+           .join(cur, ["page_id", "p_parent_idx"], "left"))
     # the first title selector that matches decides; an empty title falls
     # back to the first heading / link text
     name = F.coalesce(F.when(F.col("t1") != "", F.col("t1")), F.col("t2"))
-    out = out.select("page_id", "card_rank", "card_idx",
-                     F.when(F.coalesce(name, F.lit("")) != "", name).alias("name"),
-                     F.col("href"), F.col("base"),
-                     F.coalesce(F.col("img1"), F.col("img2")).alias("_img"),
-                     F.col("p.price").alias("price"),
-                     F.when(F.col("p.from_content"), F.coalesce(F.col("parent_currency"), F.lit("USD")))
-                      .otherwise(F.coalesce(F.col("p.text_currency"), F.lit("USD"))).alias("currency"))
-    out = (out.withColumn("product_url", F.when(F.col("href").isNotNull(), url_join(F.col("base"), F.col("href"))).otherwise(F.lit("")))
-           .withColumn("image_url", F.when(F.col("_img").isNotNull(), url_join(F.col("base"), F.col("_img"))))
-           .drop("_img", "href"))
+    out = out.select(
+        "page_id", "card_rank", "card_idx", F.when(F.coalesce(name, F.lit("")) != "", name).alias("name"),
+        F.col("p.price").alias("price"),
+        F.when(F.col("p.from_content"), F.coalesce(F.col("parent_currency"), F.lit("USD")))
+         .otherwise(F.coalesce(F.col("p.text_currency"), F.lit("USD"))).alias("currency"),
+        F.when(F.col("href").isNotNull(), url_join(F.col("base"), F.col("href"))).otherwise(F.lit("")).alias("product_url"),
+        F.when(F.coalesce(F.col("img1"), F.col("img2")).isNotNull(),
+               url_join(F.col("base"), F.coalesce(F.col("img1"), F.col("img2")))).alias("image_url"))
     parsed = out.filter(F.col("name").isNotNull())
-    ok_sel = parsed.groupBy("page_id").agg(F.min("card_rank").alias("card_rank"))
-    return (parsed.join(ok_sel, ["page_id", "card_rank"], "left_semi")
+    # the first card selector (in order) that produced a product wins
+    ok_sel = parsed.groupBy("page_id").agg(F.min("card_rank").alias("best_rank"))
+    return (parsed.join(ok_sel, "page_id").filter(F.col("card_rank") == F.col("best_rank"))
             .select("page_id", "card_rank", "card_idx", "name", "price", "currency", "product_url", "image_url",
                     F.lit("custom").alias("platform")))
 

@@ -27,7 +27,7 @@ a2 AS (SELECT store, 1 AS source_rank, ordinal,
 a3 AS (SELECT store, 2 AS source_rank, ordinal,
         name, CAST(CAST(p AS DECIMAL(10,2)) AS DOUBLE) AS price, CASE WHEN pid % 5 = 0 THEN 'CAD' ELSE 'USD' END AS currency,
         'https://cdn.example.com/' || CAST(pid AS VARCHAR) || '.png' AS image_url,
-        store || '/products/' || handle AS product_url, in_stock, list_filter(tags, lambda x: x <> '') AS tags,
+        store || '/products/' || handle AS product_url, in_stock, tags,
         product_type, name AS description
       FROM b WHERE s IN (1, 3) AND page % 5 <> 4),
 a4 AS (SELECT store, 3 AS source_rank, ordinal,

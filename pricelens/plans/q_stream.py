@@ -80,7 +80,10 @@ def l4(m):
 SELECT date_trunc('day', CAST(l_shipdate AS TIMESTAMP)) AS window_start, l_suppkey AS competitor_id,
   CAST(min(p) AS DOUBLE) AS min_price, CAST(max(p) AS DOUBLE) AS max_price, CAST(sum(p) AS DOUBLE) / count(*) AS avg_price,
   count(*) AS n
-FROM (SELECT l_suppkey, l_shipdate, CAST(round(l_extendedprice / l_quantity, 2) AS DECIMAL(10,2)) AS p FROM lineitem) t
+FROM (SELECT l_suppkey, l_shipdate,
+        CAST(CAST((2 * CAST(round(l_extendedprice * 100) AS BIGINT) + CAST(l_quantity AS BIGINT))
+                  // (2 * CAST(l_quantity AS BIGINT)) AS DECIMAL(12,0)) * 0.01 AS DECIMAL(10,2)) AS p
+      FROM lineitem WHERE l_quantity > 0) t
 GROUP BY 1, 2""")
 def l3_li(m):
     """L3 batch twin over the large lineitem-derived history (supplier =

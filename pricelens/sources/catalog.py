@@ -67,11 +67,11 @@ def _names(arr: Column) -> Column:
 
 
 def tags_of(raw: Column) -> Column:
-    """Tags given as a JSON array or as a comma string -> trimmed,
-    non-empty array."""
+    """Tags given as a JSON array (kept as is) or as a comma string
+    (split, trimmed, empty parts dropped)."""
     arr = F.from_json(raw, T.ArrayType(S))
-    split = F.transform(F.split(raw, ","), lambda x: F.trim(x))
-    return _nonempty(F.when(F.trim(raw).startswith("["), arr).otherwise(split))
+    split = _nonempty(F.transform(F.split(raw, ","), lambda x: F.trim(x)))
+    return F.when(F.trim(raw).startswith("["), arr).otherwise(split)
 
 
 def _price(s: Column) -> Column:
@@ -103,7 +103,7 @@ def shopify_products_json(pages: DataFrame) -> DataFrame:
     return e.select(*_unified(
         F.col("store"), 1, _ordinal(F.col("page"), F.col("pos")), F.col("x.title"), _price(v["price"]), F.lit("USD"),
         F.try_element_at(F.col("x.images"), F.lit(1))["src"],
-        F.concat(F.col("store"), F.lit("/products/"), F.col("x.handle")), "shopify",
+        url_join(F.col("store"), F.concat(F.lit("/products/"), F.coalesce(F.col("x.handle"), F.lit("")))), "shopify",
         F.when(has_v, v["id"]), v["sku"], F.when(has_v, F.coalesce(v["available"], F.lit(False))).otherwise(F.lit(False)),
         F.col("x.product_type"), tags_of(F.col("x.tags")), F.col("x.body_html")))
 
@@ -119,7 +119,7 @@ def shopify_storefront(pages: DataFrame) -> DataFrame:
         F.col("store"), 2, _ordinal(F.col("page"), F.col("pos")), n["title"], _price(mvp["amount"]),
         F.coalesce(mvp["currencyCode"], F.lit("USD")), F.try_element_at(n["images"]["edges"], F.lit(1))["node"]["url"],
         url_join(F.col("store"), F.concat(F.lit("/products/"), n["handle"])), "shopify", v["id"], v["sku"],
-        F.coalesce(v["availableForSale"], F.lit(False)), n["productType"], _nonempty(F.coalesce(n["tags"], F.array())),
+        F.coalesce(v["availableForSale"], F.lit(False)), n["productType"], F.coalesce(n["tags"], F.array().cast("array<string>")),
         n["description"]))
 
 

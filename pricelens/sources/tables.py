@@ -155,9 +155,12 @@ class ModelTables:
     def bench_history(self) -> DataFrame:
         """Large aggregate-only history from ``lineitem``."""
         li = self.raw("lineitem")
-        return li.select(
+        # unit price in exact integer cents, rounded half-up
+        unit_cents = F.expr("(2 * cast(round(l_extendedprice * 100) as bigint) + cast(l_quantity as bigint)) "
+                            "div (2 * cast(l_quantity as bigint))")
+        return li.filter(F.col("l_quantity") > 0).select(
             F.col("l_suppkey").alias("competitor_id"),
-            F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).cast("decimal(10,2)").alias("price"),
+            (unit_cents.cast("decimal(12,0)") / 100).cast("decimal(10,2)").alias("price"),
             F.col("l_shipdate").cast("timestamp_ntz").alias("scraped_at"),
             F.col("l_orderkey"), F.col("l_linenumber"))
 
