@@ -210,14 +210,18 @@ def g2(m):
 @query("L5_late_data")
 def l5(m):
     """Observations arriving after the watermark are dropped and counted.
-    The history is landed as two files, the newer half first; the older half
-    then arrives late."""
+    The history is landed as three files: the newest part, then a middle
+    part, then the oldest part.  Spark filters late rows with the watermark
+    of the previous micro-batch, so the third file's rows are the late ones."""
     spark = m.spark
     path = _scratch(spark, "arrivals")
     ev = m.raw("events")
-    cut = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
-    ev.filter(F.col("ts").cast("timestamp_ntz") >= cut).coalesce(1).write.parquet(os.path.join(path, "1"))
-    ev.filter(F.col("ts").cast("timestamp_ntz") < cut).coalesce(1).write.parquet(os.path.join(path, "2"))
+    ts = F.col("ts").cast("timestamp_ntz")
+    c1 = F.lit("2024-01-22 00:00:00").cast("timestamp_ntz")
+    c2 = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    ev.filter(ts >= c1).coalesce(1).write.parquet(os.path.join(path, "1"))
+    ev.filter((ts >= c2) & (ts < c1)).coalesce(1).write.parquet(os.path.join(path, "2"))
+    ev.filter(ts < c2).coalesce(1).write.parquet(os.path.join(path, "3"))
     raw = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
            .parquet(path))
     obs = raw.select(F.col("event_id").alias("id"), F.col("user_id").alias("competitor_id"),

@@ -100,7 +100,7 @@ def test_classify_change(spark, old, new, oc, nc, thr, kind):
 
 def test_text_sanitisers(spark):
     assert one(spark, TX.escape_name(F.col("x")), "  <b>Name</b> ") == "&lt;b&gt;Name&lt;/b&gt;"
-    assert one(spark, TX.sanitize_insight(F.col("x")), " <script>SELECT x DROP y") == "&lt;script&gt;xy"
+    assert one(spark, TX.sanitize_insight(F.col("x")), " <script>SELECT x DROP y") == "&lt;script&gt;x y"
     assert one(spark, TX.sanitize_insight(F.col("x")), "a" * 600) == "a" * 497 + "..."
     assert one(spark, TX.sanitize_mail(F.col("x"), 10), "Tom & 'Jerry'") == "Tom &am..."
     assert one(spark, TX.sanitize_mail(F.col("x")), None) == ""
