@@ -36,12 +36,11 @@ def lag_within_buckets(df: DataFrame, key: str, order: list[str], values: list[s
         d = d.withColumn(prefix + v, F.lag(v).over(w))
     d = d.withColumn("__first_in_bucket", F.row_number().over(w) == 1)
 
-    # one row per (key, bucket): the last row of the bucket (partial aggregation,
-    # map-side combine; no group is ever collected into one task)
+    # one row per (key, bucket): the bucket's last row.  It is aggregated from
+    # the windowed rows, which are already hash-partitioned by (key, bucket),
+    # so the history is scanned once and the aggregate needs no new exchange.
     order_struct = F.struct(*[F.col(c) for c in order])
-    last = (df.withColumn(b, time_bucket(F.col(ts_col), bucket_unit))
-              .groupBy(key, b)
-              .agg(F.max_by(F.struct(*[F.col(v) for v in values]), order_struct).alias("__last")))
+    last = d.groupBy(key, b).agg(F.max_by(F.struct(*[F.col(v) for v in values]), order_struct).alias("__last"))
     # carry the previous bucket's last row forward: one row per bucket, so the
     # per-key window here is over bucket count, not row count
     wb = Window.partitionBy(key).orderBy(b)
