@@ -157,17 +157,28 @@ def product_summary(stats: DataFrame) -> DataFrame:
 
 
 def series_points(price_history: DataFrame, as_of, days: int = C.DEFAULT_HISTORY_DAYS) -> DataFrame:
-    """Ordered array of {timestamp, price, currency, status} per competitor;
-    failures are kept as gaps (price null).  The array of one competitor is
-    bounded by the window length times the scrape cadence."""
+    """Chart points {timestamp, price, currency, status} per competitor,
+    failures kept as gaps (price null).  Points are collected per
+    (competitor, UTC day) - an array bounded by the scrape cadence of one day
+    even for the hottest competitor - and ordered inside the day; a chart
+    concatenates its days in ``day`` order (``chart_points`` does that for a
+    bounded set of competitors)."""
     win = last_n_days(price_history, as_of, days)
     pt = F.struct(F.col("scraped_at").alias("timestamp"), F.col("id"),
                   F.when(F.col("price") != 0, F.col("price")).alias("price"),
                   F.col("currency"), F.col("scrape_status").alias("status"))
-    return (win.groupBy("competitor_id")
+    return (win.groupBy("competitor_id", F.to_date("scraped_at").alias("day"))
             .agg(F.array_sort(F.collect_list(pt)).alias("data_points")))
 
 
+def chart_points(series: DataFrame, competitor_ids: DataFrame) -> DataFrame:
+    """Assemble the full ordered array for the competitors of one chart
+    (the API edge: a product's competitors over a bounded window)."""
+    s = series.join(competitor_ids.select("competitor_id"), "competitor_id", "left_semi")
+    g = s.groupBy("competitor_id").agg(F.array_sort(F.collect_list(F.struct("day", "data_points"))).alias("d"))
+    return g.select("competitor_id", F.flatten(F.transform("d", lambda x: x["data_points"])).alias("data_points"))
+
+
 # --- E3 / E6 / E7 / F5 ------------------------------------------------------------
 
 def last_n_points(price_history: DataFrame, n: int = C.LAST_N_POINTS) -> DataFrame:

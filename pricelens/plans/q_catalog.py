@@ -135,11 +135,13 @@ def f10(m):
     return CT.single_product(CT.first_match_source(_norm(m))).select("store", "ordinal")
 
 
-@query("D16_discovery_result", f"""WITH {_EXP}
-SELECT store, count(*) AS total_found FROM best GROUP BY store""", ("catalog",))
+@query("D16_discovery_result", _F6.replace("fp.first <= 30", "fp.first <= 500") + """
+SELECT store, count(*) AS total_found, list(name ORDER BY ordinal) AS names FROM k WHERE rank_in_store <= 20 GROUP BY store""",
+       ("catalog",))
 def d16(m):
-    """Per store the discovery result (count; products array kept)."""
-    return CT.discovery_result(CT.first_match_source(_norm(m))).select("store", "total_found")
+    """Per store the discovery result for keyword 'widget', limit 20."""
+    r = CT.discovery_result(_norm(m), "widget", 20)
+    return r.select("store", "total_found", F.transform("products", lambda p: p["name"]).alias("names"))
 
 
 @query("C11_select_join", f"""WITH {_EXP},

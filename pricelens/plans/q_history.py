@@ -182,10 +182,18 @@ def d4(m):
     return H.product_summary(s).withColumn("total_points", F.col("total_points").cast("bigint"))
 
 
-@query("D11_series_collect")
+@query("D11_series_collect", """
+SELECT competitor_id, CAST(scraped_at AS DATE) AS day, list(id ORDER BY scraped_at, id) AS ids,
+       list(CAST(CASE WHEN price <> 0 THEN price END AS DOUBLE) ORDER BY scraped_at, id) AS prices,
+       list(scrape_status ORDER BY scraped_at, id) AS statuses
+FROM price_history WHERE scraped_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 30 DAY GROUP BY 1, 2""",
+       ("price_history",))
 def d11(m):
-    """Ordered chart points per competitor (failures kept as gaps)."""
-    return H.series_points(m.price_history, AS_OF, 30)
+    """Ordered chart points per competitor and day (failures kept as gaps)."""
+    s = H.series_points(m.price_history, AS_OF, 30)
+    return s.select("competitor_id", "day", F.transform("data_points", lambda p: p["id"]).alias("ids"),
+                    F.transform("data_points", lambda p: p["price"].cast("double")).alias("prices"),
+                    F.transform("data_points", lambda p: p["status"]).alias("statuses"))
 
 
 @query("E3_last_n_points", """

@@ -234,9 +234,14 @@ def select_join(selected: DataFrame, catalog: DataFrame) -> DataFrame:
                     F.coalesce(F.col("r.currency"), F.lit("USD")).alias("currency")))
 
 
-def discovery_result(catalog: DataFrame, errors: DataFrame | None = None) -> DataFrame:
-    """Per store platform, total_found and the product array (bounded by
-    the request limit applied before) and a truncated error."""
+def discovery_result(catalog: DataFrame, keyword: str | None = None, limit: int = 50,
+                     errors: DataFrame | None = None) -> DataFrame:
+    """Per store platform, total_found and the product array, after the
+    fetch budget, keyword filter and request limit (F6) - so each store's
+    array holds at most ``limit`` products - and a truncated error."""
+    if not 1 <= limit <= C.MAX_TRACK_ITEMS:
+        raise ValueError("limit must be within 1..5000")
+    catalog = fetch_filter_limit(first_match_source(catalog), keyword, limit)
     g = catalog.groupBy("store").agg(
         F.first("platform").alias("platform"), F.count(F.lit(1)).alias("total_found"),
         F.array_sort(F.collect_list(F.struct("ordinal", "name", "price", "currency", "product_url"))).alias("products"))
