@@ -90,3 +90,14 @@ def cut_lineage(df):
     """Reliable checkpoint (never ``localCheckpoint``): survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df, name: str):
+    """Write ``df`` as a parquet table under the shared checkpoint folder and
+    read it back: a columnar, lineage-free copy for results that several
+    branches reuse (re-reads prune columns and survive executor loss)."""
+    import uuid
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex[:10]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
+from ..config import materialize
 from ..functions.price import parse_price, parse_price_catalog
 from ..functions.url import normalise_url, platform_of_html, url_join, url_safety
 
@@ -322,74 +323,72 @@ def scrape_result(targets: DataFrame, pages: DataFrame) -> DataFrame:
 
 # --- J6: product cards -----------------------------------------------------------------
 
-def _first(df: DataFrame, keys: list[str], value: Column, order: Column, name: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.min_by(value, order).alias(name))
-
-
 def product_cards(pages: DataFrame, elements: DataFrame | None = None) -> DataFrame:
     """Product cards per page.  A card selector counts when it matches at
     least two elements and at least one card yields a name; the first such
     selector (in order) wins.  Title, link, image and price come from the
-    ordered selector lists inside each card (document order within one)."""
+    ordered selector lists inside each card (document order within one).
+
+    Plan: cards (selector match) -> descendants of each card (ancestor path
+    exploded once, equi-join on (page, card)) -> two aggregations: one over
+    all descendants (heading / link / img fallbacks), one over the first
+    element of every (card, selector) pair (title, image, price)."""
     spark = pages.sparkSession
-    els = elements if elements is not None else html_elements(pages)
+    els = elements if elements is not None else materialize(html_elements(pages), "html_elements")
     base = pages.select("page_id", F.col("url").alias("base"))
     cards = match_selectors(els, selector_table(spark, {"card": CARD_SELECTORS})).select(
         "page_id", F.col("idx").alias("card_idx"), F.col("sel_rank").alias("card_rank"))
     counts = cards.groupBy("page_id", "card_rank").agg(F.count(F.lit(1)).alias("n"))
     cards = cards.join(counts.filter(F.col("n") >= 2), ["page_id", "card_rank"], "left_semi")
-    # descendants of each card: explode the ancestor path once
     inside = els.select("page_id", "idx", "tag", "elem_id", "classes", "attrs", "text", "ancestors",
                         F.explode(F.col("ancestors.idx")).alias("card_idx"))
     within = inside.join(cards, ["page_id", "card_idx"])
     keys = ["page_id", "card_rank", "card_idx"]
+    attr = lambda k: F.try_element_at("attrs", F.lit(k))
+    src = F.coalesce(F.when(attr("src") != "", attr("src")), F.when(attr("data-src") != "", attr("data-src")))
+    # fallbacks over all descendants, document order
+    fb = within.groupBy(*keys).agg(
+        F.min_by("text", F.when(F.col("tag").isin("h1", "h2", "h3", "h4", "a"), F.col("idx"))).alias("t2"),
+        F.min_by(attr("href"), F.when((F.col("tag") == "a") & F.map_contains_key("attrs", F.lit("href")), F.col("idx")))
+         .alias("href"),
+        F.min_by(src, F.when(F.col("tag") == "img", F.col("idx"))).alias("img2"))
+    # select_one per selector: the first matching element of each selector
     groups = {"title": CARD_TITLE_SELECTORS, "image": CARD_IMAGE_SELECTORS, "price": CARD_PRICE_SELECTORS}
     ms = match_selectors(within, selector_table(spark, groups))
-    title = _first(ms.filter(F.col("grp") == "title"), keys, F.col("text"), F.struct("sel_rank", "idx"), "t1")
-    heading = _first(within.filter(F.col("tag").isin("h1", "h2", "h3", "h4", "a")), keys, F.col("text"), F.col("idx"), "t2")
-    link = _first(within.filter((F.col("tag") == "a") & F.map_contains_key("attrs", F.lit("href"))), keys,
-                  F.try_element_at("attrs", F.lit("href")), F.col("idx"), "href")
-    src = F.coalesce(F.when(F.try_element_at("attrs", F.lit("src")) != "", F.try_element_at("attrs", F.lit("src"))),
-                     F.when(F.try_element_at("attrs", F.lit("data-src")) != "", F.try_element_at("attrs", F.lit("data-src"))))
-    # select_one per image selector: the first element of the selector decides
-    img_first = (ms.filter(F.col("grp") == "image").groupBy(*keys, "sel_rank")
-                 .agg(F.min_by(src, F.col("idx")).alias("src")))
-    img1 = _first(img_first.filter(F.col("src").isNotNull()), keys, F.col("src"), F.col("sel_rank"), "img1")
-    img2 = _first(within.filter(F.col("tag") == "img"), keys, src, F.col("idx"), "img2")
-    # price: first element of each price selector; content attribute first
-    pr = (ms.filter(F.col("grp") == "price").groupBy(*keys, "sel_rank")
-          .agg(F.min_by(F.struct("idx", "text", "attrs", "ancestors"), F.col("idx")).alias("el")))
-    content = F.try_element_at(F.col("el.attrs"), F.lit("content"))
+    first = (ms.groupBy(*keys, "grp", "sel_rank")
+             .agg(F.min_by(F.struct("idx", "text", "attrs", "ancestors"), F.col("idx")).alias("el")))
+    el_attr = lambda k: F.try_element_at(F.col("el.attrs"), F.lit(k))
+    el_src = F.coalesce(F.when(el_attr("src") != "", el_attr("src")), F.when(el_attr("data-src") != "", el_attr("data-src")))
+    content = el_attr("content")
     c_price = F.when(content.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)\s*$"), F.trim(content).try_cast("decimal(18,4)"))
     t_pp = parse_price_catalog(F.col("el.text"))
-    pr = pr.select(*keys, "sel_rank", F.col("el.idx").alias("el_idx"),
-                   F.try_element_at(F.col("el.ancestors"), F.lit(-1))["idx"].alias("parent_idx"),
-                   F.when(c_price.isNotNull(), c_price).otherwise(t_pp["price"]).alias("price"),
-                   c_price.isNotNull().alias("from_content"), t_pp["currency"].alias("text_currency"))
-    pr = pr.filter(F.col("from_content") | (F.coalesce(F.col("price"), F.lit(0)) != 0))
-    best_price = _first(pr, keys, F.struct("price", "from_content", "text_currency", "parent_idx"), F.col("sel_rank"), "p")
-    cur_el = els.filter(F.try_element_at("attrs", F.lit("itemprop")) == "priceCurrency").select(
-        "page_id", F.explode(F.col("ancestors.idx")).alias("parent_idx"),
-        F.coalesce(F.try_element_at("attrs", F.lit("content")), F.lit("USD")).alias("cur"), "idx")
-    cur = (cur_el.groupBy("page_id", "parent_idx").agg(F.min_by("cur", "idx").alias("parent_currency"))
-           .withColumnRenamed("parent_idx", "p_parent_idx"))
-    out = cards
-    for t in (title, heading, link, img1, img2, best_price):
-        out = out.join(t, keys, "left")
-    out = (out.join(base, "page_id")
+    price = F.when(c_price.isNotNull(), c_price).otherwise(t_pp["price"])
+    is_price = (F.col("grp") == "price") & (c_price.isNotNull() | (F.coalesce(t_pp["price"], F.lit(0)) != 0))
+    pinfo = F.struct(price.alias("price"), c_price.isNotNull().alias("from_content"),
+                     t_pp["currency"].alias("text_currency"),
+                     F.try_element_at(F.col("el.ancestors"), F.lit(-1))["idx"].alias("parent_idx"))
+    sel = first.groupBy(*keys).agg(
+        F.min_by(F.col("el.text"), F.when(F.col("grp") == "title", F.col("sel_rank"))).alias("t1"),
+        F.min_by(el_src, F.when((F.col("grp") == "image") & el_src.isNotNull(), F.col("sel_rank"))).alias("img1"),
+        F.min_by(pinfo, F.when(is_price, F.col("sel_rank"))).alias("p"))
+    cur_el = els.filter(attr("itemprop") == "priceCurrency").select(
+        "page_id", F.explode(F.col("ancestors.idx")).alias("p_parent_idx"),
+        F.coalesce(attr("content"), F.lit("USD")).alias("cur"), "idx")
+    cur = cur_el.groupBy("page_id", "p_parent_idx").agg(F.min_by("cur", "idx").alias("parent_currency"))
+    out = (cards.join(fb, keys, "left").join(sel, keys, "left").join(base, "page_id")
            .withColumn("p_parent_idx", F.col("p.parent_idx"))
            .join(cur, ["page_id", "p_parent_idx"], "left"))
     # the first title selector that matches decides; an empty title falls
     # back to the first heading / link text
     name = F.coalesce(F.when(F.col("t1") != "", F.col("t1")), F.col("t2"))
+    img = F.coalesce(F.col("img1"), F.col("img2"))
     out = out.select(
         "page_id", "card_rank", "card_idx", F.when(F.coalesce(name, F.lit("")) != "", name).alias("name"),
         F.col("p.price").alias("price"),
         F.when(F.col("p.from_content"), F.coalesce(F.col("parent_currency"), F.lit("USD")))
          .otherwise(F.coalesce(F.col("p.text_currency"), F.lit("USD"))).alias("currency"),
         F.when(F.col("href").isNotNull(), url_join(F.col("base"), F.col("href"))).otherwise(F.lit("")).alias("product_url"),
-        F.when(F.coalesce(F.col("img1"), F.col("img2")).isNotNull(),
-               url_join(F.col("base"), F.coalesce(F.col("img1"), F.col("img2")))).alias("image_url"))
+        F.when(img.isNotNull(), url_join(F.col("base"), img)).alias("image_url"))
     parsed = out.filter(F.col("name").isNotNull())
     # the first card selector (in order) that produced a product wins
     ok_sel = parsed.groupBy("page_id").agg(F.min("card_rank").alias("best_rank"))
@@ -441,7 +440,8 @@ def json_ld_products(pages: DataFrame) -> DataFrame:
 def generic_catalog(pages: DataFrame) -> DataFrame:
     """J6 then J7: cards when a card selector succeeds on the page, JSON-LD
     products otherwise."""
-    els = html_elements(pages)
+    # the element table feeds several branches: parse once, reuse the table
+    els = materialize(html_elements(pages), "html_elements")
     cards = product_cards(pages, els)
     ld = json_ld_products(pages).join(cards.select("page_id").distinct(), "page_id", "left_anti")
     c = cards.select("page_id", F.col("card_idx").cast("bigint").alias("ordinal"), "name", "price", "currency",
