@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -72,22 +73,22 @@ _STATE_SCHEMA = T.StructType([T.StructField("price", T.StringType()), T.StructFi
 
 def _carry_previous(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Per competitor: remember the last successful (price, currency) and
-    attach it to each new observation in arrival order (by scraped_at, id)."""
+    attach the previous one to each new observation in (scraped_at, id)
+    order (vectorised shift; the state seeds the first row)."""
     pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["scraped_at", "id"], kind="stable")
+    old_p = pdf["price"].shift(1).astype(object)
+    old_c = pdf["currency"].shift(1).astype(object)
     if state.exists:
         p, c, _, _ = state.get
-        prev_p = None if p is None else __import__("decimal").Decimal(p)
-        prev_c = c
+        old_p.iloc[0] = None if p is None else Decimal(p)
+        old_c.iloc[0] = c
     else:
-        prev_p, prev_c = None, None
-    olds_p, olds_c = [], []
-    for price, cur in zip(pdf["price"], pdf["currency"]):
-        olds_p.append(prev_p)
-        olds_c.append(prev_c)
-        prev_p, prev_c = price, cur
-    out = pdf.assign(old_price=olds_p, old_currency=olds_c)
+        old_p.iloc[0] = None
+        old_c.iloc[0] = None
+    out = pdf.assign(old_price=old_p.where(old_p.notna(), None), old_currency=old_c.where(old_c.notna(), None))
     last = pdf.iloc[-1]
-    state.update((str(prev_p), prev_c, int(pd.Timestamp(last["scraped_at"]).value // 1000), int(last["id"])))
+    state.update((None if last["price"] is None else str(last["price"]), last["currency"],
+                  int(pd.Timestamp(last["scraped_at"]).value // 1000), int(last["id"])))
     yield out[["id", "competitor_id", "price", "currency", "scraped_at", "old_price", "old_currency"]]
 
 
