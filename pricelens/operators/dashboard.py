@@ -119,3 +119,22 @@ def run_progress(price_history: DataFrame, competitors: DataFrame) -> DataFrame:
         F.count_if(F.col("scrape_status") == "failed").alias("failed"),
         F.collect_list(res).alias("results"))
     return g.withColumn("status", F.when(F.col("failed") == F.col("total"), "failed").otherwise("completed"))
+
+
+def recent_activity(pending: DataFrame, products: DataFrame, competitors: DataFrame, n: int = 10) -> DataFrame:
+    """the ``n`` newest alerts per user (sent or not) as activity rows:
+    product name ('Unknown' without a product row), the store's raw
+    retailer name ('Unknown' only without a competitor row), and prices /
+    change with 0 shown as missing."""
+    top = top_per_group(pending, "user_id", [F.col("detected_at").desc(), F.col("id").desc()], n)
+    p = products.select(F.col("id").alias("product_id"), "product_name", F.lit(True).alias("__p"))
+    c = competitors.select(F.col("id").alias("competitor_id"), "retailer_name", F.lit(True).alias("__c"))
+    j = top.join(p, "product_id", "left").join(c, "competitor_id", "left")
+    nz = lambda col: F.when(F.col(col) != 0, F.col(col))
+    return j.select(
+        "id", "user_id", F.col("alert_type").alias("type"),
+        F.when(F.col("__p"), F.col("product_id")).alias("product_id"),
+        F.when(F.col("__p"), F.col("product_name")).otherwise(F.lit("Unknown")).alias("product_name"),
+        F.when(F.col("__c"), F.col("retailer_name")).otherwise(F.lit("Unknown")).alias("retailer"),
+        nz("old_price").alias("old_price"), nz("new_price").alias("new_price"),
+        nz("price_change_percent").alias("change_percent"), "detected_at", "pos")

@@ -136,18 +136,19 @@ def product_range(price_history: DataFrame, competitors: DataFrame, as_of,
 
 
 def product_summary(stats: DataFrame) -> DataFrame:
-    """Per product lowest price and its competitor, highest price and its
-    competitor (first in competitor order wins ties), #competitors, #points and
-    the average change = sum of non-null changes / all competitors (1 if none)."""
+    """Per product the lowest window minimum and its competitor, the
+    highest window maximum (must exceed 0) and its competitor - strict
+    comparisons, so the first competitor in list order (created_at, id) wins
+    ties - the number of competitors, the number of points and the average
+    change = sum of non-null changes / all competitors (1 when there are none)."""
     name = F.coalesce(F.col("competitor_name"), F.col("competitor_id").cast("string"))
-    has = F.col("current_price").isNotNull()
-    low_key = F.when(has, F.struct(F.col("current_price"), F.col("created_at"), F.col("competitor_id")))
-    # highest: larger price wins, earlier competitor wins ties
-    high_key = F.when(has, F.struct(-F.col("current_price"), F.col("created_at"), F.col("competitor_id")))
+    low_key = F.when(F.col("min_price").isNotNull(), F.struct(F.col("min_price"), F.col("created_at"), F.col("competitor_id")))
+    # highest: larger maximum wins, earlier competitor wins ties
+    high_key = F.when(F.col("max_price") > 0, F.struct(-F.col("max_price"), F.col("created_at"), F.col("competitor_id")))
     return stats.groupBy("product_id").agg(
-        F.min(F.when(has, F.col("current_price"))).alias("lowest_price"),
+        F.min("min_price").alias("lowest_price"),
         F.min_by(name, low_key).alias("lowest_competitor"),
-        F.max(F.when(has, F.col("current_price"))).alias("highest_price"),
+        F.max(F.when(F.col("max_price") > 0, F.col("max_price"))).alias("highest_price"),
         F.min_by(name, high_key).alias("highest_competitor"),
         F.count(F.lit(1)).alias("competitor_count"),
         F.sum("data_points").alias("total_points"),

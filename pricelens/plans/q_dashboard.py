@@ -36,18 +36,18 @@ def d7(m):
 
 
 @query("F1_recent_activity", """
-SELECT id, user_id, product_name, competitor_name, alert_type, detected_at, pos FROM (
-  SELECT a.id, a.user_id, coalesce(p.product_name, 'Unknown') AS product_name,
-         coalesce(CASE WHEN c.retailer_name <> '' THEN c.retailer_name END, 'Unknown Store') AS competitor_name,
-         a.alert_type, a.detected_at,
-         row_number() OVER (PARTITION BY a.user_id ORDER BY a.detected_at DESC, a.id DESC) AS pos
+SELECT id, user_id, type, product_id, product_name, retailer, old_price, new_price, change_percent, detected_at, pos FROM (
+  SELECT a.id, a.user_id, a.alert_type AS type, p.id AS product_id, coalesce(p.product_name, 'Unknown') AS product_name,
+         CASE WHEN c.id IS NULL THEN 'Unknown' ELSE c.retailer_name END AS retailer,
+         CAST(CASE WHEN a.old_price <> 0 THEN a.old_price END AS DOUBLE) AS old_price,
+         CAST(CASE WHEN a.new_price <> 0 THEN a.new_price END AS DOUBLE) AS new_price,
+         CAST(CASE WHEN a.price_change_percent <> 0 THEN a.price_change_percent END AS DOUBLE) AS change_percent,
+         a.detected_at, row_number() OVER (PARTITION BY a.user_id ORDER BY a.detected_at DESC, a.id DESC) AS pos
   FROM pending_alerts a LEFT JOIN products p ON p.id = a.product_id LEFT JOIN competitors c ON c.id = a.competitor_id) t
 WHERE pos <= 10""", ("pending_alerts", "products", "competitors"))
 def f1(m):
-    """10 newest alerts per user (any state) with names."""
-    top = DB.top_per_group(m.pending_alerts, "user_id", [F.col("detected_at").desc(), F.col("id").desc()], 10)
-    return A.alert_details(top, m.products, m.competitors).select(
-        "id", "user_id", "product_name", "competitor_name", "alert_type", "detected_at", "pos")
+    """10 newest alerts per user (any state) as dashboard activity."""
+    return DB.recent_activity(m.pending_alerts, m.products, m.competitors, 10)
 
 
 @query("F2_recent_products", """

@@ -161,12 +161,12 @@ def d3(m):
 WITH {_STATS_SQL},
 n AS (SELECT *, coalesce(CASE WHEN retailer_name <> '' THEN retailer_name END, {_DOMAIN_STRIP}) AS competitor_name
       FROM stats),
-lo AS (SELECT product_id, competitor_name AS lowest_competitor, current_price AS lowest_price,
-         row_number() OVER (PARTITION BY product_id ORDER BY current_price, created_at, competitor_id) AS r
-       FROM n WHERE current_price IS NOT NULL),
-hi AS (SELECT product_id, competitor_name AS highest_competitor, current_price AS highest_price,
-         row_number() OVER (PARTITION BY product_id ORDER BY current_price DESC, created_at, competitor_id) AS r
-       FROM n WHERE current_price IS NOT NULL),
+lo AS (SELECT product_id, competitor_name AS lowest_competitor, min_price AS lowest_price,
+         row_number() OVER (PARTITION BY product_id ORDER BY min_price, created_at, competitor_id) AS r
+       FROM n WHERE min_price IS NOT NULL),
+hi AS (SELECT product_id, competitor_name AS highest_competitor, max_price AS highest_price,
+         row_number() OVER (PARTITION BY product_id ORDER BY max_price DESC, created_at, competitor_id) AS r
+       FROM n WHERE max_price > 0),
 g AS (SELECT product_id, count(*) AS competitor_count, sum(data_points) AS total_points,
              coalesce(sum(price_change_percent), 0.0) / greatest(count(*), 1) AS avg_change_percent
       FROM n GROUP BY product_id)
