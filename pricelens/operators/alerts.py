@@ -259,8 +259,8 @@ def finish_digest(pending: DataFrame, settings: DataFrame, delivery: DataFrame,
                .select("user_id", now.alias("digest_sent_at"), F.col("alerts_count").cast("int"),
                        "alerts_mailed",
                        F.when(F.col("__ok"), "sent").otherwise("failed").alias("email_status"),
-                       F.when(~F.col("__ok"), F.left(F.col("__err"), F.lit(C.ERROR_TEXT_MAX))).alias("error_message"),
-                       F.when(F.col("__ok"), F.col("alert_ids")).otherwise(F.array()).alias("alert_ids")))
+                       F.when(~F.col("__ok"), F.coalesce(F.col("__err"), F.lit("Unknown error"))).alias("error_message"),
+                       "alert_ids"))
     return new_pending, new_settings, history
 
 

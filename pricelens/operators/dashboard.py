@@ -109,16 +109,23 @@ def scrape_success_rate(price_history: DataFrame, competitors: DataFrame | None
 
 def run_progress(price_history: DataFrame, competitors: DataFrame) -> DataFrame:
     """Progress of scrape runs; a run is one product's scrapes of one UTC
-    day: total, completed, failed, status and the per-competitor results."""
-    d = (price_history.join(competitors.select(F.col("id").alias("competitor_id"), "product_id"), "competitor_id")
-         .withColumn("run_day", F.to_date("scraped_at")))
-    res = F.struct("competitor_id", "scrape_status", "price", "currency", "error_message")
+    day.  total = the product's competitors, completed = competitors
+    processed in the run (any status), failed_items = failed ones, status =
+    'completed' once every competitor was processed else 'scraping', and the
+    per-competitor results (retailer name or domain without 'www.')."""
+    from ..functions.url import retailer_or_domain
+    comp = competitors.select(F.col("id").alias("competitor_id"), "product_id",
+                              retailer_or_domain(F.col("retailer_name"), F.col("url"), "no_www").alias("retailer"))
+    total = comp.groupBy("product_id").agg(F.count(F.lit(1)).alias("total"))
+    d = price_history.join(comp, "competitor_id").withColumn("run_day", F.to_date("scraped_at"))
+    res = F.struct("competitor_id", "retailer", F.col("price").cast("string").alias("price"), "currency",
+                   F.col("scrape_status").alias("status"), "error_message")
     g = d.groupBy("product_id", "run_day").agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("scrape_status") == "success").alias("completed"),
-        F.count_if(F.col("scrape_status") == "failed").alias("failed"),
-        F.collect_list(res).alias("results"))
-    return g.withColumn("status", F.when(F.col("failed") == F.col("total"), "failed").otherwise("completed"))
+        F.count_distinct("competitor_id").alias("completed"),
+        F.count_if(F.col("scrape_status") == "failed").alias("failed_items"),
+        F.sort_array(F.collect_list(res)).alias("results"))
+    return (g.join(total, "product_id")
+            .withColumn("status", F.when(F.col("completed") >= F.col("total"), "completed").otherwise("scraping")))
 
 
 def recent_activity(pending: DataFrame, products: DataFrame, competitors: DataFrame, n: int = 10) -> DataFrame:

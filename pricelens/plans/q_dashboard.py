@@ -208,10 +208,13 @@ def d13(m):
 
 
 @query("D10_run_progress", """
-SELECT c.product_id, CAST(p.scraped_at AS DATE) AS run_day, count(*) AS total,
-       count_if(p.scrape_status = 'success') AS completed, count_if(p.scrape_status = 'failed') AS failed,
-       CASE WHEN count_if(p.scrape_status = 'failed') = count(*) THEN 'failed' ELSE 'completed' END AS status
-FROM price_history p JOIN competitors c ON c.id = p.competitor_id GROUP BY 1, 2""", ("price_history", "competitors"))
+WITH t AS (SELECT product_id, count(*) AS total FROM competitors GROUP BY 1),
+r AS (SELECT c.product_id, CAST(p.scraped_at AS DATE) AS run_day, count(DISTINCT p.competitor_id) AS completed,
+             count_if(p.scrape_status = 'failed') AS failed_items
+      FROM price_history p JOIN competitors c ON c.id = p.competitor_id GROUP BY 1, 2)
+SELECT r.product_id, run_day, completed, failed_items, total,
+       CASE WHEN completed >= total THEN 'completed' ELSE 'scraping' END AS status
+FROM r JOIN t USING (product_id)""", ("price_history", "competitors"))
 def d10(m):
-    """Per run (product, day) totals, completed, failed and status."""
+    """Per run (product, day) completed / total / failed and status."""
     return DB.run_progress(m.price_history, m.competitors).drop("results")
