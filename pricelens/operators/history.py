@@ -73,7 +73,8 @@ def latest_observation(price_history: DataFrame) -> DataFrame:
 
 
 def latest_price_display(competitors: DataFrame, price_history: DataFrame) -> DataFrame:
-    """E2 (display): latest status per competitor: price text, 'Failed' or 'Pending'."""
+    """E2 (display): latest row per competitor shown as '$' + price (success
+    with a non-zero price), 'Failed' (any other row) or 'Pending...' (none)."""
     latest = latest_observation(price_history).select(
         F.col("competitor_id").alias("id"), F.col("price").alias("latest_price"),
         F.col("currency").alias("latest_currency"), F.col("scrape_status").alias("latest_status"),
@@ -81,9 +82,9 @@ def latest_price_display(competitors: DataFrame, price_history: DataFrame) -> Da
     out = competitors.select("id", "product_id", "url").join(latest, "id", "left")
     return out.withColumn(
         "display",
-        F.when(F.col("latest_status").isNull(), F.lit("Pending"))
-         .when((F.col("latest_status") == "success") & F.col("latest_price").isNotNull(),
-               F.concat_ws(" ", F.col("latest_currency"), F.format_number(F.col("latest_price"), 2)))
+        F.when(F.col("latest_status").isNull(), F.lit("Pending..."))
+         .when((F.col("latest_status") == "success") & F.coalesce(F.col("latest_price") != 0, F.lit(False)),
+               F.concat(F.lit("$"), F.col("latest_price").cast("decimal(12,2)").cast("string")))
          .otherwise(F.lit("Failed")))
 
 

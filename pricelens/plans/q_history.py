@@ -86,8 +86,8 @@ def c7(m):
 @query("E2_latest_price", """
 SELECT c.id, CAST(l.price AS DOUBLE) AS latest_price, l.currency AS latest_currency,
        l.scrape_status AS latest_status, l.scraped_at AS latest_scraped_at,
-       CASE WHEN l.scrape_status IS NULL THEN 'Pending'
-            WHEN l.scrape_status = 'success' AND l.price IS NOT NULL THEN l.currency || ' ' || format('{:,.2f}', l.price)
+       CASE WHEN l.scrape_status IS NULL THEN 'Pending...'
+            WHEN l.scrape_status = 'success' AND coalesce(l.price <> 0, false) THEN '$' || CAST(CAST(l.price AS DECIMAL(12,2)) AS VARCHAR)
             ELSE 'Failed' END AS display
 FROM competitors c LEFT JOIN (
   SELECT *, row_number() OVER (PARTITION BY competitor_id ORDER BY scraped_at DESC, id DESC) AS rn
