@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 def split_datetime(iso: Column) -> Column:
     """I4: ISO string -> struct(date 'yyyy-MM-dd', time 'HH:mm:ss'); empty ->
     ('', ''); unparsable -> (raw, '')."""
-    s = F.regexp_replace(iso, "Z$", "+00:00")
-    ts = F.coalesce(F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]")),
-                    F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSS][XXX]")),
+    # the wall-clock time is printed in the string's own offset: drop the
+    # offset and parse the local part (independent of the session time zone)
+    s = F.regexp_replace(iso, r"(Z|[+-]\d{2}:?\d{2})$", "")
+    ts = F.coalesce(F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm[:ss][.SSSSSS]")),
+                    F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm[:ss][.SSSSSS]")),
                     F.try_to_timestamp(s, F.lit("yyyy-MM-dd")))
     empty = iso.isNull() | (iso == "")
     return F.struct(

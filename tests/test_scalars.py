@@ -136,6 +136,8 @@ def test_time_helpers(spark):
         assert one(spark, TF.time_ago(F.col("x").cast("timestamp_ntz"), now), ts) == want
     r = one(spark, TF.split_datetime(F.col("x")), "2024-01-15T10:00:00Z")
     assert (r["date"], r["time"]) == ("2024-01-15", "10:00:00")
+    r = one(spark, TF.split_datetime(F.col("x")), "2024-01-15T23:30:05.123+02:00")
+    assert (r["date"], r["time"]) == ("2024-01-15", "23:30:05")
     r = one(spark, TF.split_datetime(F.col("x")), "junk")
     assert (r["date"], r["time"]) == ("junk", "")
     r = one(spark, TF.split_datetime(F.col("x")), "")
