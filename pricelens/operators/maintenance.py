@@ -84,8 +84,9 @@ def soft_delete(products: DataFrame, ids: DataFrame) -> DataFrame:
 
 def delete_accounts(tables: dict[str, DataFrame], users: DataFrame) -> dict[str, DataFrame]:
     """K4: delete users' products and cascade to competitors, history,
-    insights and alerts; delete their settings and pending alerts.  Each
-    cascade is a left anti join on the parent's surviving keys."""
+    insights, alerts and tracking jobs; delete their settings and pending
+    alerts.  Each cascade is a left anti join on the parent's removed keys
+    (semi-joined key sets, never collected lists)."""
     u = users.select("user_id")
     out = dict(tables)
     gone_products = tables["products"].join(u, "user_id", "left_semi").select("id")
@@ -100,8 +101,10 @@ def delete_accounts(tables: dict[str, DataFrame], users: DataFrame) -> dict[str,
     pa = pa.join(gone_products.withColumnRenamed("id", "product_id"), "product_id", "left_anti")
     out["pending_alerts"] = pa.join(gone_comp.withColumnRenamed("id", "competitor_id"), "competitor_id", "left_anti")
     out["user_alert_settings"] = tables["user_alert_settings"].join(u, "user_id", "left_anti")
-    if "users" in tables:
-        out["users"] = tables["users"].join(u, "user_id", "left_anti")
+    if "tracking_jobs" in tables:
+        out["tracking_jobs"] = tables["tracking_jobs"].join(
+            gone_products.withColumnRenamed("id", "product_group_id"), "product_group_id", "left_anti")
+    # the identity (users) and the digest history stay: only account data goes
     return out
 
 
