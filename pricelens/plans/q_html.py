@@ -42,9 +42,9 @@ def h18(m):
     from ..sources.landed import landed_catalog
     land = landed_catalog(m.catalog)
     j = (land["shopify_json"].unionByName(land["woo_store"]).unionByName(land["woo_rest"])
-         .select(F.col("payload").alias("body"), F.col("store").alias("url")))
-    h = m.raw("pages").select(F.col("html").alias("body"), "url")
-    return j.unionByName(h).select("url", U.platform_of_payload(F.col("body"), F.col("url")).alias("platform"))
+         .select(F.col("payload").alias("body"), F.col("store").alias("url"), "page"))
+    h = m.raw("pages").select(F.col("html").alias("body"), "url", F.lit(None).cast("bigint").alias("page"))
+    return j.unionByName(h).select("url", "page", U.platform_of_payload(F.col("body"), F.col("url")).alias("platform"))
 
 
 @query("J4_html_elements")
@@ -64,7 +64,7 @@ def j5(m):
 @query("J6_product_cards")
 def j6(m):
     """J6 + J7: product cards of listing pages, JSON-LD when cards fail."""
-    return HT.generic_catalog(listing_pages(m.catalog))
+    return HT.generic_catalog(listing_pages(m.catalog)).drop("ordinal")
 
 
 @query("J7_json_ld")
@@ -85,3 +85,61 @@ def j8(m):
          .otherwise(F.concat(F.lit("shop"), (F.col("id") % 4).cast("string"), F.lit(".example.com/item/"),
                              (F.col("id") * 7 % 2000).cast("string"))).alias("url"))
     return HT.scrape_result(c, pages)
+
+
+# --- oracle SQL for the HTML queries: expected values stated from the part rows
+# by the markup rules of ``sources.landed`` (the Spark side parses the pages)
+from ..functions.url import ERR_HTTP, ERR_PRIVATE  # noqa: E402
+from .registry import ORACLE  # noqa: E402
+
+_J5_EXPECTED = """
+pp AS (SELECT p_partkey AS page_id,
+         'https://shop' || CAST(p_partkey % 4 AS VARCHAR) || '.example.com/item/' || CAST(p_partkey AS VARCHAR) AS url,
+         CASE p_partkey % 8 WHEN 6 THEN NULL WHEN 7 THEN CAST(round(p_retailprice * 100) AS DOUBLE)
+              ELSE CAST(CAST(p_retailprice AS DECIMAL(10,2)) AS DOUBLE) END AS price,
+         CASE p_partkey % 8 WHEN 1 THEN 'GBP' WHEN 2 THEN 'EUR' WHEN 4 THEN 'CAD' WHEN 7 THEN 'NGN' ELSE 'USD' END AS currency
+       FROM part)"""
+
+ORACLE["J5_page_price"] = f"WITH {_J5_EXPECTED} SELECT page_id, price, currency FROM pp"
+
+ORACLE["J8_scrape_result"] = f"""WITH {_J5_EXPECTED},
+t AS (SELECT c_custkey AS competitor_id,
+        CASE WHEN c_custkey % 10 = 3 THEN 'http' WHEN c_custkey % 10 = 7 THEN 'private' ELSE 'ok' END AS kind,
+        'https://shop' || CAST(c_custkey % 4 AS VARCHAR) || '.example.com/item/' || CAST((c_custkey * 7) % 2000 AS VARCHAR) AS nurl
+      FROM customer)
+SELECT t.competitor_id, CASE WHEN kind = 'ok' THEN pp.price END AS price,
+  CASE WHEN kind = 'ok' AND pp.price IS NOT NULL THEN pp.currency ELSE 'USD' END AS currency,
+  CASE WHEN kind = 'ok' AND pp.price IS NOT NULL THEN 'success' ELSE 'failed' END AS status,
+  CASE kind WHEN 'http' THEN '{ERR_HTTP}' WHEN 'private' THEN '{ERR_PRIVATE}'
+       ELSE CASE WHEN pp.price IS NULL THEN '{HT.FAIL_MESSAGE}' END END AS error_message
+FROM t LEFT JOIN pp ON pp.url = t.nurl"""
+
+_LISTING = """
+lp AS (SELECT p_partkey AS pid, p_name AS name, p_retailprice AS p, p_brand AS sku, p_partkey // 8 AS page_id,
+         (p_partkey // 8) % 5 AS style, count(*) OVER (PARTITION BY p_partkey // 8) AS n_on_page,
+         row_number() OVER (PARTITION BY p_partkey // 8 ORDER BY p_partkey) - 1 AS pos,
+         'https://list.example.com/products/' || replace(p_name, ' ', '-') || '-' || CAST(p_partkey AS VARCHAR) AS product_url
+       FROM part),
+ld AS (SELECT page_id, 0 AS block, pos, name, CAST(CAST(p AS DECIMAL(10,2)) AS DOUBLE) AS price, 'GBP' AS currency,
+         'https://img.example.com/' || CAST(pid AS VARCHAR) AS image_url, product_url, sku, 'custom' AS platform
+       FROM lp WHERE style = 4),
+cards AS (SELECT page_id, name, CAST(CAST(p AS DECIMAL(10,2)) AS DOUBLE) AS price,
+         CASE WHEN style = 1 THEN 'EUR' ELSE 'GBP' END AS currency, product_url,
+         CASE WHEN style = 1 THEN 'https://list.example.com/i/' || CAST(pid AS VARCHAR) || '.png'
+              ELSE 'https://img.example.com/' || CAST(pid AS VARCHAR) || '.jpg' END AS image_url,
+         CAST(NULL AS VARCHAR) AS sku, 'custom' AS platform, 'cards' AS source
+       FROM lp WHERE style <> 4 AND n_on_page >= 2)"""
+
+ORACLE["J7_json_ld"] = f"WITH {_LISTING} SELECT * FROM ld"
+ORACLE["J6_product_cards"] = f"""WITH {_LISTING}
+SELECT page_id, name, price, currency, product_url, image_url, sku, platform, source FROM cards
+UNION ALL SELECT page_id, name, price, currency, product_url, image_url, sku, platform, 'json_ld' FROM ld"""
+
+ORACLE["H18_platform_of_payload"] = """
+SELECT DISTINCT 'https://store' || CAST(p_partkey % 6 AS VARCHAR) || '.example.com' AS url, (p_partkey // 6) // 50 AS page,
+  CASE WHEN p_partkey % 6 IN (0, 1, 2) THEN 'shopify' ELSE 'woocommerce' END AS platform
+FROM part WHERE p_partkey % 6 IN (0, 1, 2, 4, 5)
+UNION ALL
+SELECT url, NULL, CASE WHEN contains(html, 'cdn.shopify') OR contains(html, 'Shopify.theme') THEN 'shopify'
+  WHEN lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.\\-]*):', 1)) = 'https'
+   AND regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://([^/?#]*)', 1) <> '' THEN 'custom' END FROM pages"""

@@ -201,7 +201,14 @@ def a8(m):
     return MT.price_csv_rows(m.price_history, m.competitors).drop("__ts", "__id")
 
 
-@query("A12_nested_json_out")
+@query("A12_nested_json_out", """
+SELECT p.id, coalesce(c.n, 0) AS n_competitors, c.first_url, p.product_name
+FROM products p LEFT JOIN (SELECT product_id, count(*) AS n, arg_min(url, (created_at, id)) AS first_url
+                           FROM competitors GROUP BY 1) c ON c.product_id = p.id""", ("products", "competitors"))
 def a12(m):
-    """Product documents with nested competitors as JSON."""
-    return MT.product_documents(m.products, m.competitors)
+    """Product documents with nested competitors as JSON (checked by
+    reading fields back out of the documents)."""
+    d = MT.product_documents(m.products, m.competitors)
+    return d.select("id", F.json_array_length(F.get_json_object("document", "$.competitors")).cast("bigint").alias("n_competitors"),
+                    F.get_json_object("document", "$.competitors[0].url").alias("first_url"),
+                    F.get_json_object("document", "$.product_name").alias("product_name"))
