@@ -96,7 +96,7 @@ def fmt_decimal(x: Column, digits: int) -> Column:
     """Fixed-point text of a decimal, rounded half-even on the exact decimal
     value (the application formats binary floats; the two differ only on
     exact .x5 ties)."""
-    return F.bround(x.cast("decimal(20,4)"), digits).cast(f"decimal(20,{digits})").cast("string")
+    return F.bround(x.cast("decimal(30,10)"), digits).cast(f"decimal(30,{digits})").cast("string")
 
 
 def keyword_match(text_cols: list[Column], keyword: str | None) -> Column:

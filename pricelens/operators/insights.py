@@ -101,7 +101,7 @@ def insight_rows(history: DataFrame, competitors: DataFrame, products: DataFrame
     t_rows = tr.select("product_id", "competitor_id", F.lit("pattern").alias("type"),
                        F.concat(F.col("cname"), F.lit(": prices trending "),
                                 F.when(F.col("slope_per_day") < 0, "down").otherwise("up"), F.lit(" by "),
-                                F.format_string("%.2f", F.abs("slope_per_day")), F.lit(" per day")).alias("text"),
+                                fmt_decimal(F.abs("slope_per_day").cast("decimal(30,10)"), 2), F.lit(" per day")).alias("text"),
                        F.coalesce(F.col("r2"), F.lit(0.0)).alias("raw_conf"))
     an = anomalies(history, as_of, days).groupBy("competitor_id").agg(F.count(F.lit(1)).alias("k")).join(names, "competitor_id")
     a_rows = an.select("product_id", "competitor_id", F.lit("ALERT").alias("type"),
@@ -111,7 +111,7 @@ def insight_rows(history: DataFrame, competitors: DataFrame, products: DataFrame
     p_rows = pp.filter(F.col("price_rank") == 1).select(
         "product_id", "competitor_id", F.lit("recommendation").alias("type"),
         F.concat(F.col("cname"), F.lit(" is the cheapest, "),
-                 fmt_decimal(F.abs(F.col("pct_vs_mean")).cast("decimal(20,4)"), 1), F.lit("% below the average")).alias("text"),
+                 fmt_decimal(F.abs(F.col("pct_vs_mean")).cast("decimal(30,10)"), 1), F.lit("% below the average")).alias("text"),
         F.lit(0.9).alias("raw_conf"))
     rows = t_rows.unionByName(a_rows).unionByName(p_rows)
     todo = no_insight_today(products, insights, as_of, force_regenerate).select(F.col("id").alias("product_id"))

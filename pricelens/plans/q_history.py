@@ -29,15 +29,14 @@ FROM price_history""", ("price_history",))
 def a1(m):
     """A1: the price_history table written with its fixed schema and scanned back
     (column pruning and predicate pushdown reach the parquet scan)."""
-    from ..sources.tables import load_table
-    from pyspark.sql import types as T
     import os
-    import tempfile
-    spark = m.spark
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pricelens-a1-")
-    path = os.path.join(root, f"price_history_{abs(hash(m.sf_dir))}")
+    import uuid
+    from pyspark.sql import types as T
+    from ..config import ensure_checkpoint_dir
+    from ..sources.tables import load_table
+    path = os.path.join(ensure_checkpoint_dir(m.spark), "tables", f"price_history-{uuid.uuid4().hex[:10]}")
     m.price_history.write.mode("overwrite").parquet(path)
-    return load_table(spark, path, "price_history", key=T.LongType())
+    return load_table(m.spark, path, "price_history", key=T.LongType())
 
 
 @query("B3_last_n_days", """

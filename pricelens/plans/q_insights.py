@@ -61,7 +61,48 @@ def m4(m):
     return IN.price_position(m.price_history, m.competitors, AS_OF)
 
 
-@query("M5_insight_rows")
+_M5_SQL = f"""WITH {_OK},
+x AS (SELECT *, CAST(date_diff('minute', TIMESTAMP '2024-01-01 00:00:00', scraped_at) AS BIGINT) AS x FROM ok),
+g AS (SELECT competitor_id, count(*) AS n, CAST(sum(x) AS DECIMAL(38,0)) AS sx, sum(price) AS sy,
+             sum(CAST(x AS DECIMAL(38,0)) * x) AS sxx, sum(CAST(x AS DECIMAL(20,0)) * price) AS sxy, sum(price * price) AS syy
+      FROM x GROUP BY 1),
+h AS (SELECT competitor_id, CAST(n * sxy - sx * sy AS DOUBLE) AS num, CAST(n * sxx - sx * sx AS DOUBLE) AS denx,
+             CAST(n * syy - sy * sy AS DOUBLE) AS deny FROM g),
+tr AS (SELECT competitor_id, num / denx * 1440.0 AS slope, CASE WHEN deny <> 0 THEN (num / denx) * (num / deny) END AS r2
+       FROM h WHERE denx <> 0),
+names AS (SELECT id AS competitor_id, product_id, coalesce(CASE WHEN retailer_name <> '' THEN retailer_name END,
+            regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://([^/?#]*)', 1), '^www\\.', '')) AS cname
+          FROM competitors),
+m AS (SELECT competitor_id, count(*) AS n, sum(price) AS s1, sum(price * price) AS s2 FROM ok GROUP BY 1),
+an AS (SELECT ok.competitor_id, count(*) AS k FROM ok JOIN m USING (competitor_id)
+       WHERE n * s2 - s1 * s1 > 0 AND (n * price - s1) * (n * price - s1) > 4 * (n * s2 - s1 * s1) GROUP BY 1),
+cur AS (SELECT competitor_id, arg_max(price, (scraped_at, id)) AS cp FROM ok GROUP BY 1),
+cp AS (SELECT cur.*, names.product_id, names.cname FROM cur JOIN names USING (competitor_id)),
+pm AS (SELECT product_id, count(*) AS pn, sum(cp) AS ps FROM cp GROUP BY 1),
+pos AS (SELECT cp.*, rank() OVER (PARTITION BY cp.product_id ORDER BY cp) AS rk,
+          CASE WHEN ps <> 0 THEN CAST((cp * pn - ps) * 100 AS DOUBLE) / CAST(ps AS DOUBLE) END AS pct FROM cp JOIN pm USING (product_id)),
+rows_ AS (
+  SELECT n.product_id, t.competitor_id, 'pattern' AS type,
+         n.cname || ': prices trending ' || CASE WHEN t.slope < 0 THEN 'down' ELSE 'up' END || ' by '
+           || CAST(round_even(CAST(abs(t.slope) AS DECIMAL(30,10)), 2) AS VARCHAR) || ' per day' AS text,
+         coalesce(t.r2, 0.0) AS raw_conf FROM tr t JOIN names n USING (competitor_id)
+  UNION ALL SELECT n.product_id, a.competitor_id, 'ALERT', n.cname || ': ' || CAST(a.k AS VARCHAR) || ' unusual price points', 0.75
+  FROM an a JOIN names n USING (competitor_id)
+  UNION ALL SELECT product_id, competitor_id, 'recommendation',
+         cname || ' is the cheapest, ' || CAST(round_even(CAST(abs(pct) AS DECIMAL(30,10)), 1) AS VARCHAR) || '% below the average', 0.9
+  FROM pos WHERE rk = 1),
+todo AS (SELECT id AS product_id FROM products p WHERE NOT EXISTS (SELECT 1 FROM insights i WHERE i.product_id = p.id
+         AND i.generated_at >= TIMESTAMP '2024-01-31 00:00:00')),
+ranked AS (SELECT r.*, row_number() OVER (PARTITION BY product_id ORDER BY raw_conf DESC, type, competitor_id) AS rank
+           FROM rows_ r WHERE product_id IN (SELECT product_id FROM todo))
+SELECT product_id, rank, CASE WHEN lower(type) IN ('pattern', 'alert', 'recommendation') THEN lower(type) ELSE 'pattern' END
+         AS insight_type, text AS insight_text,
+       CAST(CASE WHEN raw_conf BETWEEN 0 AND 1 THEN round(CAST(raw_conf AS DECIMAL(20,10)), 2) ELSE 0.5 END AS DOUBLE)
+         AS confidence_score
+FROM ranked WHERE rank <= 5"""
+
+
+@query("M5_insight_rows", _M5_SQL, ("price_history", "competitors", "products", "insights"))
 def m5(m):
     """M5 (+E8, C8): at most five rule-based insights per product due today."""
     return IN.insight_rows(m.price_history, m.competitors, m.products, m.insights, AS_OF)

@@ -25,11 +25,14 @@ def l1(m):
     return S.daily_dedup(m.price_history).select("competitor_id", "day", "id")
 
 
-@query("L1_daily_dedup_stream")
+@query("L1_daily_dedup_stream", """
+SELECT DISTINCT competitor_id, CAST(scraped_at AS DATE) AS day FROM price_history""", ("price_history",))
 def l1s(m):
-    """L1 as a stream (watermark + dropDuplicatesWithinWatermark), drained."""
+    """L1 as a stream (watermark + dropDuplicatesWithinWatermark), drained:
+    exactly one observation per (competitor, day) key.  Which one is kept is
+    arrival order, so the key set is compared."""
     s = S.daily_dedup_stream(model_price_history_stream(m.spark, m.sf_dir))
-    return S.run_to_table(s.select("competitor_id", "day", "id"), f"l1_{uuid.uuid4().hex[:8]}")
+    return S.run_to_table(s.select("competitor_id", "day"), f"l1_{uuid.uuid4().hex[:8]}")
 
 
 _DET = """id, user_id, product_id, competitor_id, alert_type, CAST(old_price AS DOUBLE) AS old_price,
