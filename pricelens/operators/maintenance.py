@@ -209,11 +209,20 @@ def append_prices(results: DataFrame, as_of, zero_is_missing: bool = True) -> Da
         F.col("status").alias("scrape_status"), F.col("error").alias("error_message"))
 
 
-def write_history(df: DataFrame, path: str, mode: str = "append") -> None:
+def write_history(df: DataFrame, path: str, run_id: str) -> None:
     """A7 sink: history partitioned by UTC scrape date (partition pruning for
-    the day / window filters)."""
-    (df.withColumn("scrape_date", F.to_date("scraped_at"))
-       .write.mode(mode).partitionBy("scrape_date").parquet(path))
+    the day / window filters) and by the writing run.  Partitions are
+    overwritten dynamically, so a rerun of the same run (after a failure)
+    replaces exactly its own output and never duplicates rows; other runs'
+    partitions of the same day are untouched."""
+    spark = df.sparkSession
+    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        (df.withColumn("scrape_date", F.to_date("scraped_at")).withColumn("run", F.lit(run_id))
+           .write.mode("overwrite").partitionBy("scrape_date", "run").parquet(path))
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
 
 
 def price_csv_rows(price_history: DataFrame, competitors: DataFrame) -> DataFrame:

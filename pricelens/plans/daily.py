@@ -69,3 +69,18 @@ def digest_run(tables: dict[str, DataFrame], delivery: DataFrame | None, as_of)
 def cleanup(tables: dict[str, DataFrame], as_of) -> DataFrame:
     """K6: pending alerts kept after the daily purge."""
     return A.cleanup_alerts(tables["pending_alerts"], as_of)
+
+
+def write_daily(out: dict[str, DataFrame], history_path: str, alerts_path: str, run_id: str) -> None:
+    """Persist one daily run idempotently: history rows by (scrape date, run)
+    and new pending alerts by (detection date, run), both with dynamic
+    partition overwrite - a rerun replaces its own partitions only."""
+    MT.write_history(out["new_history"], history_path, run_id)
+    spark = out["new_pending"].sparkSession
+    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        (out["new_pending"].withColumn("detect_date", F.to_date("detected_at")).withColumn("run", F.lit(run_id))
+         .write.mode("overwrite").partitionBy("detect_date", "run").parquet(alerts_path))
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)

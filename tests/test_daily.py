@@ -30,6 +30,11 @@ def test_scrape_and_detect(spark, model):
     dec = out["decisions"].collect()
     assert all(r["id"] in {x["id"] for x in ok} for r in dec)
     assert out["new_pending"].count() <= len(dec)
+    import tempfile
+    root = tempfile.mkdtemp(prefix="daily-")
+    D.write_daily(out, root + "/history", root + "/alerts", "2024-01-31")
+    D.write_daily(out, root + "/history", root + "/alerts", "2024-01-31")   # rerun: same result
+    assert spark.read.parquet(root + "/history").count() == len(new)
 
 
 def test_digest_and_cleanup(spark, model):
