@@ -35,8 +35,29 @@ ALERT_TYPES = ("price_drop", "price_increase", "currency_changed")
 DEFAULT_CURRENCY = "USD"
 
 
+# session settings for a large cluster (hundreds of TB, ~1000 executors):
+# many initial shuffle partitions that AQE coalesces to ~256 MB each, 256 MB
+# scan splits, skew splitting for partitions 5x the median and > 512 MB, and a
+# broadcast threshold that AQE checks against *measured* sizes.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.task.maxFailures": "8",
+    "spark.speculation": "true",
+}
+
+
 def build_session(master: str | None = None, app_name: str = "pricelens",
-                  shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
+                  shuffle_partitions: int | None = None, extra: dict | None = None,
+                  cluster: bool = False) -> SparkSession:
     """A session configured the way the library expects.
 
     * AQE on: coalesces tiny shuffles, splits skewed join partitions and turns
@@ -58,6 +79,8 @@ def build_session(master: str | None = None, app_name: str = "pricelens",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.ansi.enabled": "false",
     }
+    if cluster:
+        conf.update(CLUSTER_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

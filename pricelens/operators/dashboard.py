@@ -9,12 +9,18 @@ from .. import config as C
 from .history import ts_lit
 
 
-def pending_list(details: DataFrame) -> DataFrame:
-    """unsent alerts per user newest first with position and total."""
+def pending_list(details: DataFrame, limit: int | None = None) -> DataFrame:
+    """unsent alerts per user newest first with position and total.
+    With ``limit`` (the UI shows 5) only the first rows per user are ranked,
+    which Spark turns into a map-side WindowGroupLimit; the total is always
+    an aggregate."""
     rows = details.filter(~F.col("included_in_digest"))
     w = Window.partitionBy("user_id").orderBy(F.col("detected_at").desc(), F.col("id").desc())
     totals = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
-    return rows.withColumn("list_pos", F.row_number().over(w)).join(totals, "user_id")
+    ranked = rows.withColumn("list_pos", F.row_number().over(w))
+    if limit is not None:
+        ranked = ranked.filter(F.col("list_pos") <= limit)
+    return ranked.join(totals, "user_id")
 
 
 def dashboard_stats(users: DataFrame, products: DataFrame, competitors: DataFrame, pending: DataFrame,
@@ -60,16 +66,19 @@ def product_competitors(products: DataFrame, competitors: DataFrame) -> DataFram
             .withColumn("competitors", F.coalesce("competitors", F.array().cast(g.schema["competitors"].dataType))))
 
 
-def product_list(products: DataFrame, competitors: DataFrame, user_id=None) -> DataFrame:
+def product_list(products: DataFrame, competitors: DataFrame, user_id=None, limit: int | None = None) -> DataFrame:
     """F7 (+B1, B2, C1, D14): active products newest first with competitors[]
-    and the total per user."""
+    and the total per user; ``limit`` ranks only the first rows per user
+    (map-side WindowGroupLimit) before competitors are attached."""
     p = products.filter(F.col("is_active"))
     if user_id is not None:
         p = p.filter(F.col("user_id") == F.lit(user_id))
-    pc = product_competitors(p, competitors)
     w = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
     totals = p.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
-    return pc.withColumn("list_pos", F.row_number().over(w)).join(totals, "user_id")
+    ranked = p.withColumn("list_pos", F.row_number().over(w))
+    if limit is not None:
+        ranked = ranked.filter(F.col("list_pos") <= limit)
+    return product_competitors(ranked, competitors).join(totals, "user_id")
 
 
 def owned_competitors(competitors: DataFrame, products: DataFrame) -> DataFrame:
