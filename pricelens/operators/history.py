@@ -252,7 +252,8 @@ def insight_features(price_history: DataFrame, competitors: DataFrame, as_of,
            .groupBy("competitor_id")
            .agg(F.array_sort(F.collect_list(F.struct("pos", "scraped_at", "price", "currency"))).alias("price_history")))
     comp = competitors.select(F.col("id").alias("competitor_id"), "product_id",
-                              F.coalesce(F.col("retailer_name"), F.lit("Unknown")).alias("competitor"),
+                              F.coalesce(F.when(F.col("retailer_name") != "", F.col("retailer_name")),
+                                         F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1)).alias("competitor"),
                               F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1).alias("domain"))
     out = (stats.join(comp, "competitor_id").join(pts, "competitor_id", "left")
            .withColumn("average_price", F.bround(F.col("__sum") / F.col("price_count"), 2).cast("decimal(12,2)"))
