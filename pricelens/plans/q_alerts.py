@@ -75,14 +75,18 @@ def e4(m):
 
 
 @query("C5_settings_defaults", """
-SELECT u.user_id, coalesce(s.email_enabled, true) AS email_enabled,
+SELECT a.id, a.user_id, coalesce(s.email_enabled, true) AS email_enabled,
        coalesce(s.alert_price_drop, true) AS alert_price_drop, coalesce(s.alert_price_increase, true) AS alert_price_increase,
-       coalesce(s.digest_frequency_hours, 24) AS digest_frequency_hours, s.last_digest_sent_at,
-       s.user_id IS NOT NULL AS has_settings
-FROM users u LEFT JOIN user_alert_settings s ON s.user_id = u.user_id""", ("users", "user_alert_settings"))
+       coalesce(s.digest_frequency_hours, 24) AS digest_frequency_hours, s.user_id IS NOT NULL AS has_settings
+FROM detections a JOIN users u ON u.user_id = a.user_id LEFT JOIN user_alert_settings s ON s.user_id = a.user_id
+WHERE a.alert_type IS NOT NULL""", ("detections", "users", "user_alert_settings"))
 def c5(m):
-    """Effective settings per user (no row = everything enabled)."""
-    return A.settings_with_defaults(m.users, m.user_alert_settings)
+    """Effective settings for every alert candidate (no settings row =
+    everything enabled)."""
+    eff = A.settings_with_defaults(m.users, m.user_alert_settings)
+    cand = m.detections.filter(F.col("alert_type").isNotNull()).select("id", "user_id")
+    return cand.join(eff, "user_id").select("id", "user_id", "email_enabled", "alert_price_drop",
+                                            "alert_price_increase", "digest_frequency_hours", "has_settings")
 
 
 _DUE_SQL = """

@@ -45,19 +45,19 @@ def k1c(m):
 
 
 def _patch(m):
-    n = m.raw("nation")
-    k = F.col("n_nationkey")
+    n = m.raw("supplier")
+    k = F.col("s_suppkey")
     return (n.filter((k % 3 == 0) | (k % 4 == 0) | (k % 5 == 1))
             .select(k.cast("bigint").alias("id"),
-                    F.when(k % 3 == 0, F.concat(F.upper("n_name"), F.lit(" <v2>"))).alias("product_name"),
+                    F.when(k % 3 == 0, F.concat(F.upper("s_name"), F.lit(" <v2>"))).alias("product_name"),
                     F.when(k % 4 == 0, F.lit(False)).alias("is_active")))
 
 
 @query("K2_update_product", """
-WITH patch AS (SELECT CAST(n_nationkey AS BIGINT) AS id,
-  CASE WHEN n_nationkey % 3 = 0 THEN upper(n_name) || ' <v2>' END AS pname,
-  CASE WHEN n_nationkey % 4 = 0 THEN false END AS pactive FROM nation
-  WHERE n_nationkey % 3 = 0 OR n_nationkey % 4 = 0 OR n_nationkey % 5 = 1),
+WITH patch AS (SELECT CAST(s_suppkey AS BIGINT) AS id,
+  CASE WHEN s_suppkey % 3 = 0 THEN upper(s_name) || ' <v2>' END AS pname,
+  CASE WHEN s_suppkey % 4 = 0 THEN false END AS pactive FROM supplier
+  WHERE s_suppkey % 3 = 0 OR s_suppkey % 4 = 0 OR s_suppkey % 5 = 1),
 valid AS (SELECT * FROM patch WHERE pname IS NOT NULL OR pactive IS NOT NULL)
 SELECT p.id, coalesce(replace(replace(trim(v.pname), '<', '&lt;'), '>', '&gt;'), p.product_name) AS product_name,
        coalesce(v.pactive, p.is_active) AS is_active,
@@ -130,23 +130,30 @@ def k8(m):
 
 
 @query("K9_settings_upsert", """
-WITH patch AS (SELECT * FROM (VALUES (0, NULL, 12, NULL, NULL), (4, NULL, NULL, false, NULL))
-               AS t(user_id, email_enabled, digest_frequency_hours, alert_price_drop, alert_price_increase))
+WITH act AS (SELECT user_id, count_if(alert_type = 'price_drop') AS d, count_if(alert_type = 'price_increase') AS i,
+                    count(*) AS n FROM pending_alerts GROUP BY user_id),
+patch AS (SELECT user_id, CAST(NULL AS BOOLEAN) AS email_enabled,
+            CASE WHEN n > (SELECT avg(n) FROM act) THEN 6 END AS digest_frequency_hours,
+            CASE WHEN i > d THEN false END AS alert_price_drop, CAST(NULL AS BOOLEAN) AS alert_price_increase FROM act)
 SELECT coalesce(s.user_id, p.user_id) AS user_id,
-  coalesce(CAST(p.email_enabled AS BOOLEAN), s.email_enabled, true) AS email_enabled,
+  coalesce(p.email_enabled, s.email_enabled, true) AS email_enabled,
   coalesce(CAST(p.digest_frequency_hours AS INTEGER), s.digest_frequency_hours, 24) AS digest_frequency_hours,
-  coalesce(CAST(p.alert_price_drop AS BOOLEAN), s.alert_price_drop, true) AS alert_price_drop,
-  coalesce(CAST(p.alert_price_increase AS BOOLEAN), s.alert_price_increase, true) AS alert_price_increase
-FROM user_alert_settings s FULL JOIN patch p ON p.user_id = s.user_id""", ("user_alert_settings",))
+  coalesce(p.alert_price_drop, s.alert_price_drop, true) AS alert_price_drop,
+  coalesce(p.alert_price_increase, s.alert_price_increase, true) AS alert_price_increase
+FROM user_alert_settings s FULL JOIN patch p ON p.user_id = s.user_id""", ("pending_alerts", "user_alert_settings"))
 def k9(m):
-    """K9: settings upsert - user 0 switches to 12 h, user 4 (no row yet) gets
-    defaults with price-drop alerts off."""
-    from pyspark.sql import types as T
-    schema = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("email_enabled", T.BooleanType()),
-                           T.StructField("digest_frequency_hours", T.IntegerType()),
-                           T.StructField("alert_price_drop", T.BooleanType()),
-                           T.StructField("alert_price_increase", T.BooleanType())])
-    patch = m.spark.createDataFrame([(0, None, 12, None, None), (4, None, None, False, None)], schema)
+    """K9: settings upsert; the patch is derived from each user's alert
+    activity (busier than average -> 6 h digests; more increases than drops
+    -> drop alerts off); users without a row get the defaults plus the patch."""
+    act = m.pending_alerts.groupBy("user_id").agg(
+        F.count_if(F.col("alert_type") == "price_drop").alias("d"),
+        F.count_if(F.col("alert_type") == "price_increase").alias("i"), F.count(F.lit(1)).alias("n"))
+    avg_n = act.agg(F.avg("n").alias("__avg")).withColumn("__k", F.lit(1))
+    patch = (act.withColumn("__k", F.lit(1)).join(F.broadcast(avg_n), "__k")
+             .select("user_id", F.lit(None).cast("boolean").alias("email_enabled"),
+                     F.when(F.col("n") > F.col("__avg"), F.lit(6)).cast("int").alias("digest_frequency_hours"),
+                     F.when(F.col("i") > F.col("d"), F.lit(False)).alias("alert_price_drop"),
+                     F.lit(None).cast("boolean").alias("alert_price_increase")))
     return MT.upsert_settings(m.user_alert_settings, patch, AS_OF).select(
         "user_id", "email_enabled", "digest_frequency_hours", "alert_price_drop", "alert_price_increase")
 

@@ -173,22 +173,25 @@ def h7(m):
 
 
 @query("H10_safe_filename", r"""
-SELECT n_nationkey AS id, trim(regexp_replace(n_name || ' <report>/' || CAST(n_regionkey AS VARCHAR), '[^\p{L}\p{N}._ \-]', '_', 'g'))
-  || '_price_history_20240131.csv' AS filename FROM nation""")
+SELECT p_partkey AS id, trim(regexp_replace(p_name || ' <' || p_brand || '>/' || p_type, '[^\p{L}\p{N}._ \-]', '_', 'g'))
+  || '_price_history_20240131.csv' AS filename FROM part""")
 def h10(m):
-    """Export file names from product names."""
-    n = m.raw("nation")
-    name = F.concat(F.col("n_name"), F.lit(" <report>/"), F.col("n_regionkey").cast("string"))
-    return n.select(F.col("n_nationkey").alias("id"),
+    """Export file names from (part) product names."""
+    n = m.raw("part")
+    name = F.concat(F.col("p_name"), F.lit(" <"), F.col("p_brand"), F.lit(">/"), F.col("p_type"))
+    return n.select(F.col("p_partkey").alias("id"),
                     U.export_filename(name, F.lit("2024-01-31").cast("date")).alias("filename"))
 
 
 @query("H12_user_name", """
-SELECT user_id, CASE WHEN contains(email, '@') THEN split_part(email, '@', 1) ELSE 'User' END AS name FROM users""",
-       ("users",))
+SELECT doc_id, pos, CASE WHEN contains(e, '@') THEN split_part(e, '@', 1) ELSE 'User' END AS name FROM (
+  SELECT doc_id, generate_subscripts(regexp_extract_all(text, '[^\\s<>]*@[^\\s<>]*'), 1) - 1 AS pos,
+         unnest(regexp_extract_all(text, '[^\\s<>]*@[^\\s<>]*')) AS e FROM documents) t""")
 def h12(m):
-    """Greeting name from the e-mail."""
-    return m.users.select("user_id", TX.user_name(F.col("email")).alias("name"))
+    """Greeting name for every address-like token of the documents."""
+    d = m.raw("documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\s<>]*@[^\s<>]*"), 0))
+                                  .alias("pos", "e"))
+    return d.select("doc_id", "pos", TX.user_name(F.col("e")).alias("name"))
 
 
 @query("H13_format_money", """
@@ -228,13 +231,15 @@ def i5(m):
 
 
 @query("I6_due_check", """
-SELECT user_id, last_digest_sent_at IS NULL OR date_diff('second', last_digest_sent_at, TIMESTAMP '2024-01-31 00:00:00')
-  >= digest_frequency_hours * 3600 AS due FROM user_alert_settings""", ("user_alert_settings",))
+SELECT h.id, h.digest_sent_at IS NULL OR date_diff('second', h.digest_sent_at, TIMESTAMP '2024-01-20 00:00:00')
+  >= coalesce(s.digest_frequency_hours, 24) * 3600 AS due
+FROM alert_history h LEFT JOIN user_alert_settings s ON s.user_id = h.user_id""", ("alert_history", "user_alert_settings"))
 def i6(m):
-    """Digest due per settings row."""
-    s = m.user_alert_settings
-    return s.select("user_id", TF.digest_due(F.col("last_digest_sent_at"), F.col("digest_frequency_hours"),
-                                             F.lit(AS_OF).cast("timestamp_ntz")).alias("due"))
+    """Would a digest be due on 2024-01-20 counting from each past digest
+    (its user's frequency, 24 h without settings)."""
+    h = m.alert_history.join(m.user_alert_settings.select("user_id", "digest_frequency_hours"), "user_id", "left")
+    return h.select("id", TF.digest_due(F.col("digest_sent_at"), F.coalesce("digest_frequency_hours", F.lit(24)),
+                                        F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")).alias("due"))
 
 
 @query("I9_fmt_pct", """

@@ -10,11 +10,12 @@ _PCT_DEN = "CAST(round(p.old_price * 100) AS BIGINT)"
 MODEL_CTES = {
     "users": """SELECT CAST(r_regionkey AS BIGINT) AS user_id,
         replace(lower(r_name), ' ', '_') || '@example.com' AS email FROM region""",
-    "products": """SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_regionkey AS BIGINT) AS user_id,
-        n_name AS product_name, n_nationkey % 5 <> 0 AS is_active,
-        TIMESTAMP '2023-12-01 00:00:00' + n_nationkey * INTERVAL 1 HOUR AS created_at,
-        TIMESTAMP '2023-12-01 00:00:00' + n_nationkey * INTERVAL 1 HOUR AS updated_at FROM nation""",
-    "competitors": """SELECT CAST(c_custkey AS BIGINT) AS id, CAST(c_nationkey AS BIGINT) AS product_id,
+    "products": """SELECT CAST(s_suppkey AS BIGINT) AS id, CAST(s_nationkey % 5 AS BIGINT) AS user_id,
+        s_name AS product_name, s_suppkey % 5 <> 0 AS is_active,
+        TIMESTAMP '2023-12-01 00:00:00' + (s_suppkey % 720) * INTERVAL 1 HOUR AS created_at,
+        TIMESTAMP '2023-12-01 00:00:00' + (s_suppkey % 720) * INTERVAL 1 HOUR AS updated_at FROM supplier""",
+    "competitors": """SELECT CAST(c_custkey AS BIGINT) AS id,
+        CAST(c_custkey % (SELECT count(*) FROM supplier) AS BIGINT) AS product_id,
         'https://www.' || lower(c_mktsegment) || '.example.com/p/' || CAST(c_custkey AS VARCHAR) AS url,
         CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS retailer_name,
         CAST(5 * (1 + c_custkey % 4) AS DECIMAL(5,2)) AS alert_threshold_percent,
@@ -74,7 +75,7 @@ MODEL_CTES = {
     "insights": """SELECT p.id * 10 + k.k AS id, p.id AS product_id,
         k.t || ' insight for ' || p.product_name AS insight_text, k.t AS insight_type,
         CAST(k.c AS DECIMAL(3,2)) AS confidence_score,
-        TIMESTAMP '2024-01-31 00:00:00' - p.id * INTERVAL 1 HOUR AS generated_at
+        TIMESTAMP '2024-01-31 00:00:00' - (p.id % 48) * INTERVAL 1 HOUR AS generated_at
         FROM products p, (SELECT unnest([0, 1, 2]) AS k, unnest(['pattern', 'alert', 'recommendation']) AS t,
                                  unnest([0.50, 0.75, 1.00]) AS c) k""",
     "catalog": """SELECT p_partkey AS pid, p_name AS name, p_retailprice AS price, p_type AS product_type,

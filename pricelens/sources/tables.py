@@ -53,20 +53,26 @@ class ModelTables:
 
     @cached_property
     def products(self) -> DataFrame:
-        n = self.raw("nation")
-        created = _ntz("2023-12-01 00:00:00") + F.make_dt_interval(F.lit(0), F.col("n_nationkey"))
-        return n.select(F.col("n_nationkey").cast("bigint").alias("id"),
-                        F.col("n_regionkey").cast("bigint").alias("user_id"),
-                        F.col("n_name").alias("product_name"),
-                        (F.col("n_nationkey") % 5 != 0).alias("is_active"),
-                        created.alias("created_at"), created.alias("updated_at"))
+        """One tracked product (group) per supplier: grows with the scale factor."""
+        sp = self.raw("supplier")
+        created = _ntz("2023-12-01 00:00:00") + F.make_dt_interval(F.lit(0), F.col("s_suppkey") % 720)
+        return sp.select(F.col("s_suppkey").cast("bigint").alias("id"),
+                         (F.col("s_nationkey") % 5).cast("bigint").alias("user_id"),
+                         F.col("s_name").alias("product_name"),
+                         (F.col("s_suppkey") % 5 != 0).alias("is_active"),
+                         created.alias("created_at"), created.alias("updated_at"))
 
     @cached_property
     def competitors(self) -> DataFrame:
+        """Customers as tracked URLs, spread over the products round-robin
+        (product = custkey modulo the number of products)."""
         c = self.raw("customer")
+        # one-row aggregate attached on a constant key (size-proven broadcast)
+        n = self.raw("supplier").agg(F.count(F.lit(1)).alias("__n")).withColumn("__k", F.lit(1))
+        c = c.withColumn("__k", F.lit(1)).join(F.broadcast(n), "__k")
         return c.select(
             F.col("c_custkey").cast("bigint").alias("id"),
-            F.col("c_nationkey").cast("bigint").alias("product_id"),
+            (F.col("c_custkey") % F.col("__n")).cast("bigint").alias("product_id"),
             F.concat(F.lit("https://www."), F.lower("c_mktsegment"), F.lit(".example.com/p/"),
                      F.col("c_custkey").cast("string")).alias("url"),
             F.when(F.col("c_custkey") % 3 == 0, F.lit(None).cast("string")).otherwise(F.col("c_name")).alias("retailer_name"),
@@ -139,7 +145,7 @@ class ModelTables:
             (F.col("id") * 10 + F.col("x.k")).alias("id"), F.col("id").alias("product_id"),
             F.concat(F.col("x.t"), F.lit(" insight for "), F.col("product_name")).alias("insight_text"),
             F.col("x.t").alias("insight_type"), F.col("x.c").alias("confidence_score"),
-            (_ntz(AS_OF) - F.make_dt_interval(F.lit(0), F.col("id"))).alias("generated_at"))
+            (_ntz(AS_OF) - F.make_dt_interval(F.lit(0), F.col("id") % 48)).alias("generated_at"))
 
     @cached_property
     def catalog(self) -> DataFrame:
