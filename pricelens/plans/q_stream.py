@@ -93,3 +93,22 @@ def l3_li(m):
     competitor, unit price = price, ship date = observation time)."""
     b = m.bench_history.withColumn("scrape_status", F.lit("success"))
     return _ntz(S.daily_price_window(b), "window_start")
+
+
+@query("L4_digest_window_stream", """
+SELECT a.user_id, coalesce(s.digest_frequency_hours, 24) AS freq,
+  time_bucket(to_hours(coalesce(s.digest_frequency_hours, 24)), a.detected_at, TIMESTAMP '1970-01-01') AS window_start,
+  count(*) AS alerts, count_if(a.alert_type = 'price_drop') AS drops
+FROM pending_alerts a LEFT JOIN user_alert_settings s ON s.user_id = a.user_id GROUP BY 1, 2, 3""",
+       ("pending_alerts", "user_alert_settings"))
+def l4s(m):
+    """L4 as a stream: the alert table lands as files (the alert sink's
+    output), a file stream feeds the three digest-window aggregations
+    (watermark 1 day); drained in complete mode."""
+    import os
+    from ..config import ensure_checkpoint_dir
+    path = os.path.join(ensure_checkpoint_dir(m.spark), "scratch", f"alerts-{uuid.uuid4().hex[:8]}")
+    m.pending_alerts.write.parquet(path)
+    st = m.spark.readStream.schema(m.spark.read.parquet(path).schema).parquet(path)
+    dw = S.digest_window(st, m.user_alert_settings, delay="1 day")
+    return _ntz(S.run_to_table(dw, f"l4_{uuid.uuid4().hex[:8]}", mode="complete"), "window_start")
