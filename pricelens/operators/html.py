@@ -290,7 +290,9 @@ def page_price(pages: DataFrame, elements: DataFrame | None = None) -> DataFrame
     plat = pages.select("page_id", platform_of_html(F.col("html")).alias("platform"))
     m = match_selectors(els, sel).join(plat, "page_id")
     m = m.filter((F.col("grp") == "generic") | (F.col("grp") == F.col("platform")))
-    is_meta = F.col("tag") == "meta"
+    # only the "meta[...]" selectors read the content attribute; any other
+    # selector uses the element text (empty for a meta element)
+    is_meta = F.col("selector").startswith("meta[")
     raw = F.when(is_meta, F.try_element_at("attrs", F.lit("content"))).otherwise(F.col("text"))
     pp = parse_price(raw)
     c = (m.filter(~is_meta | (F.coalesce(raw, F.lit("")) != ""))

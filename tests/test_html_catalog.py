@@ -15,6 +15,8 @@ PAGES = [
     (2, "https://g.example.com/p/2",
      '<html><head><meta property="product:price:amount" content="19.99"></head><body><p>none</p></body></html>'),
     (3, "https://g.example.com/p/3", "<html><body><p>no price here</p></body></html>"),
+    (5, "https://g.example.com/p/5",
+     '<html><head><meta itemprop="price" content="7.00"></head><body><span class="amount">$8.00</span></body></html>'),
     (4, "https://w.example.com/p/4",
      '<html><body class="woocommerce"><p class="price"><del><span class="amount">£20</span></del>'
      '<ins><span class="amount">£15</span></ins></p></body></html>'),
@@ -39,7 +41,8 @@ def test_page_price_cascade(spark):
     assert got[1] == (Decimal("12.5000"), "USD")     # platform selectors first, zero skipped
     assert got[2] == (Decimal("19.9900"), "USD")     # meta content
     assert got[3] == (None, "USD")
-    assert got[4] == (Decimal("15.0000"), "GBP")     # '.price ins .amount' before '.price .amount'
+    assert got[4] == (Decimal("15.0000"), "GBP")
+    assert got[5] == (Decimal("8.0000"), "USD")      # [itemprop='price'] on a meta reads its (empty) text     # '.price ins .amount' before '.price .amount'
 
 
 def test_scrape_result(spark):
