@@ -84,11 +84,9 @@ SELECT id, total FROM (SELECT id, row_number() OVER (ORDER BY created_at DESC, i
 def d14(m):
     """First page (25) of the competitor list with the exact total; the
     total is a separate aggregate, the page a top-k (no global window)."""
-    total = m.competitors.agg(F.count(F.lit(1)).alias("total"))
+    total = m.competitors.agg(F.count(F.lit(1))).scalar()       # scalar subquery, no join
     page = m.competitors.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(25).select("id")
-    # the total is a global aggregate (exactly one row, so broadcasting it is
-    # size-proven); attach it with an equi-join on a constant key
-    return page.withColumn("__k", F.lit(1)).join(F.broadcast(total.withColumn("__k", F.lit(1))), "__k").drop("__k")
+    return page.withColumn("total", total)
 
 
 @query("D15_distinct_urls", f"WITH {_EXP} SELECT DISTINCT product_url FROM allrows WHERE ordinal % 3 = 0", ("catalog",))

@@ -67,12 +67,11 @@ class ModelTables:
         """Customers as tracked URLs, spread over the products round-robin
         (product = custkey modulo the number of products)."""
         c = self.raw("customer")
-        # one-row aggregate attached on a constant key (size-proven broadcast)
-        n = self.raw("supplier").agg(F.count(F.lit(1)).alias("__n")).withColumn("__k", F.lit(1))
-        c = c.withColumn("__k", F.lit(1)).join(F.broadcast(n), "__k")
+        # the number of products as a scalar subquery (no join)
+        n = self.raw("supplier").agg(F.count(F.lit(1))).scalar()
         return c.select(
             F.col("c_custkey").cast("bigint").alias("id"),
-            (F.col("c_custkey") % F.col("__n")).cast("bigint").alias("product_id"),
+            (F.col("c_custkey") % n).cast("bigint").alias("product_id"),
             F.concat(F.lit("https://www."), F.lower("c_mktsegment"), F.lit(".example.com/p/"),
                      F.col("c_custkey").cast("string")).alias("url"),
             F.when(F.col("c_custkey") % 3 == 0, F.lit(None).cast("string")).otherwise(F.col("c_name")).alias("retailer_name"),
