@@ -4,9 +4,10 @@ A plain ``lag(...).over(partitionBy(key).orderBy(t))`` sends every row of a
 key to one task.  When one competitor holds a large share of the history that
 task becomes the straggler.  ``lag_within_buckets`` partitions the window by
 ``(key, time bucket)`` instead and repairs the first row of every bucket with
-the last row of the nearest earlier non-empty bucket, which is found on a
-per-(key, bucket) summary (one row per bucket, so small even for hot keys).
-The result is identical to the plain window.
+the last row of the nearest earlier non-empty bucket.  Those last rows are
+flagged by the same window (``lead`` is null), giving a summary of one row
+per (key, bucket) - small even for hot keys - that reuses the one exchange of
+the input.  The result is identical to the plain window.
 """
 
 from __future__ import annotations
@@ -34,13 +35,13 @@ def lag_within_buckets(df: DataFrame, key: str, order: list[str], values: list[s
     w = Window.partitionBy(key, b).orderBy(*order)
     for v in values:
         d = d.withColumn(prefix + v, F.lag(v).over(w))
-    d = d.withColumn("__first_in_bucket", F.row_number().over(w) == 1)
+    d = (d.withColumn("__first_in_bucket", F.row_number().over(w) == 1)
+          .withColumn("__last_in_bucket", F.lead(F.lit(1)).over(w).isNull()))
 
-    # one row per (key, bucket): the bucket's last row.  It is aggregated from
-    # the windowed rows, which are already hash-partitioned by (key, bucket),
-    # so the history is scanned once and the aggregate needs no new exchange.
-    order_struct = F.struct(*[F.col(c) for c in order])
-    last = d.groupBy(key, b).agg(F.max_by(F.struct(*[F.col(v) for v in values]), order_struct).alias("__last"))
+    # one row per (key, bucket): the bucket's last row, flagged by the same
+    # window - no second scan and no sort-based aggregate; both branches
+    # share the (key, bucket) exchange of the history
+    last = d.filter(F.col("__last_in_bucket")).select(key, b, F.struct(*[F.col(v) for v in values]).alias("__last"))
     # carry the previous bucket's last row forward: one row per bucket, so the
     # per-key window here is over bucket count, not row count
     wb = Window.partitionBy(key).orderBy(b)
@@ -50,4 +51,4 @@ def lag_within_buckets(df: DataFrame, key: str, order: list[str], values: list[s
         out = out.withColumn(
             prefix + v,
             F.when(F.col("__first_in_bucket"), F.col("__carry").getField(v)).otherwise(F.col(prefix + v)))
-    return out.drop(b, "__first_in_bucket", "__carry")
+    return out.drop(b, "__first_in_bucket", "__last_in_bucket", "__carry")
