@@ -99,21 +99,31 @@ def retailer_or_domain(retailer_name: Column, url: Column, variant: str = "strip
     return F.coalesce(F.when(retailer_name != "", retailer_name), domain_of(url, variant))
 
 
+def _fold_dots(path: Column, passes: int = 4) -> Column:
+    """Remove './' segments and fold up to ``passes`` levels of 'seg/../'."""
+    p = F.regexp_replace(path, r"/(\./)+", "/")
+    for _ in range(passes):
+        p = F.regexp_replace(p, r"/[^/?#]+/\.\.(/|$)", "/")
+    return F.regexp_replace(p, r"^/(\.\./)+", "/")
+
+
 def url_join(base: Column, href: Column) -> Column:
-    """H6: resolve a link against the page URL (absolute, scheme-relative,
-    root-relative, query, fragment and path-relative forms; no '..' folding)."""
+    """H6: resolve a link against the page URL like ``urljoin``: absolute,
+    scheme-relative, root-relative, query-only, fragment-only and
+    path-relative references ('.' and up to four '..' levels folded)."""
     b_scheme = F.regexp_extract(base, _SCHEME_RE, 1)
     b_origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
-    b_path = F.regexp_extract(base, r"^([^?#]*)", 1)
+    b_nofrag = F.regexp_extract(base, r"^([^#]*)", 1)
+    b_path = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
     b_dir = F.regexp_replace(b_path, r"[^/]*$", "")
-    b_dir = F.when(b_dir == F.concat(b_origin, F.lit("")), F.concat(b_origin, F.lit("/"))).otherwise(b_dir)
+    b_dir = F.when(b_dir == "", F.lit("/")).otherwise(b_dir)
     return (F.when(href.isNull() | (href == ""), base)
             .when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), href)
             .when(href.startswith("//"), F.concat(b_scheme, F.lit(":"), href))
-            .when(href.startswith("/"), F.concat(b_origin, href))
-            .when(href.startswith("?"), F.concat(b_path, href))
-            .when(href.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), href))
-            .otherwise(F.concat(b_dir, F.regexp_replace(href, r"^\./", ""))))
+            .when(href.startswith("/"), F.concat(b_origin, _fold_dots(href)))
+            .when(href.startswith("?"), F.concat(b_origin, b_path, href))
+            .when(href.startswith("#"), F.concat(b_nofrag, href))
+            .otherwise(F.concat(b_origin, _fold_dots(F.concat(b_dir, href)))))
 
 
 def safe_filename(name: Column) -> Column:

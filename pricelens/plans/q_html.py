@@ -20,15 +20,16 @@ def a6(m):
 WITH h AS (SELECT page_id, url AS base, regexp_extract(html, 'href="([^"]*)"', 1) AS href FROM pages),
 p AS (SELECT *, regexp_extract(base, '^([a-zA-Z][a-zA-Z0-9+.\-]*):', 1) AS sch,
         regexp_extract(base, '^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)', 1) AS origin,
-        regexp_extract(base, '^([^?#]*)', 1) AS path FROM h),
-q AS (SELECT *, CASE WHEN regexp_replace(path, '[^/]*$', '') = origin THEN origin || '/' ELSE regexp_replace(path, '[^/]*$', '') END AS dir FROM p)
+        regexp_extract(base, '^([^#]*)', 1) AS nofrag,
+        regexp_extract(base, '^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)', 1) AS path FROM h),
+q AS (SELECT *, CASE WHEN regexp_replace(path, '[^/]*$', '') = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END AS dir FROM p)
 SELECT page_id, CASE WHEN href IS NULL OR href = '' THEN base
   WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.\-]*:') THEN href
   WHEN starts_with(href, '//') THEN sch || ':' || href
-  WHEN starts_with(href, '/') THEN origin || href
-  WHEN starts_with(href, '?') THEN path || href
-  WHEN starts_with(href, '#') THEN regexp_extract(base, '^([^#]*)', 1) || href
-  ELSE dir || regexp_replace(href, '^\./', '') END AS link FROM q""")
+  WHEN starts_with(href, '/') THEN origin || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(href, '/(\./)+', '/', 'g'), '/[^/?#]+/\.\.(/|$)', '/', 'g'), '/[^/?#]+/\.\.(/|$)', '/', 'g'), '/[^/?#]+/\.\.(/|$)', '/', 'g'), '/[^/?#]+/\.\.(/|$)', '/', 'g'), '^/(\.\./)+', '/', 'g')
+  WHEN starts_with(href, '?') THEN origin || path || href
+  WHEN starts_with(href, '#') THEN nofrag || href
+  ELSE origin || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(dir || href, '/(\./)+', '/', 'g'), '/[^/?#]+/\.\.(/|$)', '/', 'g'), '/[^/?#]+/\.\.(/|$)', '/', 'g'), '/[^/?#]+/\.\.(/|$)', '/', 'g'), '/[^/?#]+/\.\.(/|$)', '/', 'g'), '^/(\.\./)+', '/', 'g') END AS link FROM q""")
 def h6(m):
     """H6: first link of every page resolved against the page URL."""
     p = m.raw("pages")

@@ -150,3 +150,15 @@ def test_insight_validation_scalars(spark):
     assert one(spark, TX.confidence(F.col("x")), "0.834") == Decimal("0.83")
     assert one(spark, TX.insight_type(F.col("x")), "ALERT") == "alert"
     assert one(spark, TX.insight_type(F.col("x")), "trend") == "pattern"
+
+
+def test_url_join(spark):
+    from urllib.parse import urljoin
+    cases = [("https://a.com", "x"), ("https://a.com/p/q", "x"), ("https://a.com/p/", "x"),
+             ("https://a.com/c/?page=2", "x"), ("https://a.com/p?q", "?z"), ("https://a.com/p#f", "#g"),
+             ("https://a.com/p", "//b.com/x"), ("https://a.com/p", "/x"), ("https://a.com/p", "./x"),
+             ("https://a.com/a/b", "../x"), ("https://a.com/a/b/c", "../../x/y"), ("https://a.com/p", "https://z.org/"),
+             ("https://a.com/p", "")]
+    df = spark.createDataFrame(cases, "b string, h string")
+    got = [r[0] for r in df.select(U.url_join(F.col("b"), F.col("h"))).collect()]
+    assert got == [urljoin(b, h) for b, h in cases]
