@@ -179,7 +179,8 @@ def k10(m):
 
 @query("A7_append_prices", """
 SELECT event_id AS id, user_id AS competitor_id,
-  CAST(CASE WHEN event_type = 'error' OR CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 = 0 THEN NULL
+  CAST(CASE WHEN event_type = 'error' OR CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 = 0
+              OR CAST(value AS DECIMAL(10,2)) = 0 THEN NULL
             ELSE CAST(value AS DECIMAL(10,2)) END AS DOUBLE) AS price,
   CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS scrape_status FROM events""")
 def a7(m):
