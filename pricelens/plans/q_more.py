@@ -228,11 +228,13 @@ def l5(m):
                      F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("scrape_status"))
     agg = S.daily_price_window_stream(obs, "1 day")
     name = f"l5_{uuid.uuid4().hex[:8]}"
-    q = (agg.writeStream.format("memory").queryName(name).outputMode("append")
+    out = _scratch(spark, "late_windows")
+    q = (agg.writeStream.format("parquet").option("path", out).outputMode("append")
          .option("checkpointLocation", S.checkpoint_location(spark, name)).trigger(availableNow=True).start())
     q.awaitTermination()
     dropped = S.late_rows_dropped(q)
-    return spark.table(name).agg(F.count(F.lit(1)).alias("windows_emitted")).withColumn("rows_dropped", F.lit(dropped))
+    return (spark.read.parquet(out).agg(F.count(F.lit(1)).alias("windows_emitted"))
+            .withColumn("rows_dropped", F.lit(dropped)))
 
 
 @query("L6_sink_idempotent", f"SELECT {QA._DET_COLS.replace('reason,', '').replace('CAST(threshold_percent AS DOUBLE) AS threshold_percent,', '')} FROM detections",

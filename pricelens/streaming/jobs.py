@@ -163,13 +163,23 @@ def digest_window(alerts: DataFrame, settings: DataFrame, delay: str | None = No
 # --- running, L5, L6 ------------------------------------------------------------------
 
 def run_to_table(stream_df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drain everything available into a memory table and return it."""
+    """Drain everything available (``availableNow``) into parquet under the
+    shared checkpoint folder and return it as a table; nothing goes through
+    the driver.  Append mode uses the exactly-once file sink; complete mode
+    rewrites the folder with each batch's full result (idempotent)."""
     spark = stream_df.sparkSession
-    q = (stream_df.writeStream.format("memory").queryName(name).outputMode(mode)
-         .option("checkpointLocation", checkpoint_location(spark, name))
-         .trigger(availableNow=True).start())
+    out = os.path.join(ensure_checkpoint_dir(spark), "stream_out", f"{name}-{uuid.uuid4().hex[:8]}")
+    w = stream_df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint_location(spark, name))
+    if mode == "append":
+        w = w.format("parquet").option("path", out)
+    else:
+        w = w.foreachBatch(lambda df, _id: df.write.mode("overwrite").parquet(out))
+    q = w.trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    try:
+        return spark.read.parquet(out)
+    except Exception:  # nothing was produced: an empty result with the stream's schema
+        return spark.createDataFrame([], stream_df.schema)
 
 
 def late_rows_dropped(query) -> int:
