@@ -27,8 +27,8 @@ def track_products(items: DataFrame, as_of) -> dict[str, DataFrame]:
     threshold 0..100) are reported in ``rejected``."""
     now = ts_lit(as_of)
     per_req = items.groupBy("request_id").agg(
-        F.count(F.lit(1)).alias("n_items"), F.first("user_id").alias("user_id"),
-        F.first("group_name").alias("group_name"), F.first("threshold").alias("threshold"))
+        F.count(F.lit(1)).alias("n_items"), F.min("user_id").alias("user_id"),
+        F.min("group_name").alias("group_name"), F.min("threshold").alias("threshold"))
     name = F.col("group_name")          # stored as given (escaping applies to updates)
     bad = (F.when((F.col("n_items") < 1) | (F.col("n_items") > C.MAX_TRACK_ITEMS), F.lit("items must be 1..5000"))
            .when((F.char_length(name) < 1) | (F.char_length(name) > 255), F.lit("name must be 1..255 characters"))

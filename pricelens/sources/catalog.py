@@ -243,7 +243,7 @@ def discovery_result(catalog: DataFrame, keyword: str | None = None, limit: int
         raise ValueError("limit must be within 1..5000")
     catalog = fetch_filter_limit(first_match_source(catalog), keyword, limit)
     g = catalog.groupBy("store").agg(
-        F.first("platform").alias("platform"), F.count(F.lit(1)).alias("total_found"),
+        F.min("platform").alias("platform"), F.count(F.lit(1)).alias("total_found"),
         F.array_sort(F.collect_list(F.struct("ordinal", "name", "price", "currency", "product_url"))).alias("products"))
     if errors is not None:
         g = g.join(errors.select("store", F.left(F.col("error"), F.lit(C.ERROR_TEXT_MAX)).alias("error")), "store", "full")
