@@ -213,25 +213,24 @@ def digest_alerts(pending_details: DataFrame, due: DataFrame, cap: int = C.MAX_D
 
 
 def digest_messages(digest_rows: DataFrame) -> DataFrame:
-    """D8 + H14 + H15: per user the counts and the mail subject and body.
-
-    The body is built from at most ``MAX_DIGEST_ALERTS`` lines per user (the
-    mailed ones), so the collected array per group is bounded by a constant."""
-    mailed = digest_rows.filter("mailed")
+    """D8 + H14 + H15: per user the counts and the mail subject and body, in
+    one aggregation: the body collects only the mailed lines (null lines are
+    skipped), so the collected array per user is bounded by
+    ``MAX_DIGEST_ALERTS``."""
     line = TX.digest_line(F.col("line_no"), F.col("product_name"), F.col("competitor_name"),
                           F.col("alert_type"), F.col("price_change_percent"), F.col("old_price"),
                           F.col("new_price"), F.lit(C.DEFAULT_CURRENCY))
-    counts = digest_rows.groupBy("user_id").agg(
+    g = digest_rows.groupBy("user_id").agg(
         F.count_if(F.col("alert_type") == "price_drop").alias("drops"),
         F.count_if(F.col("alert_type") == "price_increase").alias("increases"),
-        F.count(F.lit(1)).alias("alerts_count"))
-    bodies = (mailed.groupBy("user_id")
-              .agg(F.array_sort(F.collect_list(F.struct("line_no", line.alias("line")))).alias("__l"),
-                   F.count(F.lit(1)).alias("alerts_mailed"))
-              .select("user_id", "alerts_mailed",
-                      F.array_join(F.transform("__l", lambda x: x["line"]), "\n\n").alias("body")))
-    return (counts.join(bodies, "user_id", "left")
-            .withColumn("subject", TX.digest_subject(F.col("drops"), F.col("increases"))))
+        F.count(F.lit(1)).alias("alerts_count"),
+        F.count_if("mailed").alias("alerts_mailed"),
+        F.array_sort(F.collect_list(F.when(F.col("mailed"), F.struct("line_no", line.alias("line"))))).alias("__l"))
+    return (g.withColumn("body", F.when(F.col("alerts_mailed") > 0,
+                                        F.array_join(F.transform("__l", lambda x: x["line"]), "\n\n")))
+            .withColumn("alerts_mailed", F.when(F.col("alerts_mailed") > 0, F.col("alerts_mailed")))
+            .withColumn("subject", TX.digest_subject(F.col("drops"), F.col("increases")))
+            .drop("__l"))
 
 
 def finish_digest(pending: DataFrame, settings: DataFrame, delivery: DataFrame, digest_rows: DataFrame,
