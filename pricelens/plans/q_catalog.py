@@ -145,7 +145,7 @@ def d16(m):
 
 
 @query("C11_select_join", f"""WITH {_EXP},
-sel AS (SELECT DISTINCT product_url FROM allrows WHERE ordinal % 3 = 0
+sel AS (SELECT DISTINCT product_url FROM allrows WHERE in_stock
         UNION SELECT 'https://gone.example.com/p/' || CAST(pid AS VARCHAR) FROM b WHERE pid % 97 = 0),
 firsts AS (SELECT product_url, name, price, currency FROM (
              SELECT *, row_number() OVER (PARTITION BY product_url ORDER BY store, source_rank, ordinal) AS rn FROM allrows) t
@@ -153,9 +153,10 @@ firsts AS (SELECT product_url, name, price, currency FROM (
 SELECT s.product_url, f.name, f.price, coalesce(f.currency, 'USD') AS currency FROM sel s LEFT JOIN firsts f USING (product_url)""",
        ("catalog",))
 def c11(m):
-    """C11 + D15: selected URLs (a set) joined to their first discovered row."""
+    """C11 + D15: selected URLs (a set: every in-stock discovered product plus
+    URLs no longer in any catalog) joined to their first discovered row."""
     cat = _norm(m)
-    chosen = cat.filter(F.col("ordinal") % 3 == 0).select("product_url")
+    chosen = cat.filter(F.col("in_stock")).select("product_url")
     gone = m.catalog.filter(F.col("pid") % 97 == 0).select(
         F.concat(F.lit("https://gone.example.com/p/"), F.col("pid").cast("string")).alias("product_url"))
     return CT.select_join(chosen.unionByName(gone), cat)

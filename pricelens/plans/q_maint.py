@@ -14,7 +14,7 @@ from .registry import AS_OF, query
 def _track_items(m):
     best = CT.first_match_source(CT.normalise(landed_catalog(m.catalog)))
     s = F.regexp_extract("store", r"store(\d+)", 1).cast("bigint")
-    return (best.filter(F.col("ordinal") % 2 == 0)
+    return (best.filter(F.col("in_stock"))
             .select(s.alias("request_id"), (s % 5).alias("user_id"),
                     F.concat(F.lit("Group "), s.cast("string"), F.lit(" <main>")).alias("group_name"),
                     F.when(s == 4, F.lit(150)).otherwise(F.lit(5) * (s % 3)).alias("threshold"),
@@ -22,18 +22,19 @@ def _track_items(m):
 
 
 @query("K1_track_products", f"""WITH {_EXP},
-it AS (SELECT CAST(regexp_extract(store, 'store(\\d+)', 1) AS BIGINT) AS request_id, price FROM best WHERE ordinal % 2 = 0)
+it AS (SELECT CAST(regexp_extract(store, 'store(\\d+)', 1) AS BIGINT) AS request_id, price FROM best WHERE in_stock)
 SELECT request_id, count(*) AS products_added, count(price) AS prices_stored FROM it WHERE request_id <> 4 GROUP BY 1""",
        ("catalog",))
 def k1(m):
-    """K1: tracking requests (one per store) -> product, competitors and
-    initial prices; a request with threshold 150 is rejected."""
+    """K1: tracking requests (one per store, the in-stock discovered products
+    selected) -> product, competitors and initial prices; a request with
+    threshold 150 is rejected."""
     return MT.track_products(_track_items(m), AS_OF)["summary"]
 
 
 @query("K1_track_competitors", f"""WITH {_EXP},
 it AS (SELECT CAST(regexp_extract(store, 'store(\\d+)', 1) AS BIGINT) AS request_id, ordinal, product_url FROM best
-       WHERE ordinal % 2 = 0)
+       WHERE in_stock)
 SELECT request_id * 4294967296 + ordinal AS id, request_id AS product_id,
        regexp_replace(lower(regexp_extract(product_url, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://([^/?#]*)', 1)), '^www\\.', '') AS retailer_name,
        CAST(5 * (request_id % 3) AS DOUBLE) AS alert_threshold_percent
@@ -70,10 +71,19 @@ def k2(m):
 
 
 @query("K3_soft_delete", """
-SELECT id, CASE WHEN id % 7 = 0 THEN false ELSE is_active END AS is_active FROM products""", ("products",))
+WITH fresh AS (SELECT DISTINCT c.product_id FROM price_history p JOIN competitors c ON c.id = p.competitor_id
+               WHERE p.scrape_status = 'success' AND p.price IS NOT NULL
+                 AND p.scraped_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY)
+SELECT id, CASE WHEN id NOT IN (SELECT product_id FROM fresh) THEN false ELSE is_active END AS is_active FROM products""",
+       ("products", "competitors", "price_history"))
 def k3(m):
-    """K3: soft delete of products with id % 7 = 0."""
-    return MT.soft_delete(m.products, m.products.filter(F.col("id") % 7 == 0).select("id")).select("id", "is_active")
+    """K3: soft delete of stale products (no successful price in 7 days)."""
+    from ..operators.history import last_n_days, success_price
+    fresh = (success_price(last_n_days(m.price_history, AS_OF, 7))
+             .join(m.competitors.select(F.col("id").alias("competitor_id"), "product_id"), "competitor_id")
+             .select(F.col("product_id").alias("id")))
+    stale = m.products.select("id").join(fresh, "id", "left_anti")
+    return MT.soft_delete(m.products, stale).select("id", "is_active")
 
 
 @query("K4_delete_account", """
@@ -100,13 +110,21 @@ def k4(m):
 
 
 @query("K7_accept_currency", """
-SELECT a.id, a.included_in_digest OR (a.competitor_id % 10 = 0 AND a.alert_type = 'currency_changed') AS included_in_digest,
-       CASE WHEN a.competitor_id % 10 = 0 THEN 'EUR' ELSE c.expected_currency END AS expected_currency
-FROM pending_alerts a JOIN competitors c ON c.id = a.competitor_id""", ("pending_alerts", "competitors"))
+WITH latest AS (SELECT competitor_id, arg_max(currency, (scraped_at, id)) AS cur FROM price_history
+                WHERE scrape_status = 'success' GROUP BY 1),
+acc AS (SELECT l.competitor_id, l.cur FROM latest l JOIN competitors c ON c.id = l.competitor_id
+        WHERE l.cur <> c.expected_currency)
+SELECT a.id, a.included_in_digest OR (acc.competitor_id IS NOT NULL AND a.alert_type = 'currency_changed') AS included_in_digest,
+       coalesce(acc.cur, c.expected_currency) AS expected_currency
+FROM pending_alerts a JOIN competitors c ON c.id = a.competitor_id LEFT JOIN acc ON acc.competitor_id = a.competitor_id""",
+       ("pending_alerts", "competitors", "price_history"))
 def k7(m):
-    """K7: competitors with id % 10 = 0 accept EUR; their currency alerts are
-    dismissed."""
-    acc = m.competitors.filter(F.col("id") % 10 == 0).select(F.col("id").alias("competitor_id"), F.lit("EUR").alias("currency"))
+    """K7: competitors whose latest successful observation is in another
+    currency than expected accept it; their currency alerts are dismissed."""
+    latest = (m.price_history.filter(F.col("scrape_status") == "success").groupBy("competitor_id")
+              .agg(F.max_by("currency", F.struct("scraped_at", "id")).alias("currency")))
+    acc = (latest.join(m.competitors.select(F.col("id").alias("competitor_id"), "expected_currency"), "competitor_id")
+           .filter(F.col("currency") != F.col("expected_currency")).select("competitor_id", "currency"))
     comps, pend = MT.accept_currency(m.competitors, m.pending_alerts, acc)
     return (pend.join(comps.select(F.col("id").alias("competitor_id"), "expected_currency"), "competitor_id")
             .select("id", "included_in_digest", "expected_currency"))

@@ -67,7 +67,7 @@ def b13(m):
 
 @query("C10_track_zip", f"""WITH {_EXP},
 it AS (SELECT CAST(regexp_extract(store, 'store(\\d+)', 1) AS BIGINT) AS request_id, ordinal, price, currency FROM best
-       WHERE ordinal % 2 = 0)
+       WHERE in_stock)
 SELECT request_id * 4294967296 + ordinal AS competitor_id, CAST(CAST(price AS DECIMAL(10,2)) AS DOUBLE) AS price, currency
 FROM it WHERE request_id <> 4 AND price IS NOT NULL""", ("catalog",))
 def c10(m):
@@ -89,11 +89,11 @@ def d14(m):
     return page.withColumn("total", total)
 
 
-@query("D15_distinct_urls", f"WITH {_EXP} SELECT DISTINCT product_url FROM allrows WHERE ordinal % 3 = 0", ("catalog",))
+@query("D15_distinct_urls", f"WITH {_EXP} SELECT DISTINCT product_url FROM allrows WHERE in_stock", ("catalog",))
 def d15(m):
-    """The set of selected URLs."""
+    """The set of selected URLs (the in-stock rows of every source)."""
     cat = CT.normalise(landed_catalog(m.catalog))
-    return CT.distinct_urls(cat.filter(F.col("ordinal") % 3 == 0))
+    return CT.distinct_urls(cat.filter(F.col("in_stock")))
 
 
 @query("E8_top5_insights", """
