@@ -97,15 +97,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster the setting names shared storage and is used as is.  Only when
     it is unset (local tests) a fresh scratch folder is created.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        try:
+            path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        except Exception:  # no SparkContext on this session type
+            path = None
     if not path:
         path = tempfile.mkdtemp(prefix="pricelens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         try:
             spark.conf.set("spark.checkpoint.dir", path)
         except Exception:  # static conf on some deployments; setCheckpointDir suffices
             pass
-    spark.sparkContext.setCheckpointDir(path)
+    try:
+        spark.sparkContext.setCheckpointDir(path)
+    except Exception:  # no SparkContext on this session type; tables and streams still use `path`
+        pass
     return path
 
 

@@ -187,9 +187,12 @@ def html_elements(pages: DataFrame) -> DataFrame:
     p = pages.select(F.col("page_id").cast("bigint"), "html")
     # parsing is CPU-bound Python: make sure every core gets pages even when
     # the scan yields few partitions (few large files / row groups)
-    par = p.sparkSession.sparkContext.defaultParallelism
-    if p.rdd.getNumPartitions() < par:
-        p = p.repartition(par)
+    try:
+        par = p.sparkSession.sparkContext.defaultParallelism
+        if p.rdd.getNumPartitions() < par:
+            p = p.repartition(par)
+    except Exception:  # no RDD API (e.g. a Connect session): keep the scan's partitioning
+        pass
     return p.mapInArrow(_explode_pages, ELEMENT_SCHEMA)
 
 
