@@ -98,3 +98,21 @@ def test_competitor_stats_keeps_empty_competitors(model):
     total = model.competitors.count()
     assert s.count() == total
     assert s.filter("data_points = 0").count() > 0
+
+
+def test_price_csv_export(spark, model, tmp_path):
+    import csv
+    import glob
+    from pricelens.operators import maintenance as MT
+    rows = MT.price_csv_rows(model.price_history, model.competitors)
+    out = str(tmp_path / "csv")
+    MT.write_price_csv(rows, out)
+    files = [f for f in glob.glob(out + "/product_id=*/*.csv") if "part-" in f]
+    assert files
+    with open(files[0], newline="") as fh:
+        data = list(csv.reader(fh))
+    assert data[0] == ["Date", "Time", "Competitor", "Price", "Currency", "Status", "Error"]
+    stamps = [r[0] + " " + r[1] for r in data[1:]]
+    assert stamps == sorted(stamps, reverse=True)            # newest first
+    failed = [r for r in data[1:] if r[5] == "failed"]
+    assert all(r[3] == "" and r[6] == "timeout" for r in failed)  # missing price -> empty cell
