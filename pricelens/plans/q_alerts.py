@@ -192,7 +192,7 @@ def _d8_sql():
                 "CASE WHEN drops > 0 THEN CAST(drops AS VARCHAR) || ' price drop' || CASE WHEN drops > 1 THEN 's' ELSE '' END END, "
                 "CASE WHEN increases > 0 THEN CAST(increases AS VARCHAR) || ' price increase' || CASE WHEN increases > 1 THEN 's' ELSE '' END END)")
     return f"""WITH {_DIGEST_SQL},
-c AS (SELECT user_id, count_if(alert_type = 'price_drop') AS drops, count_if(alert_type = 'price_increase') AS increases,
+c AS (SELECT user_id, CAST(count_if(alert_type = 'price_drop') AS BIGINT) AS drops, CAST(count_if(alert_type = 'price_increase') AS BIGINT) AS increases,
              count(*) AS alerts_count FROM dig GROUP BY user_id),
 b AS (SELECT user_id, count(*) AS alerts_mailed, string_agg({line}, chr(10) || chr(10) ORDER BY line_no) AS body
       FROM dig WHERE mailed GROUP BY user_id)
@@ -206,7 +206,7 @@ _OR["D8_digest_counts"] = _wm(_d8_sql(), "pending_alerts", "user_alert_settings"
 
 
 @query("K11_finish_digest", f"""WITH {_DIGEST_SQL}
-SELECT user_id, CAST(count(*) AS INTEGER) AS alerts_count, count_if(mailed) AS alerts_mailed,
+SELECT user_id, CAST(count(*) AS BIGINT) AS alerts_count, CAST(count_if(mailed) AS BIGINT) AS alerts_mailed,
        CASE WHEN user_id % 2 = 0 THEN 'sent' ELSE 'failed' END AS email_status,
        CASE WHEN user_id % 2 = 0 THEN NULL ELSE 'smtp unavailable' END AS error_message
 FROM dig GROUP BY user_id""", ("pending_alerts", "user_alert_settings", "users", "products", "competitors"))
@@ -234,7 +234,7 @@ def k5(m):
 
 
 @query("D12_digest_batch_totals", """
-SELECT count(*) AS total, count_if(email_status = 'sent') AS sent, count_if(email_status = 'failed') AS failed
+SELECT count(*) AS total, CAST(count_if(email_status = 'sent') AS BIGINT) AS sent, CAST(count_if(email_status = 'failed') AS BIGINT) AS failed
 FROM alert_history""", ("alert_history",))
 def d12(m):
     """Total / sent / failed over digest history rows."""

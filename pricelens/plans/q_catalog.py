@@ -18,19 +18,19 @@ b AS (SELECT pid, name, price AS p, product_type, sku, in_stock, tags, pid % 6 A
         replace(name, ' ', '-') || '-' || CAST(pid AS VARCHAR) AS handle,
         (pid // 6) // 50 * 100000 + row_number() OVER (PARTITION BY pid % 6, (pid // 6) // 50 ORDER BY pid // 6) - 1 AS ordinal
       FROM catalog),
-a2 AS (SELECT store, 1 AS source_rank, ordinal,
+a2 AS (SELECT store, CAST(1 AS BIGINT) AS source_rank, ordinal,
         name, CASE WHEN pid % 17 = 0 THEN NULL ELSE CAST(CAST(p AS DECIMAL(10,2)) AS DOUBLE) END AS price, 'USD' AS currency,
         CASE WHEN pid % 3 = 0 THEN NULL ELSE 'https://cdn.example.com/' || CAST(pid AS VARCHAR) || '.jpg' END AS image_url,
         store || '/products/' || handle AS product_url, CASE WHEN pid % 17 = 0 THEN false ELSE in_stock END AS in_stock,
         list_filter(list_transform(tags, lambda x: trim(x)), lambda x: x <> '') AS tags, product_type, name AS description
       FROM b WHERE s IN (0, 1, 2) AND (pid % 13 <> 0 OR pid % 17 = 0)),
-a3 AS (SELECT store, 2 AS source_rank, ordinal,
+a3 AS (SELECT store, CAST(2 AS BIGINT) AS source_rank, ordinal,
         name, CAST(CAST(p AS DECIMAL(10,2)) AS DOUBLE) AS price, CASE WHEN pid % 5 = 0 THEN 'CAD' ELSE 'USD' END AS currency,
         'https://cdn.example.com/' || CAST(pid AS VARCHAR) || '.png' AS image_url,
         store || '/products/' || handle AS product_url, in_stock, tags,
         product_type, name AS description
       FROM b WHERE s IN (1, 3) AND page % 5 <> 4),
-a4 AS (SELECT store, 3 AS source_rank, ordinal,
+a4 AS (SELECT store, CAST(3 AS BIGINT) AS source_rank, ordinal,
         name, CASE WHEN pid % 11 = 0 THEN CAST(round(p) AS DOUBLE) ELSE CAST(CAST(CAST(round(p * 100) AS BIGINT) AS DECIMAL(38,0)) / 100 AS DOUBLE) END AS price,
         CASE WHEN pid % 5 = 0 THEN 'EUR' ELSE 'USD' END AS currency,
         'https://img.example.com/' || CAST(pid AS VARCHAR) AS image_url,
@@ -38,7 +38,7 @@ a4 AS (SELECT store, 3 AS source_rank, ordinal,
         CASE WHEN pid % 7 = 1 THEN true ELSE in_stock END AS in_stock, list_filter(tags, lambda x: x <> '') AS tags,
         NULL AS product_type, CASE WHEN pid % 3 = 0 THEN 'short ' || name ELSE name END AS description
       FROM b WHERE s = 4),
-a5 AS (SELECT store, 4 AS source_rank, ordinal,
+a5 AS (SELECT store, CAST(4 AS BIGINT) AS source_rank, ordinal,
         name, CAST(CAST(p AS DECIMAL(10,2)) AS DOUBLE) AS price, 'USD' AS currency,
         'https://img.example.com/' || CAST(pid AS VARCHAR) AS image_url, store || '/product/' || handle AS product_url,
         in_stock, list_filter([tags[1], sku], lambda x: x <> '') AS tags, NULL AS product_type, name AS description

@@ -199,7 +199,7 @@ def b12(m):
 @query("D13_scrape_success_rate", r"""
 SELECT CAST(p.scraped_at AS DATE) AS day,
        regexp_replace(lower(regexp_extract(c.url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)', 1)), '^www\.', '') AS domain,
-       count(*) AS attempts, count_if(p.scrape_status = 'success') AS successes,
+       count(*) AS attempts, CAST(count_if(p.scrape_status = 'success') AS BIGINT) AS successes,
        avg(CASE WHEN p.scrape_status = 'success' THEN 1 ELSE 0 END) AS success_rate
 FROM price_history p JOIN competitors c ON c.id = p.competitor_id GROUP BY 1, 2""", ("price_history", "competitors"))
 def d13(m):
@@ -210,7 +210,7 @@ def d13(m):
 @query("D10_run_progress", """
 WITH t AS (SELECT product_id, count(*) AS total FROM competitors GROUP BY 1),
 r AS (SELECT c.product_id, CAST(p.scraped_at AS DATE) AS run_day, count(DISTINCT p.competitor_id) AS completed,
-             count_if(p.scrape_status = 'failed') AS failed_items
+             CAST(count_if(p.scrape_status = 'failed') AS BIGINT) AS failed_items
       FROM price_history p JOIN competitors c ON c.id = p.competitor_id GROUP BY 1, 2)
 SELECT r.product_id, run_day, completed, failed_items, total,
        CASE WHEN completed >= total THEN 'completed' ELSE 'scraping' END AS status

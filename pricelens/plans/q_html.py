@@ -121,7 +121,7 @@ lp AS (SELECT p_partkey AS pid, p_name AS name, p_retailprice AS p, p_brand AS s
          row_number() OVER (PARTITION BY p_partkey // 8 ORDER BY p_partkey) - 1 AS pos,
          'https://list.example.com/products/' || replace(p_name, ' ', '-') || '-' || CAST(p_partkey AS VARCHAR) AS product_url
        FROM part),
-ld AS (SELECT page_id, 0 AS block, pos, name, CAST(CAST(p AS DECIMAL(10,2)) AS DOUBLE) AS price, 'GBP' AS currency,
+ld AS (SELECT page_id, CAST(0 AS BIGINT) AS block, pos, name, CAST(CAST(p AS DECIMAL(10,2)) AS DOUBLE) AS price, 'GBP' AS currency,
          'https://img.example.com/' || CAST(pid AS VARCHAR) AS image_url, product_url, sku, 'custom' AS platform
        FROM lp WHERE style = 4),
 cards AS (SELECT page_id, name, CAST(CAST(p AS DECIMAL(10,2)) AS DOUBLE) AS price,

@@ -148,14 +148,14 @@ def k8(m):
 
 
 @query("K9_settings_upsert", """
-WITH act AS (SELECT user_id, count_if(alert_type = 'price_drop') AS d, count_if(alert_type = 'price_increase') AS i,
+WITH act AS (SELECT user_id, CAST(count_if(alert_type = 'price_drop') AS BIGINT) AS d, CAST(count_if(alert_type = 'price_increase') AS BIGINT) AS i,
                     count(*) AS n FROM pending_alerts GROUP BY user_id),
 patch AS (SELECT user_id, CAST(NULL AS BOOLEAN) AS email_enabled,
             CASE WHEN n > (SELECT avg(n) FROM act) THEN 6 END AS digest_frequency_hours,
             CASE WHEN i > d THEN false END AS alert_price_drop, CAST(NULL AS BOOLEAN) AS alert_price_increase FROM act)
 SELECT coalesce(s.user_id, p.user_id) AS user_id,
   coalesce(p.email_enabled, s.email_enabled, true) AS email_enabled,
-  coalesce(CAST(p.digest_frequency_hours AS INTEGER), s.digest_frequency_hours, 24) AS digest_frequency_hours,
+  coalesce(CAST(p.digest_frequency_hours AS BIGINT), s.digest_frequency_hours, 24) AS digest_frequency_hours,
   coalesce(p.alert_price_drop, s.alert_price_drop, true) AS alert_price_drop,
   coalesce(p.alert_price_increase, s.alert_price_increase, true) AS alert_price_increase
 FROM user_alert_settings s FULL JOIN patch p ON p.user_id = s.user_id""", ("pending_alerts", "user_alert_settings"))

@@ -28,7 +28,7 @@ def _scratch(spark, name):
 
 
 @query("A9_append_alert_history", f"""WITH {QA._DIGEST_SQL}
-SELECT user_id, TIMESTAMP '2024-01-31 00:00:00' AS digest_sent_at, CAST(count(*) AS INTEGER) AS alerts_count,
+SELECT user_id, TIMESTAMP '2024-01-31 00:00:00' AS digest_sent_at, CAST(count(*) AS BIGINT) AS alerts_count,
        'sent' AS email_status, list(id ORDER BY id) AS alert_ids
 FROM dig GROUP BY user_id""", ("pending_alerts", "user_alert_settings", "users", "products", "competitors"))
 def a9(m):
@@ -141,8 +141,8 @@ _subj = ("'Price Alert: ' || concat_ws(' & ', "
          "CASE WHEN increases > 0 THEN CAST(increases AS VARCHAR) || ' price increase' || CASE WHEN increases > 1 THEN 's' ELSE '' END END)")
 ORACLE["H15_digest_subject"] = with_models(f"""
 SELECT user_id, d, {_mail(_subj, 200)} AS subject FROM (
-  SELECT user_id, CAST(detected_at AS DATE) AS d, count_if(alert_type = 'price_drop') AS drops,
-         count_if(alert_type = 'price_increase') AS increases FROM pending_alerts GROUP BY 1, 2) t""", "pending_alerts")
+  SELECT user_id, CAST(detected_at AS DATE) AS d, CAST(count_if(alert_type = 'price_drop') AS BIGINT) AS drops,
+         CAST(count_if(alert_type = 'price_increase') AS BIGINT) AS increases FROM pending_alerts GROUP BY 1, 2) t""", "pending_alerts")
 
 
 @query("I1_pct_change", """

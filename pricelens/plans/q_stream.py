@@ -71,7 +71,7 @@ def l3s(m):
 @query("L4_digest_window", """
 SELECT a.user_id, coalesce(s.digest_frequency_hours, 24) AS freq,
   time_bucket(to_hours(coalesce(s.digest_frequency_hours, 24)), a.detected_at, TIMESTAMP '1970-01-01') AS window_start,
-  count(*) AS alerts, count_if(a.alert_type = 'price_drop') AS drops
+  count(*) AS alerts, CAST(count_if(a.alert_type = 'price_drop') AS BIGINT) AS drops
 FROM pending_alerts a LEFT JOIN user_alert_settings s ON s.user_id = a.user_id GROUP BY 1, 2, 3""",
        ("pending_alerts", "user_alert_settings"))
 def l4(m):
@@ -98,7 +98,7 @@ def l3_li(m):
 @query("L4_digest_window_stream", """
 SELECT a.user_id, coalesce(s.digest_frequency_hours, 24) AS freq,
   time_bucket(to_hours(coalesce(s.digest_frequency_hours, 24)), a.detected_at, TIMESTAMP '1970-01-01') AS window_start,
-  count(*) AS alerts, count_if(a.alert_type = 'price_drop') AS drops
+  count(*) AS alerts, CAST(count_if(a.alert_type = 'price_drop') AS BIGINT) AS drops
 FROM pending_alerts a LEFT JOIN user_alert_settings s ON s.user_id = a.user_id GROUP BY 1, 2, 3""",
        ("pending_alerts", "user_alert_settings"))
 def l4s(m):

@@ -21,9 +21,15 @@ ORACLE: dict[str, str] = {}
 
 
 def doubles(df: DataFrame) -> DataFrame:
-    """Cast decimal columns to double (top level only)."""
-    return df.select(*[F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType)
-                       else F.col(f.name) for f in df.schema.fields])
+    """Normalise output types: decimals -> double, 8/16/32-bit integers ->
+    bigint (top level only), so both engines hand back the same types."""
+    def norm(f):
+        if isinstance(f.dataType, T.DecimalType):
+            return F.col(f.name).cast("double").alias(f.name)
+        if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
+            return F.col(f.name).cast("bigint").alias(f.name)
+        return F.col(f.name)
+    return df.select(*[norm(f) for f in df.schema.fields])
 
 
 def query(name: str, sql: str | None = None, models: tuple[str, ...] = ()):

@@ -28,7 +28,7 @@ MODEL_CTES = {
         CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS scrape_status,
         CASE WHEN event_type = 'error' THEN 'timeout' END AS error_message FROM events""",
     "user_alert_settings": """SELECT CAST(r_regionkey AS BIGINT) AS user_id, r_regionkey <> 3 AS email_enabled,
-        CAST(CASE r_regionkey WHEN 0 THEN 6 WHEN 1 THEN 12 ELSE 24 END AS INTEGER) AS digest_frequency_hours,
+        CAST(CASE r_regionkey WHEN 0 THEN 6 WHEN 1 THEN 12 ELSE 24 END AS BIGINT) AS digest_frequency_hours,
         r_regionkey <> 1 AS alert_price_drop, r_regionkey <> 2 AS alert_price_increase,
         CASE WHEN r_regionkey <> 0 THEN TIMESTAMP '2024-01-30 14:00:00' END AS last_digest_sent_at,
         TIMESTAMP '2023-12-01 00:00:00' AS created_at, TIMESTAMP '2023-12-01 00:00:00' AS updated_at
@@ -68,7 +68,7 @@ MODEL_CTES = {
         detected_at < TIMESTAMP '2024-01-15 00:00:00' AS included_in_digest, detected_at
         FROM detections WHERE alert_type IS NOT NULL""",
     "alert_history": """SELECT user_id * 1000 + dayofyear(d) AS id, user_id,
-        CAST(d AS TIMESTAMP) + INTERVAL 1 DAY AS digest_sent_at, CAST(count(*) AS INTEGER) AS alerts_count,
+        CAST(d AS TIMESTAMP) + INTERVAL 1 DAY AS digest_sent_at, CAST(count(*) AS BIGINT) AS alerts_count,
         CASE WHEN day(d) % 7 = 0 THEN 'failed' ELSE 'sent' END AS email_status,
         CASE WHEN day(d) % 7 = 0 THEN 'smtp error' END AS error_message
         FROM (SELECT user_id, CAST(detected_at AS DATE) AS d FROM pending_alerts) GROUP BY user_id, d""",
