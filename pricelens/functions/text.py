@@ -118,6 +118,8 @@ def insight_type(t: Column) -> Column:
 
 def confidence(raw: Column) -> Column:
     """Numeric in [0, 1] -> rounded to 2 decimals; otherwise 0.5."""
-    v = raw.cast("string").try_cast("double")
+    t = F.lower(F.trim(raw.cast("string")))
+    # a JSON boolean converts like float(True) / float(False)
+    v = F.when(t == "true", F.lit(1.0)).when(t == "false", F.lit(0.0)).otherwise(t.try_cast("double"))
     ok = v.isNotNull() & (v >= 0) & (v <= 1) & ~F.isnan(v)
     return F.when(ok, F.round(v.cast("decimal(20,10)"), 2)).otherwise(F.lit(0.5)).cast("decimal(3,2)")

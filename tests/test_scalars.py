@@ -148,6 +148,7 @@ def test_insight_validation_scalars(spark):
     assert one(spark, TX.confidence(F.col("x")), "1.5") == Decimal("0.50")
     assert one(spark, TX.confidence(F.col("x")), "x") == Decimal("0.50")
     assert one(spark, TX.confidence(F.col("x")), "0.834") == Decimal("0.83")
+    assert one(spark, TX.confidence(F.col("x")), "true") == Decimal("1.00")
     assert one(spark, TX.insight_type(F.col("x")), "ALERT") == "alert"
     assert one(spark, TX.insight_type(F.col("x")), "trend") == "pattern"
 
