@@ -131,3 +131,33 @@ def materialize(df, name: str):
     path = os.path.join(ensure_checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex[:10]}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``pricelens`` importable in executor Python workers (needed by the
+    few operators that run Python there: the HTML tokeniser, the stateful
+    alert stream and foreachBatch sinks).  The package is zipped once per
+    session and distributed with ``addPyFile``."""
+    import zipfile
+    key = id(spark)
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    zpath = os.path.join(tempfile.mkdtemp(prefix="pricelens-pyfiles-"), "pricelens.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    try:
+        spark.sparkContext.addPyFile(zpath)
+    except Exception:
+        try:  # sessions without a SparkContext (e.g. Connect) ship artifacts instead
+            spark.addArtifacts(zpath, pyfile=True)
+        except Exception:
+            return
+    _SHIPPED.add(key)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
-from ..config import materialize
+from ..config import materialize, ship_package
 from ..functions.price import parse_price, parse_price_catalog
 from ..functions.url import normalise_url, platform_of_html, url_join, url_safety
 
@@ -184,6 +184,7 @@ def _explode_pages(batches):
 def html_elements(pages: DataFrame) -> DataFrame:
     """(page_id, html) -> element table.  Runs per Arrow batch inside the
     executors (``mapInArrow``); output batches are bounded in rows."""
+    ship_package(pages.sparkSession)
     p = pages.select(F.col("page_id").cast("bigint"), "html")
     # parsing is CPU-bound Python: make sure every core gets pages even when
     # the scan yields few partitions (few large files / row groups)

@@ -243,6 +243,8 @@ def l6(m):
     """The stateful alert stream written by an idempotent foreachBatch
     sink (one folder per batch id, overwritten on replay) and read back."""
     spark = m.spark
+    from ..config import ship_package
+    ship_package(spark)
     out = _scratch(spark, "alerts_sink")
     s = S.stream_alerts(model_price_history_stream(spark, m.sf_dir), m.competitors, m.products)
     name = f"l6_{uuid.uuid4().hex[:8]}"

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..config import ensure_checkpoint_dir
+from ..config import ensure_checkpoint_dir, ship_package
 from ..operators.alerts import classify_change, pct_change
 
 
@@ -96,6 +96,7 @@ def stream_alerts(stream: DataFrame, competitors: DataFrame, products: DataFrame
     """L2: change detection on arrival.  State per competitor is one row (the
     last successful price), so it stays bounded however hot the key is.
     Classification is the same Column expression as the batch path (I2)."""
+    ship_package(stream.sparkSession)
     ok = (event_time(stream).filter((F.col("scrape_status") == "success") & F.col("price").isNotNull())
           .select("id", "competitor_id", "price", "currency", "scraped_at"))
     prev = ok.groupBy("competitor_id").applyInPandasWithState(
@@ -168,6 +169,7 @@ def run_to_table(stream_df: DataFrame, name: str, mode: str = "append") -> DataF
     the driver.  Append mode uses the exactly-once file sink; complete mode
     rewrites the folder with each batch's full result (idempotent)."""
     spark = stream_df.sparkSession
+    ship_package(spark)
     out = os.path.join(ensure_checkpoint_dir(spark), "stream_out", f"{name}-{uuid.uuid4().hex[:8]}")
     w = stream_df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint_location(spark, name))
     if mode == "append":
