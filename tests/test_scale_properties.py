@@ -60,3 +60,20 @@ def test_history_write_is_idempotent(spark, model, tmp_path):
     back = spark.read.parquet(out)
     assert back.filter("run = 'daily'").count() == n
     assert back.count() == n + 3
+
+
+def test_hot_key_spread_over_partitions(spark):
+    li = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    df = li.select(F.when(F.col("l_orderkey") % 3 == 0, F.lit(0)).otherwise(F.col("l_suppkey")).alias("k"),
+                   F.to_date("l_shipdate").alias("day"))
+    n = df.count()
+
+    def largest_share(*cols):
+        sizes = (df.repartition(64, *cols).groupBy(F.spark_partition_id().alias("p")).count()
+                 .agg(F.max("count")).first()[0])
+        return sizes / n
+
+    by_key = largest_share("k")               # the plain window's partitioning
+    by_key_day = largest_share("k", "day")    # lag_within_buckets' partitioning
+    assert by_key > 0.3
+    assert by_key_day < 0.05
