@@ -20,6 +20,10 @@ from ..functions.text import fmt_decimal, insight_type, sanitize_insight
 from .history import last_n_days, success_price, ts_lit
 
 
+# fixed values: weekday names in dayofweek() order (1 = Sunday)
+WEEKDAYS = ["Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday"]
+
+
 def _window_ok(history: DataFrame, as_of, days: int) -> DataFrame:
     return success_price(last_n_days(history, as_of, days), zero_is_missing=True)
 
@@ -91,8 +95,10 @@ def price_position(history: DataFrame, competitors: DataFrame, as_of,
 
 def insight_rows(history: DataFrame, competitors: DataFrame, products: DataFrame, insights: DataFrame, as_of,
                  days: int = C.INSIGHT_ANALYSIS_DAYS, force_regenerate: bool = False) -> DataFrame:
-    """M5 (+E8, H8, I7, I8, C8): rule-based insight rows per product, at most
-    five, only for products without an insight today (unless forced)."""
+    """M5 (+E8, H8, I7, I8, C8): rule-based insight rows per product from
+    M1 (cheapest weekday), M2 (trend), M3 (anomaly counts) and M4 (cheapest
+    competitor) - at most five per product, only for products without an
+    insight today (unless forced)."""
     from .dashboard import no_insight_today
     from ..functions.url import retailer_or_domain
     names = competitors.select(F.col("id").alias("competitor_id"), "product_id",
@@ -113,7 +119,19 @@ def insight_rows(history: DataFrame, competitors: DataFrame, products: DataFrame
         F.concat(F.col("cname"), F.lit(" is the cheapest, "),
                  fmt_decimal(F.abs(F.col("pct_vs_mean")).cast("decimal(30,10)"), 1), F.lit("% below the average")).alias("text"),
         F.lit(0.9).alias("raw_conf"))
-    rows = t_rows.unionByName(a_rows).unionByName(p_rows)
+    # M1: a competitor's cheapest weekday, when it is more than 2 % below its mean
+    wd = F.array(*[F.lit(d) for d in WEEKDAYS])
+    wc = weekly_cycle(history, as_of, days)
+    cheap = (wc.filter(F.col("ratio_to_mean") < 0.98).groupBy("competitor_id")
+             .agg(F.min_by(F.struct("weekday", "ratio_to_mean"), F.struct("ratio_to_mean", "weekday")).alias("c"))
+             .join(names, "competitor_id"))
+    w_rows = cheap.select(
+        "product_id", "competitor_id", F.lit("pattern").alias("type"),
+        F.concat(F.col("cname"), F.lit(": cheapest on "), F.get(wd, F.col("c.weekday") - 1), F.lit(" ("),
+                 fmt_decimal(((F.lit(1.0) - F.col("c.ratio_to_mean")) * 100).cast("decimal(30,10)"), 1),
+                 F.lit("% below its average)")).alias("text"),
+        F.lit(0.6).alias("raw_conf"))
+    rows = t_rows.unionByName(a_rows).unionByName(p_rows).unionByName(w_rows)
     todo = no_insight_today(products, insights, as_of, force_regenerate).select(F.col("id").alias("product_id"))
     rows = rows.join(todo, "product_id", "left_semi")
     w = Window.partitionBy("product_id").orderBy(F.col("raw_conf").desc(), F.col("type"), F.col("competitor_id"))

@@ -79,6 +79,10 @@ an AS (SELECT ok.competitor_id, count(*) AS k FROM ok JOIN m USING (competitor_i
 cur AS (SELECT competitor_id, arg_max(price, (scraped_at, id)) AS cp FROM ok GROUP BY 1),
 cp AS (SELECT cur.*, names.product_id, names.cname FROM cur JOIN names USING (competitor_id)),
 pm AS (SELECT product_id, count(*) AS pn, sum(cp) AS ps FROM cp GROUP BY 1),
+wd AS (SELECT competitor_id, dayofweek(scraped_at) + 1 AS weekday, count(*) AS n_d, sum(price) AS s_d FROM ok GROUP BY 1, 2),
+wo AS (SELECT competitor_id, count(*) AS n, sum(price) AS s FROM ok GROUP BY 1),
+wk AS (SELECT wd.competitor_id, weekday, CAST(s_d * n AS DOUBLE) / CAST(s * n_d AS DOUBLE) AS ratio
+       FROM wd JOIN wo USING (competitor_id) WHERE s <> 0),
 pos AS (SELECT cp.*, rank() OVER (PARTITION BY cp.product_id ORDER BY cp) AS rk,
           CASE WHEN ps <> 0 THEN CAST((cp * pn - ps) * 100 AS DOUBLE) / CAST(ps AS DOUBLE) END AS pct FROM cp JOIN pm USING (product_id)),
 rows_ AS (
@@ -90,7 +94,12 @@ rows_ AS (
   FROM an a JOIN names n USING (competitor_id)
   UNION ALL SELECT product_id, competitor_id, 'recommendation',
          cname || ' is the cheapest, ' || CAST(round_even(CAST(abs(pct) AS DECIMAL(30,10)), 1) AS VARCHAR) || '% below the average', 0.9
-  FROM pos WHERE rk = 1),
+  FROM pos WHERE rk = 1
+  UNION ALL SELECT n.product_id, w.competitor_id, 'pattern',
+         n.cname || ': cheapest on ' || ['Sunday', 'Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday'][w.weekday]
+           || ' (' || CAST(round_even(CAST((1.0 - w.ratio) * 100 AS DECIMAL(30,10)), 1) AS VARCHAR) || '% below its average)', 0.6
+  FROM (SELECT competitor_id, arg_min(weekday, (ratio, weekday)) AS weekday, min(ratio) AS ratio FROM wk
+        WHERE ratio < 0.98 GROUP BY 1) w JOIN names n USING (competitor_id)),
 todo AS (SELECT id AS product_id FROM products p WHERE NOT EXISTS (SELECT 1 FROM insights i WHERE i.product_id = p.id
          AND i.generated_at >= TIMESTAMP '2024-01-31 00:00:00')),
 ranked AS (SELECT r.*, row_number() OVER (PARTITION BY product_id ORDER BY raw_conf DESC, type, competitor_id) AS rank
