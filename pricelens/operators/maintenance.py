@@ -38,8 +38,12 @@ def track_products(items: DataFrame, as_of) -> dict[str, DataFrame]:
     products = ok.select(F.col("request_id").alias("id"), "user_id", name.alias("product_name"),
                          F.lit(True).alias("is_active"), now.alias("created_at"), now.alias("updated_at"))
     it = items.join(ok.select("request_id"), "request_id", "left_semi")
-    # (request, ordinal) packed into one integer key
-    comp_id = F.col("request_id") * F.lit(1 << 32) + F.col("ordinal")
+    # (request, ordinal) packed into one key: an integer for integer keys, a
+    # digest for string (UUID-style) keys
+    if dict(items.dtypes)["request_id"] == "string":
+        comp_id = F.sha2(F.concat_ws("|", F.col("request_id"), F.col("ordinal").cast("string")), 256)
+    else:
+        comp_id = F.col("request_id") * F.lit(1 << 32) + F.col("ordinal")
     competitors = it.select(comp_id.alias("id"), F.col("request_id").alias("product_id"), "url",
                             domain_of(F.col("url"), "lower").alias("retailer_name"),
                             F.col("threshold").cast("decimal(5,2)").alias("alert_threshold_percent"),

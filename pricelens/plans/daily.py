@@ -36,7 +36,11 @@ def scrape_and_detect(tables: dict[str, DataFrame], landed_pages: DataFrame, as_
     # observation per competitor and day, and a recomputed task (executor
     # loss, retry) produces the very same ids
     day = F.unix_date(F.to_date(now)).cast("bigint")
-    new_rows = res.select((day * F.lit(1 << 32) + F.col("competitor_id")).alias("id"), "competitor_id", "price",
+    if dict(res.dtypes)["competitor_id"] == "string":      # UUID-style keys
+        new_id = F.sha2(F.concat_ws("|", F.col("competitor_id"), day.cast("string")), 256)
+    else:
+        new_id = day * F.lit(1 << 32) + F.col("competitor_id")
+    new_rows = res.select(new_id.alias("id"), "competitor_id", "price",
                           "currency", now.alias("scraped_at"), F.col("status"), F.col("error_message").alias("error"))
     new_hist = MT.append_prices(new_rows, as_of)
     if checkpoint:

@@ -49,3 +49,22 @@ def test_digest_and_cleanup(spark, model):
     assert left == 0
     kept = D.cleanup(t, "2024-01-31 00:00:00").count()
     assert kept < model.pending_alerts.count()
+
+
+def test_string_keys(spark, model):
+    """The daily cycle with UUID-style string keys."""
+    t = _tables(model)
+    for name, cols in {"products": ["id", "user_id"], "competitors": ["id", "product_id"],
+                       "price_history": ["id", "competitor_id"], "users": ["user_id"],
+                       "user_alert_settings": ["user_id"],
+                       "pending_alerts": ["id", "user_id", "product_id", "competitor_id"]}.items():
+        df = t[name]
+        for c in cols:
+            df = df.withColumn(c, F.concat(F.lit("k-"), F.col(c).cast("string")))
+        t[name] = df
+    t["competitors"] = t["competitors"].withColumn(
+        "url", F.concat(F.lit("https://shop0.example.com/item/"), F.lit("4")))
+    out = D.scrape_and_detect(t, product_pages(model.catalog), "2024-01-31 02:00:00")
+    new = out["new_history"].collect()
+    assert new and all(isinstance(r["id"], str) and len(r["id"]) == 64 for r in new)
+    assert out["decisions"].count() >= 0
