@@ -160,3 +160,14 @@ def c11(m):
     gone = m.catalog.filter(F.col("pid") % 97 == 0).select(
         F.concat(F.lit("https://gone.example.com/p/"), F.col("pid").cast("string")).alias("product_url"))
     return CT.select_join(chosen.unionByName(gone), cat)
+
+
+@query("F8_handler_fallback")
+def f8h(m):
+    """F8 across all handlers: Shopify (products.json, then storefront),
+    WooCommerce (store API, then REST), then the generic HTML handler (cards,
+    else JSON-LD) for stores that only serve pages."""
+    from ..sources.landed import listing_pages
+    landed = dict(_landed(m))
+    landed["generic_html"] = listing_pages(m.catalog)
+    return CT.first_match_source(CT.normalise(landed)).select("store", "source_rank", "name", "price", "currency")

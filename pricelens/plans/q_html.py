@@ -144,3 +144,13 @@ UNION ALL
 SELECT url, NULL, CASE WHEN contains(html, 'cdn.shopify') OR contains(html, 'Shopify.theme') THEN 'shopify'
   WHEN lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.\\-]*):', 1)) = 'https'
    AND regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://([^/?#]*)', 1) <> '' THEN 'custom' END FROM pages"""
+
+
+from ..sources.model_sql import with_models as _wm  # noqa: E402
+from .q_catalog import _EXP  # noqa: E402
+
+ORACLE["F8_handler_fallback"] = _wm(f"""WITH {_EXP}, {_LISTING},
+gen AS (SELECT 'https://list.example.com' AS store, CAST(5 AS BIGINT) AS source_rank, name, price, currency FROM cards
+        UNION ALL SELECT 'https://list.example.com', CAST(5 AS BIGINT), name, price, currency FROM ld)
+SELECT store, source_rank, name, price, currency FROM best
+UNION ALL SELECT * FROM gen""", "catalog")

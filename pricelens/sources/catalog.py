@@ -154,11 +154,26 @@ def woo_rest_api(pages: DataFrame) -> DataFrame:
         F.concat(_names(x["categories"]), _names(x["tags"])), desc))
 
 
+def generic_html(pages: DataFrame) -> DataFrame:
+    """Generic handler (last in the fallback order): landed HTML pages
+    (page_id, url, html) -> product cards, or JSON-LD products when no card
+    selector succeeds (J6 / J7).  The store is the page's origin; products of
+    this handler are in stock unless stated (the model default)."""
+    from ..operators.html import generic_catalog
+    g = generic_catalog(pages).join(pages.select("page_id", "url"), "page_id")
+    store = F.regexp_extract("url", r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
+    return g.select(*_unified(
+        store, 5, F.col("page_id").cast("bigint") * 1000000 + F.col("ordinal"), F.col("name"), F.col("price"),
+        F.col("currency"), F.col("image_url"), F.col("product_url"), "custom", F.lit(None).cast("string"), F.col("sku"),
+        F.lit(True), F.lit(None).cast("string"), F.array().cast("array<string>"), F.lit(None).cast("string")))
+
+
 NORMALISERS = {
     "shopify_json": shopify_products_json,
     "shopify_storefront": shopify_storefront,
     "woo_store": woo_store_api,
     "woo_rest": woo_rest_api,
+    "generic_html": generic_html,
 }
 
 
