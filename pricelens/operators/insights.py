@@ -136,8 +136,11 @@ def insight_rows(history: DataFrame, competitors: DataFrame, products: DataFrame
     rows = rows.join(todo, "product_id", "left_semi")
     w = Window.partitionBy("product_id").orderBy(F.col("raw_conf").desc(), F.col("type"), F.col("competitor_id"))
     top = rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= C.MAX_INSIGHTS_PER_PRODUCT)
+    # generated texts are kept to 200 characters, then validated like any
+    # generator's output (H8 allows up to 500)
+    short = F.when(F.char_length("text") > 200, F.concat(F.substring("text", 1, 197), F.lit("..."))).otherwise(F.col("text"))
     return top.select("product_id", "rank", insight_type(F.col("type")).alias("insight_type"),
-                      sanitize_insight(F.col("text")).alias("insight_text"),
+                      sanitize_insight(short).alias("insight_text"),
                       conf_of(F.col("raw_conf")).alias("confidence_score"))
 
 

@@ -105,7 +105,7 @@ todo AS (SELECT id AS product_id FROM products p WHERE NOT EXISTS (SELECT 1 FROM
 ranked AS (SELECT r.*, row_number() OVER (PARTITION BY product_id ORDER BY raw_conf DESC, type, competitor_id) AS rank
            FROM rows_ r WHERE product_id IN (SELECT product_id FROM todo))
 SELECT product_id, rank, CASE WHEN lower(type) IN ('pattern', 'alert', 'recommendation') THEN lower(type) ELSE 'pattern' END
-         AS insight_type, text AS insight_text,
+         AS insight_type, CASE WHEN length(text) > 200 THEN substr(text, 1, 197) || '...' ELSE text END AS insight_text,
        CAST(CASE WHEN raw_conf BETWEEN 0 AND 1 THEN round(CAST(raw_conf AS DECIMAL(20,10)), 2) ELSE 0.5 END AS DOUBLE)
          AS confidence_score
 FROM ranked WHERE rank <= 5"""
