@@ -116,3 +116,23 @@ def test_price_csv_export(spark, model, tmp_path):
     assert stamps == sorted(stamps, reverse=True)            # newest first
     failed = [r for r in data[1:] if r[5] == "failed"]
     assert all(r[3] == "" and r[6] == "timeout" for r in failed)  # missing price -> empty cell
+
+
+def test_chart_points_and_list_limits(spark, model):
+    from pricelens.operators import dashboard as DB
+    series = H.series_points(model.price_history, "2024-01-31 00:00:00", 30)
+    ids = model.competitors.filter(F.col("id") < 3).select(F.col("id").alias("competitor_id"))
+    chart = {r["competitor_id"]: r["data_points"] for r in H.chart_points(series, ids).collect()}
+    raw = model.price_history.filter((F.col("competitor_id") < 3)
+                                     & (F.col("scraped_at") >= F.lit("2024-01-01").cast("timestamp_ntz")))
+    for cid, pts in chart.items():
+        want = sorted((r["scraped_at"], r["id"]) for r in raw.filter(F.col("competitor_id") == cid).collect())
+        assert [(p["timestamp"], p["id"]) for p in pts] == want      # whole window, ascending across days
+    det = A.alert_details(model.pending_alerts, model.products, model.competitors)
+    full = DB.pending_list(det)
+    top = DB.pending_list(det, limit=5)
+    assert top.groupBy("user_id").count().agg(F.max("count")).first()[0] <= 5
+    totals = lambda df: sorted(tuple(r) for r in df.select("user_id", "total").distinct().collect())
+    assert totals(top) == totals(full)          # the total counts every unsent alert, not just the page
+    pl = DB.product_list(model.products, model.competitors, limit=2).collect()
+    assert all(r["list_pos"] <= 2 for r in pl)
