@@ -154,3 +154,33 @@ gen AS (SELECT 'https://list.example.com' AS store, CAST(5 AS BIGINT) AS source_
         UNION ALL SELECT 'https://list.example.com', CAST(5 AS BIGINT), name, price, currency FROM ld)
 SELECT store, source_rank, name, price, currency FROM best
 UNION ALL SELECT * FROM gen""", "catalog")
+
+
+@query("J4_html_elements_product_pages")
+def j4p(m):
+    """J4 on the landed product pages: per page the number of elements, the
+    tag sequence in document order and the text of the root element."""
+    e = HT.html_elements(product_pages(m.catalog))
+    g = e.groupBy("page_id").agg(
+        F.count(F.lit(1)).alias("n_elements"),
+        F.array_sort(F.collect_list(F.struct("idx", "tag"))).alias("__t"),
+        F.min_by("text", "idx").alias("root_text"))
+    return g.select("page_id", "n_elements", F.array_join(F.transform("__t", lambda x: x["tag"]), ",").alias("tags"),
+                    "root_text")
+
+
+ORACLE["J4_html_elements_product_pages"] = """
+SELECT p_partkey AS page_id,
+  CAST(CASE p_partkey % 8 WHEN 0 THEN 7 WHEN 1 THEN 6 WHEN 3 THEN 4 WHEN 5 THEN 4 ELSE 3 END AS BIGINT) AS n_elements,
+  CASE p_partkey % 8 WHEN 0 THEN 'html,head,script,body,h1,div,span' WHEN 1 THEN 'html,body,h1,p,span,bdi'
+       WHEN 2 THEN 'html,body,span' WHEN 3 THEN 'html,head,meta,body' WHEN 4 THEN 'html,body,div'
+       WHEN 5 THEN 'html,body,span,span' WHEN 6 THEN 'html,body,p' ELSE 'html,body,div' END AS tags,
+  CASE p_partkey % 8 WHEN 0 THEN p_name || '$' || format('{:,.2f}', p_retailprice)
+       WHEN 1 THEN p_name || '£' || format('{:,.2f}', p_retailprice)
+       WHEN 2 THEN format('{:,.2f}', p_retailprice) || ' €'
+       WHEN 3 THEN ''
+       WHEN 4 THEN 'Now only C$' || format('{:,.2f}', p_retailprice)
+       WHEN 5 THEN '$0.00$' || format('{:,.2f}', p_retailprice)
+       WHEN 6 THEN 'Call us for a quote'
+       ELSE '₦' || format('{:,.0f}', p_retailprice * 100) END AS root_text
+FROM part"""
