@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import doc_mod, grouped, id_and_text, labelled_sample, mix, prepare, texts, token_hashes
 from .ftrl import Settings, probability, train
 
-SETTINGS = Settings(bits=18, alpha=2.0, beta=0.1, l1=0.02, l2=0.1, epochs=2, shards=6)
+SETTINGS = Settings(bits=18, alpha=2.0, beta=0.1, l1=0.02, l2=0.1, epochs=3, shards=2)
 SAMPLE_ROWS = 12_000
 THRESHOLD = 0.3
 SCALE = 8.0                 # shares of grams are small; this brings them near 1

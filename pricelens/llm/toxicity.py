@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import Recent, doc_mod, grouped, id_and_text, labelled_sample, prepare, texts, token_hashes
 from .ftrl import Settings, probability, train
 
-SETTINGS = Settings(bits=20, alpha=2.0, beta=1.0, l1=8.0, l2=0.0, epochs=5, shards=4)
-SAMPLE_ROWS = 16_000
+SETTINGS = Settings(bits=20, alpha=2.0, beta=1.0, l1=8.0, l2=0.0, epochs=6, shards=1)
+SAMPLE_ROWS = 12_000
 THRESHOLD = 0.5
 
 # --- character language model ------------------------------------------------------------------
@@ -119,6 +119,8 @@ _KIND[[ord(c) for c in "._-~/"]] = _SEPARATOR
 _KIND[[9, 10, 11, 12, 13, 32]] = _BLANK
 _ENDS = np.zeros(256, bool)
 _ENDS[[9, 10, 11, 12, 13, 32, *map(ord, ",.;:!?")]] = True
+_FIRST = np.zeros(256, bool)
+_FIRST[[*range(48, 58), *map(ord, "@$!|")]] = True
 _LAST = np.zeros(256, bool)
 _LAST[[*range(48, 58), ord("$"), ord("@")]] = True
 _ONE = rb"[A-Za-z0-9@$!|+(]"
@@ -139,7 +141,7 @@ def suspicious(buf: np.ndarray) -> np.ndarray:
     l1, l2, l3, l4 = (pad(letter, k) for k in (1, 2, 3, 4))
     s1, s2, s3 = (pad(sign, k) for k in (1, 2, 3))
     hit = letter & s1 & (l2 | (s2 & (l3 | (s3 & l4))))
-    hit |= blank_before & sign & (l1 | (s1 & l2))
+    hit |= blank_before & _FIRST[buf] & (l1 | (s1 & l2))
     end = np.concatenate([_ENDS[buf], np.ones(3, bool)])
     last = _LAST[buf]
     hit |= letter & pad(last, 1) & (end[2:len(buf) + 2] | (pad(last, 2) & end[3:len(buf) + 3]))
@@ -242,7 +244,7 @@ class Restorer:
             done = e
             word = buf[s:e].rstrip(b"!.-_|#*%&$" if buf[s:e][-3:] in (b"$$$", b"***", b"%%%", b"###") else b"!.-_|")
             # a word of an address, a number or a key stands as written
-            if 1 < len(word) <= LONGEST and b"://" not in word and not re.search(rb"@\w+\.", word):
+            if 1 < len(word) <= LONGEST and b"//" not in word and not re.search(rb"@\w+\.", word):
                 yield s, s + len(word), self.decoded(word)
 
     def many(self, docs: list[str]) -> list[str]:
