@@ -7,9 +7,11 @@ results depend on them, so they are kept verbatim and in one place.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from decimal import Decimal
 
+from pyspark.errors import PySparkNotImplementedError
 from pyspark.sql import SparkSession
 
 # --- fixed values (must equal the reference application's limits) -----------
@@ -33,6 +35,9 @@ INSIGHT_ANALYSIS_DAYS = 30
 INSIGHT_TYPES = ("pattern", "alert", "recommendation")
 ALERT_TYPES = ("price_drop", "price_increase", "currency_changed")
 DEFAULT_CURRENCY = "USD"
+JOB_STATUSES = ("pending", "processing", "completed", "failed")
+MAX_PRICE = Decimal("99999999.99")         # what the price column can hold
+PRICE_TOO_LARGE = "Price does not fit the price column"
 
 
 # session settings for a large cluster (hundreds of TB, ~1000 executors):
@@ -92,26 +97,22 @@ def build_session(master: str | None = None, app_name: str = "pricelens",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting names shared storage and is used as is.  Only when
-    it is unset (local tests) a fresh scratch folder is created.
+    On a cluster the setting must name shared storage.  Only a session whose
+    master is local (one machine) may leave it unset; it then gets a scratch
+    folder of its own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        try:
-            path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        except Exception:  # no SparkContext on this session type
-            path = None
-    if not path:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="pricelens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        try:
-            spark.conf.set("spark.checkpoint.dir", path)
-        except Exception:  # static conf on some deployments; setCheckpointDir suffices
-            pass
+        spark.conf.set("spark.checkpoint.dir", path)
     try:
         spark.sparkContext.setCheckpointDir(path)
-    except Exception:  # no SparkContext on this session type; tables and streams still use `path`
+    except PySparkNotImplementedError:  # a session type without SparkContext: tables and streams still use `path`
         pass
     return path
 
@@ -142,7 +143,7 @@ def ship_package(spark: SparkSession) -> None:
     alert stream and foreachBatch sinks).  The package is zipped once per
     session and distributed with ``addPyFile``."""
     import zipfile
-    key = id(spark)
+    key = spark.conf.get("spark.app.id", None) or id(spark)
     if key in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
@@ -154,10 +155,9 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     try:
-        spark.sparkContext.addPyFile(zpath)
-    except Exception:
-        try:  # sessions without a SparkContext (e.g. Connect) ship artifacts instead
-            spark.addArtifacts(zpath, pyfile=True)
-        except Exception:
-            return
+        context = spark.sparkContext
+    except PySparkNotImplementedError:  # sessions without a SparkContext (e.g. Connect) ship artifacts instead
+        spark.addArtifacts(zpath, pyfile=True)
+    else:
+        context.addPyFile(zpath)
     _SHIPPED.add(key)

@@ -17,7 +17,8 @@ MAIL_TEXT_MAX = 500
 SUBJECT_PREFIX = "Price Alert: "   # brand prefix of the subject line; configurable
 
 
-def _py_strip(c: Column) -> Column:
+def py_strip(c: Column) -> Column:
+    """Unicode white space off both ends, as Python's ``strip``."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
@@ -27,7 +28,7 @@ def _truncate(c: Column, max_len: int) -> Column:
 
 def escape_name(name: Column) -> Column:
     """H7: trim, '<' -> '&lt;', '>' -> '&gt;'."""
-    return F.replace(F.replace(_py_strip(name), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.replace(F.replace(py_strip(name), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
 def sanitize_insight(text: Column) -> Column:
@@ -36,13 +37,13 @@ def sanitize_insight(text: Column) -> Column:
     t = F.replace(F.replace(text, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     for p in INSIGHT_DANGEROUS:
         t = F.replace(t, F.lit(p), F.lit(""))
-    return _truncate(_py_strip(t), C.MAX_INSIGHT_TEXT)
+    return _truncate(py_strip(t), C.MAX_INSIGHT_TEXT)
 
 
 def sanitize_mail(text: Column, max_length: int = MAIL_TEXT_MAX) -> Column:
     """H9: null/empty -> ''; trim; escape & < > \" '; delete script patterns;
     truncate to ``max_length`` with '...'."""
-    t = _py_strip(text)
+    t = py_strip(text)
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         t = F.replace(t, F.lit(a), F.lit(b))
     for p in MAIL_DANGEROUS:
@@ -53,15 +54,16 @@ def sanitize_mail(text: Column, max_length: int = MAIL_TEXT_MAX) -> Column:
 def clean_email(email: Column) -> Column:
     """struct(email, error): trim + lower; invalid without '@' or '.', or
     with CR/LF."""
-    e = F.lower(_py_strip(email))
+    e = F.lower(py_strip(email))
     err = (F.when((F.instr(e, "@") == 0) | (F.instr(e, ".") == 0), F.concat(F.lit("Invalid email address: "), e))
            .when(e.rlike("[\\r\\n]"), F.lit("Email address contains invalid characters")))
     return F.struct(F.when(err.isNull(), e).alias("email"), err.alias("error"))
 
 
 def user_name(email: Column) -> Column:
-    """Text before '@', else 'User'."""
-    return F.when(F.instr(email, "@") > 0, F.substring_index(email, "@", 1)).otherwise(F.lit("User"))
+    """Text before the first '@' (all of it without one); 'User' for null
+    or empty."""
+    return F.when(email.isNull() | (email == ""), F.lit("User")).otherwise(F.substring_index(email, "@", 1))
 
 
 def truncate_error(err: Column, n: int = C.ERROR_TEXT_MAX) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import py_strip
+
 # fixed values: SSRF rules of the scraper (hostname patterns, metadata hosts,
 # internal suffixes), in the order the reference lists them
 BLOCKED_HOST_PATTERNS = [
@@ -44,10 +46,10 @@ def hostname(url: Column) -> Column:
 
 
 def normalise_url(url: Column) -> Column:
-    """struct(url, error): trim; empty -> error; http:// (any case)
+    """struct(url, error): white space of any kind trimmed; empty -> error; http:// (any case)
     rejected; without 'https://' (case-sensitive) the text is prefixed when it
     has a '.' and no space, else an error."""
-    u = F.trim(url)
+    u = py_strip(url)
     err = (F.when(u.isNull() | (u == ""), F.lit(ERR_EMPTY))
            .when(F.lower(u).startswith("http://"), F.lit(ERR_HTTP))
            .when(~u.startswith("https://") & ~((F.instr(u, ".") > 0) & (F.instr(u, " ") == 0)), F.lit(ERR_FORMAT)))
@@ -99,31 +101,41 @@ def retailer_or_domain(retailer_name: Column, url: Column, variant: str = "strip
     return F.coalesce(F.when(retailer_name != "", retailer_name), domain_of(url, variant))
 
 
-def _fold_dots(path: Column, passes: int = 4) -> Column:
-    """Remove './' segments and fold up to ``passes`` levels of 'seg/../'."""
-    p = F.regexp_replace(path, r"/(\./)+", "/")
-    for _ in range(passes):
-        p = F.regexp_replace(p, r"/[^/?#]+/\.\.(/|$)", "/")
-    return F.regexp_replace(p, r"^/(\.\./)+", "/")
+def _fold_dots(segments: Column) -> Column:
+    """The path of some segments, '.' and '..' resolved however many there are."""
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(segments, none, lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
+                       .when(s == ".", acc).otherwise(F.concat(acc, F.array(s))))
+    ends_in_dots = F.element_at(segments, -1).isin(".", "..")
+    path = F.array_join(F.when(ends_in_dots, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+    return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
 
 
 def url_join(base: Column, href: Column) -> Column:
     """H6: resolve a link against the page URL like ``urljoin``: absolute,
     scheme-relative, root-relative, query-only, fragment-only and
-    path-relative references ('.' and up to four '..' levels folded)."""
+    path-relative references, any number of '.' and '..' segments."""
     b_scheme = F.regexp_extract(base, _SCHEME_RE, 1)
     b_origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
     b_nofrag = F.regexp_extract(base, r"^([^#]*)", 1)
     b_path = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
-    b_dir = F.regexp_replace(b_path, r"[^/]*$", "")
-    b_dir = F.when(b_dir == "", F.lit("/")).otherwise(b_dir)
+    h_path = F.regexp_extract(href, r"^([^?#]*)", 1)
+    h_rest = F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
+    own = F.split(h_path, "/")
+    # the base without its last segment, then the link's; empty segments in between go
+    parts = F.split(b_path, "/")
+    parts = F.when(F.element_at(parts, -1) != "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    both = F.concat(parts, own)
+    n = F.size(both)
+    middle = F.filter(F.slice(both, F.lit(2), F.greatest(n - 2, F.lit(0))), lambda s: s != "")
+    both = F.when(n > 2, F.concat(F.slice(both, 1, 1), middle, F.slice(both, -1, 1))).otherwise(both)
     return (F.when(href.isNull() | (href == ""), base)
             .when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), href)
             .when(href.startswith("//"), F.concat(b_scheme, F.lit(":"), href))
-            .when(href.startswith("/"), F.concat(b_origin, _fold_dots(href)))
+            .when(href.startswith("/"), F.concat(b_origin, _fold_dots(own), h_rest))
             .when(href.startswith("?"), F.concat(b_origin, b_path, href))
             .when(href.startswith("#"), F.concat(b_nofrag, href))
-            .otherwise(F.concat(b_origin, _fold_dots(F.concat(b_dir, href)))))
+            .otherwise(F.concat(b_origin, _fold_dots(both), h_rest)))
 
 
 def safe_filename(name: Column) -> Column:

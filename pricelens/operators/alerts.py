@@ -15,6 +15,15 @@ from ..functions import text as TX
 from .history import ts_lit, with_previous_price
 
 
+# fixed values: the messages that users see
+MSG_EMAIL_OFF = "User has disabled email alerts"
+MSG_DROP_OFF = "User has disabled price drop alerts"
+MSG_INCREASE_OFF = "User has disabled price increase alerts"
+MSG_CURRENCY = "Currency changed: %s → %s"
+MSG_FULL = "User has too many pending alerts (%s)"
+MSG_CREATED = "Alert created: %s of %s%%"
+
+
 def pct_change(old: Column, new: Column) -> Column:
     """(new-old)*100/old as an exact decimal; null when old is 0 or null.
     Multiplying before dividing keeps every digit of the quotient."""
@@ -104,59 +113,69 @@ def settings_with_defaults(users: DataFrame, settings: DataFrame) -> DataFrame:
 # --- I3 / E4: decisions with settings and the pending cap ------------------------
 
 def alert_decision(candidates: DataFrame, settings: DataFrame, existing_pending: DataFrame | None = None,
-                   cap: int = C.MAX_PENDING_ALERTS_PER_USER) -> DataFrame:
+                   cap: int = C.MAX_PENDING_ALERTS_PER_USER, bucket: str = "hour") -> DataFrame:
     """Settings (C5) and the per-user pending cap (E4) applied to a batch
     of change detections.  Adds ``alert_created`` and ``message``.
 
-    Cap, exactly as the sequential reference: a price alert is rejected when
-    the user already has ``cap`` unsent alerts; currency alerts bypass the cap
-    but count toward it.  Counting is monotone, so a price candidate at
-    position p (0-based, among the user's candidates that passed the
-    settings, ordered by (detected_at, id)) is accepted iff existing + p < cap.
-    Only the first ``cap`` positions matter: a constant bound on row_number,
-    which Spark turns into a map-side WindowGroupLimit, so a hot user never
-    ships more than ``cap`` rows per map task.  Positions are joined back by id.
-    """
+    The sequential rule: candidates come in the order (detected_at, id); a
+    price alert is rejected when the user then has ``cap`` or more unsent
+    alerts; a currency alert is always created and counts.  Until the cap is
+    reached every candidate that passes the settings is created, so with e
+    existing alerts the candidate at position max(cap - e, 0) is the first one
+    that meets a full list: one cutoff (detected_at, id) per user, taken from
+    the user's first cap + 1 candidates (a constant bound on row_number, which
+    Spark turns into a map-side WindowGroupLimit).  From the cutoff on only
+    currency alerts are created, so the count that a rejected candidate sees is
+    max(e, cap) plus the currency alerts since the cutoff.  These are counted
+    per (user, ``bucket`` of time) and summed over the buckets before, so that
+    no window holds all candidates of a user."""
     s = settings.select("user_id", "email_enabled", "alert_price_drop", "alert_price_increase", "has_settings")
     c = candidates.filter(F.col("alert_type").isNotNull()).join(s, "user_id", "left")
     has = F.coalesce(F.col("has_settings"), F.lit(False))
     is_cur = F.col("alert_type") == "currency_changed"
     blocked = (F.when(is_cur | ~has, F.lit(None))
-               .when(~F.col("email_enabled"), F.lit("User has disabled email alerts"))
-               .when((F.col("alert_type") == "price_drop") & ~F.col("alert_price_drop"),
-                     F.lit("User has disabled price drop alerts"))
-               .when((F.col("alert_type") == "price_increase") & ~F.col("alert_price_increase"),
-                     F.lit("User has disabled price increase alerts")))
+               .when(~F.col("email_enabled"), F.lit(MSG_EMAIL_OFF))
+               .when((F.col("alert_type") == "price_drop") & ~F.col("alert_price_drop"), F.lit(MSG_DROP_OFF))
+               .when((F.col("alert_type") == "price_increase") & ~F.col("alert_price_increase"), F.lit(MSG_INCREASE_OFF)))
     c = c.withColumn("__blocked", blocked)
-    passed = c.filter(F.col("__blocked").isNull())
 
-    if existing_pending is not None:
-        existing = (existing_pending.filter(~F.col("included_in_digest"))
-                    .groupBy("user_id").agg(F.count(F.lit(1)).alias("__existing")))
-    else:
-        existing = None
+    # one row per user: e and the cutoff
     w = Window.partitionBy("user_id").orderBy("detected_at", "id")
-    firsts = (passed.select("user_id", "id", "detected_at")
-              .withColumn("__pos", F.row_number().over(w))
-              .filter(F.col("__pos") <= cap)
-              .select("id", (F.col("__pos") - 1).alias("__pos")))
-    out = c.join(firsts, "id", "left")
-    if existing is not None:
-        out = out.join(existing, "user_id", "left")
+    firsts = (c.filter(F.col("__blocked").isNull()).select("user_id", "id", "detected_at")
+              .withColumn("__pos", F.row_number().over(w)).filter(F.col("__pos") <= cap + 1))
+    if existing_pending is not None:
+        firsts = firsts.join(existing_pending.filter(~F.col("included_in_digest"))
+                             .groupBy("user_id").agg(F.count(F.lit(1)).alias("__existing")), "user_id", "left")
     else:
-        out = out.withColumn("__existing", F.lit(0))
-    ex = F.coalesce(F.col("__existing"), F.lit(0))
-    over_cap = F.col("__pos").isNull() | (ex + F.col("__pos") >= cap)
-    created = F.col("__blocked").isNull() & (is_cur | ~over_cap)
+        firsts = firsts.withColumn("__existing", F.lit(0))
+    e = F.coalesce(F.col("__existing"), F.lit(0))
+    cut = (firsts.filter(F.col("__pos") - 1 == F.greatest(F.lit(cap) - e, F.lit(0)))
+           .select("user_id", F.greatest(e, F.lit(cap)).alias("__full"),
+                   F.struct("detected_at", "id").alias("__cut")))
+    out = (c.join(cut, "user_id", "left")
+           .withColumn("__over", F.coalesce(F.col("__blocked").isNull()
+                                            & (F.struct("detected_at", "id") >= F.col("__cut")), F.lit(False)))
+           .withColumn("__b", F.date_trunc(bucket, "detected_at")))
+    # currency alerts from the cutoff up to each row: earlier buckets, then this one
+    cur = F.when(F.col("__over") & is_cur, 1).otherwise(0)
+    wb = Window.partitionBy("user_id", "__b").orderBy("detected_at", "id")
+    here = F.sum(cur).over(wb.rowsBetween(Window.unboundedPreceding, -1))
+    out = out.withColumn("__here", here).withColumn("__last", F.lead(F.lit(1)).over(wb).isNull())
+    per_bucket = (out.filter("__last")
+                  .select("user_id", "__b", (F.coalesce("__here", F.lit(0)) + cur).alias("n")))
+    before = per_bucket.select("user_id", "__b", F.sum("n").over(
+        Window.partitionBy("user_id").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    out = out.join(before, ["user_id", "__b"], "left")
+    seen = F.col("__full") + F.coalesce("__before", F.lit(0)) + F.coalesce("__here", F.lit(0))
+    created = F.col("__blocked").isNull() & (is_cur | ~F.col("__over"))
     pct_txt = TX.fmt_decimal(F.abs(F.col("price_change_percent")), 2)
     msg = (F.when(F.col("__blocked").isNotNull(), F.col("__blocked"))
-           .when(is_cur, F.concat(F.lit("Currency changed: "), F.col("old_currency"), F.lit(" → "), F.col("new_currency")))
-           .when(over_cap, F.concat(F.lit("User has too many pending alerts ("),
-                                    (ex + F.coalesce(F.col("__pos"), F.lit(cap))).cast("string"), F.lit(")")))
-           .otherwise(F.concat(F.lit("Alert created: "), F.col("alert_type"), F.lit(" of "), pct_txt, F.lit("%"))))
+           .when(is_cur, F.format_string(MSG_CURRENCY, "old_currency", "new_currency"))
+           .when(F.col("__over"), F.format_string(MSG_FULL, seen.cast("string")))
+           .otherwise(F.format_string(MSG_CREATED, "alert_type", pct_txt)))
     return (out.withColumn("alert_created", created).withColumn("message", msg)
-            .drop("__blocked", "__pos", "__existing", "email_enabled", "alert_price_drop",
-                  "alert_price_increase", "has_settings"))
+            .drop("__blocked", "__full", "__cut", "__over", "__b", "__here", "__last", "__before", "email_enabled",
+                  "alert_price_drop", "alert_price_increase", "has_settings"))
 
 
 def new_pending_alerts(decisions: DataFrame) -> DataFrame:
@@ -204,12 +223,18 @@ def users_due_for_digest(settings: DataFrame, pending: DataFrame, users: DataFra
 def digest_alerts(pending_details: DataFrame, due: DataFrame, cap: int = C.MAX_DIGEST_ALERTS) -> DataFrame:
     """E5 + E9: the unsent alerts of due users, newest first, numbered; only the
     first ``cap`` are mailed (``mailed``).  All rows are returned because the
-    run marks every pending alert, mailed or not."""
+    run marks every pending alert, mailed or not.
+
+    The numbers come from each user's ``cap`` newest alerts (a constant bound:
+    map-side WindowGroupLimit).  They go back to the alerts by user and id as
+    one small map per user, so the alerts are not shuffled by id."""
     rows = pending_details.filter(~F.col("included_in_digest")).join(due.select("user_id"), "user_id", "left_semi")
     w = Window.partitionBy("user_id").orderBy(F.col("detected_at").desc(), F.col("id").desc())
     top = (rows.select("id", "user_id", "detected_at").withColumn("line_no", F.row_number().over(w))
-           .filter(F.col("line_no") <= cap).select("id", "line_no"))
-    return rows.join(top, "id", "left").withColumn("mailed", F.col("line_no").isNotNull())
+           .filter(F.col("line_no") <= cap).groupBy("user_id")
+           .agg(F.map_from_entries(F.collect_list(F.struct("id", "line_no"))).alias("__top")))
+    return (rows.join(top, "user_id", "left").withColumn("line_no", F.col("__top")[F.col("id")])
+            .withColumn("mailed", F.col("line_no").isNotNull()).drop("__top"))
 
 
 def digest_messages(digest_rows: DataFrame) -> DataFrame:

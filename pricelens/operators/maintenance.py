@@ -5,7 +5,7 @@ MERGE; here the caller writes the returned frame to a new path / partition.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -48,10 +48,12 @@ def track_products(items: DataFrame, as_of) -> dict[str, DataFrame]:
                             domain_of(F.col("url"), "lower").alias("retailer_name"),
                             F.col("threshold").cast("decimal(5,2)").alias("alert_threshold_percent"),
                             F.lit(C.DEFAULT_CURRENCY).alias("expected_currency"), now.alias("created_at"))
+    wide = F.coalesce(F.abs("price") > C.MAX_PRICE, F.lit(False))
     prices = it.filter(F.col("price").isNotNull()).select(
-        comp_id.alias("id"), comp_id.alias("competitor_id"), F.col("price").cast("decimal(10,2)").alias("price"),
+        comp_id.alias("id"), comp_id.alias("competitor_id"), F.when(~wide, F.col("price")).cast("decimal(10,2)").alias("price"),
         F.coalesce("currency", F.lit(C.DEFAULT_CURRENCY)).alias("currency"), now.alias("scraped_at"),
-        F.lit("success").alias("scrape_status"), F.lit(None).cast("string").alias("error_message"))
+        F.when(wide, F.lit("failed")).otherwise(F.lit("success")).alias("scrape_status"),
+        F.when(wide, F.lit(C.PRICE_TOO_LARGE)).alias("error_message"))
     summary = ok.select("request_id", F.col("n_items").alias("products_added"))
     stored = it.groupBy("request_id").agg(F.count("price").alias("prices_stored"))
     summary = summary.join(stored, "request_id", "left").fillna(0, ["prices_stored"])
@@ -59,15 +61,27 @@ def track_products(items: DataFrame, as_of) -> dict[str, DataFrame]:
             "summary": summary, "rejected": checked.filter(F.col("error").isNotNull())}
 
 
+def _last_given(patch: DataFrame, key: str, fields: list[str], order: str | None) -> DataFrame:
+    """One row per key: for each field the last value that is not null, in the
+    order of the column ``order`` (without one, or on ties, the largest)."""
+    seq = F.col(order) if order else F.lit(0)
+    return patch.groupBy(key).agg(*[
+        F.max_by(f, F.when(F.col(f).isNotNull(), F.struct(seq.alias("seq"), F.col(f).alias("v")))).alias(f)
+        for f in fields])
+
+
 # --- K2 / K3 ----------------------------------------------------------------------
 
-def update_products(products: DataFrame, patch: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
+def update_products(products: DataFrame, patch: DataFrame, as_of,
+                    order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """K2: partial update (product_name, is_active); a patch row with no field
-    is an error; updated rows get updated_at = as_of (the trigger).
+    is an error; updated rows get updated_at = as_of (the trigger).  Several
+    patches of a product apply in the order of the column ``order``.
     Returns (new products, errors)."""
-    p = patch.select(F.col("id"), F.col("product_name").alias("__name"), F.col("is_active").alias("__active"))
+    p = patch.withColumnsRenamed({"product_name": "__name", "is_active": "__active"})
     empty = p.filter(F.col("__name").isNull() & F.col("__active").isNull())
-    valid = p.filter(F.col("__name").isNotNull() | F.col("__active").isNotNull())
+    valid = _last_given(p.filter(F.col("__name").isNotNull() | F.col("__active").isNotNull()), "id",
+                        ["__name", "__active"], order)
     out = (products.join(valid.withColumn("__hit", F.lit(True)), "id", "left")
            .withColumn("product_name", F.coalesce(escape_name(F.col("__name")), F.col("product_name")))
            .withColumn("is_active", F.coalesce(F.col("__active"), F.col("is_active")))
@@ -77,8 +91,8 @@ def update_products(products: DataFrame, patch: DataFrame, as_of) -> tuple[DataF
 
 
 def soft_delete(products: DataFrame, ids: DataFrame) -> DataFrame:
-    """K3: mark products inactive (rows are kept)."""
-    d = ids.select("id", F.lit(True).alias("__del"))
+    """K3: mark products inactive (rows are kept); repeated ids count once."""
+    d = ids.select("id").distinct().withColumn("__del", F.lit(True))
     return (products.join(d, "id", "left")
             .withColumn("is_active", F.when(F.col("__del"), F.lit(False)).otherwise(F.col("is_active")))
             .drop("__del"))
@@ -114,13 +128,15 @@ def delete_accounts(tables: dict[str, DataFrame], users: DataFrame) -> dict[str,
 
 # --- K7 / K8: currency acceptance ---------------------------------------------------
 
-def accept_currency(competitors: DataFrame, pending: DataFrame, acceptances: DataFrame) -> tuple[DataFrame, DataFrame]:
+def accept_currency(competitors: DataFrame, pending: DataFrame, acceptances: DataFrame,
+                    order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """K7: (competitor_id, currency) -> expected_currency updated and every
-    currency_changed alert of that competitor dismissed (marked included)."""
-    a = acceptances.select(F.col("competitor_id").alias("id"), F.col("currency").alias("__cur"))
+    currency_changed alert of that competitor dismissed (marked included).  Of
+    several acceptances the last in the order of the column ``order`` counts."""
+    a = _last_given(acceptances.withColumnsRenamed({"competitor_id": "id", "currency": "__cur"}), "id", ["__cur"], order)
     comps = (competitors.join(a, "id", "left")
              .withColumn("expected_currency", F.coalesce("__cur", "expected_currency")).drop("__cur"))
-    hit = acceptances.select("competitor_id", F.lit(True).alias("__acc"))
+    hit = a.select(F.col("id").alias("competitor_id"), F.lit(True).alias("__acc"))
     pend = (pending.join(hit, "competitor_id", "left")
             .withColumn("included_in_digest",
                         F.col("included_in_digest") | (F.coalesce("__acc", F.lit(False)) & (F.col("alert_type") == "currency_changed")))
@@ -152,13 +168,15 @@ def accept_all_currencies(competitors: DataFrame, pending: DataFrame, users: Dat
 
 # --- K9 -----------------------------------------------------------------------------
 
-def upsert_settings(settings: DataFrame, patch: DataFrame, as_of) -> DataFrame:
+def upsert_settings(settings: DataFrame, patch: DataFrame, as_of, order: str | None = None) -> DataFrame:
     """K9: partial settings update; users without a row get the defaults
-    (enabled, 24 h, both alert kinds) overlaid with the patch."""
+    (enabled, 24 h, both alert kinds) overlaid with the patch.  Several patches
+    of a user apply in the order of the column ``order``."""
     fields = ["email_enabled", "digest_frequency_hours", "alert_price_drop", "alert_price_increase"]
     defaults = {"email_enabled": F.lit(True), "digest_frequency_hours": F.lit(C.DEFAULT_DIGEST_HOURS),
                 "alert_price_drop": F.lit(True), "alert_price_increase": F.lit(True)}
-    p = patch.select("user_id", *[F.col(f).alias("p_" + f) for f in fields], F.lit(True).alias("__p"))
+    p = _last_given(patch, "user_id", fields, order)
+    p = p.select("user_id", *[F.col(f).alias("p_" + f) for f in fields], F.lit(True).alias("__p"))
     j = settings.withColumn("__s", F.lit(True)).join(p, "user_id", "full")
     now = ts_lit(as_of)
     cols = [F.col("user_id")]
@@ -172,31 +190,54 @@ def upsert_settings(settings: DataFrame, patch: DataFrame, as_of) -> DataFrame:
 
 # --- K10 ----------------------------------------------------------------------------
 
-def constraint_report(t: dict[str, DataFrame]) -> DataFrame:
-    """Rows violating the schema's CHECK / FK / UNIQUE rules, counted per
-    rule (each rule is a filter or an anti join)."""
-    def rule(name: str, df: DataFrame) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("rule"), "violations")
-    parts = [
-        rule("price_history.scrape_status", t["price_history"].filter(~F.col("scrape_status").isin("success", "failed"))),
-        rule("insights.insight_type", t["insights"].filter(~F.col("insight_type").isin(*C.INSIGHT_TYPES))),
-        rule("insights.confidence_score", t["insights"].filter(~F.col("confidence_score").between(0, 1))),
-        rule("pending_alerts.alert_type", t["pending_alerts"].filter(~F.col("alert_type").isin(*C.ALERT_TYPES))),
-        rule("alert_history.email_status", t["alert_history"].filter(~F.col("email_status").isin("pending", "sent", "failed"))),
-        rule("competitors.alert_threshold_percent", t["competitors"].filter(~F.col("alert_threshold_percent").between(0, 100))),
-        rule("competitors.product_id_fk", t["competitors"].join(
-            t["products"].select(F.col("id").alias("product_id")), "product_id", "left_anti")),
-        rule("price_history.competitor_id_fk", t["price_history"].join(
-            t["competitors"].select(F.col("id").alias("competitor_id")), "competitor_id", "left_anti")),
-        rule("user_alert_settings.user_id_unique",
-             t["user_alert_settings"].groupBy("user_id").count().filter(F.col("count") > 1)),
-    ]
+def _row_rules() -> dict[str, list[tuple[str, Column]]]:
+    """Per table the CHECK rules: (rule, condition that a row breaks)."""
+    return {
+        "price_history": [("price_history.scrape_status", ~F.col("scrape_status").isin("success", "failed"))],
+        "insights": [("insights.insight_type", ~F.col("insight_type").isin(*C.INSIGHT_TYPES)),
+                     ("insights.confidence_score", ~F.col("confidence_score").between(0, 1))],
+        "pending_alerts": [("pending_alerts.alert_type", ~F.col("alert_type").isin(*C.ALERT_TYPES))],
+        "alert_history": [("alert_history.email_status", ~F.col("email_status").isin("pending", "sent", "failed"))],
+        "competitors": [("competitors.alert_threshold_percent", ~F.col("alert_threshold_percent").between(0, 100))],
+        "tracking_jobs": [("tracking_jobs.status", ~F.col("status").isin(*C.JOB_STATUSES))],
+    }
+
+
+def constraint_violations(t: dict[str, DataFrame]) -> DataFrame:
+    """(rule, key) of every row that breaks a CHECK, foreign-key or UNIQUE
+    rule; the key is the row's id as text (the user for settings).  One scan
+    per table checks all its CHECK rules."""
+    parts = []
+    for table, rules in _row_rules().items():
+        if table in t:
+            broken = F.filter(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules]), lambda x: x.isNotNull())
+            parts.append(t[table].select(F.explode(broken).alias("rule"), F.col("id").cast("string").alias("key")))
+
+    def orphans(rule, child, column, parent):
+        keys = t[parent].select(F.col("id").alias(column))
+        parts.append(t[child].join(keys, column, "left_anti").select(F.lit(rule).alias("rule"),
+                                                                    F.col("id").cast("string").alias("key")))
+    orphans("competitors.product_id_fk", "competitors", "product_id", "products")
+    orphans("price_history.competitor_id_fk", "price_history", "competitor_id", "competitors")
+    parts.append(t["user_alert_settings"].groupBy("user_id").count().filter(F.col("count") > 1)
+                 .select(F.lit("user_alert_settings.user_id_unique").alias("rule"),
+                         F.col("user_id").cast("string").alias("key")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def constraint_report(t: dict[str, DataFrame]) -> DataFrame:
+    """Number of violations per rule, rules without any included."""
+    names = [n for table, rules in _row_rules().items() if table in t for n, _ in rules]
+    names += ["competitors.product_id_fk", "price_history.competitor_id_fk", "user_alert_settings.user_id_unique"]
+    found = constraint_violations(t)
+    every = found.sparkSession.createDataFrame([(n,) for n in names], "rule string")
+    return (every.join(found.groupBy("rule").agg(F.count(F.lit(1)).alias("n")), "rule", "left")
+            .select("rule", F.coalesce("n", F.lit(0)).alias("violations")))
+
+
 # --- A7 / A8 / A12 --------------------------------------------------------------------
 
 def append_prices(results: DataFrame, as_of, zero_is_missing: bool = True) -> DataFrame:
@@ -210,7 +251,8 @@ def append_prices(results: DataFrame, as_of, zero_is_missing: bool = True) -> Da
         F.col("id"), "competitor_id", price.cast("decimal(10,2)").alias("price"),
         F.coalesce("currency", F.lit(C.DEFAULT_CURRENCY)).alias("currency"),
         F.coalesce(F.col("scraped_at"), ts_lit(as_of)).alias("scraped_at"),
-        F.col("status").alias("scrape_status"), F.col("error").alias("error_message"))
+        F.when(wide, F.lit("failed")).otherwise(F.col("status")).alias("scrape_status"),
+        F.when(wide, F.lit(C.PRICE_TOO_LARGE)).otherwise(F.col("error")).alias("error_message"))
 
 
 def write_history(df: DataFrame, path: str, run_id: str) -> None:
@@ -239,20 +281,29 @@ def price_csv_rows(price_history: DataFrame, competitors: DataFrame) -> DataFram
     return j.select(
         "product_id", F.col("scraped_at").alias("__ts"), F.col("id").alias("__id"),
         F.date_format("scraped_at", "yyyy-MM-dd").alias("Date"), F.date_format("scraped_at", "HH:mm:ss").alias("Time"),
-        "Competitor", F.col("price").cast("double").cast("string").alias("Price"),
+        "Competitor", F.regexp_replace(F.col("price").cast("string"), "0$", "").alias("Price"),
         F.col("currency").alias("Currency"), F.col("scrape_status").alias("Status"),
         F.col("error_message").alias("Error"))
 
 
 def write_price_csv(rows: DataFrame, path: str) -> None:
-    """A8 sink: one CSV folder per product, header, newest first; empty
-    strings stay quoted-empty and nulls are empty cells."""
-    (rows.repartition("product_id").sortWithinPartitions("product_id", F.col("__ts").desc(), F.col("__id").desc())
+    """A8 sink: a folder per product and month, so that no task holds a whole
+    product; a header, newest first; empty strings stay quoted-empty and nulls
+    are empty cells."""
+    (rows.withColumn("month", F.substring("Date", 1, 7)).repartition("product_id", "month")
+         .sortWithinPartitions("product_id", "month", F.col("__ts").desc(), F.col("__id").desc())
          .drop("__ts", "__id")
-         .write.mode("overwrite").partitionBy("product_id").option("header", True).option("escape", '"')
+         .write.mode("overwrite").partitionBy("product_id", "month").option("header", True).option("escape", '"')
          .option("emptyValue", "").csv(path))
 
 
+def read_price_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The exported files as one table."""
+    return spark.read.option("header", True).option("escape", '"').schema(
+        "Date string, Time string, Competitor string, Price string, Currency string, Status string, Error string, "
+        "product_id bigint, month string").csv(path)
+
+
 def product_documents(products: DataFrame, competitors: DataFrame) -> DataFrame:
     """One nested JSON document per product (product + competitors[])."""
     from .dashboard import product_competitors

@@ -30,7 +30,7 @@ def _batch(m):
 
 
 _I3_SQL = f"""
-WITH cand AS (
+WITH RECURSIVE cand AS (
   SELECT d.*, s.email_enabled, s.alert_price_drop, s.alert_price_increase, s.user_id IS NOT NULL AS has
   FROM detections d LEFT JOIN user_alert_settings s ON s.user_id = d.user_id
   WHERE d.alert_type IS NOT NULL AND d.detected_at >= TIMESTAMP '{BATCH_FROM}'),
@@ -39,22 +39,24 @@ blk AS (SELECT *, CASE WHEN alert_type = 'currency_changed' OR NOT has THEN NULL
                        WHEN alert_type = 'price_drop' AND NOT alert_price_drop THEN 'User has disabled price drop alerts'
                        WHEN alert_type = 'price_increase' AND NOT alert_price_increase THEN 'User has disabled price increase alerts'
                   END AS blocked FROM cand),
-pos AS (SELECT id, row_number() OVER (PARTITION BY user_id ORDER BY detected_at, id) - 1 AS pos FROM blk WHERE blocked IS NULL),
-ex AS (SELECT user_id, count(*) AS n FROM pending_alerts
-       WHERE NOT included_in_digest AND detected_at < TIMESTAMP '{BATCH_FROM}' GROUP BY user_id),
-dec AS (
-  SELECT b.*, coalesce(ex.n, 0) AS exn, pos.pos,
-         (pos.pos IS NULL OR coalesce(ex.n, 0) + pos.pos >= 100) AS over_cap
-  FROM blk b LEFT JOIN pos ON pos.id = b.id LEFT JOIN ex ON ex.user_id = b.user_id)
-SELECT id, user_id, product_id, competitor_id, alert_type, detected_at,
-       CAST(price_change_percent AS DOUBLE) AS price_change_percent,
-       blocked IS NULL AND (alert_type = 'currency_changed' OR NOT over_cap) AS alert_created,
+passed AS (SELECT id, user_id, alert_type, row_number() OVER (PARTITION BY user_id ORDER BY detected_at, id) AS rn
+           FROM blk WHERE blocked IS NULL),
+seq AS (
+  SELECT u.user_id, CAST(0 AS BIGINT) AS rn, (SELECT count(*) FROM pending_alerts p WHERE NOT p.included_in_digest
+           AND p.detected_at < TIMESTAMP '{BATCH_FROM}' AND p.user_id = u.user_id) AS n, CAST(NULL AS BIGINT) AS id,
+         CAST(NULL AS BIGINT) AS seen, false AS created FROM (SELECT DISTINCT user_id FROM passed) u
+  UNION ALL
+  SELECT s.user_id, p.rn, s.n + CASE WHEN p.alert_type = 'currency_changed' OR s.n < 100 THEN 1 ELSE 0 END, p.id, s.n,
+         p.alert_type = 'currency_changed' OR s.n < 100
+  FROM seq s JOIN passed p ON p.user_id = s.user_id AND p.rn = s.rn + 1)
+SELECT b.id, b.user_id, product_id, competitor_id, b.alert_type, detected_at,
+       CAST(price_change_percent AS DOUBLE) AS price_change_percent, coalesce(q.created, false) AS alert_created,
        CASE WHEN blocked IS NOT NULL THEN blocked
-            WHEN alert_type = 'currency_changed' THEN 'Currency changed: ' || old_currency || ' → ' || new_currency
-            WHEN over_cap THEN 'User has too many pending alerts (' || CAST(exn + least(coalesce(pos, 100), 100) AS VARCHAR) || ')'
-            ELSE 'Alert created: ' || alert_type || ' of ' || CAST(abs(price_change_percent) AS VARCHAR) || '%'
+            WHEN b.alert_type = 'currency_changed' THEN 'Currency changed: ' || old_currency || ' → ' || new_currency
+            WHEN NOT q.created THEN 'User has too many pending alerts (' || CAST(q.seen AS VARCHAR) || ')'
+            ELSE 'Alert created: ' || b.alert_type || ' of ' || CAST(abs(price_change_percent) AS VARCHAR) || '%'
        END AS message
-FROM dec"""
+FROM blk b LEFT JOIN seq q ON q.id = b.id"""
 
 
 @query("I3_alert_decision", _I3_SQL, ("detections", "pending_alerts", "user_alert_settings"))

@@ -16,25 +16,45 @@ def a6(m):
     return HT.landed_html(m.raw("pages")).select("page_id")
 
 
-@query("H6_url_join", r"""
-WITH h AS (SELECT page_id, url AS base, regexp_extract(html, 'href="([^"]*)"', 1) AS href FROM pages),
-p AS (SELECT *, regexp_extract(base, '^([a-zA-Z][a-zA-Z0-9+.\-]*):', 1) AS sch,
-        regexp_extract(base, '^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)', 1) AS origin,
-        regexp_extract(base, '^([^#]*)', 1) AS nofrag,
-        regexp_extract(base, '^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)', 1) AS path FROM h),
-q AS (SELECT *, CASE WHEN regexp_replace(path, '[^/]*$', '') = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END AS dir FROM p)
-SELECT page_id, CASE WHEN href IS NULL OR href = '' THEN base
-  WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.\-]*:') THEN href
-  WHEN starts_with(href, '//') THEN sch || ':' || href
-  WHEN starts_with(href, '/') THEN origin || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(href, '/(\./)+', '/', 'g'), '/[^/?#]+/\.\.(/|$)', '/', 'g'), '/[^/?#]+/\.\.(/|$)', '/', 'g'), '/[^/?#]+/\.\.(/|$)', '/', 'g'), '/[^/?#]+/\.\.(/|$)', '/', 'g'), '^/(\.\./)+', '/', 'g')
-  WHEN starts_with(href, '?') THEN origin || path || href
-  WHEN starts_with(href, '#') THEN nofrag || href
-  ELSE origin || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(dir || href, '/(\./)+', '/', 'g'), '/[^/?#]+/\.\.(/|$)', '/', 'g'), '/[^/?#]+/\.\.(/|$)', '/', 'g'), '/[^/?#]+/\.\.(/|$)', '/', 'g'), '/[^/?#]+/\.\.(/|$)', '/', 'g'), '^/(\.\./)+', '/', 'g') END AS link FROM q""")
+def _join_sql(base: str, href: str) -> str:
+    """The reference's rule for one link, written over path segments."""
+    origin = f"regexp_extract({base}, '^([a-zA-Z][a-zA-Z0-9+.\\-]*://[^/?#]*)', 1)"
+    path = f"regexp_extract({base}, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://[^/?#]*([^?#]*)', 1)"
+    own = f"string_split(regexp_extract({href}, '^[^?#]*'), '/')"
+    rest = f"substr({href}, length(regexp_extract({href}, '^[^?#]*')) + 1)"
+    up = f"string_split({path}, '/')"
+    up = f"CASE WHEN {up}[-1] <> '' THEN {up}[:-2] ELSE {up} END"
+    both = f"({up} || {own})"
+    both = f"CASE WHEN len{both} > 2 THEN [{both}[1]] || list_filter({both}[2:-2], lambda x: x <> '') || [{both}[-1]] ELSE {both} END"
+
+    def fold(segs):
+        kept = (f"list_reduce(list_transform({segs}, lambda x: [x]), lambda a, x: CASE WHEN x[1] = '..' THEN a[1:len(a) - 1] "
+                "WHEN x[1] = '.' THEN a ELSE a || x END, CAST([] AS VARCHAR[]))")
+        text = f"array_to_string({kept} || CASE WHEN ({segs})[-1] IN ('.', '..') THEN [''] ELSE [] END, '/')"
+        return f"CASE WHEN starts_with({text}, '/') THEN {text} ELSE '/' || {text} END"
+    return f"""CASE WHEN {href} IS NULL OR {href} = '' THEN {base}
+  WHEN regexp_matches({href}, '^[a-zA-Z][a-zA-Z0-9+.\\-]*:') THEN {href}
+  WHEN starts_with({href}, '//') THEN regexp_extract({base}, '^[^:]*') || ':' || {href}
+  WHEN starts_with({href}, '/') THEN {origin} || {fold(own)} || {rest}
+  WHEN starts_with({href}, '?') THEN {origin} || {path} || {href}
+  WHEN starts_with({href}, '#') THEN regexp_extract({base}, '^[^#]*') || {href}
+  ELSE {origin} || {fold(both)} || {rest} END"""
+
+
+@query("H6_url_join", f"""
+WITH h AS (SELECT page_id, url AS base, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href,
+                  generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) - 1 AS pos FROM pages),
+d AS (SELECT *, base || '/a/b/c/d/e/f/' AS deep, repeat('../', CAST((page_id + pos) % 9 AS INTEGER)) || './x/' || page_id AS up FROM h)
+SELECT page_id, pos, {_join_sql("base", "href")} AS link, {_join_sql("deep", "up")} AS up_link FROM d""")
 def h6(m):
-    """H6: first link of every page resolved against the page URL."""
-    p = m.raw("pages")
-    href = F.regexp_extract("html", r'href="([^"]*)"', 1)
-    return p.select("page_id", U.url_join(F.col("url"), href).alias("link"))
+    """H6: every link of every page resolved against the page URL; and, from a
+    folder six levels below it, a link that climbs zero to eight levels."""
+    p = m.raw("pages").select("page_id", F.col("url").alias("base"),
+                              F.posexplode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), 1)).alias("pos", "href"))
+    climbs = F.repeat(F.lit("../"), ((F.col("page_id") + F.col("pos")) % 9).cast("int"))
+    up = F.concat(climbs, F.lit("./x/"), F.col("page_id").cast("string"))
+    return p.select("page_id", "pos", U.url_join(F.col("base"), F.col("href")).alias("link"),
+                    U.url_join(F.concat("base", F.lit("/a/b/c/d/e/f/")), up).alias("up_link"))
 
 
 @query("H18_platform_of_payload")

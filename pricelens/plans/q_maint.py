@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..config import ensure_checkpoint_dir
 from ..operators import maintenance as MT
 from ..sources import catalog as CT
 from ..sources.landed import landed_catalog
@@ -46,28 +49,35 @@ def k1c(m):
 
 
 def _patch(m):
+    """Product patches; every sixth product gets a second, later one that
+    renames it again and says nothing about the flag."""
     n = m.raw("supplier")
     k = F.col("s_suppkey")
-    return (n.filter((k % 3 == 0) | (k % 4 == 0) | (k % 5 == 1))
-            .select(k.cast("bigint").alias("id"),
-                    F.when(k % 3 == 0, F.concat(F.upper("s_name"), F.lit(" <v2>"))).alias("product_name"),
-                    F.when(k % 4 == 0, F.lit(False)).alias("is_active")))
+    first = (n.filter((k % 3 == 0) | (k % 4 == 0) | (k % 5 == 1))
+             .select(k.cast("bigint").alias("id"), F.lit(1).alias("seq"),
+                     F.when(k % 3 == 0, F.concat(F.upper("s_name"), F.lit(" <v2>"))).alias("product_name"),
+                     F.when(k % 4 == 0, F.lit(False)).alias("is_active")))
+    second = n.filter(k % 6 == 0).select(k.cast("bigint").alias("id"), F.lit(2).alias("seq"),
+                                         F.concat(F.lit(" "), F.lower("s_name"), F.lit(" ")).alias("product_name"),
+                                         F.lit(None).cast("boolean").alias("is_active"))
+    return first.unionByName(second)
 
 
 @query("K2_update_product", """
 WITH patch AS (SELECT CAST(s_suppkey AS BIGINT) AS id,
-  CASE WHEN s_suppkey % 3 = 0 THEN upper(s_name) || ' <v2>' END AS pname,
+  CASE WHEN s_suppkey % 6 = 0 THEN lower(s_name) WHEN s_suppkey % 3 = 0 THEN upper(s_name) || ' <v2>' END AS pname,
   CASE WHEN s_suppkey % 4 = 0 THEN false END AS pactive FROM supplier
-  WHERE s_suppkey % 3 = 0 OR s_suppkey % 4 = 0 OR s_suppkey % 5 = 1),
-valid AS (SELECT * FROM patch WHERE pname IS NOT NULL OR pactive IS NOT NULL)
+  WHERE s_suppkey % 3 = 0 OR s_suppkey % 4 = 0 OR s_suppkey % 5 = 1)
 SELECT p.id, coalesce(replace(replace(trim(v.pname), '<', '&lt;'), '>', '&gt;'), p.product_name) AS product_name,
        coalesce(v.pactive, p.is_active) AS is_active,
-       CASE WHEN v.id IS NOT NULL THEN TIMESTAMP '2024-01-31 00:00:00' ELSE p.updated_at END AS updated_at
-FROM products p LEFT JOIN valid v ON v.id = p.id""", ("products",))
+       CASE WHEN v.pname IS NOT NULL OR v.pactive IS NOT NULL THEN TIMESTAMP '2024-01-31 00:00:00' ELSE p.updated_at END AS updated_at,
+       CASE WHEN v.id IS NOT NULL AND v.pname IS NULL AND v.pactive IS NULL THEN 'No fields to update' END AS error
+FROM products p LEFT JOIN patch v ON v.id = p.id""", ("products",))
 def k2(m):
-    """K2: partial product updates (name escaped, active flag, updated_at)."""
-    out, _ = MT.update_products(m.products, _patch(m), AS_OF)
-    return out.select("id", "product_name", "is_active", "updated_at")
+    """K2: partial product updates (name escaped, active flag, updated_at),
+    some products patched twice, and the errors of empty patches."""
+    out, errors = MT.update_products(m.products, _patch(m), AS_OF, order="seq")
+    return out.join(errors, "id", "left").select("id", "product_name", "is_active", "updated_at", "error")
 
 
 @query("K3_soft_delete", """
@@ -77,13 +87,14 @@ WITH fresh AS (SELECT DISTINCT c.product_id FROM price_history p JOIN competitor
 SELECT id, CASE WHEN id NOT IN (SELECT product_id FROM fresh) THEN false ELSE is_active END AS is_active FROM products""",
        ("products", "competitors", "price_history"))
 def k3(m):
-    """K3: soft delete of stale products (no successful price in 7 days)."""
+    """K3: soft delete of stale products (no successful price in 7 days); every
+    id is given twice."""
     from ..operators.history import last_n_days, success_price
     fresh = (success_price(last_n_days(m.price_history, AS_OF, 7))
              .join(m.competitors.select(F.col("id").alias("competitor_id"), "product_id"), "competitor_id")
              .select(F.col("product_id").alias("id")))
     stale = m.products.select("id").join(fresh, "id", "left_anti")
-    return MT.soft_delete(m.products, stale).select("id", "is_active")
+    return MT.soft_delete(m.products, stale.unionByName(stale)).select("id", "is_active")
 
 
 @query("K4_delete_account", """
@@ -125,7 +136,10 @@ def k7(m):
               .agg(F.max_by("currency", F.struct("scraped_at", "id")).alias("currency")))
     acc = (latest.join(m.competitors.select(F.col("id").alias("competitor_id"), "expected_currency"), "competitor_id")
            .filter(F.col("currency") != F.col("expected_currency")).select("competitor_id", "currency"))
-    comps, pend = MT.accept_currency(m.competitors, m.pending_alerts, acc)
+    # each is preceded by an acceptance of another currency
+    acc = (acc.withColumn("seq", F.lit(2))
+           .unionByName(acc.select("competitor_id", F.lit("XXX").alias("currency"), F.lit(1).alias("seq"))))
+    comps, pend = MT.accept_currency(m.competitors, m.pending_alerts, acc, order="seq")
     return (pend.join(comps.select(F.col("id").alias("competitor_id"), "expected_currency"), "competitor_id")
             .select("id", "included_in_digest", "expected_currency"))
 
@@ -157,7 +171,9 @@ SELECT coalesce(s.user_id, p.user_id) AS user_id,
   coalesce(p.email_enabled, s.email_enabled, true) AS email_enabled,
   coalesce(CAST(p.digest_frequency_hours AS BIGINT), s.digest_frequency_hours, 24) AS digest_frequency_hours,
   coalesce(p.alert_price_drop, s.alert_price_drop, true) AS alert_price_drop,
-  coalesce(p.alert_price_increase, s.alert_price_increase, true) AS alert_price_increase
+  coalesce(p.alert_price_increase, s.alert_price_increase, true) AS alert_price_increase, s.last_digest_sent_at,
+  coalesce(s.created_at, TIMESTAMP '2024-01-31 00:00:00') AS created_at,
+  CASE WHEN p.user_id IS NOT NULL THEN TIMESTAMP '2024-01-31 00:00:00' ELSE s.updated_at END AS updated_at
 FROM user_alert_settings s FULL JOIN patch p ON p.user_id = s.user_id""", ("pending_alerts", "user_alert_settings"))
 def k9(m):
     """K9: settings upsert; the patch is derived from each user's alert
@@ -172,27 +188,72 @@ def k9(m):
                      F.when(F.col("n") > F.col("__avg"), F.lit(6)).cast("int").alias("digest_frequency_hours"),
                      F.when(F.col("i") > F.col("d"), F.lit(False)).alias("alert_price_drop"),
                      F.lit(None).cast("boolean").alias("alert_price_increase")))
-    return MT.upsert_settings(m.user_alert_settings, patch, AS_OF).select(
-        "user_id", "email_enabled", "digest_frequency_hours", "alert_price_drop", "alert_price_increase")
-
-
-@query("K10_constraint_report", """
-SELECT 'price_history.scrape_status' AS rule, count(*) AS violations FROM price_history WHERE scrape_status NOT IN ('success', 'failed')
-UNION ALL SELECT 'insights.insight_type', count(*) FROM insights WHERE insight_type NOT IN ('pattern', 'alert', 'recommendation')
-UNION ALL SELECT 'insights.confidence_score', count(*) FROM insights WHERE NOT (confidence_score BETWEEN 0 AND 1)
-UNION ALL SELECT 'pending_alerts.alert_type', count(*) FROM pending_alerts WHERE alert_type NOT IN ('price_drop', 'price_increase', 'currency_changed')
-UNION ALL SELECT 'alert_history.email_status', count(*) FROM alert_history WHERE email_status NOT IN ('pending', 'sent', 'failed')
-UNION ALL SELECT 'competitors.alert_threshold_percent', count(*) FROM competitors WHERE NOT (alert_threshold_percent BETWEEN 0 AND 100)
-UNION ALL SELECT 'competitors.product_id_fk', count(*) FROM competitors WHERE product_id NOT IN (SELECT id FROM products)
-UNION ALL SELECT 'price_history.competitor_id_fk', count(*) FROM price_history WHERE competitor_id NOT IN (SELECT id FROM competitors)
-UNION ALL SELECT 'user_alert_settings.user_id_unique', count(*) FROM (SELECT user_id FROM user_alert_settings GROUP BY 1 HAVING count(*) > 1)""",
-       ("price_history", "insights", "pending_alerts", "alert_history", "competitors", "products", "user_alert_settings"))
+    # an earlier patch of the same users, which the later one overrides field by field
+    early = patch.withColumns({"digest_frequency_hours": F.when(F.col("digest_frequency_hours").isNotNull(), F.lit(99)),
+                               "alert_price_drop": F.when(F.col("alert_price_drop").isNotNull(), F.lit(True))})
+    both = patch.withColumn("seq", F.lit(2)).unionByName(early.withColumn("seq", F.lit(1)))
+    return MT.upsert_settings(m.user_alert_settings, both, AS_OF, order="seq")
+
+
+# a job per product; some rows of every table break a rule
+_BROKEN_SQL = """
+jobs AS (SELECT id, CASE WHEN id % 9 = 4 THEN 'stuck' ELSE 'completed' END AS status FROM products),
+ph AS (SELECT id, competitor_id, CASE WHEN id % 500 = 7 THEN 'skipped' ELSE scrape_status END AS scrape_status FROM price_history),
+ins AS (SELECT id, CASE WHEN product_id % 10 = 3 THEN 'guess' ELSE insight_type END AS insight_type,
+               CASE WHEN product_id % 4 = 1 THEN 1.5 ELSE confidence_score END AS confidence_score FROM insights),
+pend AS (SELECT id, CASE WHEN id % 300 = 1 THEN 'none' ELSE alert_type END AS alert_type FROM pending_alerts),
+comp AS (SELECT id, CASE WHEN id % 50 = 9 THEN -1 - id ELSE product_id END AS product_id,
+                CASE WHEN id % 70 = 8 THEN 101 ELSE alert_threshold_percent END AS alert_threshold_percent FROM competitors),
+sett AS (SELECT user_id FROM user_alert_settings UNION ALL SELECT user_id FROM user_alert_settings WHERE user_id % 4 = 2),
+bad AS (
+  SELECT 'price_history.scrape_status' AS rule, CAST(id AS VARCHAR) AS key FROM ph WHERE scrape_status NOT IN ('success', 'failed')
+  UNION ALL SELECT 'insights.insight_type', CAST(id AS VARCHAR) FROM ins WHERE insight_type NOT IN ('pattern', 'alert', 'recommendation')
+  UNION ALL SELECT 'insights.confidence_score', CAST(id AS VARCHAR) FROM ins WHERE NOT (confidence_score BETWEEN 0 AND 1)
+  UNION ALL SELECT 'pending_alerts.alert_type', CAST(id AS VARCHAR) FROM pend
+    WHERE alert_type NOT IN ('price_drop', 'price_increase', 'currency_changed')
+  UNION ALL SELECT 'alert_history.email_status', CAST(id AS VARCHAR) FROM alert_history WHERE email_status NOT IN ('pending', 'sent', 'failed')
+  UNION ALL SELECT 'competitors.alert_threshold_percent', CAST(id AS VARCHAR) FROM comp WHERE NOT (alert_threshold_percent BETWEEN 0 AND 100)
+  UNION ALL SELECT 'tracking_jobs.status', CAST(id AS VARCHAR) FROM jobs WHERE status NOT IN ('pending', 'processing', 'completed', 'failed')
+  UNION ALL SELECT 'competitors.product_id_fk', CAST(id AS VARCHAR) FROM comp WHERE product_id NOT IN (SELECT id FROM products)
+  UNION ALL SELECT 'price_history.competitor_id_fk', CAST(id AS VARCHAR) FROM ph WHERE competitor_id NOT IN (SELECT id FROM comp)
+  UNION ALL SELECT 'user_alert_settings.user_id_unique', CAST(user_id AS VARCHAR) FROM sett GROUP BY user_id HAVING count(*) > 1)"""
+_BROKEN_MODELS = ("price_history", "insights", "pending_alerts", "alert_history", "competitors", "products", "user_alert_settings")
+
+
+def _broken(m):
+    k = F.col("id")
+    return {
+        "price_history": m.price_history.withColumn(
+            "scrape_status", F.when(k % 500 == 7, F.lit("skipped")).otherwise(F.col("scrape_status"))),
+        "insights": m.insights.withColumns({
+            "insight_type": F.when(F.col("product_id") % 10 == 3, F.lit("guess")).otherwise(F.col("insight_type")),
+            "confidence_score": F.when(F.col("product_id") % 4 == 1, F.lit(1.5)).otherwise(F.col("confidence_score"))}),
+        "pending_alerts": m.pending_alerts.withColumn(
+            "alert_type", F.when(k % 300 == 1, F.lit("none")).otherwise(F.col("alert_type"))),
+        "alert_history": m.alert_history,
+        "competitors": m.competitors.withColumns({
+            "product_id": F.when(k % 50 == 9, -1 - k).otherwise(F.col("product_id")),
+            "alert_threshold_percent": F.when(k % 70 == 8, F.lit(101)).otherwise(F.col("alert_threshold_percent"))}),
+        "products": m.products,
+        "tracking_jobs": m.products.select("id", F.when(k % 9 == 4, F.lit("stuck")).otherwise(F.lit("completed")).alias("status")),
+        "user_alert_settings": m.user_alert_settings.unionByName(m.user_alert_settings.filter(F.col("user_id") % 4 == 2))}
+
+
+@query("K10_constraint_report", f"""WITH {_BROKEN_SQL}
+SELECT r.rule, count(bad.key) AS violations FROM (SELECT unnest(['price_history.scrape_status', 'insights.insight_type',
+  'insights.confidence_score', 'pending_alerts.alert_type', 'alert_history.email_status', 'competitors.alert_threshold_percent',
+  'tracking_jobs.status', 'competitors.product_id_fk', 'price_history.competitor_id_fk', 'user_alert_settings.user_id_unique']) AS rule) r
+LEFT JOIN bad ON bad.rule = r.rule GROUP BY r.rule""", _BROKEN_MODELS)
 def k10(m):
-    """Constraint violations per rule over the model tables."""
-    t = {"price_history": m.price_history, "insights": m.insights, "pending_alerts": m.pending_alerts,
-         "alert_history": m.alert_history, "competitors": m.competitors, "products": m.products,
-         "user_alert_settings": m.user_alert_settings}
-    return MT.constraint_report(t)
+    """Constraint violations per rule, over tables some of whose rows
+    break a rule."""
+    return MT.constraint_report(_broken(m))
+
+
+@query("K10_constraint_violations", f"WITH {_BROKEN_SQL} SELECT rule, key FROM bad", _BROKEN_MODELS)
+def k10v(m):
+    """The rows that break a rule."""
+    return MT.constraint_violations(_broken(m))
 
 
 @query("A7_append_prices", """
@@ -219,12 +280,17 @@ SELECT c.product_id, strftime(p.scraped_at, '%Y-%m-%d') AS "Date", strftime(p.sc
   coalesce(CASE WHEN c.retailer_name <> '' THEN c.retailer_name END,
     CASE WHEN regexp_replace(lower(regexp_extract(c.url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)', 1)), '^www\.', '') = '' THEN 'Unknown'
          ELSE regexp_replace(lower(regexp_extract(c.url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)', 1)), '^www\.', '') END) AS "Competitor",
-  CAST(CAST(p.price AS DOUBLE) AS VARCHAR) AS "Price", p.currency AS "Currency", p.scrape_status AS "Status",
-  p.error_message AS "Error"
+  CAST(CAST(CASE WHEN p.id % 97 = 0 THEN p.price + 12345678 ELSE p.price END AS DOUBLE) AS VARCHAR) AS "Price",
+  p.currency AS "Currency", p.scrape_status AS "Status", p.error_message AS "Error"
 FROM price_history p JOIN competitors c ON c.id = p.competitor_id""", ("price_history", "competitors"))
 def a8(m):
-    """The CSV export table of every product."""
-    return MT.price_csv_rows(m.price_history, m.competitors).drop("__ts", "__id")
+    """The CSV export of every product, written and read back; some prices
+    have eight digits."""
+    big = m.price_history.withColumn("price", F.when(F.col("id") % 97 == 0, F.col("price") + 12345678)
+                                     .otherwise(F.col("price")).cast("decimal(10,2)"))
+    path = f"{ensure_checkpoint_dir(m.spark)}/scratch/csv-{uuid.uuid4().hex[:10]}"
+    MT.write_price_csv(MT.price_csv_rows(big, m.competitors), path)
+    return MT.read_price_csv(m.spark, path).drop("month")
 
 
 @query("A12_nested_json_out", """

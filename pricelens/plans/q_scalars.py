@@ -104,7 +104,7 @@ def h5(m):
 
 _URL_IN_SQL = """
 ui AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN regexp_replace(url, '^https?://', '')
-                                     WHEN 1 THEN ' ' || url || ' '
+                                     WHEN 1 THEN chr(9) || ' ' || url || chr(160) || chr(10)
                                      WHEN 2 THEN replace(regexp_replace(url, '^https?://', ''), '.', ' ')
                                      ELSE url END AS raw FROM pages)"""
 
@@ -113,20 +113,21 @@ def _url_inputs(m):
     p = m.raw("pages")
     k = F.col("page_id") % 4
     raw = (F.when(k == 0, F.regexp_replace("url", "^https?://", ""))
-           .when(k == 1, F.concat(F.lit(" "), F.col("url"), F.lit(" ")))
+           .when(k == 1, F.concat(F.lit("\t "), F.col("url"), F.lit("\u00a0\n")))
            .when(k == 2, F.replace(F.regexp_replace("url", "^https?://", ""), F.lit("."), F.lit(" ")))
            .otherwise(F.col("url")))
     return p.select("page_id", raw.alias("raw"))
 
 
-@query("B14_url_normalise", f"""WITH {_URL_IN_SQL}
+@query("B14_url_normalise", f"""WITH {_URL_IN_SQL},
+t AS (SELECT page_id, regexp_replace(raw, '^[\\s\\x{{A0}}]+|[\\s\\x{{A0}}]+$', '', 'g') AS u FROM ui)
 SELECT page_id,
-  CASE WHEN trim(raw) = '' OR lower(trim(raw)) LIKE 'http://%' THEN NULL
-       WHEN starts_with(trim(raw), 'https://') THEN trim(raw)
-       WHEN contains(trim(raw), '.') AND NOT contains(trim(raw), ' ') THEN 'https://' || trim(raw) END AS url,
-  CASE WHEN trim(raw) = '' THEN '{U.ERR_EMPTY}' WHEN lower(trim(raw)) LIKE 'http://%' THEN '{U.ERR_HTTP}'
-       WHEN NOT starts_with(trim(raw), 'https://') AND NOT (contains(trim(raw), '.') AND NOT contains(trim(raw), ' '))
-       THEN '{U.ERR_FORMAT}' END AS error FROM ui""")
+  CASE WHEN u = '' OR lower(u) LIKE 'http://%' THEN NULL
+       WHEN starts_with(u, 'https://') THEN u
+       WHEN contains(u, '.') AND NOT contains(u, ' ') THEN 'https://' || u END AS url,
+  CASE WHEN u = '' THEN '{U.ERR_EMPTY}' WHEN lower(u) LIKE 'http://%' THEN '{U.ERR_HTTP}'
+       WHEN NOT starts_with(u, 'https://') AND NOT (contains(u, '.') AND NOT contains(u, ' '))
+       THEN '{U.ERR_FORMAT}' END AS error FROM t""")
 def b14(m):
     """User-typed URLs -> (normalised url, error)."""
     n = U.normalise_url(F.col("raw"))
@@ -184,13 +185,18 @@ def h10(m):
 
 
 @query("H12_user_name", """
-SELECT doc_id, pos, CASE WHEN contains(e, '@') THEN split_part(e, '@', 1) ELSE 'User' END AS name FROM (
-  SELECT doc_id, generate_subscripts(regexp_extract_all(text, '[^\\s<>]*@[^\\s<>]*'), 1) - 1 AS pos,
-         unnest(regexp_extract_all(text, '[^\\s<>]*@[^\\s<>]*')) AS e FROM documents) t""")
+WITH t AS (SELECT doc_id, generate_subscripts(regexp_extract_all(text, '[^\\s<>]*@[^\\s<>]*'), 1) - 1 AS pos,
+                  unnest(regexp_extract_all(text, '[^\\s<>]*@[^\\s<>]*')) AS e FROM documents
+  UNION ALL SELECT doc_id, -1, source FROM documents UNION ALL SELECT doc_id, -2, '' FROM documents
+  UNION ALL SELECT doc_id, -3, NULL FROM documents)
+SELECT doc_id, pos, CASE WHEN coalesce(e, '') = '' THEN 'User' ELSE split_part(e, '@', 1) END AS name FROM t""")
 def h12(m):
-    """Greeting name for every address-like token of the documents."""
-    d = m.raw("documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\s<>]*@[^\s<>]*"), 0))
-                                  .alias("pos", "e"))
+    """Greeting name for every address-like token of the documents, for a
+    text without '@', and for an empty and a missing one."""
+    docs = m.raw("documents")
+    d = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\s<>]*@[^\s<>]*"), 0)).alias("pos", "e"))
+    for pos, e in ((-1, F.col("source")), (-2, F.lit("")), (-3, F.lit(None).cast("string"))):
+        d = d.unionByName(docs.select("doc_id", F.lit(pos).alias("pos"), e.alias("e")))
     return d.select("doc_id", "pos", TX.user_name(F.col("e")).alias("name"))
 
 

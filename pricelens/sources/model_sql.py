@@ -8,9 +8,10 @@ _PCT_NUM = "(CAST(round((p.price - p.old_price) * 100) AS BIGINT) * 10000)"
 _PCT_DEN = "CAST(round(p.old_price * 100) AS BIGINT)"
 
 MODEL_CTES = {
-    "users": """SELECT CAST(r_regionkey AS BIGINT) AS user_id,
-        replace(lower(r_name), ' ', '_') || '@example.com' AS email FROM region""",
-    "products": """SELECT CAST(s_suppkey AS BIGINT) AS id, CAST(s_nationkey % 5 AS BIGINT) AS user_id,
+    "users": """SELECT user_id, 'user' || CAST(user_id AS VARCHAR) || '@example.com' AS email FROM (
+        SELECT CAST(s_suppkey AS BIGINT) AS user_id FROM supplier WHERE s_suppkey = 0 UNION ALL
+        SELECT CAST(s_suppkey // 4 + 1 AS BIGINT) AS user_id FROM supplier WHERE s_suppkey % 4 = 0)""",
+    "products": """SELECT CAST(s_suppkey AS BIGINT) AS id, CAST(CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE s_suppkey // 4 + 1 END AS BIGINT) AS user_id,
         s_name AS product_name, s_suppkey % 5 <> 0 AS is_active,
         TIMESTAMP '2023-12-01 00:00:00' + (s_suppkey % 720) * INTERVAL 1 HOUR AS created_at,
         TIMESTAMP '2023-12-01 00:00:00' + (s_suppkey % 720) * INTERVAL 1 HOUR AS updated_at FROM supplier""",
@@ -27,12 +28,14 @@ MODEL_CTES = {
         CAST(ts AS TIMESTAMP) AS scraped_at,
         CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS scrape_status,
         CASE WHEN event_type = 'error' THEN 'timeout' END AS error_message FROM events""",
-    "user_alert_settings": """SELECT CAST(r_regionkey AS BIGINT) AS user_id, r_regionkey <> 3 AS email_enabled,
-        CAST(CASE r_regionkey WHEN 0 THEN 6 WHEN 1 THEN 12 ELSE 24 END AS BIGINT) AS digest_frequency_hours,
-        r_regionkey <> 1 AS alert_price_drop, r_regionkey <> 2 AS alert_price_increase,
-        CASE WHEN r_regionkey <> 0 THEN TIMESTAMP '2024-01-30 14:00:00' END AS last_digest_sent_at,
+    "user_alert_settings": """SELECT user_id, user_id % 7 <> 3 AS email_enabled,
+        CAST(CASE WHEN user_id % 10 = 3 THEN 24 ELSE CASE user_id % 5 WHEN 0 THEN 6 WHEN 1 THEN 1 WHEN 2 THEN 8 ELSE 48 END END
+             AS BIGINT) AS digest_frequency_hours,
+        user_id % 6 <> 1 AS alert_price_drop, user_id % 6 <> 2 AS alert_price_increase,
+        CASE user_id % 3 WHEN 1 THEN TIMESTAMP '2024-01-30 14:00:00' WHEN 2 THEN TIMESTAMP '2024-01-28 00:00:00' END
+          AS last_digest_sent_at,
         TIMESTAMP '2023-12-01 00:00:00' AS created_at, TIMESTAMP '2023-12-01 00:00:00' AS updated_at
-        FROM region WHERE r_regionkey < 4""",
+        FROM users WHERE user_id % 5 <> 4""",
     "ph_prev": """SELECT *, lag(price) OVER w AS old_price, lag(currency) OVER w AS old_currency
         FROM price_history WHERE scrape_status = 'success' AND price IS NOT NULL
         WINDOW w AS (PARTITION BY competitor_id ORDER BY scraped_at, id)""",
@@ -91,6 +94,7 @@ def with_models(body: str, *names: str) -> str:
         "pending_alerts": ["detections"],
         "alert_history": ["pending_alerts"],
         "insights": ["products"],
+        "user_alert_settings": ["users"],
     }
     order: list[str] = []
 
@@ -106,6 +110,8 @@ def with_models(body: str, *names: str) -> str:
     if not ctes:
         return body
     b = body.lstrip()
+    if b[:14].upper() == "WITH RECURSIVE":
+        return f"WITH RECURSIVE {ctes},\n{b[14:].lstrip()}"
     if b[:4].upper() == "WITH":
         return f"WITH {ctes},\n{b[4:].lstrip()}"
     return f"WITH {ctes}\n{body}"

@@ -47,17 +47,23 @@ class ModelTables:
 
     @cached_property
     def users(self) -> DataFrame:
-        r = self.raw("region")
-        return r.select(F.col("r_regionkey").cast("bigint").alias("user_id"),
-                        F.concat(F.replace(F.lower("r_name"), F.lit(" "), F.lit("_")), F.lit("@example.com")).alias("email"))
+        """User 0 and one user per four suppliers: grows with the scale factor."""
+        s = self.raw("supplier").select(F.col("s_suppkey").cast("bigint").alias("k"))
+        ids = (s.filter(F.col("k") == 0).select(F.col("k").alias("user_id"))
+               .unionByName(s.filter(F.col("k") % 4 == 0).select((F.col("k") / 4 + 1).cast("bigint").alias("user_id"))))
+        return ids.select("user_id", F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@example.com"))
+                          .alias("email"))
 
     @cached_property
     def products(self) -> DataFrame:
         """One tracked product (group) per supplier: grows with the scale factor."""
         sp = self.raw("supplier")
         created = _ntz("2023-12-01 00:00:00") + F.make_dt_interval(F.lit(0), F.col("s_suppkey") % 720)
+        # user 0 is hot: a third of all products
+        k = F.col("s_suppkey").cast("bigint")
+        owner = F.when(k % 3 == 0, F.lit(0).cast("bigint")).otherwise((k - k % 4) / 4 + 1).cast("bigint")
         return sp.select(F.col("s_suppkey").cast("bigint").alias("id"),
-                         (F.col("s_nationkey") % 5).cast("bigint").alias("user_id"),
+                         owner.alias("user_id"),
                          F.col("s_name").alias("product_name"),
                          (F.col("s_suppkey") % 5 != 0).alias("is_active"),
                          created.alias("created_at"), created.alias("updated_at"))
@@ -96,15 +102,18 @@ class ModelTables:
 
     @cached_property
     def user_alert_settings(self) -> DataFrame:
-        r = self.raw("region").filter(F.col("r_regionkey") < 4)
-        k = F.col("r_regionkey")
-        return r.select(
-            k.cast("bigint").alias("user_id"),
-            (k != 3).alias("email_enabled"),
-            F.when(k == 0, 6).when(k == 1, 12).otherwise(24).cast("int").alias("digest_frequency_hours"),
-            (k != 1).alias("alert_price_drop"),
-            (k != 2).alias("alert_price_increase"),
-            F.when(k != 0, _ntz("2024-01-30 14:00:00")).alias("last_digest_sent_at"),
+        """Four users in five have settings; frequencies, switches and last
+        digests (never, ten hours ago, three days ago) vary by the user's id."""
+        k = F.col("user_id")
+        return self.users.filter(k % 5 != 4).select(
+            "user_id",
+            (k % 7 != 3).alias("email_enabled"),
+            F.when(k % 10 == 3, 24).when(k % 5 == 0, 6).when(k % 5 == 1, 1).when(k % 5 == 2, 8).otherwise(48).cast("int")
+             .alias("digest_frequency_hours"),
+            (k % 6 != 1).alias("alert_price_drop"),
+            (k % 6 != 2).alias("alert_price_increase"),
+            F.when(k % 3 == 1, _ntz("2024-01-30 14:00:00")).when(k % 3 == 2, _ntz("2024-01-28 00:00:00"))
+             .alias("last_digest_sent_at"),
             _ntz("2023-12-01 00:00:00").alias("created_at"),
             _ntz("2023-12-01 00:00:00").alias("updated_at"))
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..config import ensure_checkpoint_dir, ship_package
+from ..config import DEFAULT_DIGEST_HOURS, ensure_checkpoint_dir, ship_package
 from ..operators.alerts import classify_change, pct_change
 
 
@@ -140,25 +140,21 @@ def daily_price_window(history: DataFrame) -> DataFrame:
 # --- L4 ---------------------------------------------------------------------------
 
 def digest_window(alerts: DataFrame, settings: DataFrame, delay: str | None = None) -> DataFrame:
-    """L4: alerts per user per tumbling digest window of the user's frequency
-    (6 / 12 / 24 h): one branch per frequency, unioned (window sizes must be
-    literals).  Users without settings use 24 h."""
+    """L4: alerts per user per tumbling digest window of the user's frequency,
+    any whole number of hours, in one pass: the window's start is the epoch
+    time rounded down to the frequency.  Users without settings, or without a
+    positive frequency, use the default.  As a stream: update or complete
+    mode, one row of state per user and window."""
     a = event_time(alerts, "detected_at")
     if delay:
         a = a.withWatermark("detected_at", delay)
     freq = settings.select("user_id", "digest_frequency_hours")
-    j = a.join(freq, "user_id", "left").withColumn("freq", F.coalesce("digest_frequency_hours", F.lit(24)))
-    parts = []
-    for h in (6, 12, 24):
-        parts.append(j.filter(F.col("freq") == h)
-                     .groupBy("user_id", F.window("detected_at", f"{h} hours").alias("w"))
-                     .agg(F.count(F.lit(1)).alias("alerts"),
-                          F.count_if(F.col("alert_type") == "price_drop").alias("drops"))
-                     .select("user_id", F.lit(h).alias("freq"), F.col("w.start").alias("window_start"), "alerts", "drops"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    hours = F.col("digest_frequency_hours").cast("bigint")
+    j = a.join(freq, "user_id", "left").withColumn(
+        "freq", F.when(hours > 0, hours).otherwise(F.lit(DEFAULT_DIGEST_HOURS)))
+    at, size = F.unix_seconds("detected_at"), F.col("freq") * 3600
+    return (j.groupBy("user_id", "freq", F.timestamp_seconds(at - F.pmod(at, size)).alias("window_start"))
+            .agg(F.count(F.lit(1)).alias("alerts"), F.count_if(F.col("alert_type") == "price_drop").alias("drops")))
 
 
 # --- running, L5, L6 ------------------------------------------------------------------
