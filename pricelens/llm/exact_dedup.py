@@ -37,6 +37,8 @@ _STATE_CONF = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # else every state partition reserves megabytes of disk for its log files
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
