@@ -127,13 +127,14 @@ def run_progress(price_history: DataFrame, competitors: DataFrame) -> DataFrame:
                               retailer_or_domain(F.col("retailer_name"), F.col("url"), "no_www").alias("retailer"))
     total = comp.groupBy("product_id").agg(F.count(F.lit(1)).alias("total"))
     d = price_history.join(comp, "competitor_id").withColumn("run_day", F.to_date("scraped_at"))
-    res = F.struct("competitor_id", "retailer", F.col("price").cast("string").alias("price"), "currency",
+    res = F.struct("competitor_id", "retailer", "price", "currency",
                    F.col("scrape_status").alias("status"), "error_message")
     g = d.groupBy("product_id", "run_day").agg(
         F.count_distinct("competitor_id").alias("completed"),
         F.count_if(F.col("scrape_status") == "failed").alias("failed_items"),
         F.sort_array(F.collect_list(res)).alias("results"))
     return (g.join(total, "product_id")
+            .withColumn("results", F.transform("results", lambda x: x.withField("price", x["price"].cast("string"))))
             .withColumn("status", F.when(F.col("completed") >= F.col("total"), "completed").otherwise("scraping")))
 
 

@@ -49,11 +49,25 @@ FAIL_MESSAGE = ("Could not extract price. This may not be a supported e-commerce
 VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source",
              "track", "wbr"}
 RAW_TEXT_TAGS = {"script", "style", "template"}
+# HTML's optional end tags: a start tag ends the open elements named first, looking no further out than
+# the elements named second
+_BLOCKS = ("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre "
+           "section table ul li dd dt").split()
+IMPLIED_END = {
+    **{t: ({"p"}, {"table", "td", "th", "caption", "button"}) for t in _BLOCKS},
+    "li": ({"li", "p"}, {"ul", "ol", "menu"}),
+    "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}),
+    "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
+    "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}),
+    "tr": ({"tr"}, {"table"}),
+    **{t: ({"thead", "tbody", "tfoot"}, {"table"}) for t in ("thead", "tbody", "tfoot")},
+    "body": ({"head"}, set()),
+}
 
 _ANC = T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("tag", T.StringType()),
                      T.StructField("elem_id", T.StringType()), T.StructField("classes", T.ArrayType(T.StringType()))])
-ELEMENT_SCHEMA = T.StructType([
-    T.StructField("page_id", T.LongType()), T.StructField("idx", T.IntegerType()),
+_ELEMENT_FIELDS = T.StructType([
+    T.StructField("idx", T.IntegerType()),
     T.StructField("parent", T.IntegerType()), T.StructField("depth", T.IntegerType()),
     T.StructField("tag", T.StringType()), T.StructField("elem_id", T.StringType()),
     T.StructField("classes", T.ArrayType(T.StringType())),
@@ -73,10 +87,27 @@ class _ElementTable(HTMLParser):
         self.stack: list[int] = []
         self.texts: list[str] = []
 
+    def _close_implied(self, tag):
+        """End the open elements whose end tag may be left out before ``tag``."""
+        closes, within = IMPLIED_END.get(tag, (frozenset(), frozenset()))
+        for i in range(len(self.stack) - 1, -1, -1):
+            name = self.rows[self.stack[i]]["tag"]
+            if name in within:
+                return
+            if name in closes:
+                self._pop(i)
+                return self._close_implied(tag)
+
+    def _pop(self, i):
+        for j in self.stack[i:]:
+            self.rows[j]["t1"] = len(self.texts)
+        del self.stack[i:]
+
     def _open(self, tag, attrs):
+        self._close_implied(tag)
         d = {}
         for k, v in attrs:
-            d[k] = "" if v is None else v
+            d.setdefault(k, "" if v is None else v)     # the first of equal attributes counts
         anc = [{"idx": self.rows[i]["idx"], "tag": self.rows[i]["tag"], "elem_id": self.rows[i]["elem_id"],
                 "classes": self.rows[i]["classes"]} for i in self.stack]
         row = {"idx": len(self.rows), "parent": self.stack[-1] if self.stack else -1, "depth": len(self.stack),
@@ -99,9 +130,7 @@ class _ElementTable(HTMLParser):
     def handle_endtag(self, tag):
         for i in range(len(self.stack) - 1, -1, -1):
             if self.rows[self.stack[i]]["tag"] == tag:
-                for j in self.stack[i:]:
-                    self.rows[j]["t1"] = len(self.texts)
-                del self.stack[i:]
+                self._pop(i)
                 return
 
     def handle_data(self, data):
@@ -121,16 +150,18 @@ class _ElementTable(HTMLParser):
         return self.rows
 
 
-def _elements_of(page_id: int, html: str) -> list[dict]:
+def element_schema(key: T.DataType) -> T.StructType:
+    """The element table's schema for pages with keys of this type."""
+    return T.StructType([T.StructField("page_id", key), *_ELEMENT_FIELDS.fields])
+
+
+def _elements_of(html: str) -> list[dict]:
     p = _ElementTable()
     try:
         p.feed(html)
-    except Exception:  # malformed markup: keep what was parsed
+    except (AssertionError, ValueError):  # malformed markup: keep what was parsed
         pass
-    rows = p.finish()
-    for r in rows:
-        r["page_id"] = page_id
-    return rows
+    return p.finish()
 
 
 _BATCH_ROWS = 20000   # output rows per Arrow batch (bounds executor memory per task)
@@ -140,7 +171,7 @@ def _arrow_schema():
     import pyarrow as pa
     anc = pa.struct([("idx", pa.int32()), ("tag", pa.string()), ("elem_id", pa.string()),
                      ("classes", pa.list_(pa.string()))])
-    return pa.schema([("page_id", pa.int64()), ("idx", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()),
+    return pa.schema([("idx", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()),
                       ("tag", pa.string()), ("elem_id", pa.string()), ("classes", pa.list_(pa.string())),
                       ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("ancestors", pa.list_(anc))])
 
@@ -148,9 +179,7 @@ def _arrow_schema():
 def _explode_pages(batches):
     """Arrow batches of (page_id, html) -> Arrow batches of element rows."""
     import pyarrow as pa
-    schema = _arrow_schema()
-    names = schema.names
-    cols = {n: [] for n in names}
+    schema = None
 
     def flush():
         out = pa.RecordBatch.from_arrays([pa.array(cols[n], type=schema.field(n).type) for n in names], schema=schema)
@@ -159,13 +188,17 @@ def _explode_pages(batches):
         return out
 
     for batch in batches:
+        if schema is None:
+            schema = pa.schema([batch.schema.field("page_id"), *_arrow_schema()])
+            names = schema.names
+            cols = {n: [] for n in names}
         ids = batch.column("page_id").to_pylist()
         htmls = batch.column("html").to_pylist()
         for pid, html in zip(ids, htmls):
             if html is None:
                 continue
-            for r in _elements_of(int(pid), html):
-                cols["page_id"].append(r["page_id"])
+            for r in _elements_of(html):
+                cols["page_id"].append(pid)
                 cols["idx"].append(r["idx"])
                 cols["parent"].append(r["parent"])
                 cols["depth"].append(r["depth"])
@@ -177,29 +210,30 @@ def _explode_pages(batches):
                 cols["ancestors"].append(r["ancestors"])
             if len(cols["idx"]) >= _BATCH_ROWS:
                 yield flush()
-    if cols["idx"]:
+    if schema is not None and cols["idx"]:
         yield flush()
 
 
-def html_elements(pages: DataFrame) -> DataFrame:
-    """(page_id, html) -> element table.  Runs per Arrow batch inside the
-    executors (``mapInArrow``); output batches are bounded in rows."""
+def html_elements(pages: DataFrame, partitions: int | None = None) -> DataFrame:
+    """(page_id, html) -> element table; page ids of any type.  Runs per
+    Arrow batch inside the executors (``mapInArrow``); output batches are
+    bounded in rows.  Parsing is CPU-bound: ``partitions`` deals the pages out
+    first where the scan has few splits."""
     ship_package(pages.sparkSession)
-    p = pages.select(F.col("page_id").cast("bigint"), "html")
-    # parsing is CPU-bound Python: make sure every core gets pages even when
-    # the scan yields few partitions (few large files / row groups)
-    try:
-        par = p.sparkSession.sparkContext.defaultParallelism
-        if p.rdd.getNumPartitions() < par:
-            p = p.repartition(par)
-    except Exception:  # no RDD API (e.g. a Connect session): keep the scan's partitioning
-        pass
-    return p.mapInArrow(_explode_pages, ELEMENT_SCHEMA)
+    p = pages.select("page_id", "html")
+    if partitions:
+        p = p.repartition(partitions)
+    return p.mapInArrow(_explode_pages, element_schema(p.schema["page_id"].dataType))
 
 
-def landed_html(pages: DataFrame, max_bytes: int = C.MAX_PAGE_BYTES) -> DataFrame:
-    """Landed pages; bodies over 5 MB are discarded."""
-    return pages.filter(F.octet_length("html") <= max_bytes)
+def landed_html(pages: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Landed pages with ``landed_error``.  With ``max_bytes`` a larger
+    body is not kept and the error says so; by default every body is kept."""
+    if max_bytes is None:
+        return pages.withColumn("landed_error", F.lit(None).cast("string"))
+    large = F.octet_length("html") > max_bytes
+    return (pages.withColumn("landed_error", F.when(large, F.lit(f"Page body exceeds {max_bytes} bytes")))
+            .withColumn("html", F.when(F.col("landed_error").isNull(), F.col("html"))))
 
 
 # --- selectors as data ---------------------------------------------------------------
@@ -308,7 +342,7 @@ def page_price(pages: DataFrame, elements: DataFrame | None = None) -> DataFrame
             .select("page_id", F.col("b.price").alias("price"), F.coalesce(F.col("b.currency"), F.lit("USD")).alias("currency")))
 
 
-def scrape_result(targets: DataFrame, pages: DataFrame) -> DataFrame:
+def scrape_result(targets: DataFrame, pages: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """(competitor_id, url) + landed (url, page_id, html) -> (price,
     currency, status, error): normalise (B14) -> safety (B15) -> page price
     (J5); a failure gives USD and a fixed message."""
@@ -316,11 +350,11 @@ def scrape_result(targets: DataFrame, pages: DataFrame) -> DataFrame:
     t = targets.select("competitor_id", n["url"].alias("nurl"), n["error"].alias("norm_error"))
     s = url_safety(F.col("nurl"))
     t = t.withColumn("safe_error", F.when(F.col("nurl").isNotNull(), s["error"]))
-    landed = landed_html(pages)
+    landed = landed_html(pages, max_bytes)
     prices = page_price(landed)
-    pg = landed.select(F.col("url").alias("nurl"), "page_id").join(prices, "page_id")
+    pg = landed.select(F.col("url").alias("nurl"), "page_id", "landed_error").join(prices, "page_id")
     j = t.join(pg, "nurl", "left")
-    err = F.coalesce(F.col("norm_error"), F.col("safe_error"),
+    err = F.coalesce(F.col("norm_error"), F.col("safe_error"), F.col("landed_error"),
                      F.when(F.col("price").isNull(), F.lit(FAIL_MESSAGE)))
     return j.select("competitor_id", F.when(err.isNull(), F.col("price")).alias("price"),
                     F.when(err.isNull(), F.col("currency")).otherwise(F.lit("USD")).alias("currency"),
@@ -453,6 +487,6 @@ def generic_catalog(pages: DataFrame) -> DataFrame:
     c = cards.select("page_id", F.col("card_idx").cast("bigint").alias("ordinal"), "name", "price", "currency",
                      "product_url", "image_url", F.lit(None).cast("string").alias("sku"), "platform",
                      F.lit("cards").alias("source"))
-    j = ld.select("page_id", (F.col("block").cast("bigint") * 100000 + F.col("pos")).alias("ordinal"), "name", "price",
+    j = ld.select("page_id", (F.shiftleft(F.col("block").cast("bigint"), 32) + F.col("pos")).alias("ordinal"), "name", "price",
                   "currency", "product_url", "image_url", "sku", "platform", F.lit("json_ld").alias("source"))
     return c.unionByName(j)

@@ -43,7 +43,9 @@ def track_products(items: DataFrame, as_of) -> dict[str, DataFrame]:
     if dict(items.dtypes)["request_id"] == "string":
         comp_id = F.sha2(F.concat_ws("|", F.col("request_id"), F.col("ordinal").cast("string")), 256)
     else:
-        comp_id = F.col("request_id") * F.lit(1 << 32) + F.col("ordinal")
+        fits = (F.col("request_id") < F.lit(1 << 31)) & (F.col("ordinal") < F.lit(1 << 32))
+        comp_id = F.when(fits, F.col("request_id") * F.lit(1 << 32) + F.col("ordinal")).otherwise(
+            F.raise_error(F.lit("request_id or ordinal too large for an integer key; use string keys")).cast("bigint"))
     competitors = it.select(comp_id.alias("id"), F.col("request_id").alias("product_id"), "url",
                             domain_of(F.col("url"), "lower").alias("retailer_name"),
                             F.col("threshold").cast("decimal(5,2)").alias("alert_threshold_percent"),

@@ -39,7 +39,8 @@ def scrape_and_detect(tables: dict[str, DataFrame], landed_pages: DataFrame, as_
     if dict(res.dtypes)["competitor_id"] == "string":      # UUID-style keys
         new_id = F.sha2(F.concat_ws("|", F.col("competitor_id"), day.cast("string")), 256)
     else:
-        new_id = day * F.lit(1 << 32) + F.col("competitor_id")
+        new_id = F.when(F.col("competitor_id") < F.lit(1 << 32), day * F.lit(1 << 32) + F.col("competitor_id")).otherwise(
+            F.raise_error(F.lit("competitor_id too large for an integer key; use string keys")).cast("bigint"))
     new_rows = res.select(new_id.alias("id"), "competitor_id", "price",
                           "currency", now.alias("scraped_at"), F.col("status"), F.col("error_message").alias("error"))
     new_hist = MT.append_prices(new_rows, as_of)

@@ -9,28 +9,28 @@ from ..sources import catalog as CT
 from ..sources.landed import landed_catalog
 from .registry import query
 
-_OUT = ["store", "source_rank", "ordinal", "name", "price", "currency", "image_url", "product_url", "in_stock", "tags"]
+_OUT = ["store", "source_rank", "page", "ordinal", "name", "price", "currency", "image_url", "product_url", "in_stock", "tags"]
 
 # expected normalised rows, stated directly over part
 _EXP = r"""
 b AS (SELECT pid, name, price AS p, product_type, sku, in_stock, tags, pid % 6 AS s,
         'https://store' || CAST(pid % 6 AS VARCHAR) || '.example.com' AS store, pid // 6 AS seq, (pid // 6) // 50 AS page,
         replace(name, ' ', '-') || '-' || CAST(pid AS VARCHAR) AS handle,
-        (pid // 6) // 50 * 100000 + row_number() OVER (PARTITION BY pid % 6, (pid // 6) // 50 ORDER BY pid // 6) - 1 AS ordinal
+        row_number() OVER (PARTITION BY pid % 6, (pid // 6) // 50 ORDER BY pid // 6) - 1 AS ordinal
       FROM catalog),
-a2 AS (SELECT store, CAST(1 AS BIGINT) AS source_rank, ordinal,
+a2 AS (SELECT store, CAST(1 AS BIGINT) AS source_rank, page, ordinal,
         name, CASE WHEN pid % 17 = 0 THEN NULL ELSE CAST(CAST(p AS DECIMAL(10,2)) AS DOUBLE) END AS price, 'USD' AS currency,
         CASE WHEN pid % 3 = 0 THEN NULL ELSE 'https://cdn.example.com/' || CAST(pid AS VARCHAR) || '.jpg' END AS image_url,
         store || '/products/' || handle AS product_url, CASE WHEN pid % 17 = 0 THEN false ELSE in_stock END AS in_stock,
         list_filter(list_transform(tags, lambda x: trim(x)), lambda x: x <> '') AS tags, product_type, name AS description
       FROM b WHERE s IN (0, 1, 2) AND (pid % 13 <> 0 OR pid % 17 = 0)),
-a3 AS (SELECT store, CAST(2 AS BIGINT) AS source_rank, ordinal,
+a3 AS (SELECT store, CAST(2 AS BIGINT) AS source_rank, page, ordinal,
         name, CAST(CAST(p AS DECIMAL(10,2)) AS DOUBLE) AS price, CASE WHEN pid % 5 = 0 THEN 'CAD' ELSE 'USD' END AS currency,
         'https://cdn.example.com/' || CAST(pid AS VARCHAR) || '.png' AS image_url,
         store || '/products/' || handle AS product_url, in_stock, tags,
         product_type, name AS description
       FROM b WHERE s IN (1, 3) AND page % 5 <> 4),
-a4 AS (SELECT store, CAST(3 AS BIGINT) AS source_rank, ordinal,
+a4 AS (SELECT store, CAST(3 AS BIGINT) AS source_rank, page, ordinal,
         name, CASE WHEN pid % 11 = 0 THEN CAST(round(p) AS DOUBLE) ELSE CAST(CAST(CAST(round(p * 100) AS BIGINT) AS DECIMAL(38,0)) / 100 AS DOUBLE) END AS price,
         CASE WHEN pid % 5 = 0 THEN 'EUR' ELSE 'USD' END AS currency,
         'https://img.example.com/' || CAST(pid AS VARCHAR) AS image_url,
@@ -38,7 +38,7 @@ a4 AS (SELECT store, CAST(3 AS BIGINT) AS source_rank, ordinal,
         CASE WHEN pid % 7 = 1 THEN true ELSE in_stock END AS in_stock, list_filter(tags, lambda x: x <> '') AS tags,
         NULL AS product_type, CASE WHEN pid % 3 = 0 THEN 'short ' || name ELSE name END AS description
       FROM b WHERE s = 4),
-a5 AS (SELECT store, CAST(4 AS BIGINT) AS source_rank, ordinal,
+a5 AS (SELECT store, CAST(4 AS BIGINT) AS source_rank, page, ordinal,
         name, CAST(CAST(p AS DECIMAL(10,2)) AS DOUBLE) AS price, 'USD' AS currency,
         'https://img.example.com/' || CAST(pid AS VARCHAR) AS image_url, store || '/product/' || handle AS product_url,
         in_stock, list_filter([tags[1], sku], lambda x: x <> '') AS tags, NULL AS product_type, name AS description
@@ -46,7 +46,7 @@ a5 AS (SELECT store, CAST(4 AS BIGINT) AS source_rank, ordinal,
 allrows AS (SELECT * FROM a2 UNION ALL SELECT * FROM a3 UNION ALL SELECT * FROM a4 UNION ALL SELECT * FROM a5),
 best AS (SELECT * FROM allrows a WHERE source_rank = (SELECT min(source_rank) FROM allrows x WHERE x.store = a.store))"""
 
-_COLS = "store, source_rank, ordinal, name, price, currency, image_url, product_url, in_stock, tags"
+_COLS = "store, source_rank, page, ordinal, name, price, currency, image_url, product_url, in_stock, tags"
 
 
 def _landed(m):
@@ -87,68 +87,84 @@ def g1(m):
     return _norm(m).select(*_OUT)
 
 
-@query("F8_first_match_source", f"WITH {_EXP} SELECT store, source_rank, ordinal, name FROM best", ("catalog",))
+@query("F8_first_match_source", f"WITH {_EXP} SELECT store, source_rank, page, ordinal, name FROM best", ("catalog",))
 def f8(m):
     """F8: per store only the best-ranked source that produced rows."""
-    return CT.first_match_source(_norm(m)).select("store", "source_rank", "ordinal", "name")
+    return CT.first_match_source(_norm(m)).select("store", "source_rank", "page", "ordinal", "name")
 
 
 @query("B5_keyword_filter", f"""WITH {_EXP}
-SELECT store, source_rank, ordinal FROM allrows
+SELECT store, source_rank, page, ordinal FROM allrows
 WHERE contains(lower(concat_ws(' ', coalesce(name, ''), coalesce(product_type, ''), array_to_string(coalesce(tags, []), ' '),
                               coalesce(description, ''))), 'ring')
    OR contains(lower(concat_ws(' ', coalesce(name, ''), coalesce(product_type, ''), array_to_string(coalesce(tags, []), ' '),
                               coalesce(description, ''))), 'bolt')""", ("catalog",))
 def b5(m):
     """Keyword 'Ring  BOLT' (any word, case-insensitive)."""
-    return CT.keyword_filter(_norm(m), "Ring  BOLT").select("store", "source_rank", "ordinal")
+    return CT.keyword_filter(_norm(m), "Ring  BOLT").select("store", "source_rank", "page", "ordinal")
 
 
-@query("B6_stock_filter", f"WITH {_EXP} SELECT store, source_rank, ordinal FROM allrows WHERE NOT in_stock", ("catalog",))
+@query("B6_stock_filter", f"WITH {_EXP} SELECT store, source_rank, page, ordinal FROM allrows WHERE NOT in_stock", ("catalog",))
 def b6(m):
     """Out-of-stock rows."""
-    return CT.stock_filter(_norm(m), "out_of_stock").select("store", "source_rank", "ordinal")
+    return CT.stock_filter(_norm(m), "out_of_stock").select("store", "source_rank", "page", "ordinal")
 
 
 _F6 = f"""WITH {_EXP},
-r AS (SELECT *, ordinal // 100000 AS pg, row_number() OVER (PARTITION BY store ORDER BY ordinal) AS rn FROM best),
+r AS (SELECT *, page AS pg, row_number() OVER (PARTITION BY store ORDER BY page, ordinal) AS rn FROM best),
 fp AS (SELECT store, pg, min(rn) AS first FROM r GROUP BY 1, 2),
 f AS (SELECT r.* FROM r JOIN fp USING (store, pg) WHERE fp.first <= 30),
-k AS (SELECT *, row_number() OVER (PARTITION BY store ORDER BY ordinal) AS rank_in_store FROM f
+k AS (SELECT *, row_number() OVER (PARTITION BY store ORDER BY page, ordinal) AS rank_in_store FROM f
       WHERE contains(lower(concat_ws(' ', coalesce(name, ''), coalesce(product_type, ''),
                      array_to_string(coalesce(tags, []), ' '), coalesce(description, ''))), 'widget'))"""
 
 
-@query("F6_limit_after_filter", _F6 + " SELECT store, ordinal, rank_in_store FROM k WHERE rank_in_store <= 7", ("catalog",))
+@query("F6_limit_after_filter", _F6 + " SELECT store, page, ordinal, rank_in_store FROM k WHERE rank_in_store <= 7", ("catalog",))
 def f6(m):
     """fetch budget of 30 rows per store (whole pages), keyword 'widget',
     then the first 7."""
     return CT.fetch_filter_limit(CT.first_match_source(_norm(m)), "widget", 7, max_fetch=30).select(
-        "store", "ordinal", "rank_in_store")
+        "store", "page", "ordinal", "rank_in_store")
 
 
 @query("F10_single_product", f"""WITH {_EXP}
-SELECT store, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY store ORDER BY ordinal) AS rn FROM best) t WHERE rn = 1""",
+SELECT store, page, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY store ORDER BY page, ordinal) AS rn FROM best) t WHERE rn = 1""",
        ("catalog",))
 def f10(m):
     """first product per store."""
-    return CT.single_product(CT.first_match_source(_norm(m))).select("store", "ordinal")
+    return CT.single_product(CT.first_match_source(_norm(m))).select("store", "page", "ordinal")
 
 
-@query("D16_discovery_result", _F6.replace("fp.first <= 30", "fp.first <= 500") + """
-SELECT store, count(*) AS total_found, list(name ORDER BY ordinal) AS names FROM k WHERE rank_in_store <= 20 GROUP BY store""",
+@query("D16_discovery_result", _F6.replace("fp.first <= 30", "true") + """,
+found AS (SELECT store, min(CASE WHEN source_rank <= 2 THEN 'shopify' ELSE 'woocommerce' END) AS platform, count(*) AS total_found,
+  list(name ORDER BY page, ordinal) AS names, list(price ORDER BY page, ordinal) AS prices,
+  list(currency ORDER BY page, ordinal) AS currencies, list(product_url ORDER BY page, ordinal) AS urls
+  FROM k WHERE rank_in_store <= 20 GROUP BY store),
+err AS (SELECT DISTINCT store, left('HTTP 503 from ' || store || repeat(' retry', 50), 200) AS error FROM b WHERE s % 2 = 1
+        UNION ALL SELECT 'https://gone.example.com', 'not found')
+SELECT store, platform, total_found, names, prices, currencies, urls, error FROM found FULL JOIN err USING (store)""",
        ("catalog",))
 def d16(m):
-    """Per store the discovery result for keyword 'widget', limit 20."""
-    r = CT.discovery_result(_norm(m), "widget", 20)
-    return r.select("store", "total_found", F.transform("products", lambda p: p["name"]).alias("names"))
+    """Per store the discovery result for keyword 'widget', limit 20, and
+    the errors of stores that failed (one of them without any row)."""
+    cat = _norm(m)
+    odd = F.regexp_extract("store", r"store(\d+)", 1).cast("bigint") % 2 == 1
+    errors = (cat.select("store").distinct().filter(odd)
+              .withColumn("error", F.concat(F.lit("HTTP 503 from "), "store", F.repeat(F.lit(" retry"), F.lit(50))))
+              .unionByName(m.raw("region").limit(1).select(F.lit("https://gone.example.com").alias("store"),
+                                                           F.lit("not found").alias("error"))))
+    r = CT.discovery_result(cat, "widget", 20, errors=errors)
+    part = {n: F.col("products").getField(c) for c, n in (("name", "names"), ("price", "prices"),
+                                                          ("currency", "currencies"), ("product_url", "urls"))}
+    part["prices"] = part["prices"].cast("array<double>")
+    return r.select("store", "platform", "total_found", *[c.alias(n) for n, c in part.items()], "error")
 
 
 @query("C11_select_join", f"""WITH {_EXP},
 sel AS (SELECT DISTINCT product_url FROM allrows WHERE in_stock
         UNION SELECT 'https://gone.example.com/p/' || CAST(pid AS VARCHAR) FROM b WHERE pid % 97 = 0),
 firsts AS (SELECT product_url, name, price, currency FROM (
-             SELECT *, row_number() OVER (PARTITION BY product_url ORDER BY store, source_rank, ordinal) AS rn FROM allrows) t
+             SELECT *, row_number() OVER (PARTITION BY product_url ORDER BY store, source_rank, page, ordinal) AS rn FROM allrows) t
            WHERE rn = 1)
 SELECT s.product_url, f.name, f.price, coalesce(f.currency, 'USD') AS currency FROM sel s LEFT JOIN firsts f USING (product_url)""",
        ("catalog",))

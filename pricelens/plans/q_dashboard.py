@@ -210,11 +210,17 @@ def d13(m):
 @query("D10_run_progress", """
 WITH t AS (SELECT product_id, count(*) AS total FROM competitors GROUP BY 1),
 r AS (SELECT c.product_id, CAST(p.scraped_at AS DATE) AS run_day, count(DISTINCT p.competitor_id) AS completed,
-             CAST(count_if(p.scrape_status = 'failed') AS BIGINT) AS failed_items
+             CAST(count_if(p.scrape_status = 'failed') AS BIGINT) AS failed_items,
+             list(concat_ws('|', c.id, coalesce(nullif(c.retailer_name, ''), replace(regexp_extract(c.url, '://([^/]*)', 1), 'www.', '')),
+                  coalesce(CAST(p.price AS VARCHAR), ''), p.currency, p.scrape_status, coalesce(p.error_message, ''))
+                  ORDER BY c.id, p.price NULLS FIRST, p.currency, p.scrape_status) AS results
       FROM price_history p JOIN competitors c ON c.id = p.competitor_id GROUP BY 1, 2)
-SELECT r.product_id, run_day, completed, failed_items, total,
+SELECT r.product_id, run_day, completed, failed_items, total, results,
        CASE WHEN completed >= total THEN 'completed' ELSE 'scraping' END AS status
 FROM r JOIN t USING (product_id)""", ("price_history", "competitors"))
 def d10(m):
     """Per run (product, day) completed / total / failed and status."""
-    return DB.run_progress(m.price_history, m.competitors).drop("results")
+    r = DB.run_progress(m.price_history, m.competitors)
+    text = lambda x: F.concat_ws("|", x["competitor_id"].cast("string"), x["retailer"], F.coalesce(x["price"], F.lit("")),
+                                 x["currency"], x["status"], F.coalesce(x["error_message"], F.lit("")))
+    return r.withColumn("results", F.transform("results", text))

@@ -258,10 +258,16 @@ SELECT competitor_id, product_id, price_count, CAST(min_price AS DOUBLE) AS min_
        CAST(CAST((sc // price_count) + CASE WHEN 2 * (sc % price_count) > price_count
                  OR (2 * (sc % price_count) = price_count AND (sc // price_count) % 2 = 1) THEN 1 ELSE 0 END
             AS DECIMAL(18,0)) * 0.01 AS DOUBLE) AS average_price,
-       count(*) OVER (PARTITION BY product_id) AS total_competitors
+       count(*) OVER (PARTITION BY product_id) AS total_competitors,
+       (SELECT list(CAST(x.price AS DOUBLE) || ' ' || x.currency || ' ' || strftime(x.scraped_at, '%Y-%m-%d %H:%M:%S') ORDER BY x.scraped_at, x.id)
+        FROM (SELECT *, row_number() OVER (PARTITION BY competitor_id ORDER BY scraped_at DESC, id DESC) AS rn FROM w) x
+        WHERE x.rn <= 10 AND x.competitor_id = j.competitor_id) AS points
 FROM j""", ("price_history", "competitors"))
 def d5(m):
-    """Insight input features per competitor (scalar part)."""
+    """Insight input features per competitor, its last ten points as text."""
     f = H.insight_features(m.price_history, m.competitors, AS_OF, 30)
     return f.select("competitor_id", "product_id", "price_count", "min_price", "max_price", "first_price",
-                    "current_price", "average_price", "total_competitors")
+                    "current_price", "average_price", "total_competitors",
+                    F.transform("price_history", lambda p: F.concat_ws(
+                        " ", p["price"].cast("double").cast("string"), p["currency"],
+                        F.date_format(p["scraped_at"], "yyyy-MM-dd HH:mm:ss"))).alias("points"))

@@ -21,7 +21,8 @@ def _track_items(m):
             .select(s.alias("request_id"), (s % 5).alias("user_id"),
                     F.concat(F.lit("Group "), s.cast("string"), F.lit(" <main>")).alias("group_name"),
                     F.when(s == 4, F.lit(150)).otherwise(F.lit(5) * (s % 3)).alias("threshold"),
-                    "ordinal", F.col("product_url").alias("url"), "price", "currency"))
+                    (F.col("page") * 100000 + F.col("ordinal")).alias("ordinal"),
+                    F.col("product_url").alias("url"), "price", "currency"))
 
 
 @query("K1_track_products", f"""WITH {_EXP},
@@ -36,7 +37,7 @@ def k1(m):
 
 
 @query("K1_track_competitors", f"""WITH {_EXP},
-it AS (SELECT CAST(regexp_extract(store, 'store(\\d+)', 1) AS BIGINT) AS request_id, ordinal, product_url FROM best
+it AS (SELECT CAST(regexp_extract(store, 'store(\\d+)', 1) AS BIGINT) AS request_id, page * 100000 + ordinal AS ordinal, product_url FROM best
        WHERE in_stock)
 SELECT request_id * 4294967296 + ordinal AS id, request_id AS product_id,
        regexp_replace(lower(regexp_extract(product_url, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://([^/?#]*)', 1)), '^www\\.', '') AS retailer_name,

@@ -58,15 +58,17 @@ def a11(m):
 
 
 @query("B13_catalog_projection", f"""WITH {_EXP}
-SELECT name, price, currency, image_url, product_url, 'shopify' AS platform, in_stock FROM a2""", ("catalog",))
+SELECT a2.name, a2.price, a2.currency, a2.image_url, a2.product_url, 'shopify' AS platform,
+  CASE WHEN b.pid % 17 <> 0 THEN CAST(b.pid * 10 AS VARCHAR) END AS variant_id, CASE WHEN b.pid % 17 <> 0 THEN b.sku END AS sku, a2.in_stock
+FROM a2 JOIN b ON b.store = a2.store AND b.page = a2.page AND b.ordinal = a2.ordinal""", ("catalog",))
 def b13(m):
     """Unified catalog rows projected to the response columns."""
     n = CT.shopify_products_json(landed_catalog(m.catalog)["shopify_json"])
-    return n.select("name", "price", "currency", "image_url", "product_url", "platform", "in_stock")
+    return n.select("name", "price", "currency", "image_url", "product_url", "platform", "variant_id", "sku", "in_stock")
 
 
 @query("C10_track_zip", f"""WITH {_EXP},
-it AS (SELECT CAST(regexp_extract(store, 'store(\\d+)', 1) AS BIGINT) AS request_id, ordinal, price, currency FROM best
+it AS (SELECT CAST(regexp_extract(store, 'store(\\d+)', 1) AS BIGINT) AS request_id, page * 100000 + ordinal AS ordinal, price, currency FROM best
        WHERE in_stock)
 SELECT request_id * 4294967296 + ordinal AS competitor_id, CAST(CAST(price AS DECIMAL(10,2)) AS DOUBLE) AS price, currency
 FROM it WHERE request_id <> 4 AND price IS NOT NULL""", ("catalog",))
@@ -178,31 +180,31 @@ def i8(m):
     return i.select("id", TX.insight_type(t).alias("insight_type"))
 
 
-@query("J1_json_path", f"""WITH {_EXP} SELECT store, ordinal, currency FROM a3""", ("catalog",))
+@query("J1_json_path", f"""WITH {_EXP} SELECT store, page, ordinal, currency FROM a3""", ("catalog",))
 def j1(m):
     """Nested JSON paths with defaults (storefront currency code)."""
-    return CT.shopify_storefront(landed_catalog(m.catalog)["shopify_storefront"]).select("store", "ordinal", "currency")
+    return CT.shopify_storefront(landed_catalog(m.catalog)["shopify_storefront"]).select("store", "page", "ordinal", "currency")
 
 
-@query("J2_tags_split", f"""WITH {_EXP} SELECT store, ordinal, tags FROM a2""", ("catalog",))
+@query("J2_tags_split", f"""WITH {_EXP} SELECT store, page, ordinal, tags FROM a2""", ("catalog",))
 def j2(m):
     """Tags given as JSON array or comma string -> clean array."""
-    return CT.shopify_products_json(landed_catalog(m.catalog)["shopify_json"]).select("store", "ordinal", "tags")
+    return CT.shopify_products_json(landed_catalog(m.catalog)["shopify_json"]).select("store", "page", "ordinal", "tags")
 
 
-@query("J3_names_of", f"""WITH {_EXP} SELECT store, ordinal, tags FROM a5""", ("catalog",))
+@query("J3_names_of", f"""WITH {_EXP} SELECT store, page, ordinal, tags FROM a5""", ("catalog",))
 def j3(m):
     """Names of category / tag objects (Woo REST: categories ++ tags)."""
-    return CT.woo_rest_api(landed_catalog(m.catalog)["woo_rest"]).select("store", "ordinal", "tags")
+    return CT.woo_rest_api(landed_catalog(m.catalog)["woo_rest"]).select("store", "page", "ordinal", "tags")
 
 
-@query("G2_union_pages", f"WITH {_EXP} SELECT store, ordinal, name FROM a2", ("catalog",))
+@query("G2_union_pages", f"WITH {_EXP} SELECT store, page, ordinal, name FROM a2", ("catalog",))
 def g2(m):
     """Landed pages written as files (one per store page) and scanned
     back as one multi-file source, then normalised."""
     path = _scratch(m.spark, "landed")
     CT.write_landed_pages(landed_catalog(m.catalog)["shopify_json"], path)
-    return CT.shopify_products_json(CT.read_landed_pages(m.spark, path)).select("store", "ordinal", "name")
+    return CT.shopify_products_json(CT.read_landed_pages(m.spark, path)).select("store", "page", "ordinal", "name")
 
 
 @query("L5_late_data")

@@ -60,7 +60,8 @@ def table_schemas(key: T.DataType = T.StringType()) -> dict[str, T.StructType]:
 
 # unified catalog row (DiscoveredProduct)
 CATALOG_ROW = T.StructType([
-    _f("store", T.StringType()), _f("source_rank", T.IntegerType()), _f("ordinal", T.LongType()),
+    _f("store", T.StringType()), _f("source_rank", T.IntegerType()),
+    _f("page", T.LongType()), _f("ordinal", T.LongType()),
     _f("name", T.StringType()), _f("price", CATALOG_PRICE), _f("currency", T.StringType()),
     _f("image_url", T.StringType()), _f("product_url", T.StringType()), _f("platform", T.StringType()),
     _f("variant_id", T.StringType()), _f("sku", T.StringType()), _f("in_stock", T.BooleanType()),

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from .. import config as C
 from ..functions.price import minor_units
-from ..functions.text import keyword_match
+from ..functions.text import keyword_match, py_strip
 from ..functions.url import url_join
 
 S = T.StringType()
@@ -70,7 +70,7 @@ def tags_of(raw: Column) -> Column:
     """Tags given as a JSON array (kept as is) or as a comma string
     (split, trimmed, empty parts dropped)."""
     arr = F.from_json(raw, T.ArrayType(S))
-    split = _nonempty(F.transform(F.split(raw, ","), lambda x: F.trim(x)))
+    split = _nonempty(F.transform(F.split(raw, ","), lambda x: py_strip(x)))
     return F.when(F.trim(raw).startswith("["), arr).otherwise(split)
 
 
@@ -78,19 +78,16 @@ def _price(s: Column) -> Column:
     return F.when(s.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)\s*$"), F.trim(s).try_cast("decimal(18,4)"))
 
 
-def _unified(store, rank, ordinal, name, price, currency, image, url, platform, variant, sku, in_stock,
+def _unified(store, rank, page, ordinal, name, price, currency, image, url, platform, variant, sku, in_stock,
              ptype, tags, desc) -> list[Column]:
-    return [store.alias("store"), F.lit(rank).cast("int").alias("source_rank"), ordinal.cast("bigint").alias("ordinal"),
+    return [store.alias("store"), F.lit(rank).cast("int").alias("source_rank"),
+            page.cast("bigint").alias("page"), ordinal.cast("bigint").alias("ordinal"),
             name.alias("name"), price.cast("decimal(18,4)").alias("price"), currency.alias("currency"),
             image.alias("image_url"), url.alias("product_url"), F.lit(platform).alias("platform"),
             variant.cast("string").alias("variant_id"), sku.alias("sku"), in_stock.alias("in_stock"),
             ptype.alias("product_type"), tags.alias("tags"), desc.alias("description")]
 
 
-def _ordinal(page: Column, pos: Column) -> Column:
-    return page.cast("bigint") * 100000 + pos
-
-
 def shopify_products_json(pages: DataFrame) -> DataFrame:
     """A2: products.json pages.  First image, first variant's price / id /
     sku / available; url = store + /products/ + handle; USD; no variants key
@@ -101,7 +98,7 @@ def shopify_products_json(pages: DataFrame) -> DataFrame:
     v = F.try_element_at(F.col("x.variants"), F.lit(1))
     has_v = F.col("x.variants").isNotNull()
     return e.select(*_unified(
-        F.col("store"), 1, _ordinal(F.col("page"), F.col("pos")), F.col("x.title"), _price(v["price"]), F.lit("USD"),
+        F.col("store"), 1, F.col("page"), F.col("pos"), F.col("x.title"), _price(v["price"]), F.lit("USD"),
         F.try_element_at(F.col("x.images"), F.lit(1))["src"],
         url_join(F.col("store"), F.concat(F.lit("/products/"), F.coalesce(F.col("x.handle"), F.lit("")))), "shopify",
         F.when(has_v, v["id"]), v["sku"], F.when(has_v, F.coalesce(v["available"], F.lit(False))).otherwise(F.lit(False)),
@@ -116,7 +113,7 @@ def shopify_storefront(pages: DataFrame) -> DataFrame:
     v = F.try_element_at(n["variants"]["edges"], F.lit(1))["node"]
     mvp = n["priceRange"]["minVariantPrice"]
     return e.select(*_unified(
-        F.col("store"), 2, _ordinal(F.col("page"), F.col("pos")), n["title"], _price(mvp["amount"]),
+        F.col("store"), 2, F.col("page"), F.col("pos"), n["title"], _price(mvp["amount"]),
         F.coalesce(mvp["currencyCode"], F.lit("USD")), F.try_element_at(n["images"]["edges"], F.lit(1))["node"]["url"],
         url_join(F.col("store"), F.concat(F.lit("/products/"), n["handle"])), "shopify", v["id"], v["sku"],
         F.coalesce(v["availableForSale"], F.lit(False)), n["productType"], F.coalesce(n["tags"], F.array().cast("array<string>")),
@@ -132,7 +129,7 @@ def woo_store_api(pages: DataFrame) -> DataFrame:
                      F.concat(F.col("store"), F.lit("/product/"), x["slug"]))
     desc = F.coalesce(F.when(x["description"] != "", x["description"]), x["short_description"])
     return e.select(*_unified(
-        F.col("store"), 3, _ordinal(F.col("page"), F.col("pos")), x["name"],
+        F.col("store"), 3, F.col("page"), F.col("pos"), x["name"],
         minor_units(x["prices"]["price"], x["prices"]["currency_minor_unit"]),
         F.coalesce(x["prices"]["currency_code"], F.lit("USD")), F.try_element_at(x["images"], F.lit(1))["src"], url, "woocommerce",
         x["id"], x["sku"], F.coalesce(x["is_in_stock"], F.lit(True)), F.lit(None).cast("string"),
@@ -148,7 +145,7 @@ def woo_rest_api(pages: DataFrame) -> DataFrame:
                      F.concat(F.col("store"), F.lit("/product/"), x["slug"]))
     desc = F.coalesce(F.when(x["description"] != "", x["description"]), x["short_description"])
     return e.select(*_unified(
-        F.col("store"), 4, _ordinal(F.col("page"), F.col("pos")), x["name"], _price(x["price"]), F.lit("USD"),
+        F.col("store"), 4, F.col("page"), F.col("pos"), x["name"], _price(x["price"]), F.lit("USD"),
         F.try_element_at(x["images"], F.lit(1))["src"], url, "woocommerce", x["id"], x["sku"],
         F.coalesce(x["in_stock"], F.lit(True)), F.lit(None).cast("string"),
         F.concat(_names(x["categories"]), _names(x["tags"])), desc))
@@ -163,7 +160,7 @@ def generic_html(pages: DataFrame) -> DataFrame:
     g = generic_catalog(pages).join(pages.select("page_id", "url"), "page_id")
     store = F.regexp_extract("url", r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
     return g.select(*_unified(
-        store, 5, F.col("page_id").cast("bigint") * 1000000 + F.col("ordinal"), F.col("name"), F.col("price"),
+        store, 5, F.col("page_id"), F.col("ordinal"), F.col("name"), F.col("price"),
         F.col("currency"), F.col("image_url"), F.col("product_url"), "custom", F.lit(None).cast("string"), F.col("sku"),
         F.lit(True), F.lit(None).cast("string"), F.array().cast("array<string>"), F.lit(None).cast("string")))
 
@@ -211,22 +208,22 @@ def stock_filter(catalog: DataFrame, mode: str = "all") -> DataFrame:
 
 
 def fetch_filter_limit(catalog: DataFrame, keyword: str | None, limit: int,
-                       max_fetch: int = C.MAX_PRODUCTS_FETCH) -> DataFrame:
-    """per store the first ``max_fetch`` rows in source order are fetched
-    (whole pages: the last page may overshoot), the keyword filter applies,
-    then the first ``limit`` are kept.  Bounded per-store ranks become
-    map-side WindowGroupLimits."""
-    w = Window.partitionBy("store").orderBy("ordinal")
-    page_of = (F.col("ordinal") / 100000).cast("bigint")
-    # pages are fetched until max_fetch rows were seen: keep whole pages whose
-    # first row is within the budget
-    ranked = catalog.withColumn("__page", page_of).withColumn("__rn", F.row_number().over(w))
-    first_of_page = ranked.groupBy("store", "__page").agg(F.min("__rn").alias("__first"))
-    fetched = ranked.join(first_of_page, ["store", "__page"]).filter(F.col("__first") <= max_fetch)
-    kept = keyword_filter(fetched, keyword)
-    w2 = Window.partitionBy("store").orderBy("ordinal")
-    return (kept.withColumn("rank_in_store", F.row_number().over(w2)).filter(F.col("rank_in_store") <= limit)
-            .drop("__page", "__rn", "__first"))
+                       max_fetch: int | None = None) -> DataFrame:
+    """the keyword filter, then per store the first ``limit`` rows in
+    source order (page, position): a constant bound, so a map-side
+    WindowGroupLimit.  With ``max_fetch`` only as many whole pages of a store
+    count as a fetcher reads until it has seen that many rows; the pages are
+    chosen by a running sum over the pages' row counts, never over the rows."""
+    if max_fetch is not None:
+        pages = catalog.groupBy("store", "page").agg(F.count(F.lit(1)).alias("__n"))
+        before = F.sum("__n").over(Window.partitionBy("store").orderBy("page")
+                                   .rowsBetween(Window.unboundedPreceding, -1))
+        read = (pages.withColumn("__before", F.coalesce(before, F.lit(0))).filter(F.col("__before") < max_fetch)
+                .select("store", "page"))
+        catalog = catalog.join(read, ["store", "page"], "left_semi")
+    w = Window.partitionBy("store").orderBy("page", "ordinal")
+    return (keyword_filter(catalog, keyword).withColumn("rank_in_store", F.row_number().over(w))
+            .filter(F.col("rank_in_store") <= limit))
 
 
 def single_product(catalog: DataFrame) -> DataFrame:
@@ -243,23 +240,23 @@ def select_join(selected: DataFrame, catalog: DataFrame) -> DataFrame:
     """C11: chosen URLs looked up in the discovered rows (first match by
     store / source order; missing -> price null, USD)."""
     first = (catalog.groupBy("product_url")
-             .agg(F.min_by(F.struct("name", "price", "currency"), F.struct("store", "source_rank", "ordinal")).alias("r")))
+             .agg(F.min_by(F.struct("name", "price", "currency"), F.struct("store", "source_rank", "page", "ordinal")).alias("r")))
     return (distinct_urls(selected).join(first, "product_url", "left")
             .select("product_url", F.col("r.name").alias("name"), F.col("r.price").alias("price"),
                     F.coalesce(F.col("r.currency"), F.lit("USD")).alias("currency")))
 
 
 def discovery_result(catalog: DataFrame, keyword: str | None = None, limit: int = 50,
-                     errors: DataFrame | None = None) -> DataFrame:
+                     errors: DataFrame | None = None, max_fetch: int | None = None) -> DataFrame:
     """Per store platform, total_found and the product array, after the
-    fetch budget, keyword filter and request limit (F6) - so each store's
-    array holds at most ``limit`` products - and a truncated error."""
+    keyword filter and request limit (F6) - so each store's array holds at most
+    ``limit`` products - and a truncated error."""
     if not 1 <= limit <= C.MAX_TRACK_ITEMS:
         raise ValueError("limit must be within 1..5000")
-    catalog = fetch_filter_limit(first_match_source(catalog), keyword, limit)
+    catalog = fetch_filter_limit(first_match_source(catalog), keyword, limit, max_fetch)
     g = catalog.groupBy("store").agg(
         F.min("platform").alias("platform"), F.count(F.lit(1)).alias("total_found"),
-        F.array_sort(F.collect_list(F.struct("ordinal", "name", "price", "currency", "product_url"))).alias("products"))
+        F.array_sort(F.collect_list(F.struct("page", "ordinal", "name", "price", "currency", "product_url"))).alias("products"))
     if errors is not None:
         g = g.join(errors.select("store", F.left(F.col("error"), F.lit(C.ERROR_TEXT_MAX)).alias("error")), "store", "full")
     return g
