@@ -22,8 +22,6 @@ MAX_DIGEST_ALERTS = 50                     # alerts mailed per digest
 LAST_N_POINTS = 10                         # points handed to insight generation
 MAX_INSIGHTS_PER_PRODUCT = 5
 MAX_INSIGHT_TEXT = 500
-MAX_PAGE_BYTES = 5 * 1024 * 1024           # landed HTML bodies above this are dropped
-MAX_PRODUCTS_FETCH = 500                   # catalog rows fetched per store before filtering
 MAX_TRACK_ITEMS = 5000
 DEFAULT_THRESHOLD_PERCENT = Decimal("10.00")
 DEFAULT_DIGEST_HOURS = 24

@@ -39,6 +39,50 @@ def a1(m):
     return load_table(m.spark, path, "price_history", key=T.LongType())
 
 
+_A1_TABLES = ("products", "competitors", "price_history", "insights", "tracking_jobs", "pending_alerts",
+              "user_alert_settings", "alert_history")
+
+
+@query("A1_load_all_tables", """
+WITH tracking_jobs AS (SELECT id, user_id, id AS product_group_id, CAST(1 AS INTEGER) AS total_items, CAST(1 AS INTEGER) AS completed_items,
+  CAST(0 AS INTEGER) AS failed_items, 'completed' AS status, created_at, updated_at FROM products)
+SELECT 'products' AS tbl, id AS key, concat_ws('|', user_id, product_name, is_active, created_at, updated_at) AS cells FROM products
+UNION ALL SELECT 'competitors', id, concat_ws('|', product_id, url, retailer_name, alert_threshold_percent, expected_currency, created_at) FROM competitors
+UNION ALL SELECT 'price_history', id, concat_ws('|', competitor_id, price, currency, scraped_at, scrape_status, error_message) FROM price_history
+UNION ALL SELECT 'insights', id, concat_ws('|', product_id, insight_text, insight_type, confidence_score, generated_at) FROM insights
+UNION ALL SELECT 'tracking_jobs', id, concat_ws('|', user_id, product_group_id, total_items, completed_items, failed_items, status, created_at, updated_at) FROM tracking_jobs
+UNION ALL SELECT 'pending_alerts', id, concat_ws('|', user_id, product_id, competitor_id, alert_type, old_price, new_price,
+  price_change_percent, threshold_percent, old_currency, new_currency, included_in_digest, detected_at) FROM pending_alerts
+UNION ALL SELECT 'user_alert_settings', user_id, concat_ws('|', email_enabled, digest_frequency_hours, alert_price_drop,
+  alert_price_increase, last_digest_sent_at, created_at, updated_at) FROM user_alert_settings
+UNION ALL SELECT 'alert_history', id, concat_ws('|', user_id, digest_sent_at, alerts_count, email_status, error_message) FROM alert_history""",
+       ("products", "competitors", "price_history", "insights", "pending_alerts", "user_alert_settings", "alert_history"))
+def a1_all(m):
+    """A1: every application table written, and scanned back with its fixed
+    schema; all cells of all rows as text."""
+    import os
+    import uuid
+    from pyspark.sql import types as T
+    from ..config import ensure_checkpoint_dir
+    from ..schemas import table_schemas
+    from ..sources.tables import load_table
+    base = os.path.join(ensure_checkpoint_dir(m.spark), "tables", f"all-{uuid.uuid4().hex[:10]}")
+    jobs = m.products.select("id", "user_id", F.col("id").alias("product_group_id"), F.lit(1).alias("total_items"),
+                             F.lit(1).alias("completed_items"), F.lit(0).alias("failed_items"),
+                             F.lit("completed").alias("status"), "created_at", "updated_at")
+    out = None
+    for name in _A1_TABLES:
+        table = jobs if name == "tracking_jobs" else getattr(m, name)
+        schema = table_schemas(T.LongType())[name]
+        table.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.parquet(f"{base}/{name}")
+        back = load_table(m.spark, f"{base}/{name}", name, key=T.LongType())
+        first, *rest = [f.name for f in schema if f.name != "alert_ids"]
+        rows = back.select(F.lit(name).alias("tbl"), F.col(first).alias("key"),
+                           F.concat_ws("|", *[F.col(c).cast("string") for c in rest]).alias("cells"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("B3_last_n_days", """
 SELECT id, competitor_id, scraped_at FROM price_history
 WHERE scraped_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY""", ("price_history",))

@@ -69,7 +69,8 @@ def h18(m):
     """Platform of landed responses (catalog JSON pages and HTML pages)."""
     from ..sources.landed import landed_catalog
     land = landed_catalog(m.catalog)
-    j = (land["shopify_json"].unionByName(land["woo_store"]).unionByName(land["woo_rest"])
+    j = (land["shopify_json"].unionByName(land["shopify_storefront"]).unionByName(land["woo_store"])
+         .unionByName(land["woo_rest"])
          .select(F.col("payload").alias("body"), F.col("store").alias("url"), "page"))
     h = m.raw("pages").select(F.col("html").alias("body"), "url", F.lit(None).cast("bigint").alias("page"))
     return j.unionByName(h).select("url", "page", U.platform_of_payload(F.col("body"), F.col("url")).alias("platform"))
@@ -168,6 +169,9 @@ SELECT DISTINCT 'https://store' || CAST(p_partkey % 6 AS VARCHAR) || '.example.c
   CASE WHEN p_partkey % 6 IN (0, 1, 2) THEN 'shopify' ELSE 'woocommerce' END AS platform
 FROM part WHERE p_partkey % 6 IN (0, 1, 2, 4, 5)
 UNION ALL
+SELECT DISTINCT 'https://store' || CAST(p_partkey % 6 AS VARCHAR) || '.example.com', (p_partkey // 6) // 50, 'custom'
+FROM part WHERE p_partkey % 6 IN (1, 3)
+UNION ALL
 SELECT url, NULL, CASE WHEN contains(html, 'cdn.shopify') OR contains(html, 'Shopify.theme') THEN 'shopify'
   WHEN lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.\\-]*):', 1)) = 'https'
    AND regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://([^/?#]*)', 1) <> '' THEN 'custom' END FROM pages"""

@@ -11,6 +11,7 @@ from ..operators import maintenance as MT
 from ..sources import catalog as CT
 from ..sources.landed import landed_catalog
 from .q_catalog import _EXP
+from .q_history import _DOMAIN_STRIP, _STATS_SQL
 from .registry import AS_OF, query
 
 
@@ -305,3 +306,33 @@ def a12(m):
     return d.select("id", F.json_array_length(F.get_json_object("document", "$.competitors")).cast("bigint").alias("n_competitors"),
                     F.get_json_object("document", "$.competitors[0].url").alias("first_url"),
                     F.get_json_object("document", "$.product_name").alias("product_name"))
+
+
+@query("A12_chart_document", f"""WITH {_STATS_SQL},
+head AS (SELECT p.id AS product_id, 'product' AS part, CAST(NULL AS BIGINT) AS competitor_id, CAST(NULL AS DATE) AS day,
+    p.product_name AS name, count(w.id) AS n, CAST(NULL AS DOUBLE) AS average_price, CAST(NULL AS DOUBLE) AS low,
+    CAST(NULL AS DOUBLE) AS last, strftime(min(w.scraped_at), '%Y-%m-%dT%H:%M:%S') AS first_at
+  FROM products p LEFT JOIN competitors c ON c.product_id = p.id LEFT JOIN w ON w.competitor_id = c.id GROUP BY p.id, p.product_name),
+comp AS (SELECT product_id, 'competitor', competitor_id, NULL, coalesce(CASE WHEN retailer_name <> '' THEN retailer_name END,
+    {_DOMAIN_STRIP}), NULL, average_price, CAST(min_price AS DOUBLE), CAST(current_price AS DOUBLE), NULL FROM stats),
+pts AS (SELECT c.product_id, 'points', w.competitor_id, CAST(w.scraped_at AS DATE), NULL, count(*), NULL,
+    CAST(min(CASE WHEN w.price <> 0 THEN w.price END) AS DOUBLE),
+    CAST(arg_max(coalesce(CASE WHEN w.price <> 0 THEN w.price END, -1), (w.scraped_at, w.id)) AS DOUBLE),
+    strftime(min(w.scraped_at), '%Y-%m-%dT%H:%M:%S')
+  FROM w JOIN competitors c ON c.id = w.competitor_id GROUP BY 1, 3, 4)
+SELECT * FROM head UNION ALL SELECT * FROM comp UNION ALL SELECT * FROM pts""", ("price_history", "competitors", "products"))
+def a12c(m):
+    """The chart documents' parts, with fields read back out of the JSON."""
+    d = MT.chart_documents(m.products, m.competitors, m.price_history, AS_OF)
+    get = lambda path: F.get_json_object("document", path)
+    pts = F.from_json(get("$.data_points"), "array<struct<timestamp: string, price: double>>")
+    part = F.col("part")
+    return d.select(
+        "product_id", "part", "competitor_id", "day",
+        F.coalesce(get("$.product_name"), get("$.competitor_name")).alias("name"),
+        F.when(part == "product", get("$.total_data_points").cast("bigint")).when(part == "points", F.size(pts).cast("bigint")).alias("n"),
+        get("$.average_price").cast("double").alias("average_price"),
+        F.coalesce(get("$.min_price").cast("double"), F.array_min(F.transform(pts, lambda x: x["price"]))).alias("low"),
+        F.when(part == "points", F.coalesce(F.element_at(pts, -1)["price"], F.lit(-1.0)))
+         .otherwise(get("$.current_price").cast("double")).alias("last"),
+        F.substring(F.coalesce(get("$.date_range_start"), F.element_at(pts, 1)["timestamp"]), 1, 19).alias("first_at"))

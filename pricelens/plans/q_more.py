@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -198,45 +199,47 @@ def j3(m):
     return CT.woo_rest_api(landed_catalog(m.catalog)["woo_rest"]).select("store", "page", "ordinal", "tags")
 
 
-@query("G2_union_pages", f"WITH {_EXP} SELECT store, page, ordinal, name FROM a2", ("catalog",))
+@query("G2_union_pages", f"WITH {_EXP} SELECT store, source_rank, page, ordinal, name FROM allrows", ("catalog",))
 def g2(m):
-    """Landed pages written as files (one per store page) and scanned
-    back as one multi-file source, then normalised."""
-    path = _scratch(m.spark, "landed")
-    CT.write_landed_pages(landed_catalog(m.catalog)["shopify_json"], path)
-    return CT.shopify_products_json(CT.read_landed_pages(m.spark, path)).select("store", "page", "ordinal", "name")
-
-
-@query("L5_late_data")
+    """Landed pages of all four sources written as files (one per store
+    page) and scanned back as multi-file sources, then normalised."""
+    back = {}
+    for kind, pages in landed_catalog(m.catalog).items():
+        path = _scratch(m.spark, f"landed-{kind}")
+        CT.write_landed_pages(pages, path)
+        back[kind] = CT.read_landed_pages(m.spark, path)
+    return CT.normalise(back).select("store", "source_rank", "page", "ordinal", "name")
+
+
+@query("L5_late_data", """
+WITH a AS (SELECT *, CASE WHEN scraped_at >= TIMESTAMP '2024-01-22' THEN 1 WHEN scraped_at >= TIMESTAMP '2024-01-15' THEN 2
+                          WHEN id % 4 = 0 THEN 4 ELSE 3 END AS arrival FROM price_history),
+b AS (SELECT id, date_trunc('day', scraped_at) AS day, arrival FROM a),
+w AS (SELECT arrival, max(scraped_at) AS t FROM a GROUP BY 1),
+mark AS (SELECT n.arrival, max(w.t) - INTERVAL 10 DAY AS mark FROM w n LEFT JOIN w ON w.arrival < n.arrival GROUP BY 1)
+SELECT day, CAST(arrival - 1 AS BIGINT) AS batch, count(*) AS n, CAST(count_if(coalesce(day + INTERVAL 1 DAY <= mark, false)) AS BIGINT) AS late
+FROM b JOIN mark USING (arrival) GROUP BY 1, 2""", ("price_history",))
 def l5(m):
-    """Observations arriving after the watermark are dropped and counted.
-    The history is landed as three files: the newest part, then a middle
-    part, then the oldest part.  Spark filters late rows with the watermark
-    of the previous micro-batch, so the third file's rows are the late ones."""
+    """Observations that arrive behind the watermark (ten days), counted
+    per day and arrival.  The newest part of the history arrives first, then a
+    middle part, then the oldest in two parts."""
     spark = m.spark
-    path = _scratch(spark, "arrivals")
-    ev = m.raw("events")
-    ts = F.col("ts").cast("timestamp_ntz")
-    c1 = F.lit("2024-01-22 00:00:00").cast("timestamp_ntz")
-    c2 = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
-    ev.filter(ts >= c1).coalesce(1).write.parquet(os.path.join(path, "1"))
-    ev.filter((ts >= c2) & (ts < c1)).coalesce(1).write.parquet(os.path.join(path, "2"))
-    ev.filter(ts < c2).coalesce(1).write.parquet(os.path.join(path, "3"))
-    raw = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
-           .parquet(path))
-    obs = raw.select(F.col("event_id").alias("id"), F.col("user_id").alias("competitor_id"),
-                     F.when(F.col("event_type") != "error", F.col("value").cast("decimal(10,2)")).alias("price"),
-                     F.col("ts").cast("timestamp_ntz").alias("scraped_at"),
-                     F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("scrape_status"))
-    agg = S.daily_price_window_stream(obs, "1 day")
-    name = f"l5_{uuid.uuid4().hex[:8]}"
-    out = _scratch(spark, "late_windows")
-    q = (agg.writeStream.format("parquet").option("path", out).outputMode("append")
-         .option("checkpointLocation", S.checkpoint_location(spark, name)).trigger(availableNow=True).start())
-    q.awaitTermination()
-    dropped = S.late_rows_dropped(q)
-    return (spark.read.parquet(out).agg(F.count(F.lit(1)).alias("windows_emitted"))
-            .withColumn("rows_dropped", F.lit(dropped)))
+    path, out = _scratch(spark, "arrivals"), _scratch(spark, "late")
+    h = m.price_history
+    at = lambda day: F.lit(f"{day} 00:00:00").cast("timestamp_ntz")
+    part = (F.when(F.col("scraped_at") >= at("2024-01-22"), 1).when(F.col("scraped_at") >= at("2024-01-15"), 2)
+            .when(F.col("id") % 4 == 0, 4).otherwise(3))
+    h.withColumn("arrival", part).write.partitionBy("arrival").parquet(path)
+    name = S.checkpoint_location(spark, "l5")
+    landed = _scratch(spark, "landed")
+    for k in (1, 2, 3, 4):      # one drained run per arrival, on one checkpoint
+        spark.read.schema(h.schema).parquet(f"{path}/arrival={k}").write.mode("append").parquet(landed)
+        stream = S.event_time(S.price_stream(spark, landed, h.schema, max_files=None))
+        (stream.writeStream.foreachBatch(S.count_late(out, timedelta(days=10))).option("checkpointLocation", name)
+         .trigger(availableNow=True).start().awaitTermination())
+    rows = spark.read.parquet(f"{out}/rows")
+    return (rows.groupBy(F.date_trunc("day", "scraped_at").cast("timestamp_ntz").alias("day"), F.col("batch").cast("bigint").alias("batch"))
+            .agg(F.count(F.lit(1)).alias("n"), F.count_if("late").alias("late")))
 
 
 @query("L6_sink_idempotent", f"SELECT {QA._DET_COLS.replace('reason,', '').replace('CAST(threshold_percent AS DOUBLE) AS threshold_percent,', '')} FROM detections",
@@ -253,7 +256,7 @@ def l6(m):
     q = (s.writeStream.foreachBatch(S.idempotent_sink(out))
          .option("checkpointLocation", S.checkpoint_location(spark, name)).trigger(availableNow=True).start())
     q.awaitTermination()
-    r = spark.read.parquet(out).drop("batch_id")
+    r = S.last_revision(spark.read.parquet(out).drop("batch_id"))
     return r.withColumn("detected_at", F.col("detected_at").cast("timestamp_ntz")).withColumn(
         "reason", F.lit(None).cast("string")).drop("reason")
 

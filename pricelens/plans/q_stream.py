@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
+from ..config import ensure_checkpoint_dir
 from ..sources.tables import model_price_history_stream
 from ..streaming import jobs as S
 from .registry import query
@@ -45,8 +47,21 @@ def l2(m):
     """L2: stateful change detection on the stream (state = last price per
     competitor), drained; equals the batch detection."""
     s = S.stream_alerts(model_price_history_stream(m.spark, m.sf_dir), m.competitors, m.products)
-    t = S.run_to_table(s, f"l2_{uuid.uuid4().hex[:8]}")
-    return _ntz(t, "detected_at")
+    return _ntz(S.last_revision(S.run_to_table(s, "l2")), "detected_at")
+
+
+@query("L2_stream_alerts_out_of_order", f"SELECT {_DET} FROM detections", ("detections",))
+def l2o(m):
+    """L2 over observations that arrive out of order: three arrivals, each with
+    rows between those of the others; with corrections kept for the length of
+    the history the result equals the batch detection."""
+    path = f"{ensure_checkpoint_dir(m.spark)}/scratch/arrivals-{uuid.uuid4().hex[:8]}"
+    h = m.price_history
+    for part in (2, 0, 1):
+        h.filter(F.col("id") % 3 == part).write.mode("append").parquet(path)
+    st = S.price_stream(m.spark, path, h.schema, max_files=1)
+    s = S.stream_alerts(st, m.competitors, m.products, keep=timedelta(days=60))
+    return _ntz(S.last_revision(S.run_to_table(s, "l2o")), "detected_at")
 
 
 @query("L3_daily_price_window", """

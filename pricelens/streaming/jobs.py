@@ -7,9 +7,11 @@ so streams cast it with the session time zone pinned to UTC.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Iterator
+from datetime import timedelta
 from decimal import Decimal
 
 import pandas as pd
@@ -28,8 +30,9 @@ def checkpoint_location(spark: SparkSession, name: str) -> str:
 
 
 def price_stream(spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None,
-                 max_files: int | None = None) -> DataFrame:
-    """New observations landing as parquet files in ``path``."""
+                 max_files: int | None = 1000) -> DataFrame:
+    """New observations landing as parquet files in ``path``; a micro-batch
+    reads at most ``max_files`` of them."""
     r = spark.readStream.schema(schema)
     if glob:
         r = r.option("pathGlobFilter", glob)
@@ -62,45 +65,69 @@ def daily_dedup(history: DataFrame) -> DataFrame:
 
 # --- L2 ---------------------------------------------------------------------------
 
-_PREV_SCHEMA = T.StructType([
-    T.StructField("id", T.LongType()), T.StructField("competitor_id", T.LongType()),
-    T.StructField("price", T.DecimalType(10, 2)), T.StructField("currency", T.StringType()),
-    T.StructField("scraped_at", T.TimestampType()),
-    T.StructField("old_price", T.DecimalType(10, 2)), T.StructField("old_currency", T.StringType())])
-_STATE_SCHEMA = T.StructType([T.StructField("price", T.StringType()), T.StructField("currency", T.StringType()),
-                              T.StructField("ts", T.LongType()), T.StructField("id", T.LongType())])
-
-
-def _carry_previous(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per competitor: remember the last successful (price, currency) and
-    attach the previous one to each new observation in (scraped_at, id)
-    order (vectorised shift; the state seeds the first row)."""
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["scraped_at", "id"], kind="stable")
-    old_p = pdf["price"].shift(1).astype(object)
-    old_c = pdf["currency"].shift(1).astype(object)
-    if state.exists:
-        p, c, _, _ = state.get
-        old_p.iloc[0] = None if p is None else Decimal(p)
-        old_c.iloc[0] = c
-    else:
-        old_p.iloc[0] = None
-        old_c.iloc[0] = None
-    out = pdf.assign(old_price=old_p.where(old_p.notna(), None), old_currency=old_c.where(old_c.notna(), None))
-    last = pdf.iloc[-1]
-    state.update((None if last["price"] is None else str(last["price"]), last["currency"],
-                  int(pd.Timestamp(last["scraped_at"]).value // 1000), int(last["id"])))
-    yield out[["id", "competitor_id", "price", "currency", "scraped_at", "old_price", "old_currency"]]
-
-
-def stream_alerts(stream: DataFrame, competitors: DataFrame, products: DataFrame) -> DataFrame:
-    """L2: change detection on arrival.  State per competitor is one row (the
-    last successful price), so it stays bounded however hot the key is.
+_STATE_SCHEMA = "rows string"
+_KEPT = ["scraped_at", "id", "price", "currency", "revision"]
+
+
+def _carry_previous(keep_us: int, columns: list[str]):
+    """Per competitor: attach to each observation the price and currency of the
+    one before it in (scraped_at, id) order.
+
+    The state holds the observations of the last ``keep_us`` microseconds of
+    event time and the one before them.  A late row is put in its place; the
+    row behind it, handed on before with another predecessor, is handed on
+    again with a higher ``revision``.  A row older than all that is kept has no
+    known predecessor any more: it comes out without one and changes nothing."""
+    def run(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(pdfs), ignore_index=True)
+        new["revision"], new["fresh"] = 0, True
+        lost, whole = new.iloc[:0], True          # whole: the state holds all that was seen
+        if state.exists:
+            whole, rows = json.loads(state.get[0])
+            old = pd.DataFrame({c: [r[k] for r in rows] for k, c in enumerate(_KEPT)})
+            old["scraped_at"] = pd.to_datetime(old["scraped_at"], unit="us").astype(new["scraped_at"].dtype)
+            old["price"] = old["price"].map(Decimal)
+            old["fresh"] = False
+            first = (old["scraped_at"].iloc[0], old["id"].iloc[0])
+            before = (new["scraped_at"] < first[0]) | ((new["scraped_at"] == first[0]) & (new["id"] < first[1]))
+            if not whole:
+                lost, new = new[before], new[~before]
+            new = pd.concat([old, new], ignore_index=True)
+        new = new.sort_values(["scraped_at", "id"], kind="stable", ignore_index=True)
+        again = ~new["fresh"] & new["fresh"].shift(1, fill_value=False)
+        new.loc[again, "revision"] += 1
+        out = new.assign(old_price=new["price"].astype(object).shift(1), old_currency=new["currency"].shift(1))
+        out = pd.concat([out[new["fresh"] | again], lost.assign(old_price=None, old_currency=None)])
+        at = new["scraped_at"].astype("datetime64[us]").astype("int64")
+        start = max(0, int(at.searchsorted(at.iloc[-1] - keep_us, side="left")) - 1) if len(at) else 0
+        kept = new.iloc[start:]
+        rows = [[int(t), i if isinstance(i, str) else int(i), str(p), c, int(r)] for t, i, p, c, r in zip(
+            at.iloc[start:], kept["id"], kept["price"], kept["currency"], kept["revision"])]
+        state.update((json.dumps([whole and start == 0, rows]),))
+        out["competitor_id"] = key[0]
+        out["old_price"] = out["old_price"].where(out["old_price"].notna(), None)
+        out["old_currency"] = out["old_currency"].where(out["old_currency"].notna(), None)
+        yield out[columns]
+    return run
+
+
+def stream_alerts(stream: DataFrame, competitors: DataFrame, products: DataFrame,
+                  keep: timedelta = timedelta(days=1)) -> DataFrame:
+    """L2: change detection on arrival, in event-time order.  Rows that arrive
+    up to ``keep`` late are compared with their true predecessor, and the row
+    behind them comes out again with a higher ``revision`` (``last_revision``
+    reads a table of such rows).  State per competitor: the observations of
+    the last ``keep`` of its event time.  Keys may have any type.
     Classification is the same Column expression as the batch path (I2)."""
     ship_package(stream.sparkSession)
     ok = (event_time(stream).filter((F.col("scrape_status") == "success") & F.col("price").isNotNull())
           .select("id", "competitor_id", "price", "currency", "scraped_at"))
+    schema = T.StructType([*ok.schema.fields, T.StructField("revision", T.IntegerType()),
+                           T.StructField("old_price", ok.schema["price"].dataType),
+                           T.StructField("old_currency", T.StringType())])
     prev = ok.groupBy("competitor_id").applyInPandasWithState(
-        _carry_previous, _PREV_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+        _carry_previous(int(keep.total_seconds() * 1e6), schema.names), schema, _STATE_SCHEMA, "append",
+        GroupStateTimeout.NoTimeout)
     comp = competitors.select(F.col("id").alias("competitor_id"), "product_id",
                               F.col("alert_threshold_percent").alias("threshold_percent"))
     prod = products.select(F.col("id").alias("product_id"), "user_id")
@@ -112,7 +139,13 @@ def stream_alerts(stream: DataFrame, competitors: DataFrame, products: DataFrame
                     "old_price", F.col("price").alias("new_price"),
                     F.when(F.col("old_currency") == F.col("currency"), F.bround(pct, 2)).cast("decimal(12,2)")
                     .alias("price_change_percent"), "old_currency", F.col("currency").alias("new_currency"),
-                    F.col("scraped_at").alias("detected_at"))
+                    F.col("scraped_at").alias("detected_at"), "revision")
+
+
+def last_revision(alerts: DataFrame) -> DataFrame:
+    """The last revision of every row that ``stream_alerts`` handed on."""
+    cols = [c for c in alerts.columns if c not in ("id", "revision")]
+    return alerts.groupBy("id").agg(F.max_by(F.struct(*cols), "revision").alias("r")).select("id", "r.*")
 
 
 # --- L3 ---------------------------------------------------------------------------
@@ -172,21 +205,31 @@ def run_to_table(stream_df: DataFrame, name: str, mode: str = "append") -> DataF
         w = w.format("parquet").option("path", out)
     else:
         w = w.foreachBatch(lambda df, _id: df.write.mode("overwrite").parquet(out))
-    q = w.trigger(availableNow=True).start()
-    q.awaitTermination()
-    try:
-        return spark.read.parquet(out)
-    except Exception:  # nothing was produced: an empty result with the stream's schema
-        return spark.createDataFrame([], stream_df.schema)
-
-
-def late_rows_dropped(query) -> int:
-    """Rows dropped by the watermark, from the query's progress."""
-    total = 0
-    for p in query.recentProgress:
-        for op in p.stateOperators or []:
-            total += int(getattr(op, "numRowsDroppedByWatermark", 0) or 0)
-    return total
+    # the folder exists, empty, before the stream may find nothing to write
+    spark.createDataFrame([], stream_df.schema).write.mode("overwrite").parquet(out)
+    w.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream_df.schema).parquet(out)
+
+
+def count_late(path: str, delay: timedelta, window: str = "1 day"):
+    """foreachBatch handler that tells late observations from others.  An
+    observation is late when its event-time window ended at or before the
+    watermark, the newest event time of all earlier batches less ``delay``.
+    Each batch writes its rows with the flag, and its newest event time, under
+    its own number, so that a batch that is run again replaces its first try."""
+    def handle(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        newest = f"{path}/newest"
+        seen = (spark.read.schema("t timestamp, batch bigint").parquet(newest).filter(F.col("batch") < number)
+                if number else spark.createDataFrame([], "t timestamp, batch bigint"))
+        mark = seen.agg(F.max("t") - F.lit(delay)).scalar()
+        end = F.window("scraped_at", window)["end"]
+        flagged = batch.withColumn("end", end).withColumn(
+            "late", F.coalesce(F.col("end") <= mark, F.lit(False))).drop("end")
+        flagged.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        (spark.read.parquet(f"{path}/rows/batch={number}").agg(F.max("scraped_at").alias("t"))
+         .write.mode("overwrite").parquet(f"{newest}/batch={number}"))
+    return handle
 
 
 def idempotent_sink(path: str):

@@ -1,7 +1,10 @@
 """Streams equal their batch twins."""
 
 import uuid
+from datetime import datetime, timedelta
+from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from pricelens.sources.tables import model_price_history_stream
@@ -16,7 +19,7 @@ def _rows(df, cols):
 
 def test_stream_alerts_equal_batch(spark, model):
     s = S.stream_alerts(model_price_history_stream(spark, SF), model.competitors, model.products)
-    got = S.run_to_table(s, f"t_l2_{uuid.uuid4().hex[:6]}")
+    got = S.last_revision(S.run_to_table(s, f"t_l2_{uuid.uuid4().hex[:6]}"))
     cols = ["id", "alert_type", "old_price", "price_change_percent"]
     assert _rows(got, cols) == _rows(model.detections, cols)
 
@@ -47,5 +50,54 @@ def test_idempotent_sink_replay(spark, tmp_path):
 
 def test_late_data_is_counted(spark):
     import __spark_entry__ as E
-    r = E.queries()["L5_late_data"](spark, SF).first()
-    assert r["rows_dropped"] > 0
+    rows = E.queries()["L5_late_data"](spark, SF).collect()
+    assert sum(r.late for r in rows if r.batch == 0) == 0
+    assert sum(r.late for r in rows if r.batch >= 2) > 0
+
+
+def _feed(spark, tmp_path, arrivals, key, keep):
+    """Each list of (id, key, price, second) as one arriving file."""
+    schema = f"id {key}, competitor_id {key}, price decimal(10,2), currency string, scraped_at timestamp_ntz, scrape_status string"
+    base = datetime(2024, 1, 1)
+    path = str(tmp_path / "in")
+    frames = [spark.createDataFrame([(i, c, Decimal(p), "USD", base + timedelta(seconds=s), "success")
+                                     for i, c, p, s in rows], schema) for rows in arrivals]
+    frames[0].limit(0).write.parquet(path)
+    check = S.checkpoint_location(spark, "t_feed")
+    out = str(tmp_path / "out")
+    comp = spark.createDataFrame([(c, 1, Decimal(5)) for c in {r[1] for rows in arrivals for r in rows}],
+                                 f"id {key}, product_id int, alert_threshold_percent decimal(5,2)")
+    prod = spark.createDataFrame([(1, 7)], "id int, user_id int")
+    for df in frames:
+        df.coalesce(1).write.mode("append").parquet(path)
+        s = S.stream_alerts(spark.readStream.schema(schema).parquet(path), comp, prod, keep=keep)
+        (s.writeStream.format("parquet").option("path", out).option("checkpointLocation", check)
+         .trigger(availableNow=True).start().awaitTermination())
+    return {r.id: (None if r.old_price is None else float(r.old_price), r.alert_type)
+            for r in S.last_revision(spark.read.parquet(out)).collect()}
+
+
+@pytest.mark.parametrize("key,ids", [("bigint", (1, 2, 3, 4)), ("string", ("a", "b", "c", "d"))])
+def test_late_observation_takes_its_place(spark, tmp_path, key, ids):
+    """Prices 100, 50, then a late 98 between them, then 50."""
+    c = ids[0]
+    got = _feed(spark, tmp_path, [[(ids[0], c, "100", 0), (ids[1], c, "50", 100)], [(ids[2], c, "98", 50)],
+                                  [(ids[3], c, "50", 200)]], key, timedelta(days=1))
+    assert got == {ids[0]: (None, None), ids[2]: (100.0, None), ids[1]: (98.0, "price_drop"), ids[3]: (50.0, None)}
+
+
+def test_observation_older_than_all_that_is_kept(spark, tmp_path):
+    got = _feed(spark, tmp_path, [[(1, 1, "100", 0), (2, 1, "50", 100), (3, 1, "60", 200)], [(4, 1, "10", 50)]],
+                "bigint", timedelta(seconds=10))
+    assert got[4] == (None, None) and got[3] == (50.0, "price_increase")
+
+
+def test_digest_windows_of_any_frequency(spark):
+    base = datetime(2024, 1, 1)
+    alerts = spark.createDataFrame([(u, base + timedelta(hours=h), "price_drop") for u in (1, 2, 3, 4) for h in range(0, 96, 5)],
+                                   "user_id int, detected_at timestamp_ntz, alert_type string")
+    settings = spark.createDataFrame([(1, 8), (2, 1), (3, 48), (4, 0)], "user_id int, digest_frequency_hours int")
+    got = S.digest_window(alerts, settings).groupBy("user_id", "freq").agg(
+        F.sum("alerts").alias("n"), F.count(F.lit(1)).alias("windows")).collect()
+    assert {(r.user_id, r.freq, r.n) for r in got} == {(1, 8, 20), (2, 1, 20), (3, 48, 20), (4, 24, 20)}
+    assert {r.user_id: r.windows for r in got} == {1: 12, 2: 20, 3: 3, 4: 4}    # 48-hour windows start on even days since 1970
