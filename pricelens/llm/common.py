@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +72,19 @@ def grouped(docs: list[str], size: int = 1 << 21):
         yield own
 
 
+def gathered(batches, size: int = 8 << 20):
+    """Arrow batches joined to about ``size`` bytes each."""
+    own, n = [], 0
+    for b in batches:
+        own.append(b)
+        n += b.nbytes
+        if n >= size:
+            yield pa.Table.from_batches(own).combine_chunks().to_batches()[0]
+            own, n = [], 0
+    if any(b.num_rows for b in own):
+        yield pa.Table.from_batches(own).combine_chunks().to_batches()[0]
+
+
 class Recent(dict):
     """``make(key)`` with a memory of recent answers: of the last ``keep``
     different keys at least, and twice that at most."""

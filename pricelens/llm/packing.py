@@ -27,6 +27,7 @@ packed each.  An empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import os
 import re
@@ -35,55 +36,110 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILE, ROW, id_and_text, located, prepare, run_dir, save, texts
+from .common import FILE, ROW, gathered, id_and_text, located, prepare, run_dir, save, texts
 
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY, SEPARATOR, TARGET, MAX_K = 2048, 0, 20_000, 24
-KEEP = 300_000                 # words, and parts of words, whose ids are kept in a worker
+KEEP = 800_000                 # words whose ids are kept in a worker
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _TWO = re.compile(r"\s\s")
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"          # ASCII signs but the apostrophe
 
 
 # --- tokens -------------------------------------------------------------------------------------
+def byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: visible Latin-1 characters stand for
+    themselves, all other bytes for the characters from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = (b for b in range(256) if b not in shown)
+    return {b: b for b in shown} | {b: 256 + n for n, b in enumerate(hidden)}
+
+
 class Tokens:
     """Ids by ``tokenizers``.  The byte-level pattern always starts a new token
     at a single space between two visible characters, so texts are cut there
-    into words, and new words by the pattern into parts; the parts that were
-    not met lately are encoded in one call."""
+    into words.  Most words are letters, with signs behind them or not, which
+    the pattern cuts there and nowhere else: those that were not met lately go
+    to the vocabulary's merges in one text, a line feed behind each part.  All
+    other new words go through the whole tokenizer."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True      # their strings in a text are ordinary text
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        if text[:1].isspace() or text[-1:].isspace() or _TWO.search(text):
-            first, *rest = _CUT.split(text)
-        else:
-            first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]] if first or rest else []
+        from tokenizers.pre_tokenizers import Split
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True          # their strings in a text are ordinary text
+        self.letters = byte_letters()
+        self.merges = Tokenizer(self.whole.model)
+        self.merges.pre_tokenizer = Split(chr(self.letters[10]), "isolated")
+        (self.line_feed,) = self._encode(["\n"])[0]
+        self.words: dict[str, bytes] = {}                # of words that a space stands before
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _merged(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts that the pattern leaves whole."""
+        if not parts:
+            return []
+        text = ("\n".join(parts) + "\n").encode().decode("latin-1").translate(self.letters)
+        ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = 4 * np.flatnonzero(ids == self.line_feed)
+        if len(ends) != len(parts):
+            raise ValueError("a line feed between parts is not a token of its own")
+        raw = ids.tobytes()
+        return list(map(raw.__getitem__, map(slice, [0, *(ends[:-1] + 4).tolist()], ends.tolist())))
+
+    def _learn(self, words: list[str]) -> None:
+        plain, core, signs, other = [], [], [], []
+        for w in itertools.filterfalse(self.words.__contains__, words):
+            if w.isalpha():
+                plain.append(w)
+            elif (c := w.rstrip(_SIGNS)).isalpha():
+                core.append(w)
+                signs.append(len(c))
+            else:
+                other.append(w)
+        ids = self._merged([" " + w for w in plain] + [" " + w[:n] for w, n in zip(core, signs)])
+        tails = [w[n:] for w, n in zip(core, signs)]
+        different = list(dict.fromkeys(tails))
+        tail = dict(zip(different, self._merged(different)))
+        self.words.update(zip(plain, ids))
+        self.words.update((w, a + tail[t]) for w, a, t in zip(core, ids[len(plain):], tails))
+        self.words.update(zip(other, (x.tobytes() for x in self._encode([" " + w for w in other]))))
 
     def many(self, docs: list[str]) -> list[np.ndarray]:
-        for kept in (self.words, self.parts):
-            if len(kept) > KEEP:
-                kept.clear()
-        cut_up = [self._words(d) for d in docs]
-        new = {w: self.pattern.findall(w) for w in set().union(*cut_up).difference(self.words)}
-        missing = list(set().union(*new.values()).difference(self.parts))
-        for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            self.parts[w] = np.array(e.ids, "<u4").tobytes()
-        for w, own in new.items():
-            self.words[w] = b"".join(map(self.parts.__getitem__, own))
-        return [np.frombuffer(b"".join(map(self.words.__getitem__, own)), "<u4") for own in cut_up]
+        """The ids of each text.  A batch's words are numbered by Arrow, so each
+        different word is looked up once, and the ids are put together by numpy."""
+        if len(self.words) > KEEP:
+            self.words.clear()
+        odd = [d[:1].isspace() or d[-1:].isspace() or bool(_TWO.search(d)) for d in docs]
+        plain = pc.split_pattern(pa.array([d for d, o in zip(docs, odd) if not o], pa.string()), " ")
+        other = pa.array([_CUT.split(d) for d, o in zip(docs, odd) if o], plain.type)
+        lists = pa.concat_arrays([plain, other])
+        order = np.argsort(np.array(odd, bool), kind="stable")       # the text of each list
+        ends = lists.offsets.to_numpy()[1:]
+        starts = lists.offsets.to_numpy()[:-1]
+        coded = lists.values.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        number = coded.indices.to_numpy().copy()
+        self._learn(words)
+        firsts = self._encode([words[number[s]] for s in starts])
+        ids = [*map(self.words.__getitem__, words), *(f.tobytes() for f in firsts)]
+        number[starts] = len(words) + np.arange(len(starts))          # no space stands before a text's first word
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        base = np.cumsum(size) - size
+        count = size[number]
+        out = np.concatenate([[0], np.cumsum(count)])
+        flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(base[number] - out[:-1], count) + np.arange(out[-1])]
+        result = [None] * len(docs)
+        for k, s, e in zip(order, starts, ends):
+            result[k] = flat[out[s]:out[e]]
+        return result
 
 
 @functools.lru_cache(1)
@@ -104,7 +160,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, separator: int) -> DataFra
     def run(batches):
         tokens = tokens_of(path)
         end = np.array([separator], "<u4")
-        for b in batches:
+        for b in gathered(batches):
             src, piece, start, length, crc, flat = [], [], [], [], [], []
             for k, ids in enumerate(tokens.many(texts(b))):
                 ids = np.concatenate([ids, end])
