@@ -259,11 +259,13 @@ def digest_messages(digest_rows: DataFrame) -> DataFrame:
 
 
 def finish_digest(pending: DataFrame, settings: DataFrame, delivery: DataFrame, digest_rows: DataFrame,
-                  as_of) -> tuple[DataFrame, DataFrame, DataFrame]:
+                  as_of) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """K11 (+K5, A9, D12): apply a delivery result (user_id, success, error) to
     the tables.  On success every pending alert of the digest is marked
     included and last_digest_sent_at = as_of; a history row is written either
-    way.  Returns (new pending, new settings, alert_history rows)."""
+    way.  Returns (new pending, new settings, alert_history rows, history
+    alerts): the last has a row (user_id, digest_sent_at, alert_id) for each
+    alert of a digest, as a user's list has no bound."""
     now = ts_lit(as_of)
     d = delivery.select("user_id", F.col("success").alias("__ok"), F.col("error").alias("__err"))
     sent_ids = (digest_rows.select("id", "user_id").join(d.filter("__ok"), "user_id", "left_semi")
@@ -277,15 +279,15 @@ def finish_digest(pending: DataFrame, settings: DataFrame, delivery: DataFrame,
                     .withColumn("updated_at", F.when(F.col("__sent"), now).otherwise(F.col("updated_at")))
                     .drop("__sent"))
     per_user = digest_rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("alerts_count"),
-                                                  F.count_if("mailed").alias("alerts_mailed"),
-                                                  F.sort_array(F.collect_list("id")).alias("alert_ids"))
+                                                  F.count_if("mailed").alias("alerts_mailed"))
     history = (per_user.join(d, "user_id")
                .select("user_id", now.alias("digest_sent_at"), F.col("alerts_count").cast("int"),
                        "alerts_mailed",
                        F.when(F.col("__ok"), "sent").otherwise("failed").alias("email_status"),
-                       F.when(~F.col("__ok"), F.coalesce(F.col("__err"), F.lit("Unknown error"))).alias("error_message"),
-                       "alert_ids"))
-    return new_pending, new_settings, history
+                       F.when(~F.col("__ok"), F.coalesce(F.col("__err"), F.lit("Unknown error"))).alias("error_message")))
+    ids = digest_rows.join(d.select("user_id"), "user_id", "left_semi").select(
+        "user_id", now.alias("digest_sent_at"), F.col("id").alias("alert_id"))
+    return new_pending, new_settings, history, ids
 
 
 def digest_batch_totals(history_rows: DataFrame) -> DataFrame:

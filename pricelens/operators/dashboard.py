@@ -7,19 +7,23 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from .history import ts_lit
+from .series import rank_within_buckets
 
 
 def pending_list(details: DataFrame, limit: int | None = None) -> DataFrame:
     """unsent alerts per user newest first with position and total.
     With ``limit`` (the UI shows 5) only the first rows per user are ranked,
-    which Spark turns into a map-side WindowGroupLimit; the total is always
-    an aggregate."""
+    which Spark turns into a map-side WindowGroupLimit; whole lists are ranked
+    by time buckets, so a hot user's list is spread over many tasks.  The
+    total is always an aggregate."""
     rows = details.filter(~F.col("included_in_digest"))
-    w = Window.partitionBy("user_id").orderBy(F.col("detected_at").desc(), F.col("id").desc())
     totals = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
-    ranked = rows.withColumn("list_pos", F.row_number().over(w))
-    if limit is not None:
-        ranked = ranked.filter(F.col("list_pos") <= limit)
+    order = [F.col("detected_at").desc(), F.col("id").desc()]
+    if limit is None:
+        ranked = rank_within_buckets(rows, "user_id", "detected_at", order, "list_pos")
+    else:
+        ranked = (rows.withColumn("list_pos", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)))
+                  .filter(F.col("list_pos") <= limit))
     return ranked.join(totals, "user_id")
 
 
@@ -69,15 +73,18 @@ def product_competitors(products: DataFrame, competitors: DataFrame) -> DataFram
 def product_list(products: DataFrame, competitors: DataFrame, user_id=None, limit: int | None = None) -> DataFrame:
     """F7 (+B1, B2, C1, D14): active products newest first with competitors[]
     and the total per user; ``limit`` ranks only the first rows per user
-    (map-side WindowGroupLimit) before competitors are attached."""
+    (map-side WindowGroupLimit) before competitors are attached, whole lists
+    are ranked by time buckets."""
     p = products.filter(F.col("is_active"))
     if user_id is not None:
         p = p.filter(F.col("user_id") == F.lit(user_id))
-    w = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
     totals = p.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
-    ranked = p.withColumn("list_pos", F.row_number().over(w))
-    if limit is not None:
-        ranked = ranked.filter(F.col("list_pos") <= limit)
+    order = [F.col("created_at").desc(), F.col("id").desc()]
+    if limit is None:
+        ranked = rank_within_buckets(p, "user_id", "created_at", order, "list_pos")
+    else:
+        ranked = (p.withColumn("list_pos", F.row_number().over(Window.partitionBy("user_id").orderBy(*order)))
+                  .filter(F.col("list_pos") <= limit))
     return product_competitors(ranked, competitors).join(totals, "user_id")
 
 

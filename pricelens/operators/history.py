@@ -258,9 +258,9 @@ def insight_features(price_history: DataFrame, competitors: DataFrame, as_of,
     out = (stats.join(comp, "competitor_id").join(pts, "competitor_id", "left")
            .withColumn("average_price", F.bround(F.col("__sum") / F.col("price_count"), 2).cast("decimal(12,2)"))
            .drop("__sum"))
-    w = Window.partitionBy("product_id")
-    return out.withColumn("total_competitors", F.count(F.lit(1)).over(w)) \
-              .withColumn("analysis_period_days", F.lit(days))
+    per_product = stats.select("competitor_id").join(comp, "competitor_id").groupBy("product_id").agg(
+        F.count(F.lit(1)).alias("total_competitors"))
+    return out.join(per_product, "product_id").withColumn("analysis_period_days", F.lit(days))
 
 
 def price_variance(price_history: DataFrame, as_of, days: int = C.DEFAULT_HISTORY_DAYS) -> DataFrame:

@@ -108,11 +108,9 @@ class _ElementTable(HTMLParser):
         d = {}
         for k, v in attrs:
             d.setdefault(k, "" if v is None else v)     # the first of equal attributes counts
-        anc = [{"idx": self.rows[i]["idx"], "tag": self.rows[i]["tag"], "elem_id": self.rows[i]["elem_id"],
-                "classes": self.rows[i]["classes"]} for i in self.stack]
         row = {"idx": len(self.rows), "parent": self.stack[-1] if self.stack else -1, "depth": len(self.stack),
                "tag": tag, "elem_id": d.get("id"), "classes": d.get("class", "").split(), "attrs": d,
-               "ancestors": anc, "t0": len(self.texts), "t1": None}
+               "t0": len(self.texts), "t1": None}
         self.rows.append(row)
         return row
 
@@ -140,28 +138,40 @@ class _ElementTable(HTMLParser):
         if s:
             self.texts.append(s)
 
-    def finish(self):
+    def finish(self, wanted: frozenset | None = None) -> list[dict]:
+        """The rows, or those that carry a wanted token (see ``_tokens``), with
+        text and ancestors (root first)."""
         self.close()
-        for j in self.stack:
-            self.rows[j]["t1"] = len(self.texts)
-        self.stack = []
-        for r in self.rows:
-            r["text"] = "".join(self.texts[r.pop("t0"):r.pop("t1")])
-        return self.rows
+        self._pop(0)
+        out = self.rows if wanted is None else [r for r in self.rows if not wanted.isdisjoint(_row_tokens(r))]
+        for r in out:
+            r["text"] = "".join(self.texts[r["t0"]:r["t1"]])
+            chain, up = [], r["parent"]
+            while up >= 0:
+                a = self.rows[up]
+                chain.append({k: a[k] for k in ("idx", "tag", "elem_id", "classes")})
+                up = a["parent"]
+            r["ancestors"] = chain[::-1]
+        return out
 
 
-def element_schema(key: T.DataType) -> T.StructType:
-    """The element table's schema for pages with keys of this type."""
-    return T.StructType([T.StructField("page_id", key), *_ELEMENT_FIELDS.fields])
+def _row_tokens(r: dict):
+    yield "t:" + r["tag"]
+    if r["elem_id"] is not None:
+        yield "i:" + r["elem_id"]
+    for c in r["classes"]:
+        yield "c:" + c
+    for k in r["attrs"]:
+        yield "a:" + k
 
 
-def _elements_of(html: str) -> list[dict]:
+def _elements_of(html: str, wanted: frozenset | None = None) -> list[dict]:
     p = _ElementTable()
     try:
         p.feed(html)
     except (AssertionError, ValueError):  # malformed markup: keep what was parsed
         pass
-    return p.finish()
+    return p.finish(wanted)
 
 
 _BATCH_ROWS = 20000   # output rows per Arrow batch (bounds executor memory per task)
@@ -176,54 +186,54 @@ def _arrow_schema():
                       ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("ancestors", pa.list_(anc))])
 
 
-def _explode_pages(batches):
-    """Arrow batches of (page_id, html) -> Arrow batches of element rows."""
-    import pyarrow as pa
-    schema = None
-
-    def flush():
-        out = pa.RecordBatch.from_arrays([pa.array(cols[n], type=schema.field(n).type) for n in names], schema=schema)
-        for n in names:
-            cols[n].clear()
-        return out
-
-    for batch in batches:
-        if schema is None:
-            schema = pa.schema([batch.schema.field("page_id"), *_arrow_schema()])
-            names = schema.names
-            cols = {n: [] for n in names}
-        ids = batch.column("page_id").to_pylist()
-        htmls = batch.column("html").to_pylist()
-        for pid, html in zip(ids, htmls):
-            if html is None:
-                continue
-            for r in _elements_of(html):
-                cols["page_id"].append(pid)
-                cols["idx"].append(r["idx"])
-                cols["parent"].append(r["parent"])
-                cols["depth"].append(r["depth"])
-                cols["tag"].append(r["tag"])
-                cols["elem_id"].append(r["elem_id"])
-                cols["classes"].append(r["classes"])
-                cols["attrs"].append(list(r["attrs"].items()))
-                cols["text"].append(r["text"])
-                cols["ancestors"].append(r["ancestors"])
-            if len(cols["idx"]) >= _BATCH_ROWS:
+def _explode_pages(wanted: frozenset | None):
+    """Arrow batches of pages -> Arrow batches of element rows, each with its
+    page's other columns."""
+    def run(batches):
+        import pyarrow as pa
+        own = _arrow_schema()
+        for batch in batches:
+            keep = [n for n in batch.schema.names if n != "html"]
+            pages, cols, n = [], {f: [] for f in own.names}, 0
+
+            def flush():
+                at = pa.array(pages, pa.int64())
+                out = pa.RecordBatch.from_arrays(
+                    [batch.column(k).take(at) for k in keep] + [pa.array(cols[f.name], type=f.type) for f in own],
+                    names=[*keep, *own.names])
+                pages.clear()
+                for c in cols.values():
+                    c.clear()
+                return out
+
+            for k, html in enumerate(batch.column("html").to_pylist()):
+                if html is None:
+                    continue
+                for r in _elements_of(html, wanted):
+                    pages.append(k)
+                    for f in own.names:
+                        cols[f].append(list(r[f].items()) if f == "attrs" else r[f])
+                if len(pages) >= _BATCH_ROWS:
+                    yield flush()
+            if pages:
                 yield flush()
-    if schema is not None and cols["idx"]:
-        yield flush()
+    return run
 
 
-def html_elements(pages: DataFrame, partitions: int | None = None) -> DataFrame:
+def html_elements(pages: DataFrame, partitions: int | None = None, wanted=None, keep: tuple = ()) -> DataFrame:
     """(page_id, html) -> element table; page ids of any type.  Runs per
     Arrow batch inside the executors (``mapInArrow``); output batches are
-    bounded in rows.  Parsing is CPU-bound: ``partitions`` deals the pages out
-    first where the scan has few splits."""
+    bounded in rows.  ``wanted`` (selector keys) hands on only elements that
+    carry one of these tokens, ``keep`` names page columns that every element
+    carries.  Parsing is CPU-bound: ``partitions`` deals the pages out first
+    where the scan has few splits."""
     ship_package(pages.sparkSession)
-    p = pages.select("page_id", "html")
+    p = pages.select("page_id", *keep, "html")
     if partitions:
         p = p.repartition(partitions)
-    return p.mapInArrow(_explode_pages, element_schema(p.schema["page_id"].dataType))
+    fields = [f for f in p.schema.fields if f.name != "html"]
+    return p.mapInArrow(_explode_pages(None if wanted is None else frozenset(wanted)),
+                        T.StructType([*fields, *_ELEMENT_FIELDS.fields]))
 
 
 def landed_html(pages: DataFrame, max_bytes: int | None = None) -> DataFrame:
@@ -278,6 +288,11 @@ def _key(part: dict) -> str:
     return "t:" + (part["tag"] or "*")
 
 
+def selector_keys(*groups: dict[str, list[str]]) -> set[str]:
+    """The tokens that an element matched by one of the selectors carries."""
+    return {_key(parse_selector(sel)[-1]) for g in groups for sels in g.values() for sel in sels}
+
+
 def selector_table(spark, groups: dict[str, list[str]]) -> DataFrame:
     """A fixed, small selector table (dozens of rows): safe to broadcast."""
     rows = []
@@ -321,12 +336,14 @@ def page_price(pages: DataFrame, elements: DataFrame | None = None) -> DataFrame
     """Price of each page: platform selectors (if the page looks like
     Shopify / WooCommerce) then generic ones; within a selector document
     order; meta tags use ``content``, others the element text; the first
-    price > 0 wins; none -> (null, USD)."""
+    price > 0 wins; none -> (null, USD).  ``elements``, if given, carries each
+    page's ``platform``."""
     spark = pages.sparkSession
-    els = elements if elements is not None else html_elements(pages)
-    sel = selector_table(spark, PRICE_SELECTORS)
-    plat = pages.select("page_id", platform_of_html(F.col("html")).alias("platform"))
-    m = match_selectors(els, sel).join(plat, "page_id")
+    # one scan of the html: the platform rides along with the elements that a selector may match
+    els = elements if elements is not None else html_elements(
+        pages.withColumn("platform", platform_of_html(F.col("html"))), wanted=selector_keys(PRICE_SELECTORS),
+        keep=("platform",))
+    m = match_selectors(els, selector_table(spark, PRICE_SELECTORS))
     m = m.filter((F.col("grp") == "generic") | (F.col("grp") == F.col("platform")))
     # only the "meta[...]" selectors read the content attribute; any other
     # selector uses the element text (empty for a meta element)
@@ -363,6 +380,16 @@ def scrape_result(targets: DataFrame, pages: DataFrame, max_bytes: int | None =
 
 # --- J6: product cards -----------------------------------------------------------------
 
+_CARD_GROUPS = {"title": CARD_TITLE_SELECTORS, "image": CARD_IMAGE_SELECTORS, "price": CARD_PRICE_SELECTORS}
+_CARD_FALLBACK = {"t:h1", "t:h2", "t:h3", "t:h4", "t:a", "t:img", "a:itemprop"}
+
+
+def card_elements(pages: DataFrame) -> DataFrame:
+    """The elements that J6 looks at, written once for its several branches."""
+    wanted = selector_keys({"card": CARD_SELECTORS}, _CARD_GROUPS) | _CARD_FALLBACK
+    return materialize(html_elements(pages, wanted=wanted), "html_elements")
+
+
 def product_cards(pages: DataFrame, elements: DataFrame | None = None) -> DataFrame:
     """Product cards per page.  A card selector counts when it matches at
     least two elements and at least one card yields a name; the first such
@@ -374,7 +401,7 @@ def product_cards(pages: DataFrame, elements: DataFrame | None = None) -> DataFr
     all descendants (heading / link / img fallbacks), one over the first
     element of every (card, selector) pair (title, image, price)."""
     spark = pages.sparkSession
-    els = elements if elements is not None else materialize(html_elements(pages), "html_elements")
+    els = elements if elements is not None else card_elements(pages)
     base = pages.select("page_id", F.col("url").alias("base"))
     cards = match_selectors(els, selector_table(spark, {"card": CARD_SELECTORS})).select(
         "page_id", F.col("idx").alias("card_idx"), F.col("sel_rank").alias("card_rank"))
@@ -393,8 +420,7 @@ def product_cards(pages: DataFrame, elements: DataFrame | None = None) -> DataFr
          .alias("href"),
         F.min_by(src, F.when(F.col("tag") == "img", F.col("idx"))).alias("img2"))
     # select_one per selector: the first matching element of each selector
-    groups = {"title": CARD_TITLE_SELECTORS, "image": CARD_IMAGE_SELECTORS, "price": CARD_PRICE_SELECTORS}
-    ms = match_selectors(within, selector_table(spark, groups))
+    ms = match_selectors(within, selector_table(spark, _CARD_GROUPS))
     first = (ms.groupBy(*keys, "grp", "sel_rank")
              .agg(F.min_by(F.struct("idx", "text", "attrs", "ancestors"), F.col("idx")).alias("el")))
     el_attr = lambda k: F.try_element_at(F.col("el.attrs"), F.lit(k))
@@ -481,7 +507,7 @@ def generic_catalog(pages: DataFrame) -> DataFrame:
     """J6 then J7: cards when a card selector succeeds on the page, JSON-LD
     products otherwise."""
     # the element table feeds several branches: parse once, reuse the table
-    els = materialize(html_elements(pages), "html_elements")
+    els = card_elements(pages)
     cards = product_cards(pages, els)
     ld = json_ld_products(pages).join(cards.select("page_id").distinct(), "page_id", "left_anti")
     c = cards.select("page_id", F.col("card_idx").cast("bigint").alias("ordinal"), "name", "price", "currency",

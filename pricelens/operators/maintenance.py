@@ -245,10 +245,13 @@ def constraint_report(t: dict[str, DataFrame]) -> DataFrame:
 def append_prices(results: DataFrame, as_of, zero_is_missing: bool = True) -> DataFrame:
     """Scrape results (competitor_id, price, currency, status, error) as
     price_history rows.  The scrape path stores a falsy price (null or 0) as
-    NULL; the tracking path keeps 0 (``zero_is_missing=False``)."""
+    NULL; the tracking path keeps 0 (``zero_is_missing=False``).  A price that
+    the column cannot hold makes the row a failed one that says so."""
     price = F.col("price")
     if zero_is_missing:
         price = F.when(price != 0, price)
+    wide = F.coalesce(F.abs(price) > C.MAX_PRICE, F.lit(False))
+    price = F.when(~wide, price)
     return results.select(
         F.col("id"), "competitor_id", price.cast("decimal(10,2)").alias("price"),
         F.coalesce("currency", F.lit(C.DEFAULT_CURRENCY)).alias("currency"),

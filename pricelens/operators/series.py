@@ -52,3 +52,20 @@ def lag_within_buckets(df: DataFrame, key: str, order: list[str], values: list[s
             prefix + v,
             F.when(F.col("__first_in_bucket"), F.col("__carry").getField(v)).otherwise(F.col(prefix + v)))
     return out.drop(b, "__first_in_bucket", "__last_in_bucket", "__carry")
+
+
+def rank_within_buckets(df: DataFrame, key: str, ts_col: str, order: list[Column], pos: str,
+                        descending: bool = True, bucket_unit: str = "hour") -> DataFrame:
+    """Position of every row in its key's list, newest (or oldest) first,
+    without a window over all rows of a key: a position inside the row's time
+    bucket, plus the rows in the buckets before, summed over the buckets'
+    counts (one row per key and bucket)."""
+    b = "__bucket"
+    d = df.withColumn(b, time_bucket(F.col(ts_col), bucket_unit))
+    counts = d.groupBy(key, b).agg(F.count(F.lit(1)).alias("__n"))
+    by_time = F.col(b).desc() if descending else F.col(b)
+    before = counts.select(key, b, F.coalesce(F.sum("__n").over(
+        Window.partitionBy(key).orderBy(by_time).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    here = F.row_number().over(Window.partitionBy(key, b).orderBy(*order))
+    return (d.withColumn("__here", here).join(before, [key, b])
+            .withColumn(pos, F.col("__before") + F.col("__here")).drop(b, "__here", "__before"))

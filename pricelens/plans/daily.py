@@ -66,8 +66,8 @@ def digest_run(tables: dict[str, DataFrame], delivery: DataFrame | None, as_of)
     rows = A.digest_alerts(det, due)
     out = {"due": due, "rows": rows, "messages": A.digest_messages(rows)}
     if delivery is not None:
-        p, s, h = A.finish_digest(tables["pending_alerts"], tables["user_alert_settings"], delivery, rows, as_of)
-        out.update({"pending_alerts": p, "user_alert_settings": s, "alert_history": h})
+        p, s, h, ids = A.finish_digest(tables["pending_alerts"], tables["user_alert_settings"], delivery, rows, as_of)
+        out.update({"pending_alerts": p, "user_alert_settings": s, "alert_history": h, "alert_history_ids": ids})
     return out
 
 

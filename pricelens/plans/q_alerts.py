@@ -207,20 +207,35 @@ from ..sources.model_sql import with_models as _wm  # noqa: E402
 _OR["D8_digest_counts"] = _wm(_d8_sql(), "pending_alerts", "user_alert_settings", "users", "products", "competitors")
 
 
+def _delivered(m):
+    """A digest run whose mails to even users arrive and to odd ones do not."""
+    rows = _digest_rows(m)
+    delivery = (rows.select("user_id").distinct()
+                .select("user_id", (F.col("user_id") % 2 == 0).alias("success"),
+                        F.when(F.col("user_id") % 2 != 0, F.lit("smtp unavailable")).alias("error")))
+    return A.finish_digest(m.pending_alerts, m.user_alert_settings, delivery, rows, AS_OF)
+
+
 @query("K11_finish_digest", f"""WITH {_DIGEST_SQL}
 SELECT user_id, CAST(count(*) AS BIGINT) AS alerts_count, CAST(count_if(mailed) AS BIGINT) AS alerts_mailed,
        CASE WHEN user_id % 2 = 0 THEN 'sent' ELSE 'failed' END AS email_status,
        CASE WHEN user_id % 2 = 0 THEN NULL ELSE 'smtp unavailable' END AS error_message
 FROM dig GROUP BY user_id""", ("pending_alerts", "user_alert_settings", "users", "products", "competitors"))
 def k11(m):
-    """K11 (+A9): apply a delivery result (even users delivered, odd failed)
-    to the digest: history rows (sent / failed)."""
-    rows = _digest_rows(m)
-    delivery = (rows.select("user_id").distinct()
-                .select("user_id", (F.col("user_id") % 2 == 0).alias("success"),
-                        F.when(F.col("user_id") % 2 != 0, F.lit("smtp unavailable")).alias("error")))
-    _, _, hist = A.finish_digest(m.pending_alerts, m.user_alert_settings, delivery, rows, AS_OF)
-    return hist.select("user_id", "alerts_count", "alerts_mailed", "email_status", "error_message")
+    """K11 (+A9): history rows (sent / failed) of a delivery result."""
+    return _delivered(m)[2].select("user_id", "alerts_count", "alerts_mailed", "email_status", "error_message")
+
+
+@query("K11_finish_digest_settings", f"""WITH {_DIGEST_SQL}
+SELECT s.user_id, CASE WHEN s.user_id IN (SELECT user_id FROM dig WHERE user_id % 2 = 0) THEN TIMESTAMP '2024-01-31 00:00:00'
+                       ELSE s.last_digest_sent_at END AS last_digest_sent_at,
+  CASE WHEN s.user_id IN (SELECT user_id FROM dig WHERE user_id % 2 = 0) THEN TIMESTAMP '2024-01-31 00:00:00'
+       ELSE s.updated_at END AS updated_at
+FROM user_alert_settings s""", ("pending_alerts", "user_alert_settings", "users", "products", "competitors"))
+def k11s(m):
+    """The settings after a delivery result: only users whose mail arrived
+    have a new last digest."""
+    return _delivered(m)[1].select("user_id", "last_digest_sent_at", "updated_at")
 
 
 @query("K5_mark_included", f"""WITH {_DIGEST_SQL}
@@ -228,11 +243,7 @@ SELECT a.id, a.included_in_digest OR (a.id IN (SELECT id FROM dig WHERE user_id
 FROM pending_alerts a""", ("pending_alerts", "user_alert_settings", "users", "products", "competitors"))
 def k5(m):
     """K5: pending alerts after a digest run marked the delivered ones."""
-    rows = _digest_rows(m)
-    delivery = (rows.select("user_id").distinct()
-                .select("user_id", (F.col("user_id") % 2 == 0).alias("success"), F.lit(None).cast("string").alias("error")))
-    new_pending, _, _ = A.finish_digest(m.pending_alerts, m.user_alert_settings, delivery, rows, AS_OF)
-    return new_pending.select("id", "included_in_digest")
+    return _delivered(m)[0].select("id", "included_in_digest")
 
 
 @query("D12_digest_batch_totals", """

@@ -76,7 +76,7 @@ def a1_all(m):
         schema = table_schemas(T.LongType())[name]
         table.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.parquet(f"{base}/{name}")
         back = load_table(m.spark, f"{base}/{name}", name, key=T.LongType())
-        first, *rest = [f.name for f in schema if f.name != "alert_ids"]
+        first, *rest = [f.name for f in schema]
         rows = back.select(F.lit(name).alias("tbl"), F.col(first).alias("key"),
                            F.concat_ws("|", *[F.col(c).cast("string") for c in rest]).alias("cells"))
         out = rows if out is None else out.unionByName(rows)

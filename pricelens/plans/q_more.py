@@ -28,17 +28,29 @@ def _scratch(spark, name):
     return os.path.join(ensure_checkpoint_dir(spark), "scratch", f"{name}-{uuid.uuid4().hex[:8]}")
 
 
+def _all_delivered(m):
+    rows = QA._digest_rows(m)
+    delivery = rows.select("user_id").distinct().select("user_id", F.lit(True).alias("success"),
+                                                        F.lit(None).cast("string").alias("error"))
+    return A.finish_digest(m.pending_alerts, m.user_alert_settings, delivery, rows, AS_OF)
+
+
+_A9_MODELS = ("pending_alerts", "user_alert_settings", "users", "products", "competitors")
+
+
 @query("A9_append_alert_history", f"""WITH {QA._DIGEST_SQL}
 SELECT user_id, TIMESTAMP '2024-01-31 00:00:00' AS digest_sent_at, CAST(count(*) AS BIGINT) AS alerts_count,
-       'sent' AS email_status, list(id ORDER BY id) AS alert_ids
-FROM dig GROUP BY user_id""", ("pending_alerts", "user_alert_settings", "users", "products", "competitors"))
+       'sent' AS email_status FROM dig GROUP BY user_id""", _A9_MODELS)
 def a9(m):
     """Digest history rows appended after a successful delivery."""
-    rows = QA._digest_rows(m)
-    delivery = rows.select("user_id").distinct().select("user_id", F.lit(True).alias("success"),
-                                                        F.lit(None).cast("string").alias("error"))
-    _, _, hist = A.finish_digest(m.pending_alerts, m.user_alert_settings, delivery, rows, AS_OF)
-    return hist.select("user_id", "digest_sent_at", "alerts_count", "email_status", "alert_ids")
+    return _all_delivered(m)[2].select("user_id", "digest_sent_at", "alerts_count", "email_status")
+
+
+@query("A9_alert_history_ids", f"""WITH {QA._DIGEST_SQL}
+SELECT user_id, TIMESTAMP '2024-01-31 00:00:00' AS digest_sent_at, id AS alert_id FROM dig""", _A9_MODELS)
+def a9_ids(m):
+    """The alerts of each history row, one row each."""
+    return _all_delivered(m)[3]
 
 
 @query("A10_append_insights")

@@ -53,8 +53,9 @@ def table_schemas(key: T.DataType = T.StringType()) -> dict[str, T.StructType]:
             _f("created_at", TS), _f("updated_at", TS)]),
         "alert_history": T.StructType([
             _f("id", key, False), _f("user_id", key), _f("digest_sent_at", TS),
-            _f("alerts_count", T.IntegerType()), _f("email_status", S), _f("error_message", S),
-            _f("alert_ids", T.ArrayType(key))]),
+            _f("alerts_count", T.IntegerType()), _f("email_status", S), _f("error_message", S)]),
+        # the alerts of a history row, one row each: a digest's list has no bound
+        "alert_history_ids": T.StructType([_f("user_id", key), _f("digest_sent_at", TS), _f("alert_id", key)]),
     }
 
 

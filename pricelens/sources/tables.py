@@ -133,16 +133,14 @@ class ModelTables:
     @cached_property
     def alert_history(self) -> DataFrame:
         p = self.pending_alerts.withColumn("__d", F.to_date("detected_at"))
-        g = p.groupBy("user_id", "__d").agg(F.count(F.lit(1)).cast("int").alias("alerts_count"),
-                                            F.sort_array(F.collect_list("id")).alias("alert_ids"))
+        g = p.groupBy("user_id", "__d").agg(F.count(F.lit(1)).cast("int").alias("alerts_count"))
         failed = F.dayofmonth("__d") % 7 == 0
         return g.select(
             (F.col("user_id") * 1000 + F.dayofyear("__d")).alias("id"), "user_id",
             (F.col("__d").cast("timestamp_ntz") + F.make_dt_interval(F.lit(1))).alias("digest_sent_at"),
             "alerts_count",
             F.when(failed, F.lit("failed")).otherwise(F.lit("sent")).alias("email_status"),
-            F.when(failed, F.lit("smtp error")).alias("error_message"),
-            "alert_ids")
+            F.when(failed, F.lit("smtp error")).alias("error_message"))
 
     @cached_property
     def insights(self) -> DataFrame:

@@ -107,7 +107,7 @@ def test_price_csv_export(spark, model, tmp_path):
     rows = MT.price_csv_rows(model.price_history, model.competitors)
     out = str(tmp_path / "csv")
     MT.write_price_csv(rows, out)
-    files = [f for f in glob.glob(out + "/product_id=*/*.csv") if "part-" in f]
+    files = [f for f in glob.glob(out + "/product_id=*/month=*/*.csv") if "part-" in f]
     assert files
     with open(files[0], newline="") as fh:
         data = list(csv.reader(fh))
