@@ -1,7 +1,7 @@
 """Named queries over the model tables: one per operator of the inventory.
 
 Each entry is (spark builder, oracle SQL or None).  The builder takes
-(spark, sf_dir) and returns a lazy DataFrame; decimal outputs are cast to
+(spark, sf_dir) and returns a DataFrame; decimal outputs are cast to
 double at the very end so both engines hand back the same bits.
 """
 
