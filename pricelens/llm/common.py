@@ -33,18 +33,31 @@ def save(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _with_locator(df: DataFrame, cols) -> DataFrame:
+    meta = df.metadataColumn("_metadata")
+    return df.select(*cols, meta["file_path"].alias(FILE), meta["row_index"].alias(ROW))
+
+
+def filed(df: DataFrame) -> DataFrame:
+    """``df`` itself, if it is a plain file scan, else a copy of it written to
+    the shared folder: every row has a file and a position in it, which a
+    retry reproduces."""
+    try:
+        _with_locator(df, []).schema
+        return df
+    except AnalysisException:
+        return materialize(df, "filed")
+
+
 def located(df: DataFrame, *cols) -> DataFrame:
     """``cols`` of ``df`` with the row's locator: the file and the position in
-    it.  A frame that is not a plain file scan is written to the shared folder
-    first, so that every row has a locator that a retry reproduces."""
+    it.  What is no plain file scan is written first (only ``cols``)."""
     try:
-        meta = df.metadataColumn("_metadata")
-        out = df.select(*cols, meta["file_path"].alias(FILE), meta["row_index"].alias(ROW))
+        out = _with_locator(df, cols)
         out.schema
     except AnalysisException:
-        df = materialize(df, "located")
-        meta = df.metadataColumn("_metadata")
-        out = df.select(*cols, meta["file_path"].alias(FILE), meta["row_index"].alias(ROW))
+        written = materialize(df.select(*cols), "located")
+        out = _with_locator(written, [written[f"`{c}`"] for c in written.columns])
     return out
 
 

@@ -111,10 +111,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                                       f"{rows.schema['doc_id'].dataType.simpleString()},{FILE}:string,{ROW}:bigint>")
     else:
         state = save(keyed_state(spark, path, arrivals.schema, state_dir, max_bytes_per_trigger), f"{state_dir}/state")
-    split = save(_differing(rows, state, digest_chars, state_dir), f"{state_dir}/differing")
+    differing = save(_differing(rows, state, digest_chars, state_dir), f"{state_dir}/differing")
     rep = F.col("rep")
     out = arrived.join(state, "digest")
-    if split.take(1):
+    if differing.take(1):
+        split = differing.distinct()
         out = out.join(split, "digest", "left_anti").unionByName(_regrouped(rows, split, digest_chars))
     here = (F.col(FILE) == rep[FILE]) & (F.col(ROW) == rep[ROW])
     return out.select("doc_id", rep["doc_id"].alias("keep_id"), F.col("n").alias("group_size"), here.alias("kept"),
@@ -122,9 +123,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _differing(rows: DataFrame, state: DataFrame, digest_chars: int, state_dir: str) -> DataFrame:
-    """Digests under which some row's bytes differ from the content at the
+    """The digest of every row whose bytes differ from the content at the
     locator.  Only rows of digests with several rows are kept after the join
-    on the digest, which adaptive execution splits where one digest is hot."""
+    on the digest.  Nothing that needs a digest's rows together stands above
+    either join, so that adaptive execution can split a hot digest."""
     hits = save(digested(rows, digest_chars, with_text=True)
                 .join(state.where("n > 1").select("digest", "rep"), "digest")
                 .select("digest", "text", ((F.col(FILE) == F.col(f"rep.{FILE}"))
@@ -133,7 +135,7 @@ def _differing(rows: DataFrame, state: DataFrame, digest_chars: int, state_dir:
     reps = hits.where("is_rep").select("digest", F.col("text").alias("rep_text"))
     a, b = F.coalesce("text", F.lit("")), F.coalesce("rep_text", F.lit(""))
     same = F.when(a == b, True).otherwise(normalised(F.col("text")) == normalised(F.col("rep_text")))
-    return hits.where("not is_rep").join(reps, "digest").where(~same).select("digest").distinct()
+    return hits.where("not is_rep").join(reps, "digest").where(~same).select("digest")
 
 
 def _regrouped(rows: DataFrame, split: DataFrame, digest_chars: int) -> DataFrame:

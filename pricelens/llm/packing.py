@@ -12,8 +12,9 @@ ones not at all) followed by u(k) (lengths rounded to k-ths).  A partition
 whose number equals its bound is certified.  Partitions with a gap release the
 pieces of all sequences that are not full; certified ones release only those
 of their emptiest sequence, if it is not full, as it is what the bound's
-rounding left open.  The released pieces are dealt anew, over fewer
-partitions and by another hash, and packed again, round by round, until
+rounding left open.  The released pieces are dealt anew, over fewer and (for
+the first rounds) wider partitions and by another hash, and packed again,
+round by round, until
 nothing is released, or a round no longer saves a sequence; then the round
 before stands.
 
@@ -44,6 +45,7 @@ from .common import FILE, ROW, gathered, id_and_text, located, prepare, run_dir,
 
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY, SEPARATOR, TARGET, MAX_K = 2048, 0, 20_000, 24
+WIDER = 3                      # each of the first rounds doubles the pieces of a partition, so often at most
 KEEP = 800_000                 # words whose ids are kept in a worker
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _TWO = re.compile(r"\s\s")
@@ -265,7 +267,7 @@ def pack(items: DataFrame, folder: str, capacity: int, target: int) -> DataFrame
         n = todo.count()
         if not n:
             break
-        parts = max(1, math.ceil(n / target))
+        parts = max(1, math.ceil(n / (target << min(number, WIDER))))
         dealt = todo.withColumn("part", F.pmod(F.xxhash64(FILE, ROW, "piece", F.lit(number)), F.lit(parts)))
         packed = save(dealt.groupBy("part").applyInArrow(_pack_part(capacity), _PACKED.format(kind)),
                       f"{folder}/round-{number}")
