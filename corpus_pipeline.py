@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelens.llm import exact_dedup, packing, secrets, simhash, toxicity
-from pricelens.llm.common import FILE, ROW, located, prepare, run_dir, save
+from pricelens.llm.common import FILE, ROW, filed, located, prepare, run_dir, save
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,19 +26,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _only(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``verdicts`` (locator, kept) keeps."""
+    """The rows of ``docs`` (a file scan) that ``verdicts`` (locator, kept)
+    keeps; a row travels as one struct, so that its columns may have any name."""
     keep = verdicts.where("kept").select(FILE, ROW)
-    rows = located(docs, *docs.columns)
-    return rows.join(keep, [FILE, ROW], "left_semi").select(*docs.columns)
+    rows = located(docs, F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("document"))
+    return rows.join(keep, [FILE, ROW], "left_semi").select("document.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays."""
+    docs = filed(docs)
     return _only(docs, exact_dedup.exact_dedup(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints one row stays."""
+    docs = filed(docs)
     return _only(docs, simhash.simhash_dedup(docs))
 
 
