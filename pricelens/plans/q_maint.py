@@ -50,6 +50,23 @@ def k1c(m):
         "id", "product_id", "retailer_name", "alert_threshold_percent")
 
 
+@query("K1_track_results", f"""WITH {_EXP},
+it AS (SELECT CAST(regexp_extract(store, 'store(\\d+)', 1) AS BIGINT) AS request_id, page * 100000 + ordinal AS ordinal FROM best WHERE in_stock),
+r AS (SELECT request_id, count(*) AS n_items, min(ordinal) AS first FROM it GROUP BY 1)
+SELECT request_id, request_id % 5 AS user_id, 'Group ' || request_id || ' <main>' AS product_name,
+  CASE WHEN request_id = 4 THEN NULL ELSE TIMESTAMP '2024-01-31 00:00:00' END AS created_at,
+  CASE WHEN request_id = 4 THEN 'threshold must be within 0..100' END AS error FROM r""", ("catalog",))
+def k1r(m):
+    """K1: the products written by the tracking requests, and the requests that
+    were rejected with their errors."""
+    t = MT.track_products(_track_items(m), AS_OF)
+    ok = t["products"].select(F.col("id").alias("request_id"), "user_id", "product_name", "created_at",
+                              F.lit(None).cast("string").alias("error"))
+    bad = t["rejected"].select("request_id", "user_id", F.col("group_name").alias("product_name"),
+                               F.lit(None).cast("timestamp_ntz").alias("created_at"), "error")
+    return ok.unionByName(bad)
+
+
 def _patch(m):
     """Product patches; every sixth product gets a second, later one that
     renames it again and says nothing about the flag."""
@@ -100,25 +117,29 @@ def k3(m):
 
 
 @query("K4_delete_account", """
-WITH gp AS (SELECT id FROM products WHERE user_id = 2),
+WITH gp AS (SELECT id FROM products WHERE user_id IN (0, 2)),
 gc AS (SELECT id FROM competitors WHERE product_id IN (SELECT id FROM gp))
-SELECT 'products' AS tbl, count(*) AS n FROM products WHERE user_id <> 2
-UNION ALL SELECT 'competitors', count(*) FROM competitors WHERE product_id NOT IN (SELECT id FROM gp)
-UNION ALL SELECT 'price_history', count(*) FROM price_history WHERE competitor_id NOT IN (SELECT id FROM gc)
-UNION ALL SELECT 'insights', count(*) FROM insights WHERE product_id NOT IN (SELECT id FROM gp)
-UNION ALL SELECT 'pending_alerts', count(*) FROM pending_alerts WHERE user_id <> 2 AND product_id NOT IN (SELECT id FROM gp)
+SELECT 'products' AS tbl, id AS key FROM products WHERE user_id NOT IN (0, 2)
+UNION ALL SELECT 'competitors', id FROM competitors WHERE product_id NOT IN (SELECT id FROM gp)
+UNION ALL SELECT 'price_history', id FROM price_history WHERE competitor_id NOT IN (SELECT id FROM gc)
+UNION ALL SELECT 'insights', id FROM insights WHERE product_id NOT IN (SELECT id FROM gp)
+UNION ALL SELECT 'pending_alerts', id FROM pending_alerts WHERE user_id NOT IN (0, 2) AND product_id NOT IN (SELECT id FROM gp)
   AND competitor_id NOT IN (SELECT id FROM gc)
-UNION ALL SELECT 'user_alert_settings', count(*) FROM user_alert_settings WHERE user_id <> 2""",
+UNION ALL SELECT 'user_alert_settings', user_id FROM user_alert_settings WHERE user_id NOT IN (0, 2)
+UNION ALL SELECT 'tracking_jobs', id + 1000000 FROM products WHERE id NOT IN (SELECT id FROM gp)""",
        ("products", "competitors", "price_history", "insights", "pending_alerts", "user_alert_settings"))
 def k4(m):
-    """K4: account deletion with cascades; rows left per table."""
-    t = {"products": m.products, "competitors": m.competitors, "price_history": m.price_history,
-         "insights": m.insights, "pending_alerts": m.pending_alerts, "user_alert_settings": m.user_alert_settings}
-    out = MT.delete_accounts(t, m.users.filter(F.col("user_id") == 2))
-    parts = [out[k].agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("tbl"), "n") for k in t]
-    r = parts[0]
-    for p in parts[1:]:
-        r = r.unionByName(p)
+    """K4: account deletion (users 0, the hot one, and 2) with cascades; the
+    keys left in each table."""
+    jobs = m.products.select((F.col("id") + 1000000).alias("id"), F.col("id").alias("product_group_id"))
+    t = {"products": m.products, "competitors": m.competitors, "price_history": m.price_history, "insights": m.insights,
+         "pending_alerts": m.pending_alerts, "user_alert_settings": m.user_alert_settings, "tracking_jobs": jobs}
+    out = MT.delete_accounts(t, m.users.filter(F.col("user_id").isin(0, 2)))
+    r = None
+    for name in t:
+        key = "user_id" if name == "user_alert_settings" else "id"
+        part = out[name].select(F.lit(name).alias("tbl"), F.col(key).alias("key"))
+        r = part if r is None else r.unionByName(part)
     return r
 
 
