@@ -129,12 +129,20 @@ def url_join(base: Column, href: Column) -> Column:
     n = F.size(both)
     middle = F.filter(F.slice(both, F.lit(2), F.greatest(n - 2, F.lit(0))), lambda s: s != "")
     both = F.when(n > 2, F.concat(F.slice(both, 1, 1), middle, F.slice(both, -1, 1))).otherwise(both)
+    # most links have no '.' or empty segments to resolve and are just put together
+    b_dir = F.regexp_replace(b_path, r"[^/]*$", "")
+    b_dir = F.when(b_dir == "", F.lit("/")).otherwise(b_dir)
+    plain_root = href.startswith("/") & ~h_path.contains("/.")
+    joined = F.concat(b_dir, h_path)
+    plain = ~joined.contains("/.") & ~joined.contains("//")
     return (F.when(href.isNull() | (href == ""), base)
             .when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), href)
             .when(href.startswith("//"), F.concat(b_scheme, F.lit(":"), href))
+            .when(plain_root, F.concat(b_origin, href))
             .when(href.startswith("/"), F.concat(b_origin, _fold_dots(own), h_rest))
             .when(href.startswith("?"), F.concat(b_origin, b_path, href))
             .when(href.startswith("#"), F.concat(b_nofrag, href))
+            .when(plain, F.concat(b_origin, joined, h_rest))
             .otherwise(F.concat(b_origin, _fold_dots(both), h_rest)))
 
 

@@ -332,7 +332,7 @@ def match_selectors(elements: DataFrame, selectors: DataFrame) -> DataFrame:
 
 # --- J5 / J8 --------------------------------------------------------------------------
 
-def page_price(pages: DataFrame, elements: DataFrame | None = None) -> DataFrame:
+def page_price(pages: DataFrame, elements: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
     """Price of each page: platform selectors (if the page looks like
     Shopify / WooCommerce) then generic ones; within a selector document
     order; meta tags use ``content``, others the element text; the first
@@ -341,8 +341,8 @@ def page_price(pages: DataFrame, elements: DataFrame | None = None) -> DataFrame
     spark = pages.sparkSession
     # one scan of the html: the platform rides along with the elements that a selector may match
     els = elements if elements is not None else html_elements(
-        pages.withColumn("platform", platform_of_html(F.col("html"))), wanted=selector_keys(PRICE_SELECTORS),
-        keep=("platform",))
+        pages.withColumn("platform", platform_of_html(F.col("html"))), partitions,
+        wanted=selector_keys(PRICE_SELECTORS), keep=("platform",))
     m = match_selectors(els, selector_table(spark, PRICE_SELECTORS))
     m = m.filter((F.col("grp") == "generic") | (F.col("grp") == F.col("platform")))
     # only the "meta[...]" selectors read the content attribute; any other
@@ -359,7 +359,8 @@ def page_price(pages: DataFrame, elements: DataFrame | None = None) -> DataFrame
             .select("page_id", F.col("b.price").alias("price"), F.coalesce(F.col("b.currency"), F.lit("USD")).alias("currency")))
 
 
-def scrape_result(targets: DataFrame, pages: DataFrame, max_bytes: int | None = None) -> DataFrame:
+def scrape_result(targets: DataFrame, pages: DataFrame, max_bytes: int | None = None,
+                  partitions: int | None = None) -> DataFrame:
     """(competitor_id, url) + landed (url, page_id, html) -> (price,
     currency, status, error): normalise (B14) -> safety (B15) -> page price
     (J5); a failure gives USD and a fixed message."""
@@ -368,7 +369,7 @@ def scrape_result(targets: DataFrame, pages: DataFrame, max_bytes: int | None =
     s = url_safety(F.col("nurl"))
     t = t.withColumn("safe_error", F.when(F.col("nurl").isNotNull(), s["error"]))
     landed = landed_html(pages, max_bytes)
-    prices = page_price(landed)
+    prices = page_price(landed, partitions=partitions)
     pg = landed.select(F.col("url").alias("nurl"), "page_id", "landed_error").join(prices, "page_id")
     j = t.join(pg, "nurl", "left")
     err = F.coalesce(F.col("norm_error"), F.col("safe_error"), F.col("landed_error"),
@@ -384,10 +385,10 @@ _CARD_GROUPS = {"title": CARD_TITLE_SELECTORS, "image": CARD_IMAGE_SELECTORS, "p
 _CARD_FALLBACK = {"t:h1", "t:h2", "t:h3", "t:h4", "t:a", "t:img", "a:itemprop"}
 
 
-def card_elements(pages: DataFrame) -> DataFrame:
+def card_elements(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     """The elements that J6 looks at, written once for its several branches."""
     wanted = selector_keys({"card": CARD_SELECTORS}, _CARD_GROUPS) | _CARD_FALLBACK
-    return materialize(html_elements(pages, wanted=wanted), "html_elements")
+    return materialize(html_elements(pages, partitions, wanted=wanted), "html_elements")
 
 
 def product_cards(pages: DataFrame, elements: DataFrame | None = None) -> DataFrame:
@@ -503,11 +504,11 @@ def json_ld_products(pages: DataFrame) -> DataFrame:
             .filter(F.coalesce(F.col("name"), F.lit("")) != ""))
 
 
-def generic_catalog(pages: DataFrame) -> DataFrame:
+def generic_catalog(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     """J6 then J7: cards when a card selector succeeds on the page, JSON-LD
     products otherwise."""
     # the element table feeds several branches: parse once, reuse the table
-    els = card_elements(pages)
+    els = card_elements(pages, partitions)
     cards = product_cards(pages, els)
     ld = json_ld_products(pages).join(cards.select("page_id").distinct(), "page_id", "left_anti")
     c = cards.select("page_id", F.col("card_idx").cast("bigint").alias("ordinal"), "name", "price", "currency",
