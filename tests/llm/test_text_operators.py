@@ -86,12 +86,12 @@ def test_quality_held_out(spark):
 
 
 def test_toxicity_held_out(spark):
-    folder = "/root/testdata/sf0.01"
+    folder = "/root/testdata/sf0.1"                    # some 3,000 labels to learn from
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.toxicity_scores(docs, labels).where("held_out").join(labels, "doc_id").collect()
-    assert sum(r.predicted == r.toxic for r in got) / len(got) > 0.9
+    assert sum(r.predicted == r.toxic for r in got) / len(got) > 0.97
     clean = [r for r in got if not r.toxic]
-    assert sum(r.predicted for r in clean) <= 0.01 * len(clean)        # learned from some 300 labels
+    assert sum(r.predicted for r in clean) <= 0.01 * len(clean)
 
 
 @pytest.mark.parametrize("module,fn", [(quality, "quality_scores"), (toxicity, "toxicity_scores"),
