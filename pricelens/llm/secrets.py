@@ -6,8 +6,11 @@ and has fewer than ``ratio`` characters a token under a tiktoken vocabulary
 is reported as kind ``random``, unless it is a known digest or identifier: a
 hexadecimal string of a digest's length (MD5, SHA-1, SHA-2), a labelled digest
 (``sha256-...``), a UUID, a part of an address (URL path, e-mail, host), or a
-number or date with separators.  The fixed patterns (kinds ``assign``,
-``access``, ``hex``) always stay.
+number or date with separators.  An address is a whole match around the run:
+a host and path behind ``://``, ``name@host.tld``, or a lower-case dotted host
+whose labels take few tokens; a dot beside a run makes none, nor does a user's
+password before the host or a query behind the path.  The fixed patterns
+(kinds ``assign``, ``access``, ``hex``) always stay.
 
 Spans are code points, end exclusive, of the whole match.  Null text counts as
 empty and has no span.  Repeated rows get equal results; an empty table gives
@@ -17,8 +20,10 @@ an empty result.
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
 import hashlib
+import itertools
 import re
 
 import public_tokenizers
@@ -43,6 +48,11 @@ _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 _NUMBER = re.compile(r"[0-9+/_=-]*[A-Z]?[0-9+/_=-]*\Z")
 _WORDS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[-_/][A-Za-z]+|[-_/][0-9]+)+\Z")
+_URL = re.compile(r"""(?<=[A-Za-z0-9])://(?:[^\s/?#"'<>@]*+@)?([^\s?#"'<>()\[\]{}|\\^`,;]++)""")
+_AT = re.compile(r"@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}")
+_NAME = re.compile(r"[A-Za-z0-9._%+-]*\Z")
+_HOST = re.compile(r"""(?<![\w.@-])((?:[a-z0-9-]{1,63}+\.)+[a-z]{2,63})(?![\w@-])(?:[:/][^\s?#"'<>()\[\]{}|\\^`,;]*+)?""")
+LABEL = 8                                   # shorter labels of a host hold too little to be weighed
 
 
 @functools.lru_cache(2)
@@ -60,16 +70,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def known(run: str, before: str, after: str) -> bool:
-    """A digest, an identifier or a part of an address."""
-    return bool(_DIGEST.match(run) or _UUID.match(run) or _NUMBER.match(run) or _WORDS.match(run)
-                or before in "@." or after[:1] == "@" or re.match(r"\.[a-z]{2}", after) or "//" in run
+def cheap(run: str, enc: tiktoken.Encoding, ratio: float) -> bool:
+    return len(run) >= ratio * len(enc.encode_ordinary(run))
+
+
+def addresses(text: str, enc: tiktoken.Encoding, ratio: float) -> tuple[list[int], list[int]]:
+    """Starts of the hosts with their paths and of the e-mail addresses, in
+    order, and for each the furthest end of all up to it."""
+    out, taken, done = [], [], 0
+    for m in _URL.finditer(text):
+        out.append(m.span(1))
+        taken.append(m.span())                    # what stands before the host is no e-mail's name
+    for m in _AT.finditer(text):
+        if not any(a <= m.start() < b for a, b in taken[bisect.bisect(taken, (m.start(), len(text))) - 1:][:1]):
+            # a local part has 64 characters at most
+            name = _NAME.search(text[max(done, m.start() - 64):m.start()])[0]
+            if name:
+                out.append((m.start() - len(name), m.end()))
+        done = m.end()
+    for m in _HOST.finditer(text):
+        if all(len(label) < LABEL or cheap(label, enc, ratio) for label in m[1].split(".")):
+            out.append(m.span())
+    out.sort()
+    return [a for a, _ in out], list(itertools.accumulate((b for _, b in out), max))
+
+
+def known(run: str) -> bool:
+    """A digest or an identifier."""
+    return bool(_DIGEST.match(run) or _UUID.match(run) or _NUMBER.match(run) or _WORDS.match(run) or "//" in run
                 or run.count("/") > 2)
 
 
 def random_spans(text: str, enc: tiktoken.Encoding, ratio: float,
                  base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    out = []
+    out, found = [], None
     for m in _RUN.finditer(text):
         s, e = m.span()
         while e > s and text[s] in "+/_=-":
@@ -79,9 +113,11 @@ def random_spans(text: str, enc: tiktoken.Encoding, ratio: float,
         run = text[s:e]
         if len(run) < SHORTEST or run.isalpha() or not re.search("[A-Za-z]", run) or not re.search("[0-9]", run):
             continue
-        if any(a <= s and e <= b for a, _, b in base) or known(run, text[s - 1:s] or " ", text[e:e + 4]):
+        if any(a <= s and e <= b for a, _, b in base) or known(run) or cheap(run, enc, ratio):
             continue
-        if len(run) < ratio * len(enc.encode_ordinary(run)):
+        found = addresses(text, enc, ratio) if found is None else found
+        k = bisect.bisect(found[0], s)
+        if not k or found[1][k - 1] < e:
             out.append((s, 3, e))
     return out
 

@@ -204,6 +204,29 @@ def test_redaction_leaves_no_secret(spark):
     assert got[15].text == SECRETS[15]
 
 
+def _found(text):
+    enc = secrets.encoding(public_tokenizers.path(secrets.VOCABULARY))
+    return [text[s:e] for s, _, e in secrets.random_spans(text, enc, secrets.RATIO, secrets.base_spans(text))]
+
+
+JWT = ["eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9", "eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4gRG9lIiwiaWF0IjoxNTE2MjM5MDIyfQ",
+       "SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV_adQssw5c"]
+DOTTED = ["ngeVfQFYQlKU0ufo8x5d1A", "TwL2iGABf9DHoTf-09kqeF8tAmbihYzrnopKc-1s5cr"]
+
+
+def test_secrets_beside_dots_are_found():
+    """A dot beside a run makes no address; whole addresses are excluded."""
+    key = "hJ3kQ9zX7vB2nM5wR8tY"
+    assert _found("bearer " + ".".join(JWT)) == JWT
+    assert _found("SG." + ".".join(DOTTED)) == DOTTED
+    assert _found("sk.k3j9x0q2m4n8v7z1.zq8x4k7w2j9v5b3n") == ["k3j9x0q2m4n8v7z1", "zq8x4k7w2j9v5b3n"]
+    assert _found(f"use {key}.then or {key}@once or @{key}") == [key] * 3
+    assert _found(f"postgres://admin:{key}@db.example.com/main http://x.org/a?k1={key}") == [key, "k1=" + key]
+    for plain in (f"https://example.com/{key}.html", f"see www.example.com/{key}", f"mail {key}@mail.example.com",
+                  f"http://localhost:8080/{key}", f"<{key}@a.example.net>"):
+        assert _found(plain) == [], plain
+
+
 # --- 7 -----------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def codec():
