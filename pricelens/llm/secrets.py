@@ -52,6 +52,7 @@ _URL = re.compile(r"""(?<=[A-Za-z0-9])://(?:[^\s/?#"'<>@]*+@)?([^\s?#"'<>()\[\]{
 _AT = re.compile(r"@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}")
 _NAME = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _HOST = re.compile(r"""(?<![\w.@-])((?:[a-z0-9-]{1,63}+\.)+[a-z]{2,63})(?![\w@-])(?:[:/][^\s?#"'<>()\[\]{}|\\^`,;]*+)?""")
+_PART = re.compile(r"[^/]{16,}")
 LABEL = 8                                   # shorter labels of a host hold too little to be weighed
 
 
@@ -97,8 +98,36 @@ def addresses(text: str, enc: tiktoken.Encoding, ratio: float) -> tuple[list[int
 
 def known(run: str) -> bool:
     """A digest or an identifier."""
-    return bool(_DIGEST.match(run) or _UUID.match(run) or _NUMBER.match(run) or _WORDS.match(run) or "//" in run
-                or run.count("/") > 2)
+    return bool(_DIGEST.match(run) or _UUID.match(run) or _NUMBER.match(run) or _WORDS.match(run))
+
+
+def is_random(run: str, enc: tiktoken.Encoding, ratio: float) -> bool:
+    """Whether a run is no digest or identifier and takes many tokens.  A
+    slash may be a digit of base64 or part a path, whose parts are words: what
+    stands between slashes is weighed without them and without what is known.
+    More than a slash in four characters is a list."""
+    if known(run) or cheap(run, enc, ratio):
+        return False
+    if "/" not in run:
+        return True
+    parts = [p for p in run.split("/") if p and not known(p)]
+    return (4 * run.count("/") <= len(run)
+            and sum(map(len, parts)) < ratio * sum(len(enc.encode_ordinary(p)) for p in parts))
+
+
+def random_parts(text: str, s: int, e: int, enc: tiktoken.Encoding, ratio: float):
+    """(start, end) of the random strings of a run: all of it, or of a path
+    the parts that are random by themselves."""
+    if is_random(text[s:e], enc, ratio):
+        yield s, e
+    elif "/" in text[s:e] and not known(text[s:e]):
+        for m in _PART.finditer(text, s, e):
+            if mixed(m[0]) and is_random(m[0], enc, ratio):
+                yield m.span()
+
+
+def mixed(run: str) -> bool:
+    return len(run) >= SHORTEST and bool(re.search("[A-Za-z]", run) and re.search("[0-9]", run))
 
 
 def random_spans(text: str, enc: tiktoken.Encoding, ratio: float,
@@ -110,15 +139,13 @@ def random_spans(text: str, enc: tiktoken.Encoding, ratio: float,
             s += 1
         while e > s and text[e - 1] in "+/_-":
             e -= 1
-        run = text[s:e]
-        if len(run) < SHORTEST or run.isalpha() or not re.search("[A-Za-z]", run) or not re.search("[0-9]", run):
-            continue
-        if any(a <= s and e <= b for a, _, b in base) or known(run) or cheap(run, enc, ratio):
+        if not mixed(text[s:e]) or any(a <= s and e <= b for a, _, b in base):
             continue
-        found = addresses(text, enc, ratio) if found is None else found
-        k = bisect.bisect(found[0], s)
-        if not k or found[1][k - 1] < e:
-            out.append((s, 3, e))
+        for s, e in random_parts(text, s, e, enc, ratio):
+            found = addresses(text, enc, ratio) if found is None else found
+            k = bisect.bisect(found[0], s)
+            if not k or found[1][k - 1] < e:
+                out.append((s, 3, e))
     return out
 
 

@@ -227,6 +227,22 @@ def test_secrets_beside_dots_are_found():
         assert _found(plain) == [], plain
 
 
+def test_slashes_of_base64_hide_nothing():
+    rnd = random.Random(8)
+    digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for n in (40, 64, 88, 344, 1024):
+        for _ in range(40):
+            key = "k" + "".join(rnd.choice(digits) for _ in range(n - 2)) + "9"
+            assert _found(f"key {key} end") == [key]
+    assert _found("a//b3kQ9zX7vB2/nM5wR8tY/pL6/sD1fG4hJ0") == ["a//b3kQ9zX7vB2/nM5wR8tY/pL6/sD1fG4hJ0"]
+    for path in ("/usr/local/lib/python3/site-packages/numpy", "home/user1/x86_64-linux-gnu/a/b2", "2023/01/15/a/b/c1/d2/e",
+                 "A/B/C/D/E/F/G/H1", "users/550e8400-e29b-41d4-a716-446655440000/items1/new", "dev/disk/by-id/ata-WDC_WD10",
+                 "var/lib/docker/overlay2/" + "9f8e7d6c" * 8 + "/merged"):
+        assert _found("in " + path) == [], path
+    path = "/home/user/documents/projects/settings/configuration/hJ3kQ9zX7vB2nM5wR8tY/current/words"
+    assert _found(path) == ["hJ3kQ9zX7vB2nM5wR8tY"]
+
+
 # --- 7 -----------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def codec():
