@@ -1,9 +1,11 @@
 """Operator 5, secret scans: fixed patterns plus a token-efficiency test.
 
 Ordinary words and names take few tokens of a byte-pair vocabulary, random
-strings many.  A run of 16 or more characters that mixes letters and digits
-and has fewer than ``ratio`` characters a token under a tiktoken vocabulary
-is reported as kind ``random``, unless it is a known digest or identifier: a
+strings many.  A run of 16 or more characters with letters and fewer than
+``ratio`` characters a token under a tiktoken vocabulary (letters of one case
+alone: fewer than ``LETTERS``, as long words of natural languages need) is
+reported as kind ``random``, by itself where a label stands before it (cut at
+``=``; at ``_``, ``-`` and ``/`` if the whole run takes few tokens), unless it is a known digest or identifier: a
 hexadecimal string of a digest's length (MD5, SHA-1, SHA-2), a labelled digest
 (``sha256-...``), a UUID, a part of an address (URL path, e-mail, host), or a
 number or date with separators.  An address is a whole match around the run:
@@ -41,7 +43,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")          # runs are maximal: shorter ones fai
 KINDS = ("assign", "access", "hex", "random")
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-RATIO, SHORTEST = 1.9, 16
+RATIO, SHORTEST, LETTERS = 1.9, 16, 1.75
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|"
                      r"[0-9a-fA-F]{128}|(?:md5|sha1|sha224|sha256|sha384|sha512)[-=:_][A-Za-z0-9+/=]+)\Z")
@@ -52,7 +54,9 @@ _URL = re.compile(r"""(?<=[A-Za-z0-9])://(?:[^\s/?#"'<>@]*+@)?([^\s?#"'<>()\[\]{
 _AT = re.compile(r"@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}")
 _NAME = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _HOST = re.compile(r"""(?<![\w.@-])((?:[a-z0-9-]{1,63}+\.)+[a-z]{2,63})(?![\w@-])(?:[:/][^\s?#"'<>()\[\]{}|\\^`,;]*+)?""")
-_PART = re.compile(r"[^/]{16,}")
+_PIECE = re.compile(r"[^=]+=*")
+_PART = re.compile(r"[^/_=-]{16,}")
+_PLAIN = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)=*\Z")
 LABEL = 8                                   # shorter labels of a host hold too little to be weighed
 
 
@@ -96,9 +100,14 @@ def addresses(text: str, enc: tiktoken.Encoding, ratio: float) -> tuple[list[int
     return [a for a, _ in out], list(itertools.accumulate((b for _, b in out), max))
 
 
+def identifier(run: str) -> bool:
+    """A digest, a UUID, or a number or date."""
+    return bool(_DIGEST.match(run) or _UUID.match(run) or _NUMBER.match(run))
+
+
 def known(run: str) -> bool:
-    """A digest or an identifier."""
-    return bool(_DIGEST.match(run) or _UUID.match(run) or _NUMBER.match(run) or _WORDS.match(run))
+    """An identifier, or words with separators."""
+    return bool(identifier(run) or _WORDS.match(run))
 
 
 def is_random(run: str, enc: tiktoken.Encoding, ratio: float) -> bool:
@@ -106,6 +115,8 @@ def is_random(run: str, enc: tiktoken.Encoding, ratio: float) -> bool:
     slash may be a digit of base64 or part a path, whose parts are words: what
     stands between slashes is weighed without them and without what is known.
     More than a slash in four characters is a list."""
+    if _PLAIN.match(run):
+        ratio = min(ratio, LETTERS)
     if known(run) or cheap(run, enc, ratio):
         return False
     if "/" not in run:
@@ -116,18 +127,20 @@ def is_random(run: str, enc: tiktoken.Encoding, ratio: float) -> bool:
 
 
 def random_parts(text: str, s: int, e: int, enc: tiktoken.Encoding, ratio: float):
-    """(start, end) of the random strings of a run: all of it, or of a path
-    the parts that are random by themselves."""
-    if is_random(text[s:e], enc, ratio):
-        yield s, e
-    elif "/" in text[s:e] and not known(text[s:e]):
-        for m in _PART.finditer(text, s, e):
-            if mixed(m[0]) and is_random(m[0], enc, ratio):
-                yield m.span()
-
-
-def mixed(run: str) -> bool:
-    return len(run) >= SHORTEST and bool(re.search("[A-Za-z]", run) and re.search("[0-9]", run))
+    """(start, end) of the random strings of a run without its labels: of each
+    piece between equals signs all, or the parts that are random by themselves."""
+    if identifier(text[s:e]):
+        return
+    for piece in _PIECE.finditer(text, s, e):
+        run = piece[0]
+        if len(run) < SHORTEST or not re.search("[A-Za-z]", run):
+            continue
+        if is_random(run, enc, ratio):
+            yield piece.span()
+        elif not identifier(run):
+            for m in _PART.finditer(text, *piece.span()):
+                if m[0] != run and re.search("[A-Za-z]", m[0]) and is_random(m[0], enc, ratio):
+                    yield m.span()
 
 
 def random_spans(text: str, enc: tiktoken.Encoding, ratio: float,
@@ -139,9 +152,11 @@ def random_spans(text: str, enc: tiktoken.Encoding, ratio: float,
             s += 1
         while e > s and text[e - 1] in "+/_-":
             e -= 1
-        if not mixed(text[s:e]) or any(a <= s and e <= b for a, _, b in base):
+        if e - s < SHORTEST or any(a <= s and e <= b for a, _, b in base):
             continue
         for s, e in random_parts(text, s, e, enc, ratio):
+            if any(a <= s and e <= b for a, _, b in base):
+                continue
             found = addresses(text, enc, ratio) if found is None else found
             k = bisect.bisect(found[0], s)
             if not k or found[1][k - 1] < e:

@@ -221,7 +221,7 @@ def test_secrets_beside_dots_are_found():
     assert _found("SG." + ".".join(DOTTED)) == DOTTED
     assert _found("sk.k3j9x0q2m4n8v7z1.zq8x4k7w2j9v5b3n") == ["k3j9x0q2m4n8v7z1", "zq8x4k7w2j9v5b3n"]
     assert _found(f"use {key}.then or {key}@once or @{key}") == [key] * 3
-    assert _found(f"postgres://admin:{key}@db.example.com/main http://x.org/a?k1={key}") == [key, "k1=" + key]
+    assert _found(f"postgres://admin:{key}@db.example.com/main http://x.org/a?k1={key}") == [key] * 2
     for plain in (f"https://example.com/{key}.html", f"see www.example.com/{key}", f"mail {key}@mail.example.com",
                   f"http://localhost:8080/{key}", f"<{key}@a.example.net>"):
         assert _found(plain) == [], plain
@@ -243,6 +243,18 @@ def test_slashes_of_base64_hide_nothing():
     assert _found(path) == ["hJ3kQ9zX7vB2nM5wR8tY"]
 
 
+def test_letters_alone_and_labelled_values():
+    mixed = ["xKqWvZbRtYpLmNsD", "hTgVbQwXzRkPjLmNcFdS"]
+    assert _found(" ".join(mixed)) == mixed and _found("qxzkvwjqhgzxvkqj") == ["qxzkvwjqhgzxvkqj"]
+    for value in ("k3J9x0Q2m4N8v7Z1", "xKqWvZbRtYpLmNsD"):
+        for label in ("client_credentials=", "client_credentials_", "client-credentials-"):
+            assert _found(f"set {label}{value} now")[-1].endswith(value), label
+    assert _found("client_credentials=k3J9x0Q2m4N8v7Z1") == ["k3J9x0Q2m4N8v7Z1"]
+    for plain in ("Donaudampfschifffahrtsgesellschaft", "getElementsByTagName", "INTERNATIONALIZATION", "eineeinkeitlichpf",
+                  "antidisestablishmentarianism", "state-of-the-art-solutions", "sha256=Zk3J9x0Q2m4N8v7Z1k3J9x0Q2m4N8v7Z1abcdefg"):
+        assert _found(plain) == [], plain
+
+
 # --- 7 -----------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def codec():
