@@ -126,7 +126,12 @@ _LAST[[*range(48, 58), ord("$"), ord("@")]] = True
 _ONE = rb"[A-Za-z0-9@$!|+(]"
 _SPACED = re.compile(rb"%s(?:[ ._\-~/*]{1,3}%s){2,}(?![A-Za-z0-9\x80-\xff])" % (_ONE, _ONE))
 _LETTERS = re.compile(rb"[A-Za-z]")
-LONGEST = 32                    # a word of more characters is no hidden word: it stands as written
+LONGEST = 32                    # longer words (equal letters collapsed) are cut and decoded part by part
+_STRETCHED = re.compile(rb"([A-Za-z])(?:(?i:\1)){3,}")
+_PART = re.compile(rb"(?:(?![*#%]{3})[A-Za-z0-9@$!|+(*#%]|[\xc3-\xc9\xcc\xcd][\x80-\xbf]|\xe1[\xb8-\xbb][\x80-\xbf])+")
+_ADDRESS = re.compile(rb"(?:(?<=[A-Za-z0-9]):|(?<![^\s\"'(=])(?=//[\w-]+\.))//[^\s\"'<>()\[\]{},;]*+|"
+                      rb"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++\.[A-Za-z]{2,}[\w.-]*+")
+_SIGNS = b"!.-_|#*%&$"
 _SWAP, _DROP, _MERGE, _SPLIT = -1.0, -0.5, -0.7, -1.5     # log weights of the channel's moves
 
 
@@ -168,6 +173,22 @@ def _options(c: str) -> list[tuple[int, str, float]]:
     return [(s, c, 0.0)] if s else []
 
 
+def key(word: bytes) -> bool:
+    """Hexadecimal, or base64: capitals, small letters and digits that change often."""
+    if len(word) < 16:
+        return False
+    changes = len(re.findall(rb"[a-z](?![a-z])|[A-Z](?![A-Z])|[0-9](?![0-9])", word))
+    return bool(re.match(rb"(?:0[xX])?[0-9a-fA-F]+\Z", word)
+                or (re.search(rb"[0-9]", word) and re.search(rb"[a-z]", word[1:]) and re.search(rb"[A-Z]", word[1:])
+                    and 5 * changes > 2 * len(word)))
+
+
+def likely(text: str, model: np.ndarray) -> bool:
+    """Whether the model finds the text likelier than letters drawn at random."""
+    s = np.concatenate([[0, 0], symbols(text)]).astype(np.int64)
+    return len(s) > 4 and model[s[:-3], s[1:-2], s[2:-1], s[3:]].mean() > -np.log(SYMBOLS - 1)
+
+
 def decode(span: str, model: np.ndarray) -> str:
     """The likeliest intended text of a span: exact Viterbi over the lattice.
     A state is the last three symbols and, inside a run of three or more equal
@@ -178,6 +199,8 @@ def decode(span: str, model: np.ndarray) -> str:
     for written in runs:
         c = written[0]
         long = len(written) >= 3 and c.isalpha()
+        if long:
+            written = written[:3]                       # more equal letters change no weight
         options = _options(c)
         for k in range(len(written)):
             then: dict = {}
@@ -218,34 +241,69 @@ def decode(span: str, model: np.ndarray) -> str:
     return "".join(reversed(out))
 
 
+def _trimmed(word: bytes) -> bytes:
+    """A word without the signs that close a sentence."""
+    return word.rstrip(_SIGNS if word[-3:] in (b"$$$", b"***", b"%%%", b"###") else b"!.-_|")
+
+
 class Restorer:
     """Replaces obfuscated spans; keeps recent answers, so that a frequent
     span is decoded once."""
 
     def __init__(self, model: np.ndarray, keep: int = 50_000):
-        self.decoded = Recent(lambda span: decode(span.decode(errors="replace"), model).encode(), keep).__getitem__
+        whole = lambda span: decode(span.decode(errors="replace"), model)
+
+        def part(span: bytes) -> bytes:
+            text = "" if key(span) else whole(span)
+            return text.encode() if likely(text, model) else span
+
+        self.decoded = Recent(lambda span: whole(span).encode(), keep).__getitem__
+        self.part, self.long = Recent(part, keep).__getitem__, part
 
     def spans(self, buf: bytes, first: int, end: int, at: list[int]):
         """(start, end, restored) of the obfuscated spans of one text, which is
-        buf[first:end], around the suspicious positions."""
-        done = first
+        buf[first:end], around the suspicious positions.  Addresses stand as
+        written.  A word of more than ``LONGEST`` characters is cut at other
+        signs and other scripts, and its parts that hold a suspicious position
+        are decoded, except keys."""
+        out = []
+        if buf.find(b"//", first, end) >= 0 or buf.find(b"@", first, end) >= 0:
+            out = [m.span() for m in _ADDRESS.finditer(buf, first, end)]
+        out.append((end, end))
+        done, over, parts, n, i = first, first, [], 0, 0       # over: the end of the word that is cut into parts
         for k in at:
-            if k < done:
+            while out[i][1] <= k:
+                i += 1
+            if k < done or k >= out[i][0]:
                 continue
-            if (m := _SPACED.match(buf, k, end)) and len(_LETTERS.findall(m.group())) >= 2:
+            low, high = max(done, over, out[i - 1][1] if i else first), out[i][0]
+            if (m := _SPACED.match(buf, k, high)) and len(_LETTERS.findall(m.group())) >= 2:
                 yield k, m.end(), self.decoded(m.group())
                 done = m.end()
                 continue
-            s, e = k, k
-            while s > done and buf[s - 1] not in b" \t\n\r\x0b\x0c\"',;:(":
-                s -= 1
-            while e < end and buf[e] not in b" \t\n\r\x0b\x0c\"',;:)?":
-                e += 1
-            done = e
-            word = buf[s:e].rstrip(b"!.-_|#*%&$" if buf[s:e][-3:] in (b"$$$", b"***", b"%%%", b"###") else b"!.-_|")
-            # a word of an address, a number or a key stands as written
-            if 1 < len(word) <= LONGEST and b"//" not in word and not re.search(rb"@\w+\.", word):
-                yield s, s + len(word), self.decoded(word)
+            if k >= over:
+                s, e = k, k
+                while s > low and buf[s - 1] not in b" \t\n\r\x0b\x0c\"',;:(":
+                    s -= 1
+                while e < high and buf[e] not in b" \t\n\r\x0b\x0c\"',;:)?":
+                    e += 1
+                raw = _trimmed(buf[s:e])
+                word = _STRETCHED.sub(rb"\1\1\1", raw)
+                if len(word) <= LONGEST:
+                    if len(word) > 1:
+                        yield s, s + len(raw), self.decoded(word)
+                    done = e
+                    continue
+                parts, over, n = [m.span() for m in _PART.finditer(buf, s, e)], e, 0
+            while n < len(parts) and parts[n][1] <= k:
+                n += 1
+            if n < len(parts) and parts[n][0] <= k + 1:
+                s, done = max(done, parts[n][0]), parts[n][1]
+                raw = _trimmed(buf[s:done])
+                word = _STRETCHED.sub(rb"\1\1\1", raw)
+                text = (self.part if len(word) <= 8 * LONGEST else self.long)(word)
+                if text != word and len(word) > 1:
+                    yield s, s + len(raw), text
 
     def many(self, docs: list[str]) -> list[str]:
         """All texts with their obfuscated spans restored."""

@@ -133,6 +133,28 @@ def test_obfuscated_words_come_back(char_model, written, meant):
     assert out == f"you are {meant} , he said"
 
 
+@pytest.mark.parametrize("written,meant", [
+    ("i" * 9 + "d" * 9 + "i" * 4 + "o" * 9 + "t" * 9, "idiot"), ("m" + "o" * 40 + "r" + "O" * 30 + "n", "moron"),
+    ("completely-worthless-and-stupid-m0r0n/with_nothing", "completely-worthless-and-stupid-moron/with_nothing"),
+    ("everybody_knows_that_you_are_an_1d10t—really…yes", "everybody_knows_that_you_are_an_idiot—really…yes"),
+    ("你是一个很大的m0r0n你是一个很大的",
+     "你是一个很大的moron你是一个很大的"),
+    ("what_a_w0rthl3ss_tr@sh_that_l0ser_is_said", "what_a_worthless_trash_that_loser_is_said"),
+    ("i.d.i.o.t-and-everything-else-that-they-told", "idiot-and-everything-else-that-they-told")])
+def test_no_word_is_too_long(char_model, written, meant):
+    out = toxicity.Restorer(char_model).many([f"you are {written} , he said"])[0]
+    assert out == f"you are {meant} , he said"
+
+
+def test_keys_and_addresses_stay(char_model):
+    rnd = random.Random(2)
+    plain = ["http://x.org/a1b2/m0r0n-with-a-very-long-path-of-the-address?q=1d10t&b=2 end", "x " + "9f8e7d6c" * 9 + " y",
+             "j0hn.d0e.with.a.very.long.local.part@mail.example.com wrote", "see (https://localhost:8080/a1b2c3) there"]
+    plain += ["".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+              for n in (40, 64, 500)]
+    assert toxicity.Restorer(char_model).many(plain) == plain
+
+
 def test_plain_text_stays(char_model):
     plain = ["", "Well-known words, (in 2024) cost $5 or 50% more!", "mail a.b@mail.example.com or http://x.org/a1b2",
              "Ünï cödé bleibt", "a " + "0123456789abcdef" * 4]
