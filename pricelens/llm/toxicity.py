@@ -117,16 +117,24 @@ _KIND[[ord(c) for c in LEET]] = _SIGN
 _KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
 _KIND[[ord(c) for c in "._-~/"]] = _SEPARATOR
 _KIND[[9, 10, 11, 12, 13, 32]] = _BLANK
-_ENDS = np.zeros(256, bool)
-_ENDS[[9, 10, 11, 12, 13, 32, *map(ord, ",.;:!?")]] = True
+# What parts words; '(' opens one and may be a letter inside it.
+_OPEN, _CLOSE = b" \t\n\r\x0b\x0c\"',;:()[]{}<>?", b" \t\n\r\x0b\x0c\"',;:)[]{}<>?"
+_STARTS, _ENDS = np.zeros(256, bool), np.zeros(256, bool)
+_STARTS[[*_OPEN]] = True
+_ENDS[[*_CLOSE, *b".!"]] = True
+_WIDE = re.compile(rb"\xe2\x80[\x80-\xaf]|\xc2[\xa0\xab\xbb]")      # typographic quotes, dashes and blanks part words too
 _FIRST = np.zeros(256, bool)
 _FIRST[[*range(48, 58), *map(ord, "@$!|")]] = True
 _LAST = np.zeros(256, bool)
 _LAST[[*range(48, 58), ord("$"), ord("@")]] = True
+_JOINS, _MONEY = np.zeros(256, bool), np.zeros(256, bool)      # a joined word may start or end by these signs
+_JOINS[[*b"-_/"]] = True
+_MONEY[[*b"$@"]] = True
 _ONE = rb"[A-Za-z0-9@$!|+(]"
 _SPACED = re.compile(rb"%s(?:[ ._\-~/*]{1,3}%s){2,}(?![A-Za-z0-9\x80-\xff])" % (_ONE, _ONE))
 _LETTERS = re.compile(rb"[A-Za-z]")
 LONGEST = 32                    # longer words (equal letters collapsed) are cut and decoded part by part
+KEY = 16                        # shorter parts of them are no keys
 _STRETCHED = re.compile(rb"([A-Za-z])(?:(?i:\1)){3,}")
 _PART = re.compile(rb"(?:(?![*#%]{3})[A-Za-z0-9@$!|+(*#%]|[\xc3-\xc9\xcc\xcd][\x80-\xbf]|\xe1[\xb8-\xbb][\x80-\xbf])+")
 _ADDRESS = re.compile(rb"(?:(?<=[A-Za-z0-9]):|(?<![^\s\"'(=])(?=//[\w-]+\.))//[^\s\"'<>()\[\]{},;]*+|"
@@ -138,20 +146,26 @@ _SWAP, _DROP, _MERGE, _SPLIT = -1.0, -0.5, -0.7, -1.5     # log weights of the c
 def suspicious(buf: np.ndarray) -> np.ndarray:
     """Positions (in UTF-8 bytes) that touch an obfuscated word: a sign
     between letters, before the first or after the last one; a letter three
-    times in a row; single letters with separators between them."""
+    times in a row, three doubled letters in a row, or two that are a word;
+    single letters with separators between them."""
     kind = _KIND[buf]
     letter, sign = kind == _LETTER, kind == _SIGN
     pad = lambda a, k: np.concatenate([a[k:], np.zeros(k, a.dtype)])
-    blank_before = np.concatenate([[True], kind[:-1] == _BLANK])
+    start = np.concatenate([[True], _STARTS[buf[:-1]]])
     l1, l2, l3, l4 = (pad(letter, k) for k in (1, 2, 3, 4))
     s1, s2, s3 = (pad(sign, k) for k in (1, 2, 3))
     hit = letter & s1 & (l2 | (s2 & (l3 | (s3 & l4))))
-    hit |= blank_before & _FIRST[buf] & (l1 | (s1 & l2))
-    end = np.concatenate([_ENDS[buf], np.ones(3, bool)])
+    hit |= start & _FIRST[buf] & (l1 | (s1 & l2))
+    end = np.concatenate([_ENDS[buf], np.ones(4, bool)])
     last = _LAST[buf]
     hit |= letter & pad(last, 1) & (end[2:len(buf) + 2] | (pad(last, 2) & end[3:len(buf) + 3]))
+    join, money = np.concatenate([[False], _JOINS[buf], np.zeros(3, bool)]), _MONEY[buf]
+    hit |= join[:len(buf)] & money & (l1 | (s1 & l2))
+    hit |= letter & pad(money, 1) & (join[3:len(buf) + 3] | (pad(money, 2) & join[4:len(buf) + 4]))
     low = buf | 32
-    hit |= letter & (buf < 128) & (low == pad(low, 1)) & (low == pad(low, 2)) & l1 & l2
+    twice = letter & (buf < 128) & (low == pad(low, 1)) & l1
+    hit |= twice & pad(twice, 1)
+    hit |= twice & pad(twice, 2) & (pad(twice, 4) | (start & end[4:]))
     sep = kind == _SEPARATOR
     hit |= letter & pad(sep, 1) & l2 & pad(sep, 3) & l4
     # three single characters, each at most three separators from the next
@@ -175,7 +189,7 @@ def _options(c: str) -> list[tuple[int, str, float]]:
 
 def key(word: bytes) -> bool:
     """Hexadecimal, or base64: capitals, small letters and digits that change often."""
-    if len(word) < 16:
+    if len(word) < KEY:
         return False
     changes = len(re.findall(rb"[a-z](?![a-z])|[A-Z](?![A-Z])|[0-9](?![0-9])", word))
     return bool(re.match(rb"(?:0[xX])?[0-9a-fA-F]+\Z", word)
@@ -189,16 +203,27 @@ def likely(text: str, model: np.ndarray) -> bool:
     return len(s) > 4 and model[s[:-3], s[1:-2], s[2:-1], s[3:]].mean() > -np.log(SYMBOLS - 1)
 
 
+def doubled(word: str) -> bool:
+    """Whether a word's letters are doubled throughout, so that a pair may
+    stand for one letter: all, or three at least and two of three."""
+    runs = [m.end() - m.start() for m in re.finditer(r"(.)\1*", word, re.S)]
+    n = sum(k > 1 for k in runs)
+    return n > 1 and (n == len(runs) or n > 2 and 3 * n >= 2 * len(runs))
+
+
 def decode(span: str, model: np.ndarray) -> str:
     """The likeliest intended text of a span: exact Viterbi over the lattice.
     A state is the last three symbols and, inside a run of three or more equal
-    letters, how many of them were taken."""
+    letters, or two in a word that is doubled throughout, how many of them were taken."""
     span = span.lower()
     runs = [m.group() for m in re.finditer(r"(.)\1*", span, re.S)]
+    pairs = {k for w in re.finditer(r"[^\W\d_]+", span) if doubled(w[0]) for k in range(*w.span())}
     paths = {((0, 0, 0), 0): (0.0, None)}               # (last symbols, taken) -> score, history
+    at = 0
     for written in runs:
         c = written[0]
-        long = len(written) >= 3 and c.isalpha()
+        long = c.isalpha() and (len(written) >= 3 or len(written) == 2 and at in pairs)
+        at += len(written)
         if long:
             written = written[:3]                       # more equal letters change no weight
         options = _options(c)
@@ -219,7 +244,7 @@ def decode(span: str, model: np.ndarray) -> str:
                               (" ", history))
                     continue
                 if long and k:                                               # one more of the same letter
-                    relax((ctx, taken), score + (_MERGE if k < 3 else 0.0), history)
+                    relax((ctx, taken), score + _MERGE, history)
                     if taken >= 2:
                         continue
                 for s, out, weight in options:
@@ -251,11 +276,14 @@ class Restorer:
     span is decoded once."""
 
     def __init__(self, model: np.ndarray, keep: int = 50_000):
-        whole = lambda span: decode(span.decode(errors="replace"), model)
+        def whole(span: bytes) -> str:
+            written = span.decode(errors="replace")
+            text = decode(written, model)
+            return written if text == written.lower() else text            # nothing was hidden
 
         def part(span: bytes) -> bytes:
             text = "" if key(span) else whole(span)
-            return text.encode() if likely(text, model) else span
+            return text.encode() if text and (len(span) < KEY or likely(text, model)) else span
 
         self.decoded = Recent(lambda span: whole(span).encode(), keep).__getitem__
         self.part, self.long = Recent(part, keep).__getitem__, part
@@ -283,9 +311,9 @@ class Restorer:
                 continue
             if k >= over:
                 s, e = k, k
-                while s > low and buf[s - 1] not in b" \t\n\r\x0b\x0c\"',;:(":
+                while s > low and buf[s - 1] not in _OPEN:
                     s -= 1
-                while e < high and buf[e] not in b" \t\n\r\x0b\x0c\"',;:)?":
+                while e < high and buf[e] not in _CLOSE:
                     e += 1
                 raw = _trimmed(buf[s:e])
                 word = _STRETCHED.sub(rb"\1\1\1", raw)
@@ -294,7 +322,7 @@ class Restorer:
                         yield s, s + len(raw), self.decoded(word)
                     done = e
                     continue
-                parts, over, n = [m.span() for m in _PART.finditer(buf, s, e)], e, 0
+                parts, over, n = [] if key(word) else [m.span() for m in _PART.finditer(buf, s, e)], e, 0
             while n < len(parts) and parts[n][1] <= k:
                 n += 1
             if n < len(parts) and parts[n][0] <= k + 1:
@@ -309,14 +337,15 @@ class Restorer:
         """All texts with their obfuscated spans restored."""
         raw = [d.encode() for d in docs]
         joined = b"\n".join(raw)
-        at = suspicious(np.frombuffer(joined, np.uint8)) if joined else np.empty(0, np.int64)
+        flat = _WIDE.sub(lambda m: b" " * len(m[0]), joined)
+        at = suspicious(np.frombuffer(flat, np.uint8)) if joined else np.empty(0, np.int64)
         ends = np.cumsum([len(r) + 1 for r in raw])
         cut = np.searchsorted(at, np.concatenate([[0], ends]))
         out = list(docs)
         for k in np.flatnonzero(np.diff(cut)):
             first, end = int(ends[k]) - 1 - len(raw[k]), int(ends[k]) - 1
             parts, done = [], first
-            for s, e, text in self.spans(joined, first, end, at[cut[k]:cut[k + 1]].tolist()):
+            for s, e, text in self.spans(flat, first, end, at[cut[k]:cut[k + 1]].tolist()):
                 parts += [joined[done:s], text]
                 done = e
             out[k] = b"".join([*parts, joined[done:end]]).decode(errors="replace")

@@ -146,12 +146,22 @@ def test_no_word_is_too_long(char_model, written, meant):
     assert out == f"you are {meant} , he said"
 
 
+@pytest.mark.parametrize("written,meant", [
+    ('"$cum', '"scum'), ("($cum)", "(scum)"), ("(a$$)", "(ass)"), ('"@sshole"', '"asshole"'), ("[$tupid]", "[stupid]"),
+    ("so,$cum", "so,scum"), ("everybody-says-that-he-is-$cum-and-a$$-again", "everybody-says-that-he-is-scum-and-ass-again"), ("\u201c$cum\u201d", "\u201cscum\u201d"), ("iiddiioott", "idiot"), ("ssccuumm", "scum"),
+    ("MMOORROONN", "moron"), ("w0rthl3ss", "worthless"), ("aass", "as"), ("Committee", "Committee"), ("Bookkeeper", "Bookkeeper")])
+def test_signs_at_edges_and_doubled_letters(char_model, written, meant):
+    out = toxicity.Restorer(char_model).many([f"you are {written} , he said"])[0]
+    assert out == f"you are {meant} , he said"
+
+
 def test_keys_and_addresses_stay(char_model):
     rnd = random.Random(2)
     plain = ["http://x.org/a1b2/m0r0n-with-a-very-long-path-of-the-address?q=1d10t&b=2 end", "x " + "9f8e7d6c" * 9 + " y",
              "j0hn.d0e.with.a.very.long.local.part@mail.example.com wrote", "see (https://localhost:8080/a1b2c3) there"]
     plain += ["".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
               for n in (40, 64, 500)]
+    plain += ["".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(400))]
     assert toxicity.Restorer(char_model).many(plain) == plain
 
 
