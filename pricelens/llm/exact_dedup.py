@@ -11,7 +11,9 @@ locator.  Where bytes differ under one digest, the rows of that digest are
 grouped again by their whole text.
 
 The state survives a restart: running again with the same ``state_dir`` and
-further arrivals continues from the checkpoint.
+further arrivals continues from the checkpoint.  Earlier rows of the digests
+that arrive again are read by their locators (their files must still be
+there), so that hits on them are compared, and grouped again, like all others.
 
 Texts are equal when identical after lower-casing A-Z only.  Null text counts
 as empty; all empty texts are one group.  Repeated rows (same id, same text)
@@ -22,14 +24,17 @@ is smaller than any other.  An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import uuid
+from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import FILE, ROW, id_and_text, located, prepare, run_dir, save, texts
+from .common import FILE, ROW, _with_locator, id_and_text, located, prepare, run_dir, save, texts
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _STATE_CONF = {
@@ -101,27 +106,63 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text_sha256 and the row's locator (src_file, src_row)."""
     spark = docs.sparkSession
     prepare(spark)
-    state_dir = state_dir or run_dir(spark, "exact_dedup")
+    lasting, state_dir = state_dir is not None, state_dir or run_dir(spark, "exact_dedup")
     rows = located(docs, *id_and_text(docs, id_col, text_col))
     arrivals = digested(rows, digest_chars)
     path = f"{state_dir}/arrivals"
-    arrived = save(arrivals, path)
+    call = uuid.uuid4().hex[:12]
+    if lasting:
+        arrivals = arrivals.withColumn("text_name", F.lit(_text_name(docs, text_col)))
+    arrived = save(arrivals, f"{path}/{call}")
     if not arrived.take(1):
         state = spark.createDataFrame([], f"digest string, n bigint, rep struct<doc_id:"
                                       f"{rows.schema['doc_id'].dataType.simpleString()},{FILE}:string,{ROW}:bigint>")
     else:
-        state = save(keyed_state(spark, path, arrivals.schema, state_dir, max_bytes_per_trigger), f"{state_dir}/state")
+        state = save(keyed_state(spark, f"{path}/*", arrivals.schema, state_dir, max_bytes_per_trigger), f"{state_dir}/state")
+    before = _earlier(rows, arrived, path, call) if lasting else None
+    rows = rows if before is None else rows.unionByName(save(before, f"{state_dir}/earlier"))
     differing = save(_differing(rows, state, digest_chars, state_dir), f"{state_dir}/differing")
     rep = F.col("rep")
     out = arrived.join(state, "digest")
     if differing.take(1):
         split = differing.distinct()
-        out = out.join(split, "digest", "left_anti").unionByName(_regrouped(rows, split, digest_chars))
+        again = _regrouped(rows, split, digest_chars)
+        if before is not None:          # only the rows of this call come out
+            again = again.join(arrived.select(FILE, ROW), [FILE, ROW], "left_semi").dropDuplicates([FILE, ROW])
+        out = out.drop("text_name").join(split, "digest", "left_anti").unionByName(again)
     here = (F.col(FILE) == rep[FILE]) & (F.col(ROW) == rep[ROW])
     return out.select("doc_id", rep["doc_id"].alias("keep_id"), F.col("n").alias("group_size"), here.alias("kept"),
                       F.col("sha").alias("text_sha256"), FILE, ROW)
 
 
+def _text_name(docs: DataFrame, text_col: str) -> str:
+    """The text's column in the files that the locators of ``docs`` name."""
+    try:
+        _with_locator(docs, []).schema
+        return text_col
+    except AnalysisException:
+        return "text"
+
+
+def _earlier(rows: DataFrame, arrived: DataFrame, path: str, call: str) -> DataFrame | None:
+    """The rows, with their texts, that earlier calls saw under digests of this
+    one: one scan of the files that their locators name."""
+    spark = rows.sparkSession
+    seen = spark.read.schema(arrived.schema).parquet(f"{path}/*")
+    past = (seen.where(~seen.metadataColumn("_metadata")["file_path"].contains(f"/{call}/"))
+            .join(arrived.select("digest"), "digest", "left_semi").select("doc_id", FILE, ROW, "text_name"))
+    files: dict = {}
+    for r in past.select("text_name", FILE).distinct().toLocalIterator():          # a row a file
+        files.setdefault(r["text_name"], []).append(unquote(r[FILE]))
+    out = None
+    for name, named in files.items():
+        scan = spark.read.parquet(*named)
+        found = _with_locator(scan, [scan[f"`{name}`"].alias("text")])
+        part = past.where(F.col("text_name") == name).join(found, [FILE, ROW]).select(*rows.columns)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _differing(rows: DataFrame, state: DataFrame, digest_chars: int, state_dir: str) -> DataFrame:
     """The digest of every row whose bytes differ from the content at the
     locator.  Only rows of digests with several rows are kept after the join

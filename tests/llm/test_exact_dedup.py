@@ -62,6 +62,22 @@ def test_state_continues_over_arrivals(spark):
         "a": (3, 11), "b": (2, 10), "c": (1, 3), "d": (1, 12)}
 
 
+def test_hits_on_rows_of_earlier_calls_are_compared(spark, tmp_path):
+    """With a one-digit digest most hits on earlier rows have other bytes."""
+    folder = run_dir(spark, "test")
+    texts = [f"text {k % 40}" for k in range(90)] + [None, ""]
+    parts = [range(0, 30), range(60, 92), range(30, 60)]        # ids above and below those seen before
+    seen = []
+    for n, ids in enumerate(parts):
+        docs = frame(spark, [texts[i] for i in ids], ids=list(ids)).withColumnRenamed("text", "body")
+        if n != 1:                                              # file scans, and one frame that is none
+            docs.write.parquet(str(tmp_path / f"in {n}"))
+            docs = spark.read.parquet(str(tmp_path / f"in {n}"))
+        got = X.exact_dedup(docs, text_col="body", state_dir=folder, digest_chars=1)
+        seen += [(i, texts[i]) for i in ids]
+        assert rows(got) == [r for r in brute(seen) if r[0] in ids]
+
+
 def test_batches_smaller_than_the_arrivals(spark, documents):
     whole = rows(X.exact_dedup(documents))
     assert rows(X.exact_dedup(documents.repartition(6), max_bytes_per_trigger=1)) == whole
