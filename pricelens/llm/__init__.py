@@ -1,6 +1,6 @@
 """Operators for large-scale training-data pipelines.
 
-Ten operators over `documents` and `pages`, one module each; ``queries.py``
+Operators over documents, pages and conversations, one module each; ``queries.py``
 holds the registered ``opN_<name>`` queries.  Nothing outside this package
 imports it.
 """

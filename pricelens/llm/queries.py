@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (exact_dedup, packing, quality, rules, secrets, sentencepiece_codec, simhash, toxicity, url_filter,
-               warc)
+from . import (conversation_repair, exact_dedup, language_id, packing, quality, reversed_search, rules, secrets,
+               sentencepiece_codec, simhash, toxicity, url_filter, warc)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,22 @@ def op10_quality_rules(spark, sf_dir):
     return rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_repair(spark, sf_dir):
+    """Every damaged conversation's faults and cheapest repair."""
+    damaged = conversation_repair.damage(_table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair_report(damaged, present_col="present")
+
+
+def op12_language_id(spark, sf_dir):
+    """Every document's language."""
+    return language_id.language_id(_table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark, sf_dir):
+    """Every benchmark item's ten best documents."""
+    return reversed_search.lexical_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 _ASCII_LOWER = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 
 OP1_SQL = f"""
@@ -92,5 +108,7 @@ FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND p.payload_bytes >=
 
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_url_filters, op3_quality_classifier, op4_best_fit_packing, op5_secret_scans, op6_toxicity,
-    op7_sentencepiece, op8_warc, op9_simhash_dedup, op10_quality_rules)}
-ORACLE = {"op1_exact_dedup": OP1_SQL, "op2_url_filters": url_filter.sql(), "op8_warc": OP8_SQL}
+    op7_sentencepiece, op8_warc, op9_simhash_dedup, op10_quality_rules, op11_conversation_repair, op12_language_id,
+    op13_lexical_search)}
+ORACLE = {"op1_exact_dedup": OP1_SQL, "op2_url_filters": url_filter.sql(), "op8_warc": OP8_SQL,
+          "op11_conversation_repair": conversation_repair.sql(), "op13_lexical_search": reversed_search.sql()}
