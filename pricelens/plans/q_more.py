@@ -19,6 +19,7 @@ from ..sources.landed import landed_catalog
 from ..sources.model_sql import with_models
 from ..sources.tables import model_price_history_stream
 from ..streaming import jobs as S
+from ..streaming.alert_stream import last_revision, run_alerts
 from . import q_alerts as QA
 from .q_catalog import _EXP
 from .registry import AS_OF, ORACLE, query
@@ -257,21 +258,27 @@ def l5(m):
 @query("L6_sink_idempotent", f"SELECT {QA._DET_COLS.replace('reason,', '').replace('CAST(threshold_percent AS DOUBLE) AS threshold_percent,', '')} FROM detections",
        ("detections",))
 def l6(m):
-    """The stateful alert stream written by an idempotent foreachBatch
-    sink (one folder per batch id, overwritten on replay) and read back."""
+    """History and alerts of the stream, committed together per batch.  The
+    stream is run again from an empty checkpoint onto the same tables, as after
+    the loss of its checkpoint: every batch is there already, and none is
+    written twice."""
     spark = m.spark
-    from ..config import ship_package
-    ship_package(spark)
-    out = _scratch(spark, "alerts_sink")
-    s = S.stream_alerts(model_price_history_stream(spark, m.sf_dir), m.competitors, m.products)
-    name = f"l6_{uuid.uuid4().hex[:8]}"
-    q = (s.writeStream.foreachBatch(S.idempotent_sink(out))
-         .option("checkpointLocation", S.checkpoint_location(spark, name)).trigger(availableNow=True).start())
-    q.awaitTermination()
-    r = S.last_revision(spark.read.parquet(out).drop("batch_id"))
-    return r.withColumn("detected_at", F.col("detected_at").cast("timestamp_ntz")).withColumn(
-        "reason", F.lit(None).cast("string")).drop("reason")
-
+    root = _scratch(spark, "alerts_sink")
+    run_alerts(model_price_history_stream(spark, m.sf_dir), m.competitors, m.products, root)
+    tables = run_alerts(model_price_history_stream(spark, m.sf_dir), m.competitors, m.products, root,
+                        checkpoint=f"{root}/checkpoint-2")
+    return last_revision(tables.read("alerts")).withColumn("detected_at", F.col("detected_at").cast("timestamp_ntz"))
+
+
+@query("L6_sink_history", """SELECT id, competitor_id, CAST(price AS DOUBLE) AS price, currency, scraped_at, scrape_status
+FROM price_history""", ("price_history",))
+def l6_history(m):
+    """The history as the same batches committed it."""
+    tables = run_alerts(model_price_history_stream(m.spark, m.sf_dir), m.competitors, m.products,
+                        _scratch(m.spark, "history_sink"))
+    h = tables.read("history")
+    return h.select("id", "competitor_id", "price", "currency", F.col("scraped_at").cast("timestamp_ntz").alias("scraped_at"),
+                    "scrape_status")
 
 
 from .q_insights import M6_SQL  # noqa: E402

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from datetime import timedelta
 
 from pyspark.sql import functions as F
 
 from ..config import ensure_checkpoint_dir
 from ..sources.tables import model_price_history_stream
 from ..streaming import jobs as S
+from ..streaming.alert_stream import last_revision, run_alerts
 from .registry import query
 
 
@@ -42,26 +42,30 @@ _DET = """id, user_id, product_id, competitor_id, alert_type, CAST(old_price AS
   old_currency, new_currency, detected_at"""
 
 
+def _root(m, name):
+    return f"{ensure_checkpoint_dir(m.spark)}/stream_tables/{name}-{uuid.uuid4().hex[:8]}"
+
+
 @query("L2_stream_alerts", f"SELECT {_DET} FROM detections", ("detections",))
 def l2(m):
-    """L2: stateful change detection on the stream (state = last price per
-    competitor), drained; equals the batch detection."""
-    s = S.stream_alerts(model_price_history_stream(m.spark, m.sf_dir), m.competitors, m.products)
-    return _ntz(S.last_revision(S.run_to_table(s, "l2")), "detected_at")
+    """L2: change detection on the stream, drained, its state in tables by
+    competitor and day; equals the batch detection."""
+    tables = run_alerts(model_price_history_stream(m.spark, m.sf_dir), m.competitors, m.products, _root(m, "l2"))
+    return _ntz(last_revision(tables.read("alerts")), "detected_at")
 
 
 @query("L2_stream_alerts_out_of_order", f"SELECT {_DET} FROM detections", ("detections",))
 def l2o(m):
     """L2 over observations that arrive out of order: three arrivals, each with
-    rows between those of the others; with corrections kept for the length of
-    the history the result equals the batch detection."""
+    rows between those of the others, up to the whole history late; the last
+    revisions equal the batch detection."""
     path = f"{ensure_checkpoint_dir(m.spark)}/scratch/arrivals-{uuid.uuid4().hex[:8]}"
     h = m.price_history
     for part in (2, 0, 1):
         h.filter(F.col("id") % 3 == part).write.mode("append").parquet(path)
     st = S.price_stream(m.spark, path, h.schema, max_files=1)
-    s = S.stream_alerts(st, m.competitors, m.products, keep=timedelta(days=60))
-    return _ntz(S.last_revision(S.run_to_table(s, "l2o")), "detected_at")
+    tables = run_alerts(st, m.competitors, m.products, _root(m, "l2o"))
+    return _ntz(last_revision(tables.read("alerts")), "detected_at")
 
 
 @query("L3_daily_price_window", """
@@ -78,9 +82,10 @@ SELECT date_trunc('day', scraped_at) AS window_start, competitor_id, CAST(min(pr
   CAST(max(price) AS DOUBLE) AS max_price, CAST(sum(price) AS DOUBLE) / count(*) AS avg_price, count(*) AS n
 FROM price_history WHERE scrape_status = 'success' AND price IS NOT NULL GROUP BY 1, 2""", ("price_history",))
 def l3s(m):
-    """L3 as a stream in complete mode (every window, including open ones)."""
+    """L3 as a stream in update mode: changed windows are written, the newest
+    row of each is read (every window, including open ones)."""
     s = S.daily_price_window_stream(model_price_history_stream(m.spark, m.sf_dir))
-    return _ntz(S.run_to_table(s, f"l3_{uuid.uuid4().hex[:8]}", mode="complete"), "window_start")
+    return _ntz(S.run_windows(s, ["window_start", "competitor_id"], _root(m, "l3"))[0], "window_start")
 
 
 @query("L4_digest_window", """
@@ -118,12 +123,10 @@ FROM pending_alerts a LEFT JOIN user_alert_settings s ON s.user_id = a.user_id G
        ("pending_alerts", "user_alert_settings"))
 def l4s(m):
     """L4 as a stream: the alert table lands as files (the alert sink's
-    output), a file stream feeds the three digest-window aggregations
-    (watermark 1 day); drained in complete mode."""
-    import os
-    from ..config import ensure_checkpoint_dir
-    path = os.path.join(ensure_checkpoint_dir(m.spark), "scratch", f"alerts-{uuid.uuid4().hex[:8]}")
+    output), a file stream feeds the digest windows (alerts up to a day late),
+    drained in update mode."""
+    path = f"{ensure_checkpoint_dir(m.spark)}/scratch/alerts-{uuid.uuid4().hex[:8]}"
     m.pending_alerts.write.parquet(path)
     st = m.spark.readStream.schema(m.spark.read.parquet(path).schema).parquet(path)
-    dw = S.digest_window(st, m.user_alert_settings, delay="1 day")
-    return _ntz(S.run_to_table(dw, f"l4_{uuid.uuid4().hex[:8]}", mode="complete"), "window_start")
+    dw = S.digest_window_stream(st, m.user_alert_settings)
+    return _ntz(S.run_windows(dw, ["user_id", "freq", "window_start"], _root(m, "l4"))[0], "window_start")

@@ -1,5 +1,6 @@
-"""Structured Streaming forms of the daily pipeline (A11, L1-L6), each with a
-batch twin that is used to check it.
+"""Structured Streaming forms of the daily pipeline (A11, L1, L3-L5), each with
+a batch twin that is used to check it.  L2 is in ``alert_stream``, L6 in
+``commits``.
 
 Event time is ``scraped_at``; watermarks need TIMESTAMP (not TIMESTAMP_NTZ),
 so streams cast it with the session time zone pinned to UTC.
@@ -7,21 +8,16 @@ so streams cast it with the session time zone pinned to UTC.
 
 from __future__ import annotations
 
-import json
 import os
 import uuid
-from collections.abc import Iterator
 from datetime import timedelta
-from decimal import Decimal
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import DEFAULT_DIGEST_HOURS, ensure_checkpoint_dir, ship_package
-from ..operators.alerts import classify_change, pct_change
+from .commits import CommittedTables, upsert_windows
 
 
 def checkpoint_location(spark: SparkSession, name: str) -> str:
@@ -63,91 +59,6 @@ def daily_dedup(history: DataFrame) -> DataFrame:
             .select("competitor_id", "day", "r.*"))
 
 
-# --- L2 ---------------------------------------------------------------------------
-
-_STATE_SCHEMA = "rows string"
-_KEPT = ["scraped_at", "id", "price", "currency", "revision"]
-
-
-def _carry_previous(keep_us: int, columns: list[str]):
-    """Per competitor: attach to each observation the price and currency of the
-    one before it in (scraped_at, id) order.
-
-    The state holds the observations of the last ``keep_us`` microseconds of
-    event time and the one before them.  A late row is put in its place; the
-    row behind it, handed on before with another predecessor, is handed on
-    again with a higher ``revision``.  A row older than all that is kept has no
-    known predecessor any more: it comes out without one and changes nothing."""
-    def run(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(pdfs), ignore_index=True)
-        new["revision"], new["fresh"] = 0, True
-        lost, whole = new.iloc[:0], True          # whole: the state holds all that was seen
-        if state.exists:
-            whole, rows = json.loads(state.get[0])
-            old = pd.DataFrame({c: [r[k] for r in rows] for k, c in enumerate(_KEPT)})
-            old["scraped_at"] = pd.to_datetime(old["scraped_at"], unit="us").astype(new["scraped_at"].dtype)
-            old["price"] = old["price"].map(Decimal)
-            old["fresh"] = False
-            first = (old["scraped_at"].iloc[0], old["id"].iloc[0])
-            before = (new["scraped_at"] < first[0]) | ((new["scraped_at"] == first[0]) & (new["id"] < first[1]))
-            if not whole:
-                lost, new = new[before], new[~before]
-            new = pd.concat([old, new], ignore_index=True)
-        new = new.sort_values(["scraped_at", "id"], kind="stable", ignore_index=True)
-        again = ~new["fresh"] & new["fresh"].shift(1, fill_value=False)
-        new.loc[again, "revision"] += 1
-        out = new.assign(old_price=new["price"].astype(object).shift(1), old_currency=new["currency"].shift(1))
-        out = pd.concat([out[new["fresh"] | again], lost.assign(old_price=None, old_currency=None)])
-        at = new["scraped_at"].astype("datetime64[us]").astype("int64")
-        start = max(0, int(at.searchsorted(at.iloc[-1] - keep_us, side="left")) - 1) if len(at) else 0
-        kept = new.iloc[start:]
-        rows = [[int(t), i if isinstance(i, str) else int(i), str(p), c, int(r)] for t, i, p, c, r in zip(
-            at.iloc[start:], kept["id"], kept["price"], kept["currency"], kept["revision"])]
-        state.update((json.dumps([whole and start == 0, rows]),))
-        out["competitor_id"] = key[0]
-        out["old_price"] = out["old_price"].where(out["old_price"].notna(), None)
-        out["old_currency"] = out["old_currency"].where(out["old_currency"].notna(), None)
-        yield out[columns]
-    return run
-
-
-def stream_alerts(stream: DataFrame, competitors: DataFrame, products: DataFrame,
-                  keep: timedelta = timedelta(days=1)) -> DataFrame:
-    """L2: change detection on arrival, in event-time order.  Rows that arrive
-    up to ``keep`` late are compared with their true predecessor, and the row
-    behind them comes out again with a higher ``revision`` (``last_revision``
-    reads a table of such rows).  State per competitor: the observations of
-    the last ``keep`` of its event time.  Keys may have any type.
-    Classification is the same Column expression as the batch path (I2)."""
-    ship_package(stream.sparkSession)
-    ok = (event_time(stream).filter((F.col("scrape_status") == "success") & F.col("price").isNotNull())
-          .select("id", "competitor_id", "price", "currency", "scraped_at"))
-    schema = T.StructType([*ok.schema.fields, T.StructField("revision", T.IntegerType()),
-                           T.StructField("old_price", ok.schema["price"].dataType),
-                           T.StructField("old_currency", T.StringType())])
-    prev = ok.groupBy("competitor_id").applyInPandasWithState(
-        _carry_previous(int(keep.total_seconds() * 1e6), schema.names), schema, _STATE_SCHEMA, "append",
-        GroupStateTimeout.NoTimeout)
-    comp = competitors.select(F.col("id").alias("competitor_id"), "product_id",
-                              F.col("alert_threshold_percent").alias("threshold_percent"))
-    prod = products.select(F.col("id").alias("product_id"), "user_id")
-    d = prev.filter(F.col("price") != 0).join(comp, "competitor_id").join(prod, "product_id")
-    kind = classify_change(F.col("old_price"), F.col("price"), F.col("old_currency"), F.col("currency"),
-                           F.col("threshold_percent"))
-    pct = pct_change(F.col("old_price"), F.col("price"))
-    return d.select("id", "user_id", "product_id", "competitor_id", kind.alias("alert_type"),
-                    "old_price", F.col("price").alias("new_price"),
-                    F.when(F.col("old_currency") == F.col("currency"), F.bround(pct, 2)).cast("decimal(12,2)")
-                    .alias("price_change_percent"), "old_currency", F.col("currency").alias("new_currency"),
-                    F.col("scraped_at").alias("detected_at"), "revision")
-
-
-def last_revision(alerts: DataFrame) -> DataFrame:
-    """The last revision of every row that ``stream_alerts`` handed on."""
-    cols = [c for c in alerts.columns if c not in ("id", "revision")]
-    return alerts.groupBy("id").agg(F.max_by(F.struct(*cols), "revision").alias("r")).select("id", "r.*")
-
-
 # --- L3 ---------------------------------------------------------------------------
 
 def _daily_stats(df: DataFrame) -> DataFrame:
@@ -160,8 +71,9 @@ def _daily_stats(df: DataFrame) -> DataFrame:
 
 
 def daily_price_window_stream(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """L3: tumbling 1-day min / max / avg / count per competitor; windows are
-    emitted once the watermark passes them (append) or updated (complete)."""
+    """L3: tumbling 1-day min / max / avg / count per competitor, for
+    ``run_windows``: a batch hands on the windows that it changed, and a window
+    leaves the state when the watermark passes its end."""
     return _daily_stats(event_time(stream).withWatermark("scraped_at", delay))
 
 
@@ -172,45 +84,74 @@ def daily_price_window(history: DataFrame) -> DataFrame:
 
 # --- L4 ---------------------------------------------------------------------------
 
-def digest_window(alerts: DataFrame, settings: DataFrame, delay: str | None = None) -> DataFrame:
-    """L4: alerts per user per tumbling digest window of the user's frequency,
-    any whole number of hours, in one pass: the window's start is the epoch
-    time rounded down to the frequency.  Users without settings, or without a
-    positive frequency, use the default.  As a stream: update or complete
-    mode, one row of state per user and window."""
+def _digest_windows(alerts: DataFrame, settings: DataFrame) -> DataFrame:
+    """Alerts with their user's frequency and the window's start and end."""
     a = event_time(alerts, "detected_at")
-    if delay:
-        a = a.withWatermark("detected_at", delay)
     freq = settings.select("user_id", "digest_frequency_hours")
     hours = F.col("digest_frequency_hours").cast("bigint")
     j = a.join(freq, "user_id", "left").withColumn(
         "freq", F.when(hours > 0, hours).otherwise(F.lit(DEFAULT_DIGEST_HOURS)))
     at, size = F.unix_seconds("detected_at"), F.col("freq") * 3600
-    return (j.groupBy("user_id", "freq", F.timestamp_seconds(at - F.pmod(at, size)).alias("window_start"))
-            .agg(F.count(F.lit(1)).alias("alerts"), F.count_if(F.col("alert_type") == "price_drop").alias("drops")))
+    start = at - F.pmod(at, size)
+    return j.select("user_id", "freq", "alert_type", F.timestamp_seconds(start).alias("window_start"),
+                    F.timestamp_seconds(start + size).alias("window_end"))
+
+
+def _digest_counts():
+    return F.count(F.lit(1)).alias("alerts"), F.count_if(F.col("alert_type") == "price_drop").alias("drops")
+
+
+def digest_window(alerts: DataFrame, settings: DataFrame) -> DataFrame:
+    """L4: alerts per user per tumbling digest window of the user's frequency,
+    any whole number of hours, in one pass: the window's start is the epoch
+    time rounded down to the frequency.  Users without settings, or without a
+    positive frequency, use the default."""
+    return _digest_windows(alerts, settings).groupBy("user_id", "freq", "window_start").agg(*_digest_counts())
+
+
+def digest_window_stream(alerts: DataFrame, settings: DataFrame, delay: timedelta = timedelta(days=1)) -> DataFrame:
+    """L4 as a stream, for ``run_windows``.  A window's end is its event time,
+    so that it leaves the state when the watermark passes it.  The newest end
+    may lie one window of the longest frequency ahead of the newest alert, so
+    the watermark stays that much behind: an alert up to ``delay`` late still
+    finds its window."""
+    hours = F.col("digest_frequency_hours").cast("bigint")
+    longest = settings.agg(F.max(hours)).first()[0] or 0
+    behind = delay + timedelta(hours=max(longest, DEFAULT_DIGEST_HOURS))
+    rows = _digest_windows(alerts, settings).withWatermark("window_end", f"{int(behind.total_seconds())} seconds")
+    return rows.groupBy("user_id", "freq", "window_start", "window_end").agg(*_digest_counts()).drop("window_end")
 
 
 # --- running, L5, L6 ------------------------------------------------------------------
 
-def run_to_table(stream_df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_to_table(stream_df: DataFrame, name: str) -> DataFrame:
     """Drain everything available (``availableNow``) into parquet under the
-    shared checkpoint folder and return it as a table; nothing goes through
-    the driver.  Append mode uses the exactly-once file sink; complete mode
-    rewrites the folder with each batch's full result (idempotent)."""
+    shared checkpoint folder by the exactly-once file sink and return it as a
+    table; nothing goes through the driver."""
     spark = stream_df.sparkSession
     ship_package(spark)
     out = os.path.join(ensure_checkpoint_dir(spark), "stream_out", f"{name}-{uuid.uuid4().hex[:8]}")
-    w = stream_df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint_location(spark, name))
-    if mode == "append":
-        w = w.format("parquet").option("path", out)
-    else:
-        w = w.foreachBatch(lambda df, _id: df.write.mode("overwrite").parquet(out))
     # the folder exists, empty, before the stream may find nothing to write
     spark.createDataFrame([], stream_df.schema).write.mode("overwrite").parquet(out)
-    w.trigger(availableNow=True).start().awaitTermination()
+    (stream_df.writeStream.outputMode("append").option("checkpointLocation", checkpoint_location(spark, name))
+     .format("parquet").option("path", out).trigger(availableNow=True).start().awaitTermination())
     return spark.read.schema(stream_df.schema).parquet(out)
 
 
+def run_windows(stream_df: DataFrame, keys: list[str], root: str) -> tuple[DataFrame, list[dict]]:
+    """Drain a windowed aggregation in update mode: every batch writes only the
+    windows that it changed (``upsert_windows``), closed windows leave the
+    state.  Returns the newest row of every window (``keys``) and the batches'
+    progress reports.  Called again with the same ``root``, it goes on."""
+    spark = stream_df.sparkSession
+    tables = CommittedTables(spark, root)
+    query = (stream_df.writeStream.outputMode("update").option("checkpointLocation", f"{tables.root}/checkpoint")
+             .foreachBatch(upsert_windows(tables)).trigger(availableNow=True).start())
+    query.awaitTermination()
+    rows = tables.latest("windows", keys)
+    return spark.createDataFrame([], stream_df.schema) if rows is None else rows, query.recentProgress
+
+
 def count_late(path: str, delay: timedelta, window: str = "1 day"):
     """foreachBatch handler that tells late observations from others.  An
     observation is late when its event-time window ended at or before the
@@ -233,8 +174,9 @@ def count_late(path: str, delay: timedelta, window: str = "1 day"):
 
 
 def idempotent_sink(path: str):
-    """foreachBatch writer that replaces the folder of its batch id, so a
-    replayed batch (after a failure) rewrites instead of duplicating."""
+    """foreachBatch writer of a single table that replaces the folder of its
+    batch id, so a replayed batch (after a failure) rewrites instead of
+    duplicating.  For several tables see ``commits``."""
     def write(batch_df: DataFrame, batch_id: int) -> None:
         batch_df.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
     return write
