@@ -4,20 +4,26 @@ Tokenising: a document's ids (byte-level BPE) and one separator id are cut
 into pieces of ``capacity`` ids from the end, so that only the first piece of
 a longer document may be shorter; others stay whole.
 
-Packing: pieces are dealt by a hash over partitions of about ``target``
-pieces (their number grows with the data), and each partition is packed by
-best-fit decreasing.  Dual feasible functions over its length histogram give a
-lower bound on its number of sequences: U(eps) (long pieces count whole, short
-ones not at all) followed by u(k) (lengths rounded to k-ths).  A partition
-whose number equals its bound is certified.  Partitions with a gap release the
-pieces of all sequences that are not full; certified ones release only those
-of their emptiest sequence, if it is not full, as it is what the bound's
-rounding left open.  The released pieces are dealt anew, over fewer and (for
-the first rounds) wider partitions and by another hash, and packed again,
-round by round, until
-nothing is released, or a round no longer saves a sequence; then the round
+Packing: pieces are dealt by a hash of their content over partitions of about
+``target`` pieces (their number grows with the data), and each partition is
+packed by best-fit decreasing.  Dual feasible functions over its length
+histogram give a lower bound on its number of sequences: U(eps) (long pieces
+count whole, short ones not at all) followed by u(k) (lengths rounded to
+k-ths).  A partition whose number equals its bound is certified.  Partitions
+with a gap release the pieces of all sequences that are not full; certified
+ones release only those of their emptiest sequence, if it is not full, as it
+is what the bound's rounding left open.  The released pieces are dealt anew,
+over fewer and (for the first rounds) wider partitions and by another hash, and
+packed again, round by round.  The same bound over the lengths of all pieces
+certifies the whole.  Where the rounds end above it, the certified partitions
+release all their open sequences too, until the bound is reached or two rounds
+in a row save no sequence.  A round that saves nothing is dropped: the one
 before stands.
 
+The dealing knows a piece's id, place, length and checksum, and the position of
+its row in its file, which spreads repeated rows; not the file's name.  So the
+same files under another path are packed alike.
+
 Tokens are written once; rounds move lengths and locators only.  A partition
 that is lost is packed again with the same result: its rows are sorted first.
 
@@ -188,9 +194,15 @@ def pieces(docs: DataFrame, path: str, capacity: int, separator: int) -> DataFra
 
 # --- bounds and packing -------------------------------------------------------------------------
 def lower_bound(lengths: np.ndarray, capacity: int, max_k: int = MAX_K) -> int:
+    """``histogram_bound`` of some lengths."""
+    return histogram_bound(np.bincount(lengths, minlength=capacity + 1)[:capacity + 1], capacity, max_k)
+
+
+def histogram_bound(count: np.ndarray, capacity: int, max_k: int = MAX_K) -> int:
     """The largest bound of the dual feasible functions u(k) after U(eps), in
-    whole numbers: u(k) is counted in 1 / (k * capacity) sequences."""
-    count = np.bincount(lengths, minlength=capacity + 1)[:capacity + 1].astype(np.int64)
+    whole numbers: u(k) is counted in 1 / (k * capacity) sequences.  ``count``
+    has the number of pieces of each length up to the capacity."""
+    count = count.astype(np.int64)
     x = np.arange(capacity + 1, dtype=np.int64)
     eps = np.arange(0, capacity // 2 + 1)
     large = count[::-1].cumsum()[::-1]                     # pieces of at least so many ids
@@ -235,64 +247,84 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 _PACKED = ("doc_id {0}, " + f"{FILE} string, {ROW} bigint, " + "piece int, start bigint, length bigint, "
            "ids_crc32 bigint, part bigint, seq bigint, offset bigint, fill bigint, used bigint, bound bigint, "
-           "release boolean")
+           "open boolean, gap boolean")
 _ITEM = ["doc_id", FILE, ROW, "piece", "start", "length", "ids_crc32"]
 
 
 def _pack_part(capacity: int):
     def run(table):
-        table = table.sort_by([(FILE, "ascending"), (ROW, "ascending"), ("piece", "ascending")])
+        table = table.sort_by([(c, "ascending") for c in ("doc_id", "piece", "length", "ids_crc32", ROW, FILE)])
         lengths = table.column("length").to_numpy()
         seq, offset = best_fit_decreasing(lengths, capacity)
         fill = np.bincount(seq, lengths).astype(np.int64)
         used, bound = len(fill), lower_bound(lengths, capacity)
-        if used > bound:
-            open_seq = fill < capacity
-        else:
-            open_seq = np.zeros(used, bool)
-            open_seq[np.argmin(fill)] = fill.min() < capacity
+        open_seq = fill < capacity
+        gap = open_seq.copy()
+        if used == bound:
+            gap[:] = False
+            gap[np.argmin(fill)] = fill.min() < capacity
         n = len(lengths)
         for name, x in (("seq", seq), ("offset", offset), ("fill", fill[seq]), ("used", np.full(n, used)),
-                        ("bound", np.full(n, bound)), ("release", open_seq[seq])):
+                        ("bound", np.full(n, bound)), ("open", open_seq[seq]), ("gap", gap[seq])):
             table = table.append_column(name, pa.array(x))
         return table
     return run
 
 
+def _sequences(placed: DataFrame) -> int:
+    return placed.where("offset = 0").count()
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, frames)
+
+
 def pack(items: DataFrame, folder: str, capacity: int, target: int) -> DataFrame:
     """The items with sequence_id and offset, after all rounds."""
     kind = items.schema["doc_id"].dataType.simpleString()
-    settled, number, todo, floor = [], 0, items, None
-    while True:
-        n = todo.count()
-        if not n:
-            break
-        parts = max(1, math.ceil(n / (target << min(number, WIDER))))
-        dealt = todo.withColumn("part", F.pmod(F.xxhash64(FILE, ROW, "piece", F.lit(number)), F.lit(parts)))
+    lengths = items.groupBy("length").count().collect()          # at most one row per length up to the capacity
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in lengths:
+        counts[r["length"]] = r["count"]
+    bound = histogram_bound(counts, capacity)
+    settled, total = [], 0                     # frames whose sequences stay, and how many these are
+    number, failed, release = 0, 0, "gap"
+    todo = standing = floor = None
+    while bound:
+        source = items if todo is None else todo
+        parts = max(1, math.ceil(source.count() / (target << min(number, WIDER))))
+        deal = F.xxhash64("doc_id", "piece", "length", "ids_crc32", ROW, F.lit(number))
+        dealt = source.withColumn("part", F.pmod(deal, F.lit(parts)))
         packed = save(dealt.groupBy("part").applyInArrow(_pack_part(capacity), _PACKED.format(kind)),
                       f"{folder}/round-{number}")
         packed = packed.withColumn("sequence_id", F.lit(number) * F.lit(1 << 56) + F.col("part") * F.lit(1 << 24)
                                    + F.col("seq"))
         # sequences of this round in all, and those whose pieces are dealt again
         used, opened = packed.where("offset = 0").agg(
-            F.count(F.lit(1)), F.sum(F.col("release").cast("long"))).first()
-        if floor is not None and used >= floor:            # no sequence saved: the round before stands
-            settled[-1] = last
-            break
-        last = packed.select(*_ITEM, "sequence_id", "offset")
-        settled.append(packed.where("not release").select(*_ITEM, "sequence_id", "offset"))
-        todo, floor = packed.where("release").select(*_ITEM), opened
-        if parts == 1 or not opened or opened == 1:        # one partition: nobody to exchange with
-            settled[-1] = last
-            break
+            F.count(F.lit(1)), F.sum(F.col(release).cast("long"))).first()
+        if floor is None or used < floor:
+            settled.append(packed.where(f"not {release}"))
+            standing, total, floor, failed = packed.where(release), total + used - opened, opened, 0
+            todo = standing.select(*_ITEM)
+        else:                                  # no sequence saved: the round before stands
+            failed += 1
         number += 1
+        if total + floor <= bound or (release == "open" and (failed == 2 or parts == 1 or floor < 2)):
+            break
+        if release == "gap" and (failed or parts == 1 or floor < 2):
+            # nobody with a gap is left to exchange with: the certified ones open too
+            open_now = [*(f.where("open") for f in settled), standing.where("open")]
+            settled = [*(f.where("not open") for f in settled), standing.where("not open")]
+            standing, release, failed = _union(open_now), "open", 0
+            floor, total = _sequences(standing), total + floor
+            total -= floor
+            if floor < 2:
+                break
+            todo = standing.select(*_ITEM)
     if not settled:
         return items.limit(0).select(*_ITEM, F.lit(0).cast("long").alias("sequence_id"),
                                      F.lit(0).cast("long").alias("offset"))
-    out = settled[0]
-    for more in settled[1:]:
-        out = out.unionByName(more)
-    return out
+    return _union([f.select(*_ITEM, "sequence_id", "offset") for f in (*settled, standing)])
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None,

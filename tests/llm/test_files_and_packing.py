@@ -80,6 +80,25 @@ def test_exchange_between_partitions_saves_sequences(spark, tokenizer, documents
     assert used <= bound + max(2, parts // 8)
 
 
+def test_packing_does_not_depend_on_the_folder(spark, documents, tmp_path):
+    """The same rows read from several folders: equal places, near the bound."""
+    found = set()
+    for name in "abc":
+        documents.where("doc_id < 120").coalesce(1).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        got = P.pack_documents(docs, capacity=512, target=10, with_ids=False).collect()
+        found.add(tuple(sorted((r.doc_id, r.piece, r.sequence_id, r.offset) for r in got)))
+    assert len(found) == 1
+    used = len({r.sequence_id for r in got})
+    assert used <= P.lower_bound(np.array([r.length for r in got]), 512) + 4
+
+
+def test_copies_of_one_row_are_dealt_over_partitions(spark):
+    got = P.pack_documents(frame(spark, ["one two three"] * 400, ids=[7] * 400), capacity=16, target=20, with_ids=False)
+    rows = got.collect()
+    assert len(rows) == 400 and len({r.sequence_id for r in rows}) == -(-400 // (16 // rows[0].length))
+
+
 def test_empty_table(spark):
     got = P.pack_documents(frame(spark, []), with_ids=False)
     assert got.collect() == [] and "sequence_id" in got.columns
