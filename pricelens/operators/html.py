@@ -1,14 +1,17 @@
 """HTML operators.
 
-J4 turns each landed page into an element table (one row per element, with
-its ancestor path) - the only per-row Python here, a tokeniser run inside
-Arrow batches by ``mapInArrow``.  Everything after that is relational:
-CSS-like selectors become a small fixed table; elements are matched to
-selectors by an equi-join on one token of the selector's last compound
-(a class, id, attribute or tag) followed by an exact predicate, and the
-descendant combinator is checked over the ancestor path with a higher-order
-``aggregate``.  Price cascades and card fields are then "first by rank"
-aggregates (min_by), never windows over whole pages.
+J4 turns each landed page into an element table: one row per element with the
+interval of its subtree (``idx`` up to, not including, ``end``) and the range
+of its text in the page's text (``c0`` to ``c1``).  That is the only per-row
+Python here, a tokeniser run inside Arrow batches by ``mapInArrow``; text and
+ancestors are put together only for callers that ask for them.
+
+Everything after that is relational, on a page's rows in document order (one
+shuffle by page): an element is inside an earlier one if that one ends behind
+it, so a descendant combinator is a running maximum of ends, and "the first
+match inside a card" is the next match behind the card's start that lies before
+its end.  No element is repeated per ancestor.  Price cascades and card fields
+are then "first by rank".
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,174 +69,253 @@ IMPLIED_END = {
 
 _ANC = T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("tag", T.StringType()),
                      T.StructField("elem_id", T.StringType()), T.StructField("classes", T.ArrayType(T.StringType()))])
-_ELEMENT_FIELDS = T.StructType([
-    T.StructField("idx", T.IntegerType()),
+_ELEMENT_FIELDS = [
+    T.StructField("idx", T.IntegerType()), T.StructField("end", T.IntegerType()),
     T.StructField("parent", T.IntegerType()), T.StructField("depth", T.IntegerType()),
     T.StructField("tag", T.StringType()), T.StructField("elem_id", T.StringType()),
     T.StructField("classes", T.ArrayType(T.StringType())),
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("text", T.StringType()), T.StructField("ancestors", T.ArrayType(_ANC))])
+    T.StructField("c0", T.IntegerType()), T.StructField("c1", T.IntegerType())]
+_TEXT, _ANCESTORS = T.StructField("text", T.StringType()), T.StructField("ancestors", T.ArrayType(_ANC))
 
 
 # --- J4 --------------------------------------------------------------------------
 
+class _Element:
+    """An element and, while it is open, what its rows will need."""
+    __slots__ = ("idx", "end", "above", "depth", "tag", "attrs", "classes", "t0", "t1", "c0", "c1", "kept")
+
+    def __init__(self, idx, above, depth, tag, attrs, t0, c0):
+        self.idx, self.above, self.depth, self.tag, self.attrs, self.t0, self.c0 = idx, above, depth, tag, attrs, t0, c0
+        self.classes = attrs.get("class", "").split()
+        self.end = self.t1 = self.c1 = None
+        self.kept = False
+
+    def tokens(self):
+        yield "t:" + self.tag
+        if "id" in self.attrs:
+            yield "i:" + self.attrs["id"]
+        for c in self.classes:
+            yield "c:" + c
+        for k in self.attrs:
+            yield "a:" + k
+
+
 class _ElementTable(HTMLParser):
-    """Stream tokens into element rows; text = concatenation of the stripped
-    text nodes inside the element (script / style text excluded)."""
+    """Stream tokens into elements.  An element is done when it is closed; only
+    open ones, and done ones that nobody took yet, are held.  The page's text
+    is the sequence of its stripped text nodes (script / style text excluded)."""
 
-    def __init__(self):
+    def __init__(self, wanted: frozenset | None = None, parents: bool = False):
         super().__init__(convert_charrefs=True)
-        self.rows: list[dict] = []
-        self.stack: list[int] = []
+        self.wanted, self.parents = wanted, parents
+        self.stack: list[_Element] = []
+        self.done: list[_Element] = []
         self.texts: list[str] = []
+        self.data: list[str] = []
+        self.count = self.chars = 0
+
+    def _text_ends(self):
+        """A text node ends where anything but text comes."""
+        if self.data:
+            s = "".join(self.data).strip()
+            self.data.clear()
+            if s:
+                self.texts.append(s)
+                self.chars += len(s)
 
     def _close_implied(self, tag):
         """End the open elements whose end tag may be left out before ``tag``."""
         closes, within = IMPLIED_END.get(tag, (frozenset(), frozenset()))
         for i in range(len(self.stack) - 1, -1, -1):
-            name = self.rows[self.stack[i]]["tag"]
+            name = self.stack[i].tag
             if name in within:
                 return
             if name in closes:
                 self._pop(i)
                 return self._close_implied(tag)
 
+    def _finish(self, e):
+        e.end, e.t1, e.c1 = self.count, len(self.texts), self.chars
+        if e.kept:
+            self.done.append(e)
+
     def _pop(self, i):
-        for j in self.stack[i:]:
-            self.rows[j]["t1"] = len(self.texts)
+        for e in reversed(self.stack[i:]):
+            self._finish(e)
         del self.stack[i:]
 
     def _open(self, tag, attrs):
+        self._text_ends()
         self._close_implied(tag)
         d = {}
         for k, v in attrs:
             d.setdefault(k, "" if v is None else v)     # the first of equal attributes counts
-        row = {"idx": len(self.rows), "parent": self.stack[-1] if self.stack else -1, "depth": len(self.stack),
-               "tag": tag, "elem_id": d.get("id"), "classes": d.get("class", "").split(), "attrs": d,
-               "t0": len(self.texts), "t1": None}
-        self.rows.append(row)
-        return row
+        above = self.stack[-1] if self.stack else None
+        e = _Element(self.count, above, len(self.stack), tag, d, len(self.texts), self.chars)
+        self.count += 1
+        e.kept = self.wanted is None or not self.wanted.isdisjoint(e.tokens())
+        if e.kept and self.parents and above:
+            above.kept = True
+        return e
 
     def handle_starttag(self, tag, attrs):
-        row = self._open(tag, attrs)
+        e = self._open(tag, attrs)
         if tag in VOID_TAGS:
-            row["t1"] = row["t0"]
+            self._finish(e)
         else:
-            self.stack.append(row["idx"])
+            self.stack.append(e)
 
     def handle_startendtag(self, tag, attrs):
-        row = self._open(tag, attrs)
-        row["t1"] = row["t0"]
+        self._finish(self._open(tag, attrs))
 
     def handle_endtag(self, tag):
+        self._text_ends()
         for i in range(len(self.stack) - 1, -1, -1):
-            if self.rows[self.stack[i]]["tag"] == tag:
+            if self.stack[i].tag == tag:
                 self._pop(i)
                 return
 
     def handle_data(self, data):
-        if self.stack and self.rows[self.stack[-1]]["tag"] in RAW_TEXT_TAGS:
-            return
-        s = data.strip()
-        if s:
-            self.texts.append(s)
-
-    def finish(self, wanted: frozenset | None = None) -> list[dict]:
-        """The rows, or those that carry a wanted token (see ``_tokens``), with
-        text and ancestors (root first)."""
-        self.close()
+        if not (self.stack and self.stack[-1].tag in RAW_TEXT_TAGS):
+            self.data.append(data)
+
+    def _other(self, _):
+        self._text_ends()
+
+    handle_comment = handle_decl = handle_pi = unknown_decl = _other
+
+    def close(self):
+        super().close()
+        self._text_ends()
         self._pop(0)
-        out = self.rows if wanted is None else [r for r in self.rows if not wanted.isdisjoint(_row_tokens(r))]
-        for r in out:
-            r["text"] = "".join(self.texts[r["t0"]:r["t1"]])
-            chain, up = [], r["parent"]
-            while up >= 0:
-                a = self.rows[up]
-                chain.append({k: a[k] for k in ("idx", "tag", "elem_id", "classes")})
-                up = a["parent"]
-            r["ancestors"] = chain[::-1]
-        return out
-
-
-def _row_tokens(r: dict):
-    yield "t:" + r["tag"]
-    if r["elem_id"] is not None:
-        yield "i:" + r["elem_id"]
-    for c in r["classes"]:
-        yield "c:" + c
-    for k in r["attrs"]:
-        yield "a:" + k
-
-
-def _elements_of(html: str, wanted: frozenset | None = None) -> list[dict]:
-    p = _ElementTable()
+
+
+_FED = 1 << 16               # characters of a page that the parser gets at once
+_BATCH_ROWS = 20000          # an output batch ends at so many rows
+_BATCH_CHARS = 4 << 20       # or at about so many characters
+
+
+def _closed_elements(html: str, wanted: frozenset | None = None, parents: bool = False, parser=None):
+    """(element, parser) as the elements are closed: inner ones first."""
+    p = parser or _ElementTable(wanted, parents)
     try:
-        p.feed(html)
+        for at in range(0, len(html), _FED):
+            p.feed(html[at:at + _FED])
+            done, p.done = p.done, []
+            for e in done:
+                yield e, p
+        p.close()
     except (AssertionError, ValueError):  # malformed markup: keep what was parsed
-        pass
-    return p.finish(wanted)
+        p._text_ends()
+        p._pop(0)
+    for e in p.done:
+        yield e, p
 
 
-_BATCH_ROWS = 20000   # output rows per Arrow batch (bounds executor memory per task)
+def _chain(e: _Element) -> list[dict]:
+    """The ancestors, root first."""
+    out = []
+    while (e := e.above) is not None:
+        out.append({"idx": e.idx, "tag": e.tag, "elem_id": e.attrs.get("id"), "classes": e.classes})
+    return out[::-1]
 
 
-def _arrow_schema():
+def _arrow_schema(text: bool, ancestors: bool):
     import pyarrow as pa
     anc = pa.struct([("idx", pa.int32()), ("tag", pa.string()), ("elem_id", pa.string()),
                      ("classes", pa.list_(pa.string()))])
-    return pa.schema([("idx", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()),
+    return pa.schema([("idx", pa.int32()), ("end", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()),
                       ("tag", pa.string()), ("elem_id", pa.string()), ("classes", pa.list_(pa.string())),
-                      ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("ancestors", pa.list_(anc))])
+                      ("attrs", pa.map_(pa.string(), pa.string())), ("c0", pa.int32()), ("c1", pa.int32()),
+                      *([("text", pa.string())] if text else []), *([("ancestors", pa.list_(anc))] if ancestors else [])])
 
 
-def _explode_pages(wanted: frozenset | None):
+def _explode_pages(wanted: frozenset | None, text, ancestors: bool, parents: bool):
     """Arrow batches of pages -> Arrow batches of element rows, each with its
-    page's other columns."""
+    page's other columns.  A batch ends inside a page where it must."""
     def run(batches):
         import pyarrow as pa
-        own = _arrow_schema()
+        own = _arrow_schema(text is not False, ancestors)
         for batch in batches:
             keep = [n for n in batch.schema.names if n != "html"]
-            pages, cols, n = [], {f: [] for f in own.names}, 0
+            pages, rows, held = [], [], 0
 
             def flush():
                 at = pa.array(pages, pa.int64())
-                out = pa.RecordBatch.from_arrays(
-                    [batch.column(k).take(at) for k in keep] + [pa.array(cols[f.name], type=f.type) for f in own],
+                return pa.RecordBatch.from_arrays(
+                    [batch.column(k).take(at) for k in keep] + [pa.array(c, type=f.type) for c, f in zip(zip(*rows), own)],
                     names=[*keep, *own.names])
-                pages.clear()
-                for c in cols.values():
-                    c.clear()
-                return out
 
-            for k, html in enumerate(batch.column("html").to_pylist()):
+            for k, html in enumerate(batch.column("html")):
+                html = html.as_py()
                 if html is None:
                     continue
-                for r in _elements_of(html, wanted):
+                for e, p in _closed_elements(html, wanted, parents):
+                    row = [e.idx, e.end, e.above.idx if e.above else -1, e.depth, e.tag, e.attrs.get("id"), e.classes,
+                           list(e.attrs.items()), e.c0, e.c1]
+                    held += 200
+                    if text is not False:
+                        asked = text is True or not text.isdisjoint(e.tokens())
+                        row.append("".join(p.texts[e.t0:e.t1]) if asked else None)
+                        held += len(row[-1] or "")
+                    if ancestors:
+                        row.append(_chain(e))
+                        held += 100 * e.depth
                     pages.append(k)
-                    for f in own.names:
-                        cols[f].append(list(r[f].items()) if f == "attrs" else r[f])
-                if len(pages) >= _BATCH_ROWS:
-                    yield flush()
-            if pages:
+                    rows.append(row)
+                    if len(rows) >= _BATCH_ROWS or held >= _BATCH_CHARS:
+                        yield flush()
+                        pages, rows, held = [], [], 0
+            if rows:
                 yield flush()
     return run
 
 
-def html_elements(pages: DataFrame, partitions: int | None = None, wanted=None, keep: tuple = ()) -> DataFrame:
+def html_elements(pages: DataFrame, partitions: int | None = None, wanted=None, keep: tuple = (), text=True,
+                  ancestors: bool = True, parents: bool = False) -> DataFrame:
     """(page_id, html) -> element table; page ids of any type.  Runs per
     Arrow batch inside the executors (``mapInArrow``); output batches are
-    bounded in rows.  ``wanted`` (selector keys) hands on only elements that
-    carry one of these tokens, ``keep`` names page columns that every element
-    carries.  Parsing is CPU-bound: ``partitions`` deals the pages out first
-    where the scan has few splits."""
+    bounded in rows and bytes, also inside a page.
+
+    ``wanted`` (selector tokens) hands on only elements that carry one of these
+    tokens, with ``parents`` their parents as well; ``keep`` names page columns
+    that every element carries.  ``text`` and ``ancestors`` are the costly
+    columns: ask for them only where they are used (``text`` may be a set of
+    tokens: only elements with one of these have theirs).  Any other text is
+    ``substring(page text, c0 + 1, c1 - c0)``, see ``page_texts``.  Parsing is
+    CPU-bound: ``partitions`` deals the pages out first where the scan has few
+    splits."""
     ship_package(pages.sparkSession)
     p = pages.select("page_id", *keep, "html")
     if partitions:
         p = p.repartition(partitions)
-    fields = [f for f in p.schema.fields if f.name != "html"]
-    return p.mapInArrow(_explode_pages(None if wanted is None else frozenset(wanted)),
-                        T.StructType([*fields, *_ELEMENT_FIELDS.fields]))
+    fields = [*(f for f in p.schema.fields if f.name != "html"), *_ELEMENT_FIELDS]
+    if text is not False:
+        fields.append(_TEXT)
+    if ancestors:
+        fields.append(_ANCESTORS)
+    return p.mapInArrow(_explode_pages(None if wanted is None else frozenset(wanted),
+                                       text if isinstance(text, bool) else frozenset(text), ancestors, parents),
+                        T.StructType(fields))
+
+
+def _page_texts(batches):
+    import pyarrow as pa
+    for batch in batches:
+        for k, html in enumerate(batch.column("html")):
+            parser = _ElementTable(frozenset())
+            for _ in _closed_elements(html.as_py() or "", parser=parser):
+                pass
+            yield pa.RecordBatch.from_arrays([batch.column("page_id").slice(k, 1), pa.array(["".join(parser.texts)])],
+                                             ["page_id", "text"])
+
+
+def page_texts(pages: DataFrame) -> DataFrame:
+    """(page_id, text): each page's text, which elements hold ranges of."""
+    ship_package(pages.sparkSession)
+    p = pages.select("page_id", "html")
+    return p.mapInArrow(_page_texts, T.StructType([p.schema["page_id"], _TEXT]))
 
 
 def landed_html(pages: DataFrame, max_bytes: int | None = None) -> DataFrame:
@@ -270,14 +352,6 @@ def parse_selector(sel: str) -> list[dict]:
     return parts
 
 
-_PART_T = T.StructType([T.StructField("tag", T.StringType()), T.StructField("eid", T.StringType()),
-                        T.StructField("classes", T.ArrayType(T.StringType())), T.StructField("attr", T.StringType()),
-                        T.StructField("val", T.StringType())])
-_SEL_T = T.StructType([T.StructField("grp", T.StringType()), T.StructField("sel_rank", T.IntegerType()),
-                       T.StructField("selector", T.StringType()), T.StructField("key", T.StringType()),
-                       T.StructField("last", _PART_T), T.StructField("prefix", T.ArrayType(_PART_T))])
-
-
 def _key(part: dict) -> str:
     if part["classes"]:
         return "c:" + part["classes"][0]
@@ -288,73 +362,87 @@ def _key(part: dict) -> str:
     return "t:" + (part["tag"] or "*")
 
 
-def selector_keys(*groups: dict[str, list[str]]) -> set[str]:
-    """The tokens that an element matched by one of the selectors carries."""
-    return {_key(parse_selector(sel)[-1]) for g in groups for sels in g.values() for sel in sels}
-
-
-def selector_table(spark, groups: dict[str, list[str]]) -> DataFrame:
-    """A fixed, small selector table (dozens of rows): safe to broadcast."""
-    rows = []
-    for grp, sels in groups.items():
-        for rank, sel in enumerate(sels):
-            parts = parse_selector(sel)
-            rows.append((grp, rank, sel, _key(parts[-1]), parts[-1], parts[:-1]))
-    return F.broadcast(spark.createDataFrame(rows, _SEL_T))
-
-
-def _tokens() -> Column:
-    return F.concat(F.transform(F.col("classes"), lambda c: F.concat(F.lit("c:"), c)),
-                    F.when(F.col("elem_id").isNotNull(), F.array(F.concat(F.lit("i:"), F.col("elem_id")))).otherwise(F.array()),
-                    F.transform(F.map_keys("attrs"), lambda a: F.concat(F.lit("a:"), a)),
-                    F.array(F.concat(F.lit("t:"), F.col("tag"))))
+def selector_keys(*groups: dict[str, list[str]], last_only: bool = False) -> set[str]:
+    """The tokens that an element carries which a selector, or a part of it, matches."""
+    return {_key(part) for g in groups for sels in g.values() for sel in sels
+            for part in (parse_selector(sel)[-1:] if last_only else parse_selector(sel))}
 
 
-def _match_part(tag, eid, classes, part, attrs=None) -> Column:
-    ok = ((part["tag"].isNull() | (tag == part["tag"])) & (part["eid"].isNull() | (eid == part["eid"]))
-          & F.forall(F.coalesce(part["classes"], F.array()), lambda c: F.array_contains(classes, c)))
-    if attrs is not None:
-        ok = ok & (part["attr"].isNull() | (F.map_contains_key(attrs, part["attr"])
-                                            & (part["val"].isNull() | (F.try_element_at(attrs, part["attr"]) == part["val"]))))
+def _matches(part: dict) -> Column:
+    """Whether an element matches one compound of a selector."""
+    ok = F.lit(True)
+    if part["tag"]:
+        ok = ok & (F.col("tag") == part["tag"])
+    if part["eid"]:
+        ok = ok & F.coalesce(F.col("elem_id") == part["eid"], F.lit(False))
+    for c in part["classes"]:
+        ok = ok & F.array_contains("classes", c)
+    if part["attr"]:
+        ok = ok & F.map_contains_key("attrs", F.lit(part["attr"]))
+        if part["val"] is not None:
+            ok = ok & F.coalesce(F.try_element_at("attrs", F.lit(part["attr"])) == part["val"], F.lit(False))
     return ok
 
 
-def match_selectors(elements: DataFrame, selectors: DataFrame) -> DataFrame:
-    """Elements x selectors they match (equi-join on token, exact filter)."""
-    e = elements.withColumn("key", F.explode(F.array_distinct(_tokens())))
-    j = e.join(selectors, "key")
-    last_ok = _match_part(F.col("tag"), F.col("elem_id"), F.col("classes"), F.col("last"), F.col("attrs"))
-    n = F.size("prefix")
-    walked = F.aggregate("ancestors", F.lit(0), lambda acc, a: F.when(
-        (acc < n) & _match_part(a["tag"], a["elem_id"], a["classes"], F.get(F.col("prefix"), acc)), acc + 1).otherwise(acc))
-    return j.filter(last_ok & (walked == n)).drop("key")
+def match_selectors(elements: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
+    """Per group a column ``m_<group>``: the ranks of its selectors that the
+    element matches.  ``elements`` must hold every element that a part of a
+    selector matches (``selector_keys``).  An element lies inside an earlier
+    one that ends behind its start, so "has an ancestor that matches" is a
+    running maximum of the ends of matching elements over the page's rows."""
+    before = Window.partitionBy("page_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    d, inside = elements, {}
+    for sel in dict.fromkeys(s for sels in groups.values() for s in sels):
+        parts, chain = parse_selector(sel), ()
+        for part in parts[:-1]:
+            above, chain = inside.get(chain), (*chain, repr(part))
+            if chain not in inside:
+                here = _matches(part) if above is None else _matches(part) & F.col(above)
+                inside[chain] = f"__in{len(inside)}"
+                d = d.withColumn(inside[chain], F.coalesce(
+                    F.max(F.when(here, F.col("end"))).over(before) > F.col("idx"), F.lit(False)))
+    for grp, sels in groups.items():
+        ranks = []
+        for rank, sel in enumerate(sels):
+            parts = parse_selector(sel)
+            ok = _matches(parts[-1])
+            if parts[:-1]:
+                ok = ok & F.col(inside[tuple(repr(p) for p in parts[:-1])])
+            ranks.append(F.when(ok, F.lit(rank)))
+        d = d.withColumn(f"m_{grp}", F.array_compact(F.array(*ranks)))
+    return d.drop(*inside.values())
 
 
 # --- J5 / J8 --------------------------------------------------------------------------
 
-def page_price(pages: DataFrame, elements: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
+def page_price(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     """Price of each page: platform selectors (if the page looks like
     Shopify / WooCommerce) then generic ones; within a selector document
     order; meta tags use ``content``, others the element text; the first
-    price > 0 wins; none -> (null, USD).  ``elements``, if given, carries each
-    page's ``platform``."""
-    spark = pages.sparkSession
-    # one scan of the html: the platform rides along with the elements that a selector may match
-    els = elements if elements is not None else html_elements(
-        pages.withColumn("platform", platform_of_html(F.col("html"))), partitions,
-        wanted=selector_keys(PRICE_SELECTORS), keep=("platform",))
-    m = match_selectors(els, selector_table(spark, PRICE_SELECTORS))
-    m = m.filter((F.col("grp") == "generic") | (F.col("grp") == F.col("platform")))
+    price > 0 wins; none -> (null, USD).  One scan of the html (the platform
+    rides along with the elements) and one shuffle by page."""
+    els = html_elements(
+        pages.withColumn("platform", platform_of_html(F.col("html"))), partitions, keep=("platform",),
+        wanted=selector_keys(PRICE_SELECTORS), text=selector_keys(PRICE_SELECTORS, last_only=True), ancestors=False)
+    m = match_selectors(els, PRICE_SELECTORS)
     # only the "meta[...]" selectors read the content attribute; any other
     # selector uses the element text (empty for a meta element)
-    is_meta = F.col("selector").startswith("meta[")
+
+    def candidates(grp, sels):
+        meta = [rank for rank, sel in enumerate(sels) if sel.startswith("meta[")]
+        found = F.transform(F.col(f"m_{grp}"), lambda r: F.struct(
+            F.lit(2 if grp == "generic" else 1).alias("grp_rank"), r.alias("sel_rank"), r.isin(meta).alias("is_meta")))
+        return found if grp == "generic" else F.when(F.col("platform") == grp, found).otherwise(F.array())
+
+    m = m.withColumn("s", F.explode(F.concat(*[candidates(*g) for g in PRICE_SELECTORS.items()])))
+    is_meta = F.col("s.is_meta")
     raw = F.when(is_meta, F.try_element_at("attrs", F.lit("content"))).otherwise(F.col("text"))
     pp = parse_price(raw)
     c = (m.filter(~is_meta | (F.coalesce(raw, F.lit("")) != ""))
-         .select("page_id", F.when(F.col("grp") == "generic", 2).otherwise(1).alias("grp_rank"), "sel_rank", "idx",
+         .select("page_id", F.struct("s.grp_rank", "s.sel_rank", "idx").alias("at"),
                  pp["price"].alias("price"), pp["currency"].alias("currency"))
          .filter(F.col("price") > 0))
-    best = c.groupBy("page_id").agg(F.min_by(F.struct("price", "currency"), F.struct("grp_rank", "sel_rank", "idx")).alias("b"))
+    best = c.groupBy("page_id").agg(F.min_by(F.struct("price", "currency"), F.col("at")).alias("b"))
     return (pages.select("page_id").join(best, "page_id", "left")
             .select("page_id", F.col("b.price").alias("price"), F.coalesce(F.col("b.currency"), F.lit("USD")).alias("currency")))
 
@@ -382,86 +470,81 @@ def scrape_result(targets: DataFrame, pages: DataFrame, max_bytes: int | None =
 # --- J6: product cards -----------------------------------------------------------------
 
 _CARD_GROUPS = {"title": CARD_TITLE_SELECTORS, "image": CARD_IMAGE_SELECTORS, "price": CARD_PRICE_SELECTORS}
-_CARD_FALLBACK = {"t:h1", "t:h2", "t:h3", "t:h4", "t:a", "t:img", "a:itemprop"}
-
-
-def card_elements(pages: DataFrame, partitions: int | None = None) -> DataFrame:
-    """The elements that J6 looks at, written once for its several branches."""
-    wanted = selector_keys({"card": CARD_SELECTORS}, _CARD_GROUPS) | _CARD_FALLBACK
-    return materialize(html_elements(pages, partitions, wanted=wanted), "html_elements")
+_HEADINGS = ("h1", "h2", "h3", "h4", "a")
+_CARD_FALLBACK = {*(f"t:{t}" for t in _HEADINGS), "t:img", "a:itemprop"}
+_CARD_TEXTS = {"title": CARD_TITLE_SELECTORS, "price": CARD_PRICE_SELECTORS}
 
 
-def product_cards(pages: DataFrame, elements: DataFrame | None = None) -> DataFrame:
+def product_cards(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     """Product cards per page.  A card selector counts when it matches at
     least two elements and at least one card yields a name; the first such
     selector (in order) wins.  Title, link, image and price come from the
     ordered selector lists inside each card (document order within one).
 
-    Plan: cards (selector match) -> descendants of each card (ancestor path
-    exploded once, equi-join on (page, card)) -> two aggregations: one over
-    all descendants (heading / link / img fallbacks), one over the first
-    element of every (card, selector) pair (title, image, price)."""
-    spark = pages.sparkSession
-    els = elements if elements is not None else card_elements(pages)
-    base = pages.select("page_id", F.col("url").alias("base"))
-    cards = match_selectors(els, selector_table(spark, {"card": CARD_SELECTORS})).select(
-        "page_id", F.col("idx").alias("card_idx"), F.col("sel_rank").alias("card_rank"))
-    counts = cards.groupBy("page_id", "card_rank").agg(F.count(F.lit(1)).alias("n"))
-    cards = cards.join(counts.filter(F.col("n") >= 2), ["page_id", "card_rank"], "left_semi")
-    inside = els.select("page_id", "idx", "tag", "elem_id", "classes", "attrs", "text", "ancestors",
-                        F.explode(F.col("ancestors.idx")).alias("card_idx"))
-    within = inside.join(cards, ["page_id", "card_idx"])
-    keys = ["page_id", "card_rank", "card_idx"]
+    Plan: elements -> one shuffle by page -> windows in document order.  For
+    every selector an element knows the next match behind its own start; a
+    card takes it if it lies before the card's end, so cards inside cards need
+    nothing special and nothing is repeated per ancestor."""
+    groups = {"card": CARD_SELECTORS, **_CARD_GROUPS}
+    els = html_elements(pages, partitions, wanted=selector_keys(groups) | _CARD_FALLBACK, keep=("url",),
+                        text=selector_keys(_CARD_TEXTS, last_only=True) | {f"t:{t}" for t in _HEADINGS},
+                        ancestors=False, parents=True)
+    m = match_selectors(els, groups)
     attr = lambda k: F.try_element_at("attrs", F.lit(k))
-    src = F.coalesce(F.when(attr("src") != "", attr("src")), F.when(attr("data-src") != "", attr("data-src")))
-    # fallbacks over all descendants, document order
-    fb = within.groupBy(*keys).agg(
-        F.min_by("text", F.when(F.col("tag").isin("h1", "h2", "h3", "h4", "a"), F.col("idx"))).alias("t2"),
-        F.min_by(attr("href"), F.when((F.col("tag") == "a") & F.map_contains_key("attrs", F.lit("href")), F.col("idx")))
-         .alias("href"),
-        F.min_by(src, F.when(F.col("tag") == "img", F.col("idx"))).alias("img2"))
-    # select_one per selector: the first matching element of each selector
-    ms = match_selectors(within, selector_table(spark, _CARD_GROUPS))
-    first = (ms.groupBy(*keys, "grp", "sel_rank")
-             .agg(F.min_by(F.struct("idx", "text", "attrs", "ancestors"), F.col("idx")).alias("el")))
-    el_attr = lambda k: F.try_element_at(F.col("el.attrs"), F.lit(k))
-    el_src = F.coalesce(F.when(el_attr("src") != "", el_attr("src")), F.when(el_attr("data-src") != "", el_attr("data-src")))
-    content = el_attr("content")
+    filled = lambda k: F.when(attr(k) != "", attr(k))
+    content = attr("content")
     c_price = F.when(content.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)\s*$"), F.trim(content).try_cast("decimal(18,4)"))
-    t_pp = parse_price_catalog(F.col("el.text"))
-    price = F.when(c_price.isNotNull(), c_price).otherwise(t_pp["price"])
-    is_price = (F.col("grp") == "price") & (c_price.isNotNull() | (F.coalesce(t_pp["price"], F.lit(0)) != 0))
-    pinfo = F.struct(price.alias("price"), c_price.isNotNull().alias("from_content"),
-                     t_pp["currency"].alias("text_currency"),
-                     F.try_element_at(F.col("el.ancestors"), F.lit(-1))["idx"].alias("parent_idx"))
-    sel = first.groupBy(*keys).agg(
-        F.min_by(F.col("el.text"), F.when(F.col("grp") == "title", F.col("sel_rank"))).alias("t1"),
-        F.min_by(el_src, F.when((F.col("grp") == "image") & el_src.isNotNull(), F.col("sel_rank"))).alias("img1"),
-        F.min_by(pinfo, F.when(is_price, F.col("sel_rank"))).alias("p"))
-    cur_el = els.filter(attr("itemprop") == "priceCurrency").select(
-        "page_id", F.explode(F.col("ancestors.idx")).alias("p_parent_idx"),
-        F.coalesce(attr("content"), F.lit("USD")).alias("cur"), "idx")
-    cur = cur_el.groupBy("page_id", "p_parent_idx").agg(F.min_by("cur", "idx").alias("parent_currency"))
-    out = (cards.join(fb, keys, "left").join(sel, keys, "left").join(base, "page_id")
-           .withColumn("p_parent_idx", F.col("p.parent_idx"))
-           .join(cur, ["page_id", "p_parent_idx"], "left"))
-    # the first title selector that matches decides; an empty title falls
-    # back to the first heading / link text
-    name = F.coalesce(F.when(F.col("t1") != "", F.col("t1")), F.col("t2"))
-    img = F.coalesce(F.col("img1"), F.col("img2"))
-    out = out.select(
-        "page_id", "card_rank", "card_idx", F.when(F.coalesce(name, F.lit("")) != "", name).alias("name"),
-        F.col("p.price").alias("price"),
+    t_pp = parse_price_catalog(F.col("text"))
+    m = m.select(
+        "page_id", "url", "idx", "end", "parent", "m_card", "m_title", "m_image", "m_price",
+        F.col("tag").isin(*_HEADINGS).alias("heading"), ((F.col("tag") == "a") & F.map_contains_key("attrs", F.lit("href"))).alias("link"),
+        (F.col("tag") == "img").alias("img"), (F.coalesce(attr("itemprop"), F.lit("")) == "priceCurrency").alias("is_cur"),
+        F.col("text"), attr("href").alias("href"), F.coalesce(filled("src"), filled("data-src")).alias("src"),
+        F.coalesce(content, F.lit("USD")).alias("cur"),
+        F.when(F.size("m_price") > 0, F.struct(
+            F.coalesce(c_price, t_pp["price"]).alias("price"), c_price.isNotNull().alias("from_content"),
+            t_pp["currency"].alias("text_currency"), F.col("parent"))).alias("p"))
+    behind = Window.partitionBy("page_id").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
+
+    def next_match(cond, *cols):
+        """The next element behind this one's start that ``cond`` holds for."""
+        return F.last(F.when(cond, F.struct(F.col("idx").alias("at"), *cols)), ignorenulls=True).over(behind)
+
+    nexts = {"n_heading": next_match(F.col("heading"), "text"), "n_link": next_match(F.col("link"), "href"),
+             "n_img": next_match(F.col("img"), "src"), "n_cur": next_match(F.col("is_cur"), "cur")}
+    for grp, sels in _CARD_GROUPS.items():
+        for rank in range(len(sels)):
+            value = {"title": "text", "image": "src", "price": "p"}[grp]
+            nexts[f"n_{grp}{rank}"] = next_match(F.array_contains(f"m_{grp}", rank), value)
+    m = m.select("page_id", "url", "idx", "end", "m_card", *[c.alias(n) for n, c in nexts.items()])
+    within = lambda n: F.col(f"{n}.at") < F.col("end")
+    first = lambda n, value: F.when(within(n), F.col(f"{n}.{value}"))
+    ranks = lambda grp: [f"n_{grp}{r}" for r in range(len(_CARD_GROUPS[grp]))]
+    # the first title selector that matches decides; an empty title falls back to the first heading / link text
+    title = F.coalesce(*[first(n, "text") for n in ranks("title")])
+    name = F.coalesce(F.when(title != "", title), first("n_heading", "text"))
+    image = F.coalesce(*[first(n, "src") for n in ranks("image")], first("n_img", "src"))
+    price = F.coalesce(*[F.when(within(n) & (F.col(f"{n}.p.from_content") | (F.coalesce(F.col(f"{n}.p.price"), F.lit(0)) != 0)),
+                                F.col(f"{n}.p")) for n in ranks("price")])
+    cards = m.filter(F.size("m_card") > 0).select(
+        "page_id", "url", F.explode("m_card").alias("card_rank"), F.col("idx").alias("card_idx"),
+        F.when(F.coalesce(name, F.lit("")) != "", name).alias("name"), first("n_link", "href").alias("href"),
+        image.alias("img"), price.alias("p"))
+    # a card selector needs two elements and a name; the first such one wins
+    per_rank, per_page = Window.partitionBy("page_id", "card_rank"), Window.partitionBy("page_id")
+    cards = cards.withColumn("n", F.count(F.lit(1)).over(per_rank)).filter((F.col("n") >= 2) & F.col("name").isNotNull())
+    cards = cards.withColumn("best", F.min("card_rank").over(per_page)).filter(F.col("card_rank") == F.col("best"))
+    # the first currency element inside the price's parent
+    parents = m.filter(within("n_cur")).select("page_id", F.col("idx").alias("p_parent"), F.col("n_cur.cur").alias("parent_currency"))
+    out = cards.withColumn("p_parent", F.when(F.col("p.from_content"), F.col("p.parent"))).join(
+        parents, ["page_id", "p_parent"], "left")
+    return out.select(
+        "page_id", "card_rank", "card_idx", "name", F.col("p.price").alias("price"),
         F.when(F.col("p.from_content"), F.coalesce(F.col("parent_currency"), F.lit("USD")))
          .otherwise(F.coalesce(F.col("p.text_currency"), F.lit("USD"))).alias("currency"),
-        F.when(F.col("href").isNotNull(), url_join(F.col("base"), F.col("href"))).otherwise(F.lit("")).alias("product_url"),
-        F.when(img.isNotNull(), url_join(F.col("base"), img)).alias("image_url"))
-    parsed = out.filter(F.col("name").isNotNull())
-    # the first card selector (in order) that produced a product wins
-    ok_sel = parsed.groupBy("page_id").agg(F.min("card_rank").alias("best_rank"))
-    return (parsed.join(ok_sel, "page_id").filter(F.col("card_rank") == F.col("best_rank"))
-            .select("page_id", "card_rank", "card_idx", "name", "price", "currency", "product_url", "image_url",
-                    F.lit("custom").alias("platform")))
+        F.when(F.col("href").isNotNull(), url_join(F.col("url"), F.col("href"))).otherwise(F.lit("")).alias("product_url"),
+        F.when(F.col("img").isNotNull(), url_join(F.col("url"), F.col("img"))).alias("image_url"),
+        F.lit("custom").alias("platform"))
 
 
 # --- J7: JSON-LD ---------------------------------------------------------------------------
@@ -507,9 +590,8 @@ def json_ld_products(pages: DataFrame) -> DataFrame:
 def generic_catalog(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     """J6 then J7: cards when a card selector succeeds on the page, JSON-LD
     products otherwise."""
-    # the element table feeds several branches: parse once, reuse the table
-    els = card_elements(pages, partitions)
-    cards = product_cards(pages, els)
+    # the cards feed two branches: found once, written, and read back
+    cards = materialize(product_cards(pages, partitions), "product_cards")
     ld = json_ld_products(pages).join(cards.select("page_id").distinct(), "page_id", "left_anti")
     c = cards.select("page_id", F.col("card_idx").cast("bigint").alias("ordinal"), "name", "price", "currency",
                      "product_url", "image_url", F.lit(None).cast("string").alias("sku"), "platform",

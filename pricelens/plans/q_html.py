@@ -84,9 +84,9 @@ def h18(m):
 @query("J4_html_elements")
 def j4(m):
     """Element table of every landed page (whole pages)."""
-    e = HT.html_elements(m.raw("pages"), _parts(m))
+    e = HT.html_elements(m.raw("pages"), _parts(m), text=False, ancestors=False)
     return e.select("page_id", "idx", "parent", "depth", "tag", "elem_id", F.size("classes").alias("n_classes"),
-                    F.length("text").alias("text_len"))
+                    (F.col("c1") - F.col("c0")).alias("text_len"))
 
 
 @query("J5_page_price")
@@ -196,7 +196,7 @@ UNION ALL SELECT * FROM gen""", "catalog")
 def j4p(m):
     """J4 on the landed product pages: per page the number of elements, the
     tag sequence in document order and the text of the root element."""
-    e = HT.html_elements(product_pages(m.catalog), _parts(m))
+    e = HT.html_elements(product_pages(m.catalog), _parts(m), ancestors=False)
     g = e.groupBy("page_id").agg(
         F.count(F.lit(1)).alias("n_elements"),
         F.array_sort(F.collect_list(F.struct("idx", "tag"))).alias("__t"),
