@@ -384,33 +384,59 @@ def _matches(part: dict) -> Column:
     return ok
 
 
-def match_selectors(elements: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
-    """Per group a column ``m_<group>``: the ranks of its selectors that the
-    element matches.  ``elements`` must hold every element that a part of a
-    selector matches (``selector_keys``).  An element lies inside an earlier
-    one that ends behind its start, so "has an ancestor that matches" is a
-    running maximum of the ends of matching elements over the page's rows."""
+def match_selectors(elements: DataFrame, groups: dict[str, list[str]], keep: list[Column] = ()) -> DataFrame:
+    """(page_id, idx, end, ``keep``, ``m_<group>``...): for every group a bit
+    per selector (by rank) that the element matches.  ``elements`` must hold
+    every element that a part of a selector matches (``selector_keys``).
+
+    Compounds and ``keep`` are evaluated where the elements are; then numbers
+    and ``keep`` are shuffled by page.  An element lies inside an earlier one
+    that ends behind its start, so "has an ancestor that matches" is a running
+    maximum of the ends of matching elements over the page's rows."""
+    parsed = {sel: parse_selector(sel) for sels in groups.values() for sel in sels}
+    parts = list({repr(p): p for sel in parsed.values() for p in sel[:-1]}.items())
+    number = {text: k for k, (text, _) in enumerate(parts)}
+
+    def bits(conditions):
+        out = F.lit(0)
+        for k, ok in enumerate(conditions):
+            out = out.bitwiseOR(F.when(ok, F.lit(1 << k)).otherwise(F.lit(0)))
+        return out
+
+    d = elements.select("page_id", "idx", "end", *keep, bits(_matches(p) for _, p in parts).alias("__parts"),
+                        *[bits(_matches(parsed[sel][-1]) for sel in sels).alias(f"m_{grp}") for grp, sels in groups.items()])
     before = Window.partitionBy("page_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    d, inside = elements, {}
-    for sel in dict.fromkeys(s for sels in groups.values() for s in sels):
-        parts, chain = parse_selector(sel), ()
-        for part in parts[:-1]:
-            above, chain = inside.get(chain), (*chain, repr(part))
-            if chain not in inside:
-                here = _matches(part) if above is None else _matches(part) & F.col(above)
-                inside[chain] = f"__in{len(inside)}"
-                d = d.withColumn(inside[chain], F.coalesce(
-                    F.max(F.when(here, F.col("end"))).over(before) > F.col("idx"), F.lit(False)))
+    inside: dict[tuple, str] = {}
+    for depth in range(1, max(map(len, parsed.values()), default=0)):
+        # all parts of one depth share a window
+        found = {}
+        for sel in parsed.values():
+            chain = tuple(repr(p) for p in sel[:-1][:depth])
+            if len(chain) == depth and chain not in found:
+                here = F.col("__parts").bitwiseAND(1 << number[chain[-1]]) != 0
+                if depth > 1:
+                    here = here & F.col(inside[chain[:-1]])
+                found[chain] = f"__in{len(inside) + len(found)}", F.coalesce(
+                    F.max(F.when(here, F.col("end"))).over(before) > F.col("idx"), F.lit(False))
+        d = d.select("*", *[c.alias(name) for name, c in found.values()])
+        inside |= {chain: name for chain, (name, _) in found.items()}
     for grp, sels in groups.items():
-        ranks = []
+        m = F.col(f"m_{grp}")
         for rank, sel in enumerate(sels):
-            parts = parse_selector(sel)
-            ok = _matches(parts[-1])
-            if parts[:-1]:
-                ok = ok & F.col(inside[tuple(repr(p) for p in parts[:-1])])
-            ranks.append(F.when(ok, F.lit(rank)))
-        d = d.withColumn(f"m_{grp}", F.array_compact(F.array(*ranks)))
-    return d.drop(*inside.values())
+            if parsed[sel][:-1]:
+                flag = F.col(inside[tuple(repr(p) for p in parsed[sel][:-1])])
+                m = F.when(flag, m).otherwise(m.bitwiseAND(~(1 << rank)))
+        d = d.withColumn(f"m_{grp}", m)
+    return d.drop("__parts", *inside.values())
+
+
+def _has(grp: str, rank: int) -> Column:
+    return F.col(f"m_{grp}").bitwiseAND(1 << rank) != 0
+
+
+def _first_rank(bits: Column) -> Column:
+    """The lowest rank in a set of bits; null for none."""
+    return F.when(bits != 0, F.bit_count(bits.bitwiseAND(-bits) - 1))
 
 
 # --- J5 / J8 --------------------------------------------------------------------------
@@ -424,25 +450,26 @@ def page_price(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     els = html_elements(
         pages.withColumn("platform", platform_of_html(F.col("html"))), partitions, keep=("platform",),
         wanted=selector_keys(PRICE_SELECTORS), text=selector_keys(PRICE_SELECTORS, last_only=True), ancestors=False)
-    m = match_selectors(els, PRICE_SELECTORS)
+    content = F.try_element_at("attrs", F.lit("content"))
+    m = match_selectors(els, PRICE_SELECTORS, [
+        F.col("platform"), parse_price(F.col("text")).alias("by_text"),
+        F.when(content != "", parse_price(content)).alias("by_content")])
     # only the "meta[...]" selectors read the content attribute; any other
     # selector uses the element text (empty for a meta element)
-
-    def candidates(grp, sels):
-        meta = [rank for rank, sel in enumerate(sels) if sel.startswith("meta[")]
-        found = F.transform(F.col(f"m_{grp}"), lambda r: F.struct(
-            F.lit(2 if grp == "generic" else 1).alias("grp_rank"), r.alias("sel_rank"), r.isin(meta).alias("is_meta")))
-        return found if grp == "generic" else F.when(F.col("platform") == grp, found).otherwise(F.array())
-
-    m = m.withColumn("s", F.explode(F.concat(*[candidates(*g) for g in PRICE_SELECTORS.items()])))
-    is_meta = F.col("s.is_meta")
-    raw = F.when(is_meta, F.try_element_at("attrs", F.lit("content"))).otherwise(F.col("text"))
-    pp = parse_price(raw)
-    c = (m.filter(~is_meta | (F.coalesce(raw, F.lit("")) != ""))
-         .select("page_id", F.struct("s.grp_rank", "s.sel_rank", "idx").alias("at"),
-                 pp["price"].alias("price"), pp["currency"].alias("currency"))
-         .filter(F.col("price") > 0))
-    best = c.groupBy("page_id").agg(F.min_by(F.struct("price", "currency"), F.col("at")).alias("b"))
+    found = []
+    for grp, sels in PRICE_SELECTORS.items():
+        meta = sum(1 << rank for rank, sel in enumerate(sels) if sel.startswith("meta["))
+        for value, mask in (("by_text", ~meta), ("by_content", meta)):
+            rank = _first_rank(F.col(f"m_{grp}").bitwiseAND(mask))
+            ok = rank.isNotNull() & (F.col(value)["price"] > 0)
+            if grp != "generic":
+                ok = ok & (F.col("platform") == grp)
+            if mask:
+                found.append(F.when(ok, F.struct(
+                    F.lit(2 if grp == "generic" else 1).alias("grp_rank"), rank.alias("sel_rank"), F.col("idx"),
+                    F.col(value)["price"].alias("price"), F.col(value)["currency"].alias("currency"))))
+    best = (m.select("page_id", F.least(*found).alias("c")).filter(F.col("c").isNotNull())
+            .groupBy("page_id").agg(F.min("c").alias("b")))
     return (pages.select("page_id").join(best, "page_id", "left")
             .select("page_id", F.col("b.price").alias("price"), F.coalesce(F.col("b.currency"), F.lit("USD")).alias("currency")))
 
@@ -489,21 +516,19 @@ def product_cards(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     els = html_elements(pages, partitions, wanted=selector_keys(groups) | _CARD_FALLBACK, keep=("url",),
                         text=selector_keys(_CARD_TEXTS, last_only=True) | {f"t:{t}" for t in _HEADINGS},
                         ancestors=False, parents=True)
-    m = match_selectors(els, groups)
     attr = lambda k: F.try_element_at("attrs", F.lit(k))
     filled = lambda k: F.when(attr(k) != "", attr(k))
     content = attr("content")
     c_price = F.when(content.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)\s*$"), F.trim(content).try_cast("decimal(18,4)"))
     t_pp = parse_price_catalog(F.col("text"))
-    m = m.select(
-        "page_id", "url", "idx", "end", "parent", "m_card", "m_title", "m_image", "m_price",
-        F.col("tag").isin(*_HEADINGS).alias("heading"), ((F.col("tag") == "a") & F.map_contains_key("attrs", F.lit("href"))).alias("link"),
+    m = match_selectors(els, groups, [
+        F.col("url"), F.col("tag").isin(*_HEADINGS).alias("heading"),
+        ((F.col("tag") == "a") & F.map_contains_key("attrs", F.lit("href"))).alias("link"),
         (F.col("tag") == "img").alias("img"), (F.coalesce(attr("itemprop"), F.lit("")) == "priceCurrency").alias("is_cur"),
         F.col("text"), attr("href").alias("href"), F.coalesce(filled("src"), filled("data-src")).alias("src"),
         F.coalesce(content, F.lit("USD")).alias("cur"),
-        F.when(F.size("m_price") > 0, F.struct(
-            F.coalesce(c_price, t_pp["price"]).alias("price"), c_price.isNotNull().alias("from_content"),
-            t_pp["currency"].alias("text_currency"), F.col("parent"))).alias("p"))
+        F.struct(F.coalesce(c_price, t_pp["price"]).alias("price"), c_price.isNotNull().alias("from_content"),
+                 t_pp["currency"].alias("text_currency"), F.col("parent")).alias("p")])
     behind = Window.partitionBy("page_id").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
 
     def next_match(cond, *cols):
@@ -515,7 +540,7 @@ def product_cards(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     for grp, sels in _CARD_GROUPS.items():
         for rank in range(len(sels)):
             value = {"title": "text", "image": "src", "price": "p"}[grp]
-            nexts[f"n_{grp}{rank}"] = next_match(F.array_contains(f"m_{grp}", rank), value)
+            nexts[f"n_{grp}{rank}"] = next_match(_has(grp, rank), value)
     m = m.select("page_id", "url", "idx", "end", "m_card", *[c.alias(n) for n, c in nexts.items()])
     within = lambda n: F.col(f"{n}.at") < F.col("end")
     first = lambda n, value: F.when(within(n), F.col(f"{n}.{value}"))
@@ -526,8 +551,9 @@ def product_cards(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     image = F.coalesce(*[first(n, "src") for n in ranks("image")], first("n_img", "src"))
     price = F.coalesce(*[F.when(within(n) & (F.col(f"{n}.p.from_content") | (F.coalesce(F.col(f"{n}.p.price"), F.lit(0)) != 0)),
                                 F.col(f"{n}.p")) for n in ranks("price")])
-    cards = m.filter(F.size("m_card") > 0).select(
-        "page_id", "url", F.explode("m_card").alias("card_rank"), F.col("idx").alias("card_idx"),
+    card_ranks = F.array_compact(F.array(*[F.when(_has("card", r), F.lit(r)) for r in range(len(CARD_SELECTORS))]))
+    cards = m.filter(F.col("m_card") != 0).select(
+        "page_id", "url", F.explode(card_ranks).alias("card_rank"), F.col("idx").alias("card_idx"),
         F.when(F.coalesce(name, F.lit("")) != "", name).alias("name"), first("n_link", "href").alias("href"),
         image.alias("img"), price.alias("p"))
     # a card selector needs two elements and a name; the first such one wins

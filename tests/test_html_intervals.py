@@ -93,8 +93,9 @@ def test_selectors_against_brute_force(pages, elements):
     got = {}
     for r in HT.match_selectors(els, groups).collect():
         for g in groups:
-            for rank in r[f"m_{g}"]:
-                got.setdefault((r.page_id, g, rank), set()).add(r.idx)
+            for rank in range(len(groups[g])):
+                if r[f"m_{g}"] >> rank & 1:
+                    got.setdefault((r.page_id, g, rank), set()).add(r.idx)
     n = 0
     for page, own in elements.items():
         for g, sels in groups.items():
