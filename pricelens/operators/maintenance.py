@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.text import escape_name
 from ..functions.url import domain_of
+from ..schemas import CONSTRAINTS, ROW_KEYS
 from .history import ts_lit
 
 
@@ -205,25 +206,41 @@ def _row_rules() -> dict[str, list[tuple[str, Column]]]:
     }
 
 
+def _constraints(t: dict[str, DataFrame]) -> dict[str, dict]:
+    """Per given table its rules on columns that it has: conditions on a row
+    alone, parents by referring column, columns that may not repeat."""
+    checks, out = _row_rules(), {}
+    for table, c in CONSTRAINTS.items():
+        if table not in t:
+            continue
+        has = set(t[table].columns)
+        out[table] = {
+            "row": [(f"{table}.{col}_not_null", F.col(col).isNull()) for col in c["not_null"] if col in has]
+            + [r for r in checks.get(table, []) if r[0].split(".")[1] in has],
+            "references": {col: parent for col, parent in c["references"].items() if col in has and parent in t},
+            "unique": [col for col in c.get("unique", ()) if col in has]}
+    return out
+
+
 def constraint_violations(t: dict[str, DataFrame]) -> DataFrame:
-    """(rule, key) of every row that breaks a CHECK, foreign-key or UNIQUE
-    rule; the key is the row's id as text (the user for settings).  One scan
-    per table checks all its CHECK rules."""
+    """(rule, key) of every row that breaks a NOT NULL, CHECK, foreign-key
+    or UNIQUE rule of the schema; the key is the row's id as text (the user for
+    settings).  One scan of each table checks all its rules, with the keys of
+    all its parents joined to it; a rule counts where its table, column and
+    parent are given."""
     parts = []
-    for table, rules in _row_rules().items():
-        if table in t:
-            broken = F.filter(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules]), lambda x: x.isNotNull())
-            parts.append(t[table].select(F.explode(broken).alias("rule"), F.col("id").cast("string").alias("key")))
-
-    def orphans(rule, child, column, parent):
-        keys = t[parent].select(F.col("id").alias(column))
-        parts.append(t[child].join(keys, column, "left_anti").select(F.lit(rule).alias("rule"),
-                                                                    F.col("id").cast("string").alias("key")))
-    orphans("competitors.product_id_fk", "competitors", "product_id", "products")
-    orphans("price_history.competitor_id_fk", "price_history", "competitor_id", "competitors")
-    parts.append(t["user_alert_settings"].groupBy("user_id").count().filter(F.col("count") > 1)
-                 .select(F.lit("user_alert_settings.user_id_unique").alias("rule"),
-                         F.col("user_id").cast("string").alias("key")))
+    for table, rules in _constraints(t).items():
+        key = ROW_KEYS.get(table, "id")
+        row, d = list(rules["row"]), t[table]
+        for col, parent in rules["references"].items():
+            keys = t[parent].select(F.col(ROW_KEYS.get(parent, "id")).alias(f"__{col}")).distinct()
+            d = d.join(keys.withColumn(f"__has_{col}", F.lit(True)), F.col(col) == F.col(f"__{col}"), "left")
+            row.append((f"{table}.{col}_fk", F.col(col).isNotNull() & F.col(f"__has_{col}").isNull()))
+        broken = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in row]))
+        parts.append(d.select(F.explode(broken).alias("rule"), F.col(key).cast("string").alias("key")))
+        for col in rules["unique"]:
+            parts.append(t[table].groupBy(col).count().filter((F.col("count") > 1) & F.col(col).isNotNull())
+                         .select(F.lit(f"{table}.{col}_unique").alias("rule"), F.col(col).cast("string").alias("key")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -232,8 +249,9 @@ def constraint_violations(t: dict[str, DataFrame]) -> DataFrame:
 
 def constraint_report(t: dict[str, DataFrame]) -> DataFrame:
     """Number of violations per rule, rules without any included."""
-    names = [n for table, rules in _row_rules().items() if table in t for n, _ in rules]
-    names += ["competitors.product_id_fk", "price_history.competitor_id_fk", "user_alert_settings.user_id_unique"]
+    names = [n for table, r in _constraints(t).items()
+             for n in (*(name for name, _ in r["row"]), *(f"{table}.{c}_fk" for c in r["references"]),
+                       *(f"{table}.{c}_unique" for c in r["unique"]))]
     found = constraint_violations(t)
     every = found.sparkSession.createDataFrame([(n,) for n in names], "rule string")
     return (every.join(found.groupBy("rule").agg(F.count(F.lit(1)).alias("n")), "rule", "left")

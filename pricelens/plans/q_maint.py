@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -218,64 +219,109 @@ def k9(m):
     return MT.upsert_settings(m.user_alert_settings, both, AS_OF, order="seq")
 
 
-# a job per product; some rows of every table break a rule
-_BROKEN_SQL = """
-jobs AS (SELECT id, CASE WHEN id % 9 = 4 THEN 'stuck' ELSE 'completed' END AS status FROM products),
-ph AS (SELECT id, competitor_id, CASE WHEN id % 500 = 7 THEN 'skipped' ELSE scrape_status END AS scrape_status FROM price_history),
-ins AS (SELECT id, CASE WHEN product_id % 10 = 3 THEN 'guess' ELSE insight_type END AS insight_type,
-               CASE WHEN product_id % 4 = 1 THEN 1.5 ELSE confidence_score END AS confidence_score FROM insights),
-pend AS (SELECT id, CASE WHEN id % 300 = 1 THEN 'none' ELSE alert_type END AS alert_type FROM pending_alerts),
-comp AS (SELECT id, CASE WHEN id % 50 = 9 THEN -1 - id ELSE product_id END AS product_id,
-                CASE WHEN id % 70 = 8 THEN 101 ELSE alert_threshold_percent END AS alert_threshold_percent FROM competitors),
-sett AS (SELECT user_id FROM user_alert_settings UNION ALL SELECT user_id FROM user_alert_settings WHERE user_id % 4 = 2),
-bad AS (
-  SELECT 'price_history.scrape_status' AS rule, CAST(id AS VARCHAR) AS key FROM ph WHERE scrape_status NOT IN ('success', 'failed')
-  UNION ALL SELECT 'insights.insight_type', CAST(id AS VARCHAR) FROM ins WHERE insight_type NOT IN ('pattern', 'alert', 'recommendation')
-  UNION ALL SELECT 'insights.confidence_score', CAST(id AS VARCHAR) FROM ins WHERE NOT (confidence_score BETWEEN 0 AND 1)
-  UNION ALL SELECT 'pending_alerts.alert_type', CAST(id AS VARCHAR) FROM pend
-    WHERE alert_type NOT IN ('price_drop', 'price_increase', 'currency_changed')
-  UNION ALL SELECT 'alert_history.email_status', CAST(id AS VARCHAR) FROM alert_history WHERE email_status NOT IN ('pending', 'sent', 'failed')
-  UNION ALL SELECT 'competitors.alert_threshold_percent', CAST(id AS VARCHAR) FROM comp WHERE NOT (alert_threshold_percent BETWEEN 0 AND 100)
-  UNION ALL SELECT 'tracking_jobs.status', CAST(id AS VARCHAR) FROM jobs WHERE status NOT IN ('pending', 'processing', 'completed', 'failed')
-  UNION ALL SELECT 'competitors.product_id_fk', CAST(id AS VARCHAR) FROM comp WHERE product_id NOT IN (SELECT id FROM products)
-  UNION ALL SELECT 'price_history.competitor_id_fk', CAST(id AS VARCHAR) FROM ph WHERE competitor_id NOT IN (SELECT id FROM comp)
-  UNION ALL SELECT 'user_alert_settings.user_id_unique', CAST(user_id AS VARCHAR) FROM sett GROUP BY user_id HAVING count(*) > 1)"""
-_BROKEN_MODELS = ("price_history", "insights", "pending_alerts", "alert_history", "competitors", "products", "user_alert_settings")
+# Tables some of whose rows break a rule.  Per table: its columns over the model tables, and the planted faults
+# (column, condition, value) in both languages' common subset of SQL; the first fault of a column that applies counts.
+_FAULTY = {
+    "products": ("SELECT id, user_id, product_name FROM products", [
+        ("user_id", "id % 41 = 3", "NULL"), ("user_id", "id % 41 = 4", "-1 - id"), ("product_name", "id % 41 = 5", "NULL")]),
+    "competitors": ("SELECT id, product_id, url, alert_threshold_percent FROM competitors", [
+        ("product_id", "id % 50 = 9", "-1 - id"), ("product_id", "id % 50 = 10", "NULL"), ("url", "id % 50 = 11", "NULL"),
+        ("alert_threshold_percent", "id % 70 = 8", "101")]),
+    "price_history": ("SELECT id, competitor_id, scrape_status FROM price_history", [
+        ("scrape_status", "id % 500 = 7", "'skipped'"), ("scrape_status", "id % 500 = 8", "NULL"),
+        ("competitor_id", "id % 500 = 9", "NULL"), ("competitor_id", "id % 500 = 10", "-5 - id")]),
+    "insights": ("SELECT id, product_id, insight_text, insight_type, confidence_score FROM insights", [
+        ("insight_type", "product_id % 10 = 3", "'guess'"), ("insight_type", "id % 37 = 1", "NULL"),
+        ("confidence_score", "product_id % 4 = 1", "1.5"), ("confidence_score", "id % 37 = 2", "NULL"),
+        ("insight_text", "id % 37 = 3", "NULL"), ("product_id", "id % 37 = 4", "NULL"), ("product_id", "id % 37 = 5", "-1 - id")]),
+    "tracking_jobs": ("SELECT id, user_id, id AS product_group_id, 1 AS total_items, 'completed' AS status FROM products", [
+        ("status", "id % 9 = 4", "'stuck'"), ("status", "id % 9 = 5", "NULL"), ("user_id", "id % 31 = 1", "NULL"),
+        ("user_id", "id % 31 = 2", "-1 - id"), ("product_group_id", "id % 31 = 3", "-1 - id"),
+        ("product_group_id", "id % 31 = 4", "NULL"), ("total_items", "id % 31 = 5", "NULL")]),
+    "pending_alerts": ("SELECT id, user_id, product_id, competitor_id, alert_type FROM pending_alerts", [
+        ("alert_type", "id % 300 = 1", "'none'"), ("alert_type", "id % 300 = 2", "NULL"), ("user_id", "id % 300 = 3", "NULL"),
+        ("user_id", "id % 300 = 4", "-1 - id"), ("product_id", "id % 300 = 5", "NULL"), ("product_id", "id % 300 = 6", "-1 - id"),
+        ("competitor_id", "id % 300 = 7", "NULL"), ("competitor_id", "id % 300 = 8", "-1 - id")]),
+    "user_alert_settings": ("SELECT user_id FROM user_alert_settings UNION ALL SELECT user_id FROM user_alert_settings WHERE user_id % 4 = 2 "
+                            "UNION ALL SELECT -1 - user_id FROM user_alert_settings WHERE user_id % 3 = 1 "
+                            "UNION ALL SELECT NULL FROM user_alert_settings WHERE user_id = 1", []),
+    "alert_history": ("SELECT id, user_id, alerts_count, email_status FROM alert_history", [
+        ("email_status", "id % 60 = 1", "'lost'"), ("email_status", "id % 60 = 2", "NULL"), ("user_id", "id % 60 = 3", "NULL"),
+        ("user_id", "id % 60 = 4", "-1 - id"), ("alerts_count", "id % 60 = 5", "NULL")]),
+}
+_BROKEN_MODELS = ("price_history", "insights", "pending_alerts", "alert_history", "competitors", "products",
+                  "user_alert_settings", "users")
+
+
+def _faulty_sql(table: str) -> str:
+    base, faults = _FAULTY[table]
+    if not faults:
+        return base
+    cols = re.findall(r"(\w+)(?:,| FROM)", base)
+    cases = []
+    for c in cols:
+        own = [f for f in faults if f[0] == c]
+        whens = " ".join(f"WHEN {cond} THEN {value}" for _, cond, value in own)
+        cases.append(f"CASE {whens} ELSE {c} END AS {c}" if own else c)
+    return f"SELECT {', '.join(cases)} FROM ({base}) base"
+
+
+def _broken_sql() -> str:
+    """The rules of the schema, stated one by one over the faulty tables."""
+    name = lambda t: f"f_{t}"
+    key = lambda t: "user_id" if t in ("users", "user_alert_settings") else "id"
+    bad = []
+    for table, cols in {"products": ("user_id", "product_name"), "competitors": ("product_id", "url"),
+                        "price_history": ("competitor_id", "scrape_status"),
+                        "insights": ("product_id", "insight_text", "insight_type", "confidence_score"),
+                        "tracking_jobs": ("user_id", "total_items"),
+                        "pending_alerts": ("user_id", "product_id", "competitor_id", "alert_type"),
+                        "user_alert_settings": ("user_id",), "alert_history": ("user_id", "alerts_count")}.items():
+        bad += [(f"{table}.{c}_not_null", table, f"{c} IS NULL") for c in cols]
+    for table, col, parent in (("products", "user_id", "users"), ("competitors", "product_id", "products"),
+                               ("price_history", "competitor_id", "competitors"), ("insights", "product_id", "products"),
+                               ("tracking_jobs", "user_id", "users"), ("tracking_jobs", "product_group_id", "products"),
+                               ("pending_alerts", "user_id", "users"), ("pending_alerts", "product_id", "products"),
+                               ("pending_alerts", "competitor_id", "competitors"),
+                               ("user_alert_settings", "user_id", "users"), ("alert_history", "user_id", "users")):
+        rows = "users" if parent == "users" else name(parent)
+        bad.append((f"{table}.{col}_fk", table,
+                    f"{col} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {rows} p WHERE p.{key(parent)} = c.{col})"))
+    bad += [("price_history.scrape_status", "price_history", "scrape_status NOT IN ('success', 'failed')"),
+            ("insights.insight_type", "insights", "insight_type NOT IN ('pattern', 'alert', 'recommendation')"),
+            ("insights.confidence_score", "insights", "NOT (confidence_score BETWEEN 0 AND 1)"),
+            ("pending_alerts.alert_type", "pending_alerts", "alert_type NOT IN ('price_drop', 'price_increase', 'currency_changed')"),
+            ("alert_history.email_status", "alert_history", "email_status NOT IN ('pending', 'sent', 'failed')"),
+            ("competitors.alert_threshold_percent", "competitors", "NOT (alert_threshold_percent BETWEEN 0 AND 100)"),
+            ("tracking_jobs.status", "tracking_jobs", "status NOT IN ('pending', 'processing', 'completed', 'failed')")]
+    tables = ",\n".join(f"{name(t)} AS ({_faulty_sql(t)})" for t in _FAULTY)
+    parts = [f"SELECT '{rule}' AS rule, CAST({key(t)} AS VARCHAR) AS key FROM {name(t)} c WHERE {cond}" for rule, t, cond in bad]
+    parts.append("SELECT 'user_alert_settings.user_id_unique', CAST(user_id AS VARCHAR) FROM f_user_alert_settings "
+                 "WHERE user_id IS NOT NULL GROUP BY user_id HAVING count(*) > 1")
+    names = ", ".join(f"('{rule}')" for rule in [*(b[0] for b in bad), "user_alert_settings.user_id_unique"])
+    every = f"rules AS (SELECT rule FROM (VALUES {names}) v(rule))"
+    return f"{tables},\n{every},\nbad AS ({' UNION ALL '.join(parts)})"
 
 
 def _broken(m):
-    k = F.col("id")
-    return {
-        "price_history": m.price_history.withColumn(
-            "scrape_status", F.when(k % 500 == 7, F.lit("skipped")).otherwise(F.col("scrape_status"))),
-        "insights": m.insights.withColumns({
-            "insight_type": F.when(F.col("product_id") % 10 == 3, F.lit("guess")).otherwise(F.col("insight_type")),
-            "confidence_score": F.when(F.col("product_id") % 4 == 1, F.lit(1.5)).otherwise(F.col("confidence_score"))}),
-        "pending_alerts": m.pending_alerts.withColumn(
-            "alert_type", F.when(k % 300 == 1, F.lit("none")).otherwise(F.col("alert_type"))),
-        "alert_history": m.alert_history,
-        "competitors": m.competitors.withColumns({
-            "product_id": F.when(k % 50 == 9, -1 - k).otherwise(F.col("product_id")),
-            "alert_threshold_percent": F.when(k % 70 == 8, F.lit(101)).otherwise(F.col("alert_threshold_percent"))}),
-        "products": m.products,
-        "tracking_jobs": m.products.select("id", F.when(k % 9 == 4, F.lit("stuck")).otherwise(F.lit("completed")).alias("status")),
-        "user_alert_settings": m.user_alert_settings.unionByName(m.user_alert_settings.filter(F.col("user_id") % 4 == 2))}
-
-
-@query("K10_constraint_report", f"""WITH {_BROKEN_SQL}
-SELECT r.rule, count(bad.key) AS violations FROM (SELECT unnest(['price_history.scrape_status', 'insights.insight_type',
-  'insights.confidence_score', 'pending_alerts.alert_type', 'alert_history.email_status', 'competitors.alert_threshold_percent',
-  'tracking_jobs.status', 'competitors.product_id_fk', 'price_history.competitor_id_fk', 'user_alert_settings.user_id_unique']) AS rule) r
-LEFT JOIN bad ON bad.rule = r.rule GROUP BY r.rule""", _BROKEN_MODELS)
+    """The faulty tables as frames, and the users."""
+    models = {t: getattr(m, t) for t in _BROKEN_MODELS}
+    out = {t: m.spark.sql(re.sub(r"FROM (\w+)", r"FROM {\1}", _faulty_sql(t)),
+                          **{k: v for k, v in models.items() if f"FROM {k}" in _faulty_sql(t)}) for t in _FAULTY}
+    return {**out, "users": m.users}
+
+
+@query("K10_constraint_report", f"""WITH {_broken_sql()}
+SELECT r.rule, count(bad.rule) AS violations FROM rules r LEFT JOIN bad ON bad.rule = r.rule GROUP BY r.rule""", _BROKEN_MODELS)
 def k10(m):
-    """Constraint violations per rule, over tables some of whose rows
-    break a rule."""
+    """Constraint violations per rule of the schema, over tables some of
+    whose rows break a rule."""
     return MT.constraint_report(_broken(m))
 
 
-@query("K10_constraint_violations", f"WITH {_BROKEN_SQL} SELECT rule, key FROM bad", _BROKEN_MODELS)
+@query("K10_constraint_violations", f"WITH {_broken_sql()} SELECT rule, key FROM bad", _BROKEN_MODELS)
 def k10v(m):
-    """The rows that break a rule."""
+    """The rows that break a rule of the schema."""
     return MT.constraint_violations(_broken(m))
 
 

@@ -59,6 +59,26 @@ def table_schemas(key: T.DataType = T.StringType()) -> dict[str, T.StructType]:
     }
 
 
+# What the application's schema demands of each table beyond its column types:
+# columns that may not be null, columns that refer to a parent's key, columns
+# that may not repeat.  (CHECK rules are in ``operators.maintenance``.)
+CONSTRAINTS = {
+    "products": {"not_null": ("user_id", "product_name"), "references": {"user_id": "users"}},
+    "competitors": {"not_null": ("product_id", "url"), "references": {"product_id": "products"}},
+    "price_history": {"not_null": ("competitor_id", "scrape_status"), "references": {"competitor_id": "competitors"}},
+    "insights": {"not_null": ("product_id", "insight_text", "insight_type", "confidence_score"),
+                 "references": {"product_id": "products"}},
+    "tracking_jobs": {"not_null": ("user_id", "total_items"),
+                      "references": {"user_id": "users", "product_group_id": "products"}},
+    "pending_alerts": {"not_null": ("user_id", "product_id", "competitor_id", "alert_type"),
+                       "references": {"user_id": "users", "product_id": "products", "competitor_id": "competitors"}},
+    "user_alert_settings": {"not_null": ("user_id",), "references": {"user_id": "users"}, "unique": ("user_id",)},
+    "alert_history": {"not_null": ("user_id", "alerts_count"), "references": {"user_id": "users"}},
+}
+# the column that names a row (and that others refer to), where it is not ``id``
+ROW_KEYS = {"users": "user_id", "user_alert_settings": "user_id"}
+
+
 # unified catalog row (DiscoveredProduct)
 CATALOG_ROW = T.StructType([
     _f("store", T.StringType()), _f("source_rank", T.IntegerType()),
