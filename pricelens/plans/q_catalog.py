@@ -89,8 +89,60 @@ def g1(m):
 
 @query("F8_first_match_source", f"WITH {_EXP} SELECT store, source_rank, page, ordinal, name FROM best", ("catalog",))
 def f8(m):
-    """F8: per store only the best-ranked source that produced rows."""
-    return CT.first_match_source(_norm(m)).select("store", "source_rank", "page", "ordinal", "name")
+    """F8: per store only the best-ranked source that produced rows, decided by
+    the response log."""
+    return CT.discover(_landed(m)).select("store", "source_rank", "page", "ordinal", "name")
+
+
+def _woo_answers(m):
+    """The landed pages of WooCommerce stores whose endpoints answer
+    differently: the REST products of store 5, once with an empty list from the
+    store endpoint, once with an error object, once without an answer, and a
+    store that answers with empty lists only."""
+    landed = _landed(m)
+    rest, api = landed["woo_rest"], landed["woo_store"]
+    named = lambda df, name: df.withColumn("store", F.lit(f"https://{name}.example.com"))
+    one = rest.filter(F.col("page") == 0)
+    answer = lambda name, payload: named(one, name).withColumn("payload", F.lit(payload))
+    landed["woo_store"] = (api.unionByName(answer("quiet", " []")).unionByName(answer("refused", '{"code":"rest_no_route"}'))
+                           .unionByName(answer("bare", "[]")))
+    landed["woo_rest"] = (rest.unionByName(named(rest, "quiet")).unionByName(named(rest, "refused"))
+                          .unionByName(named(rest, "silent")).unionByName(answer("bare", "[]")))
+    return landed
+
+
+_ANSWERS = f"""{_EXP},
+answers AS (SELECT store, source_rank, page, ordinal, name FROM best
+  UNION ALL SELECT 'https://' || n.name || '.example.com', source_rank, page, ordinal, a5.name
+  FROM a5, (VALUES ('refused'), ('silent')) n(name))"""
+
+
+@query("F8_answered_empty", f"WITH {_ANSWERS} SELECT * FROM answers", ("catalog",))
+def f8e(m):
+    """F8: an endpoint that answers with an empty list wins over later ones; an
+    error answer, or none, does not."""
+    return CT.discover(_woo_answers(m)).select("store", "source_rank", "page", "ordinal", "name")
+
+
+@query("F8_response_log", f"""WITH {_EXP},
+log AS (SELECT store, source_rank, count(*) AS n FROM allrows GROUP BY 1, 2
+  UNION ALL SELECT 'https://' || n.name || '.example.com', CAST(4 AS BIGINT), (SELECT count(*) FROM a5)
+    FROM (VALUES ('quiet'), ('refused'), ('silent')) n(name)
+  UNION ALL SELECT * FROM (VALUES ('https://quiet.example.com', CAST(3 AS BIGINT), CAST(0 AS BIGINT)),
+    ('https://refused.example.com', 3, 0), ('https://bare.example.com', 3, 0), ('https://bare.example.com', 4, 0)) v),
+chosen AS (SELECT store, min(source_rank) AS source_rank FROM allrows GROUP BY 1
+  UNION ALL SELECT * FROM (VALUES ('https://quiet.example.com', CAST(3 AS BIGINT)), ('https://refused.example.com', 4),
+    ('https://silent.example.com', 4)) v)
+SELECT l.store, l.source_rank, CAST(l.n AS BIGINT) AS n, l.store <> 'https://refused.example.com' OR l.source_rank = 4 AS answered,
+  c.source_rank IS NOT NULL AS chosen
+FROM log l LEFT JOIN chosen c ON c.store = l.store AND c.source_rank = l.source_rank""", ("catalog",))
+def f8l(m):
+    """F8: the response log by store and endpoint, and the endpoint that counts."""
+    headers = CT.page_headers(_woo_answers(m))
+    log = headers.groupBy("store", "source_rank").agg(F.sum("n").alias("n"), F.max("answered").alias("answered"))
+    chosen = CT.choose_sources(headers).withColumn("chosen", F.lit(True))
+    return (log.join(chosen, ["store", "source_rank"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
+            .select("store", F.col("source_rank").cast("bigint").alias("source_rank"), "n", "answered", "chosen"))
 
 
 @query("B5_keyword_filter", f"""WITH {_EXP}
@@ -123,7 +175,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY store ORDER BY page, ordinal) AS
 def f6(m):
     """fetch budget of 30 rows per store (whole pages), keyword 'widget',
     then the first 7."""
-    return CT.fetch_filter_limit(CT.first_match_source(_norm(m)), "widget", 7, max_fetch=30).select(
+    return CT.fetch_filter_limit(CT.discover(_landed(m), max_fetch=30), "widget", 7).select(
         "store", "page", "ordinal", "rank_in_store")
 
 
@@ -132,7 +184,7 @@ SELECT store, page, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY stor
        ("catalog",))
 def f10(m):
     """first product per store."""
-    return CT.single_product(CT.first_match_source(_norm(m))).select("store", "page", "ordinal")
+    return CT.single_product(CT.discover(_landed(m))).select("store", "page", "ordinal")
 
 
 @query("D16_discovery_result", _F6.replace("fp.first <= 30", "true") + """,
@@ -147,13 +199,13 @@ SELECT store, platform, total_found, names, prices, currencies, urls, error FROM
 def d16(m):
     """Per store the discovery result for keyword 'widget', limit 20, and
     the errors of stores that failed (one of them without any row)."""
-    cat = _norm(m)
+    landed = _landed(m)
     odd = F.regexp_extract("store", r"store(\d+)", 1).cast("bigint") % 2 == 1
-    errors = (cat.select("store").distinct().filter(odd)
+    errors = (CT.page_headers(landed).filter("n > 0").select("store").distinct().filter(odd)
               .withColumn("error", F.concat(F.lit("HTTP 503 from "), "store", F.repeat(F.lit(" retry"), F.lit(50))))
               .unionByName(m.raw("region").limit(1).select(F.lit("https://gone.example.com").alias("store"),
                                                            F.lit("not found").alias("error"))))
-    r = CT.discovery_result(cat, "widget", 20, errors=errors)
+    r = CT.discovery_result(CT.discover(landed), "widget", 20, errors=errors, decided=True)
     part = {n: F.col("products").getField(c) for c, n in (("name", "names"), ("price", "prices"),
                                                           ("currency", "currencies"), ("product_url", "urls"))}
     part["prices"] = part["prices"].cast("array<double>")
@@ -186,4 +238,4 @@ def f8h(m):
     from ..sources.landed import listing_pages
     landed = dict(_landed(m))
     landed["generic_html"] = listing_pages(m.catalog)
-    return CT.first_match_source(CT.normalise(landed)).select("store", "source_rank", "name", "price", "currency")
+    return CT.discover(landed).select("store", "source_rank", "name", "price", "currency")

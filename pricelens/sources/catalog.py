@@ -122,7 +122,8 @@ def shopify_storefront(pages: DataFrame) -> DataFrame:
 
 def woo_store_api(pages: DataFrame) -> DataFrame:
     """A4: Woo Store API; price in minor units / 10^currency_minor_unit."""
-    p = pages.select("store", "page", F.from_json("payload", WOO_STORE).alias("j"))
+    # an answer that is no list (an error object) has no products
+    p = pages.filter(_is_list(F.col("payload"))).select("store", "page", F.from_json("payload", WOO_STORE).alias("j"))
     e = p.select("store", "page", F.posexplode("j").alias("pos", "x"))
     x = F.col("x")
     url = F.coalesce(F.when(x["permalink"] != "", x["permalink"]),
@@ -138,7 +139,8 @@ def woo_store_api(pages: DataFrame) -> DataFrame:
 
 def woo_rest_api(pages: DataFrame) -> DataFrame:
     """A5: Woo REST v3/v2; price string as is, USD, tags = categories ++ tags."""
-    p = pages.select("store", "page", F.from_json("payload", WOO_REST).alias("j"))
+    # an answer that is no list (an error object) has no products
+    p = pages.filter(_is_list(F.col("payload"))).select("store", "page", F.from_json("payload", WOO_REST).alias("j"))
     e = p.select("store", "page", F.posexplode("j").alias("pos", "x"))
     x = F.col("x")
     url = F.coalesce(F.when(x["permalink"] != "", x["permalink"]),
@@ -151,6 +153,10 @@ def woo_rest_api(pages: DataFrame) -> DataFrame:
         F.concat(_names(x["categories"]), _names(x["tags"])), desc))
 
 
+def _origin(url: Column) -> Column:
+    return F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
+
+
 def generic_html(pages: DataFrame) -> DataFrame:
     """Generic handler (last in the fallback order): landed HTML pages
     (page_id, url, html) -> product cards, or JSON-LD products when no card
@@ -158,9 +164,8 @@ def generic_html(pages: DataFrame) -> DataFrame:
     this handler are in stock unless stated (the model default)."""
     from ..operators.html import generic_catalog
     g = generic_catalog(pages).join(pages.select("page_id", "url"), "page_id")
-    store = F.regexp_extract("url", r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
     return g.select(*_unified(
-        store, 5, F.col("page_id"), F.col("ordinal"), F.col("name"), F.col("price"),
+        _origin(F.col("url")), 5, F.col("page_id"), F.col("ordinal"), F.col("name"), F.col("price"),
         F.col("currency"), F.col("image_url"), F.col("product_url"), "custom", F.lit(None).cast("string"), F.col("sku"),
         F.lit(True), F.lit(None).cast("string"), F.array().cast("array<string>"), F.lit(None).cast("string")))
 
@@ -183,10 +188,93 @@ def normalise(landed: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+# --- which source counts, decided before products are parsed --------------------------------
+
+_COUNTS = {"shopify_json": "products array<struct<variants:array<struct<id:string>>>>",
+           "shopify_storefront": "errors string, data struct<products:struct<edges:array<struct<node:struct<title:string>>>>>",
+           "woo_store": "array<struct<name:string>>", "woo_rest": "array<struct<name:string>>"}
+
+
+def _is_list(payload: Column) -> Column:
+    return F.ltrim(payload).startswith("[")
+
+
+def page_headers(landed: dict[str, DataFrame]) -> DataFrame:
+    """The response log: (store, source_rank, page, answered, n) of every landed
+    page: whether the endpoint answered in its form, and how many products the
+    page gives.  Only the products array is looked at, no product is parsed.
+    HTML pages (last in the order) are not counted: n is null."""
+    out = None
+    for rank, kind in enumerate(NORMALISERS, 1):
+        if kind not in landed:
+            continue
+        if kind == "generic_html":
+            h = landed[kind].select(_origin(F.col("url")).alias("store"), F.col("page_id").cast("bigint").alias("page"),
+                                    F.lit(True).alias("answered"), F.lit(None).cast("int").alias("n"))
+        else:
+            j = landed[kind].select("store", F.col("page").cast("bigint").alias("page"), "payload",
+                                    F.from_json("payload", _COUNTS[kind]).alias("j"))
+            if kind == "shopify_json":
+                answered = F.col("j.products").isNotNull()
+                n = F.size(F.filter("j.products", lambda x: x["variants"].isNull() | (F.size(x["variants"]) > 0)))
+            elif kind == "shopify_storefront":
+                answered = F.col("j.errors").isNull() & F.col("j.data.products.edges").isNotNull()
+                n = F.size("j.data.products.edges")
+            else:
+                answered = _is_list(F.col("payload")) & F.col("j").isNotNull()
+                n = F.size("j")
+            h = j.select("store", "page", F.coalesce(answered, F.lit(False)).alias("answered"), n.alias("n"))
+            h = h.withColumn("n", F.when(F.col("answered"), F.col("n")).otherwise(0))
+        h = h.select("store", F.lit(rank).alias("source_rank"), "page", "answered", F.col("n").cast("bigint").alias("n"))
+        out = h if out is None else out.unionByName(h)
+    return out
+
+
+def choose_sources(headers: DataFrame) -> DataFrame:
+    """F8: (store, source_rank) by the fetchers' order.  A Shopify endpoint
+    counts if it gave a product.  A WooCommerce store is one where some endpoint
+    gave a product; of its endpoints the first that answered with a list counts,
+    even an empty one.  Any other store is read from its HTML pages."""
+    of = lambda r, c: F.when(F.col("source_rank") == r, F.col(c))
+    per = headers.groupBy("store").agg(
+        *[F.coalesce(F.sum(of(r, "n")), F.lit(0)).alias(f"n{r}") for r in (1, 2, 3, 4)],
+        F.coalesce(F.max(of(3, "answered")), F.lit(False)).alias("store_api"),
+        F.max(F.col("source_rank") == 5).alias("html"))
+    woo = (F.col("n3") > 0) | (F.col("n4") > 0)
+    rank = (F.when(F.col("n1") > 0, 1).when(F.col("n2") > 0, 2).when(woo & F.col("store_api"), 3).when(woo, 4)
+            .when(F.col("html"), 5))
+    return per.select("store", rank.alias("source_rank")).filter(F.col("source_rank").isNotNull())
+
+
+def discover(landed: dict[str, DataFrame], max_fetch: int | None = None) -> DataFrame:
+    """F8 (and F6's fetch budget) before G1: the response log decides each
+    store's source and, with ``max_fetch``, the pages that a fetcher reads until
+    it has seen that many rows (whole pages; a running sum over the log, one
+    row a page).  Only these pages are parsed, once."""
+    headers = page_headers(landed)
+    read = headers.join(choose_sources(headers), ["store", "source_rank"])
+    if max_fetch is not None:
+        before = F.sum("n").over(Window.partitionBy("store").orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
+        read = read.withColumn("__before", F.coalesce(before, F.lit(0))).filter(F.col("__before") < max_fetch)
+    out = None
+    for rank, kind in enumerate(NORMALISERS, 1):
+        if kind not in landed:
+            continue
+        own, pages = read.filter(F.col("source_rank") == rank).select("store", "page"), landed[kind]
+        if kind == "generic_html":
+            pages = pages.withColumn("__store", _origin(F.col("url")))
+            pages = pages.join(own.select(F.col("store").alias("__store")).distinct(), "__store", "left_semi").drop("__store")
+        else:
+            pages = pages.join(own, ["store", "page"], "left_semi")
+        n = NORMALISERS[kind](pages)
+        out = n if out is None else out.unionByName(n, allowMissingColumns=True)
+    return out
+
+
 def first_match_source(catalog: DataFrame) -> DataFrame:
-    """F8: per store keep the rows of the best-ranked source that produced
-    any row (the ordered fallback of the fetchers).  The per-store minimum is
-    an aggregate joined back, not a window over the store's rows."""
+    """F8 over rows without a response log (``discover`` reads one): per store
+    the rows of the best-ranked source that produced any row.  The per-store
+    minimum is an aggregate joined back, not a window over the store's rows."""
     best = catalog.groupBy("store").agg(F.min("source_rank").alias("__best"))
     return (catalog.join(best, "store").filter(F.col("source_rank") == F.col("__best")).drop("__best"))
 
@@ -247,13 +335,14 @@ def select_join(selected: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def discovery_result(catalog: DataFrame, keyword: str | None = None, limit: int = 50,
-                     errors: DataFrame | None = None, max_fetch: int | None = None) -> DataFrame:
+                     errors: DataFrame | None = None, max_fetch: int | None = None, decided: bool = False) -> DataFrame:
     """Per store platform, total_found and the product array, after the
     keyword filter and request limit (F6) - so each store's array holds at most
-    ``limit`` products - and a truncated error."""
+    ``limit`` products - and a truncated error.  ``decided``: the catalog holds
+    the rows of each store's source only (``discover``)."""
     if not 1 <= limit <= C.MAX_TRACK_ITEMS:
         raise ValueError("limit must be within 1..5000")
-    catalog = fetch_filter_limit(first_match_source(catalog), keyword, limit, max_fetch)
+    catalog = fetch_filter_limit(catalog if decided else first_match_source(catalog), keyword, limit, max_fetch)
     g = catalog.groupBy("store").agg(
         F.min("platform").alias("platform"), F.count(F.lit(1)).alias("total_found"),
         F.array_sort(F.collect_list(F.struct("page", "ordinal", "name", "price", "currency", "product_url"))).alias("products"))
