@@ -38,6 +38,9 @@ MAX_PRICE = Decimal("99999999.99")         # what the price column can hold
 PRICE_TOO_LARGE = "Price does not fit the price column"
 
 
+CHUNK_ITEMS = 1000                         # items of one array where a list has no bound of its own
+
+
 # session settings for a large cluster (hundreds of TB, ~1000 executors):
 # many initial shuffle partitions that AQE coalesces to ~256 MB each, 256 MB
 # scan splits, skew splitting for partitions 5x the median and > 512 MB, and a

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from .history import ts_lit
-from .series import rank_within_buckets
+from .series import collect_chunks, rank_within_buckets
 
 
 def pending_list(details: DataFrame, limit: int | None = None) -> DataFrame:
@@ -123,25 +123,36 @@ def scrape_success_rate(price_history: DataFrame, competitors: DataFrame | None
                                 F.avg((F.col("scrape_status") == "success").cast("int")).alias("success_rate"))
 
 
-def run_progress(price_history: DataFrame, competitors: DataFrame) -> DataFrame:
+def _runs(price_history: DataFrame, competitors: DataFrame) -> DataFrame:
+    """Every scrape with its run: the product and the UTC day."""
+    from ..functions.url import retailer_or_domain
+    comp = competitors.select(F.col("id").alias("competitor_id"), "product_id",
+                              retailer_or_domain(F.col("retailer_name"), F.col("url"), "no_www").alias("retailer"))
+    return price_history.join(comp, "competitor_id").withColumn("run_day", F.to_date("scraped_at"))
+
+
+def run_results(price_history: DataFrame, competitors: DataFrame, size: int = C.CHUNK_ITEMS) -> DataFrame:
+    """The results of scrape runs (retailer name or domain without
+    'www.', by competitor) in numbered chunks of at most ``size``: (product_id,
+    run_day, chunk, results)."""
+    price = F.col("price").cast("string").alias("price")
+    res = F.struct("competitor_id", "retailer", price, "currency", F.col("scrape_status").alias("status"), "error_message")
+    return collect_chunks(_runs(price_history, competitors), ["product_id", "run_day"], F.col("competitor_id"),
+                          [F.col(c) for c in ("retailer", "price", "currency", "scrape_status", "error_message")],
+                          res, "results", size)
+
+
+def run_progress(price_history: DataFrame, competitors: DataFrame, size: int = C.CHUNK_ITEMS) -> DataFrame:
     """Progress of scrape runs; a run is one product's scrapes of one UTC
     day.  total = the product's competitors, completed = competitors
     processed in the run (any status), failed_items = failed ones, status =
     'completed' once every competitor was processed else 'scraping', and the
-    per-competitor results (retailer name or domain without 'www.')."""
-    from ..functions.url import retailer_or_domain
-    comp = competitors.select(F.col("id").alias("competitor_id"), "product_id",
-                              retailer_or_domain(F.col("retailer_name"), F.col("url"), "no_www").alias("retailer"))
-    total = comp.groupBy("product_id").agg(F.count(F.lit(1)).alias("total"))
-    d = price_history.join(comp, "competitor_id").withColumn("run_day", F.to_date("scraped_at"))
-    res = F.struct("competitor_id", "retailer", "price", "currency",
-                   F.col("scrape_status").alias("status"), "error_message")
-    g = d.groupBy("product_id", "run_day").agg(
+    per-competitor results, a row for each chunk of at most ``size``."""
+    total = competitors.groupBy("product_id").agg(F.count(F.lit(1)).alias("total"))
+    g = _runs(price_history, competitors).groupBy("product_id", "run_day").agg(
         F.count_distinct("competitor_id").alias("completed"),
-        F.count_if(F.col("scrape_status") == "failed").alias("failed_items"),
-        F.sort_array(F.collect_list(res)).alias("results"))
-    return (g.join(total, "product_id")
-            .withColumn("results", F.transform("results", lambda x: x.withField("price", x["price"].cast("string"))))
+        F.count_if(F.col("scrape_status") == "failed").alias("failed_items"))
+    return (g.join(total, "product_id").join(run_results(price_history, competitors, size), ["product_id", "run_day"])
             .withColumn("status", F.when(F.col("completed") >= F.col("total"), "completed").otherwise("scraping")))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from .series import lag_within_buckets
+from .series import collect_chunks, lag_within_buckets, time_bucket
 
 
 def ts_lit(value) -> Column:
@@ -158,26 +158,26 @@ def product_summary(stats: DataFrame) -> DataFrame:
     )
 
 
-def series_points(price_history: DataFrame, as_of, days: int = C.DEFAULT_HISTORY_DAYS) -> DataFrame:
-    """Chart points {timestamp, price, currency, status} per competitor,
-    failures kept as gaps (price null).  Points are collected per
-    (competitor, UTC day) - an array bounded by the scrape cadence of one day
-    even for the hottest competitor - and ordered inside the day; a chart
-    concatenates its days in ``day`` order (``chart_points`` does that for a
-    bounded set of competitors)."""
-    win = last_n_days(price_history, as_of, days)
+def series_points(price_history: DataFrame, as_of, days: int = C.DEFAULT_HISTORY_DAYS,
+                  size: int = C.CHUNK_ITEMS) -> DataFrame:
+    """Chart points {timestamp, id, price, currency, status} per competitor
+    and UTC day, failures kept as gaps (price null), in numbered chunks of at
+    most ``size`` points however often a competitor is scraped in a day; a
+    chart concatenates them in (``day``, ``chunk``) order (``chart_points`` does
+    that for a bounded set of competitors)."""
+    win = last_n_days(price_history, as_of, days).withColumn("day", F.to_date("scraped_at"))
     pt = F.struct(F.col("scraped_at").alias("timestamp"), F.col("id"),
                   F.when(F.col("price") != 0, F.col("price")).alias("price"),
                   F.col("currency"), F.col("scrape_status").alias("status"))
-    return (win.groupBy("competitor_id", F.to_date("scraped_at").alias("day"))
-            .agg(F.array_sort(F.collect_list(pt)).alias("data_points")))
+    return collect_chunks(win, ["competitor_id", "day"], time_bucket(F.col("scraped_at"), "hour"),
+                          [F.col("scraped_at"), F.col("id")], pt, "data_points", size)
 
 
 def chart_points(series: DataFrame, competitor_ids: DataFrame) -> DataFrame:
     """Assemble the full ordered array for the competitors of one chart
     (the API edge: a product's competitors over a bounded window)."""
     s = series.join(competitor_ids.select("competitor_id"), "competitor_id", "left_semi")
-    g = s.groupBy("competitor_id").agg(F.array_sort(F.collect_list(F.struct("day", "data_points"))).alias("d"))
+    g = s.groupBy("competitor_id").agg(F.array_sort(F.collect_list(F.struct("day", "chunk", "data_points"))).alias("d"))
     return g.select("competitor_id", F.flatten(F.transform("d", lambda x: x["data_points"])).alias("data_points"))
 
 

@@ -336,29 +336,30 @@ def product_documents(products: DataFrame, competitors: DataFrame) -> DataFrame:
 
 
 def chart_documents(products: DataFrame, competitors: DataFrame, price_history: DataFrame, as_of,
-                    days: int = C.DEFAULT_HISTORY_DAYS) -> DataFrame:
+                    days: int = C.DEFAULT_HISTORY_DAYS, size: int = C.CHUNK_ITEMS) -> DataFrame:
     """The chart document of every product as JSON parts of bounded size:
     one ``product`` part (name, date range, number of points and competitors),
     a ``competitor`` part each (name, url, statistics) and a ``points`` part
-    for each competitor and day.  (product_id, part, competitor_id, day,
-    document); in this order the parts make up the whole document."""
+    for each competitor, day and chunk (``series_points``).  (product_id, part,
+    competitor_id, day, chunk, document); in this order the parts make up the
+    whole document."""
     from ..functions.url import retailer_or_domain
     from .history import competitor_stats, product_range, series_points
-    none = F.lit(None).cast("date").alias("day")
+    none = [F.lit(None).cast("date").alias("day"), F.lit(None).cast("bigint").alias("chunk")]
     key = competitors.schema["id"].dataType
     rng = product_range(price_history, competitors, as_of, days)
     n = competitors.groupBy("product_id").agg(F.count(F.lit(1)).alias("competitor_count"))
     p = (products.select(F.col("id").alias("product_id"), "product_name").join(rng, "product_id", "left")
          .join(n, "product_id", "left").fillna(0, ["total_data_points", "competitor_count"]))
-    head = p.select("product_id", F.lit("product").alias("part"), F.lit(None).cast(key).alias("competitor_id"), none,
+    head = p.select("product_id", F.lit("product").alias("part"), F.lit(None).cast(key).alias("competitor_id"), *none,
                     F.to_json(F.struct("product_id", "product_name", "date_range_start", "date_range_end",
                                        "total_data_points", "competitor_count")).alias("document"))
     stats = competitor_stats(competitors, price_history, as_of, days)
-    comp = stats.select("product_id", F.lit("competitor").alias("part"), "competitor_id", none, F.to_json(F.struct(
+    comp = stats.select("product_id", F.lit("competitor").alias("part"), "competitor_id", *none, F.to_json(F.struct(
         "competitor_id", retailer_or_domain(F.col("retailer_name"), F.col("url")).alias("competitor_name"), "url",
         "average_price", "min_price", "max_price", "current_price", "price_change_percent")).alias("document"))
     owner = competitors.select(F.col("id").alias("competitor_id"), "product_id")
-    points = series_points(price_history, as_of, days).join(owner, "competitor_id")
-    pts = points.select("product_id", F.lit("points").alias("part"), "competitor_id", "day",
+    points = series_points(price_history, as_of, days, size).join(owner, "competitor_id")
+    pts = points.select("product_id", F.lit("points").alias("part"), "competitor_id", "day", "chunk",
                         F.to_json(F.struct("data_points")).alias("document"))
     return head.unionByName(comp).unionByName(pts)

@@ -54,18 +54,34 @@ def lag_within_buckets(df: DataFrame, key: str, order: list[str], values: list[s
     return out.drop(b, "__first_in_bucket", "__last_in_bucket", "__carry")
 
 
-def rank_within_buckets(df: DataFrame, key: str, ts_col: str, order: list[Column], pos: str,
-                        descending: bool = True, bucket_unit: str = "hour") -> DataFrame:
-    """Position of every row in its key's list, newest (or oldest) first,
-    without a window over all rows of a key: a position inside the row's time
-    bucket, plus the rows in the buckets before, summed over the buckets'
-    counts (one row per key and bucket)."""
+def rank_by_buckets(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], pos: str,
+                    descending: bool = False) -> DataFrame:
+    """Position of every row in its key's list without a window over all rows
+    of a key: a position inside the row's bucket, plus the rows in the buckets
+    before, summed over the buckets' counts (one row per key and bucket)."""
     b = "__bucket"
-    d = df.withColumn(b, time_bucket(F.col(ts_col), bucket_unit))
-    counts = d.groupBy(key, b).agg(F.count(F.lit(1)).alias("__n"))
-    by_time = F.col(b).desc() if descending else F.col(b)
-    before = counts.select(key, b, F.coalesce(F.sum("__n").over(
-        Window.partitionBy(key).orderBy(by_time).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    here = F.row_number().over(Window.partitionBy(key, b).orderBy(*order))
-    return (d.withColumn("__here", here).join(before, [key, b])
+    d = df.withColumn(b, bucket)
+    counts = d.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("__n"))
+    by_bucket = F.col(b).desc() if descending else F.col(b)
+    before = counts.select(*keys, b, F.coalesce(F.sum("__n").over(
+        Window.partitionBy(*keys).orderBy(by_bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    here = F.row_number().over(Window.partitionBy(*keys, b).orderBy(*order))
+    return (d.withColumn("__here", here).join(before, [*keys, b])
             .withColumn(pos, F.col("__before") + F.col("__here")).drop(b, "__here", "__before"))
+
+
+def rank_within_buckets(df: DataFrame, key: str, ts_col: str, order: list[Column], pos: str,
+                        descending: bool = True, bucket_unit: str = "hour") -> DataFrame:
+    """``rank_by_buckets`` by time, newest (or oldest) first."""
+    return rank_by_buckets(df, [key], time_bucket(F.col(ts_col), bucket_unit), order, pos, descending)
+
+
+def collect_chunks(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], item: Column, name: str,
+                   size: int) -> DataFrame:
+    """(keys, chunk, ``name``): each key's ordered list in numbered arrays of at
+    most ``size`` items, whatever the list's length."""
+    ranked = rank_by_buckets(df, keys, bucket, order, "__pos")
+    at = F.col("__pos") - 1
+    return (ranked.groupBy(*keys, (at / size).cast("bigint").alias("chunk"))
+            .agg(F.array_sort(F.collect_list(F.struct(F.col("__pos").alias("pos"), item.alias("item")))).alias("__list"))
+            .select(*keys, "chunk", F.transform("__list", lambda x: x["item"]).alias(name)))

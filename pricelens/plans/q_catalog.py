@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import materialize
 from ..sources import catalog as CT
 from ..sources.landed import landed_catalog
 from .registry import query
@@ -201,11 +202,12 @@ def d16(m):
     the errors of stores that failed (one of them without any row)."""
     landed = _landed(m)
     odd = F.regexp_extract("store", r"store(\d+)", 1).cast("bigint") % 2 == 1
-    errors = (CT.page_headers(landed).filter("n > 0").select("store").distinct().filter(odd)
+    log = materialize(CT.page_headers(landed), "response_log")
+    errors = (log.filter("n > 0").select("store").distinct().filter(odd)
               .withColumn("error", F.concat(F.lit("HTTP 503 from "), "store", F.repeat(F.lit(" retry"), F.lit(50))))
               .unionByName(m.raw("region").limit(1).select(F.lit("https://gone.example.com").alias("store"),
                                                            F.lit("not found").alias("error"))))
-    r = CT.discovery_result(CT.discover(landed), "widget", 20, errors=errors, decided=True)
+    r = CT.discovery_result(CT.discover(landed, log=log), "widget", 20, errors=errors, decided=True)
     part = {n: F.col("products").getField(c) for c, n in (("name", "names"), ("price", "prices"),
                                                           ("currency", "currencies"), ("product_url", "urls"))}
     part["prices"] = part["prices"].cast("array<double>")

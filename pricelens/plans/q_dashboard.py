@@ -207,20 +207,34 @@ def d13(m):
     return DB.scrape_success_rate(m.price_history, m.competitors)
 
 
-@query("D10_run_progress", """
+def _d10_sql(size: int) -> str:
+    return f"""
 WITH t AS (SELECT product_id, count(*) AS total FROM competitors GROUP BY 1),
-r AS (SELECT c.product_id, CAST(p.scraped_at AS DATE) AS run_day, count(DISTINCT p.competitor_id) AS completed,
-             CAST(count_if(p.scrape_status = 'failed') AS BIGINT) AS failed_items,
-             list(concat_ws('|', c.id, coalesce(nullif(c.retailer_name, ''), replace(regexp_extract(c.url, '://([^/]*)', 1), 'www.', '')),
-                  coalesce(CAST(p.price AS VARCHAR), ''), p.currency, p.scrape_status, coalesce(p.error_message, ''))
-                  ORDER BY c.id, p.price NULLS FIRST, p.currency, p.scrape_status) AS results
-      FROM price_history p JOIN competitors c ON c.id = p.competitor_id GROUP BY 1, 2)
-SELECT r.product_id, run_day, completed, failed_items, total, results,
+s AS (SELECT c.product_id, CAST(p.scraped_at AS DATE) AS run_day, p.competitor_id, p.scrape_status,
+        concat_ws('|', c.id, coalesce(nullif(c.retailer_name, ''), replace(regexp_extract(c.url, '://([^/]*)', 1), 'www.', '')),
+                  coalesce(CAST(p.price AS VARCHAR), ''), p.currency, p.scrape_status, coalesce(p.error_message, '')) AS result,
+        row_number() OVER (PARTITION BY c.product_id, CAST(p.scraped_at AS DATE)
+                           ORDER BY c.id, p.price NULLS FIRST, p.currency, p.scrape_status) AS pos
+      FROM price_history p JOIN competitors c ON c.id = p.competitor_id),
+r AS (SELECT product_id, run_day, count(DISTINCT competitor_id) AS completed,
+             CAST(count_if(scrape_status = 'failed') AS BIGINT) AS failed_items FROM s GROUP BY 1, 2),
+k AS (SELECT product_id, run_day, (pos - 1) // {size} AS chunk, list(result ORDER BY pos) AS results FROM s GROUP BY 1, 2, 3)
+SELECT r.product_id, r.run_day, completed, failed_items, total, chunk, results,
        CASE WHEN completed >= total THEN 'completed' ELSE 'scraping' END AS status
-FROM r JOIN t USING (product_id)""", ("price_history", "competitors"))
-def d10(m):
-    """Per run (product, day) completed / total / failed and status."""
-    r = DB.run_progress(m.price_history, m.competitors)
+FROM r JOIN t USING (product_id) JOIN k ON k.product_id = r.product_id AND k.run_day = r.run_day"""
+
+
+@query("D10_run_progress", _d10_sql(1000), ("price_history", "competitors"))
+def d10(m, size=1000):
+    """Per run (product, day) completed / total / failed, status, and the
+    results, at most 1,000 a row."""
+    r = DB.run_progress(m.price_history, m.competitors, size)
     text = lambda x: F.concat_ws("|", x["competitor_id"].cast("string"), x["retailer"], F.coalesce(x["price"], F.lit("")),
                                  x["currency"], x["status"], F.coalesce(x["error_message"], F.lit("")))
     return r.withColumn("results", F.transform("results", text))
+
+
+@query("D10_run_chunks", _d10_sql(3), ("price_history", "competitors"))
+def d10c(m):
+    """D10 with three results a row."""
+    return d10(m, 3)

@@ -225,20 +225,34 @@ def d4(m):
     return H.product_summary(s).withColumn("total_points", F.col("total_points").cast("bigint"))
 
 
-@query("D11_series_collect", """
-SELECT competitor_id, CAST(scraped_at AS DATE) AS day, list(id ORDER BY scraped_at, id) AS ids,
-       list(CAST(CASE WHEN price <> 0 THEN price END AS DOUBLE) ORDER BY scraped_at, id) AS prices,
-       list(scrape_status ORDER BY scraped_at, id) AS statuses
-FROM price_history WHERE scraped_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 30 DAY GROUP BY 1, 2""",
-       ("price_history",))
-def d11(m):
-    """Ordered chart points per competitor and day (failures kept as gaps)."""
-    s = H.series_points(m.price_history, AS_OF, 30)
-    return s.select("competitor_id", "day", F.transform("data_points", lambda p: p["id"]).alias("ids"),
+def _d11_sql(size: int) -> str:
+    return f"""
+SELECT competitor_id, day, (pos - 1) // {size} AS chunk, list(id ORDER BY pos) AS ids,
+       list(CAST(CASE WHEN price <> 0 THEN price END AS DOUBLE) ORDER BY pos) AS prices, list(scrape_status ORDER BY pos) AS statuses
+FROM (SELECT *, CAST(scraped_at AS DATE) AS day,
+        row_number() OVER (PARTITION BY competitor_id, CAST(scraped_at AS DATE) ORDER BY scraped_at, id) AS pos
+      FROM price_history WHERE scraped_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 30 DAY) t GROUP BY 1, 2, 3"""
+
+
+def _d11(s):
+    return s.select("competitor_id", "day", "chunk", F.transform("data_points", lambda p: p["id"]).alias("ids"),
                     F.transform("data_points", lambda p: p["price"].cast("double")).alias("prices"),
                     F.transform("data_points", lambda p: p["status"]).alias("statuses"))
 
 
+@query("D11_series_collect", _d11_sql(1000), ("price_history",))
+def d11(m):
+    """Ordered chart points per competitor and day (failures kept as
+    gaps), at most 1,000 a row."""
+    return _d11(H.series_points(m.price_history, AS_OF, 30))
+
+
+@query("D11_series_chunks", _d11_sql(2), ("price_history",))
+def d11c(m):
+    """D11 with rows of two points."""
+    return _d11(H.series_points(m.price_history, AS_OF, 30, size=2))
+
+
 @query("E3_last_n_points", """
 SELECT competitor_id, id, CAST(price AS DOUBLE) AS price,
        row_number() OVER (PARTITION BY competitor_id ORDER BY scraped_at, id) AS pos FROM (

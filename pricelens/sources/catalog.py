@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
+from ..config import materialize
 from ..functions.price import minor_units
 from ..functions.text import keyword_match, py_strip
 from ..functions.url import url_join
@@ -246,12 +247,14 @@ def choose_sources(headers: DataFrame) -> DataFrame:
     return per.select("store", rank.alias("source_rank")).filter(F.col("source_rank").isNotNull())
 
 
-def discover(landed: dict[str, DataFrame], max_fetch: int | None = None) -> DataFrame:
+def discover(landed: dict[str, DataFrame], max_fetch: int | None = None, log: DataFrame | None = None) -> DataFrame:
     """F8 (and F6's fetch budget) before G1: the response log decides each
     store's source and, with ``max_fetch``, the pages that a fetcher reads until
     it has seen that many rows (whole pages; a running sum over the log, one
-    row a page).  Only these pages are parsed, once."""
-    headers = page_headers(landed)
+    row a page).  Only these pages are parsed, once.  ``log``: a response log
+    that is stored already; else it is taken from the pages and written, as
+    several branches read it."""
+    headers = materialize(page_headers(landed), "response_log") if log is None else log
     read = headers.join(choose_sources(headers), ["store", "source_rank"])
     if max_fetch is not None:
         before = F.sum("n").over(Window.partitionBy("store").orderBy("page").rowsBetween(Window.unboundedPreceding, -1))

@@ -136,3 +136,26 @@ def test_chart_points_and_list_limits(spark, model):
     assert totals(top) == totals(full)          # the total counts every unsent alert, not just the page
     pl = DB.product_list(model.products, model.competitors, limit=2).collect()
     assert all(r["list_pos"] <= 2 for r in pl)
+
+
+def test_lists_of_any_length_come_in_chunks(spark):
+    """A competitor scraped 10,000 times in a day."""
+    from pricelens.operators import dashboard as DB
+    from pricelens.operators import maintenance as MT
+    h = spark.range(10_000).select(
+        "id", F.lit(1).cast("bigint").alias("competitor_id"), (F.col("id") % 90).cast("decimal(10,2)").alias("price"),
+        F.lit("USD").alias("currency"),
+        (F.lit("2024-01-30 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id") * 8)).alias("scraped_at"),
+        F.lit("success").alias("scrape_status"), F.lit(None).cast("string").alias("error_message"))
+    comp = spark.createDataFrame([(1, 5, "https://www.a.com/x", None, 10.0)],
+                                 "id long, product_id long, url string, retailer_name string, alert_threshold_percent double"
+                                 ).withColumn("created_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    rows = sorted(H.series_points(h, "2024-01-31 00:00:00", 30, size=300).collect(), key=lambda r: r.chunk)
+    assert [r.chunk for r in rows] == list(range(34)) and max(len(r.data_points) for r in rows) == 300
+    assert [p.id for r in rows for p in r.data_points] == list(range(10_000))
+    runs = sorted(DB.run_results(h, comp, size=999).collect(), key=lambda r: r.chunk)
+    assert sum(len(r.results) for r in runs) == 10_000 and max(len(r.results) for r in runs) == 999
+    assert [p.price for r in runs for p in r.results] == [str(p) for p in sorted(r.price for r in h.collect())]
+    products = spark.createDataFrame([(5, 1, "p")], "id long, user_id long, product_name string")
+    docs = MT.chart_documents(products, comp, h, "2024-01-31 00:00:00", size=500).filter("part = 'points'").collect()
+    assert len(docs) == 20 and max(len(d.document) for d in docs) < 80_000
