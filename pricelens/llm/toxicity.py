@@ -2,8 +2,8 @@
 
 Writers hide words by leetspeak ("1d10t"), spacing ("i d i o t", "i.d.i.o.t")
 and repetition ("iiidiooot").  The channel: each written character may stand
-for several intended ones (a digit or sign for a letter, a separator for
-nothing, a run of equal letters for one or two).  A character language model
+for several intended ones (a digit or sign for itself or for a letter, a separator beside
+a single letter for nothing, a run of equal letters for one or two).  A character language model
 of order 4, counted over *all* texts of the table, says which intended text is
 likely.  Viterbi decoding over the lattice of intended characters, with the
 model's last three characters as state, gives the restored text; only spans
@@ -39,6 +39,7 @@ THRESHOLD = 0.5
 
 # --- character language model ------------------------------------------------------------------
 ORDER, SYMBOLS = 4, 28                       # symbols: 0 word boundary, 1-26 letters, 27 other letters
+EVEN = 0.5                                   # share of the model in which all symbols are as likely
 _OTHER = 27
 
 
@@ -96,7 +97,8 @@ class CharModel:
             total = own.sum(axis=-1, keepdims=True)
             kinds = (own > 0).sum(axis=-1, keepdims=True)
             p = (own + kinds * p) / np.maximum(total + kinds, 1) + (total == 0) * p      # Witten-Bell
-        self.log = np.log(p).astype(np.float32)
+        # a writer's words need not be the corpus's: no letter is ever out of the question
+        self.log = np.log((1 - EVEN) * p + EVEN / SYMBOLS).astype(np.float32)
 
 
 def fit_model(docs: DataFrame) -> np.ndarray:
@@ -133,14 +135,15 @@ _MONEY[[*b"$@"]] = True
 _ONE = rb"[A-Za-z0-9@$!|+(]"
 _SPACED = re.compile(rb"%s(?:[ ._\-~/*]{1,3}%s){2,}(?![A-Za-z0-9\x80-\xff])" % (_ONE, _ONE))
 _LETTERS = re.compile(rb"[A-Za-z]")
-LONGEST = 32                    # longer words (equal letters collapsed) are cut and decoded part by part
-KEY = 16                        # shorter parts of them are no keys
+LONG = 256                      # answers for longer words are not kept
+KEY = 16                        # shorter words are no keys
 _STRETCHED = re.compile(rb"([A-Za-z])(?:(?i:\1)){3,}")
-_PART = re.compile(rb"(?:(?![*#%]{3})[A-Za-z0-9@$!|+(*#%]|[\xc3-\xc9\xcc\xcd][\x80-\xbf]|\xe1[\xb8-\xbb][\x80-\xbf])+")
 _ADDRESS = re.compile(rb"(?:(?<=[A-Za-z0-9]):|(?<![^\s\"'(=])(?=//[\w-]+\.))//[^\s\"'<>()\[\]{},;]*+|"
                       rb"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++\.[A-Za-z]{2,}[\w.-]*+")
 _SIGNS = b"!.-_|#*%&$"
-_SWAP, _DROP, _MERGE, _SPLIT = -1.0, -0.5, -0.7, -1.5     # log weights of the channel's moves
+_SWAP, _DROP, _MERGE = -1.0, -2.0, -0.7                   # log weights of the channel's moves
+_SELDOM = -3.0                                            # digits that seldom stand for letters
+_KEPT_DIGIT, _KEPT_SIGN, _KEPT_OTHER = -1.5, -9.0, -1.0   # digits, $ and @, other signs as written
 
 
 def suspicious(buf: np.ndarray) -> np.ndarray:
@@ -179,10 +182,12 @@ def suspicious(buf: np.ndarray) -> np.ndarray:
 
 
 def _options(c: str) -> list[tuple[int, str, float]]:
-    """(symbol, text, weight) that a written character may stand for."""
+    """(symbol, text, weight) that a written character may stand for: a digit or
+    sign for itself, which bounds a word, or for a letter."""
     if c in LEET:
         cost = _SWAP if len(LEET[c]) < 3 else _SWAP - np.log(26.0)
-        return [(ord(x) - 96, x, cost) for x in LEET[c]]
+        cost += _SELDOM * (c in "2689")
+        return [(0, c, _KEPT_DIGIT if c.isdigit() else _KEPT_SIGN if c in "$@" else _KEPT_OTHER), *((ord(x) - 96, x, cost) for x in LEET[c])]
     s = _symbol(c)
     return [(s, c, 0.0)] if s else []
 
@@ -197,12 +202,6 @@ def key(word: bytes) -> bool:
                     and 5 * changes > 2 * len(word)))
 
 
-def likely(text: str, model: np.ndarray) -> bool:
-    """Whether the model finds the text likelier than letters drawn at random."""
-    s = np.concatenate([[0, 0], symbols(text)]).astype(np.int64)
-    return len(s) > 4 and model[s[:-3], s[1:-2], s[2:-1], s[3:]].mean() > -np.log(SYMBOLS - 1)
-
-
 def doubled(word: str) -> bool:
     """Whether a word's letters are doubled throughout, so that a pair may
     stand for one letter: all, or three at least and two of three."""
@@ -211,6 +210,13 @@ def doubled(word: str) -> bool:
     return n > 1 and (n == len(runs) or n > 2 and 3 * n >= 2 * len(runs))
 
 
+def _joined(runs: list[str]) -> set[int]:
+    """The separators that may stand for nothing: those beside a letter or sign
+    that stands alone between separators."""
+    cuts = [-1, *(k for k, r in enumerate(runs) if not _options(r[0])), len(runs)]
+    return {cuts[k] for k in range(1, len(cuts) - 1) if 2 in (cuts[k] - cuts[k - 1], cuts[k + 1] - cuts[k])}
+
+
 def decode(span: str, model: np.ndarray) -> str:
     """The likeliest intended text of a span: exact Viterbi over the lattice.
     A state is the last three symbols and, inside a run of three or more equal
@@ -218,9 +224,10 @@ def decode(span: str, model: np.ndarray) -> str:
     span = span.lower()
     runs = [m.group() for m in re.finditer(r"(.)\1*", span, re.S)]
     pairs = {k for w in re.finditer(r"[^\W\d_]+", span) if doubled(w[0]) for k in range(*w.span())}
+    joined = _joined(runs)
     paths = {((0, 0, 0), 0): (0.0, None)}               # (last symbols, taken) -> score, history
     at = 0
-    for written in runs:
+    for n, written in enumerate(runs):
         c = written[0]
         long = c.isalpha() and (len(written) >= 3 or len(written) == 2 and at in pairs)
         at += len(written)
@@ -235,19 +242,22 @@ def decode(span: str, model: np.ndarray) -> str:
                     then[state] = (score, history)
 
             for (ctx, taken), (score, history) in paths.items():
-                if c == "*" or not options:                                  # a separator stands for nothing
+                if c == "*" or n in joined:                                  # a separator stands for nothing
                     relax((ctx, 0), score + _DROP, history)
-                if not options:                                              # or for a word boundary
+                if not options:                                              # or for itself, which bounds a word
                     if ctx[2]:
-                        cost = _SPLIT if len(written) == 1 and c in " ._-" else 0.0
-                        relax(((ctx[1], ctx[2], 0), 0), score + cost + model[ctx[0], ctx[1], ctx[2], 0],
-                              (" ", history))
+                        relax(((ctx[1], ctx[2], 0), 0), score + model[ctx[0], ctx[1], ctx[2], 0], (c, history))
+                    else:
+                        relax((ctx, 0), score, (c, history))
                     continue
                 if long and k:                                               # one more of the same letter
                     relax((ctx, taken), score + _MERGE, history)
                     if taken >= 2:
                         continue
                 for s, out, weight in options:
+                    if s == 0 and ctx[2] == 0:                               # a run of non-letters is one boundary
+                        relax((ctx, 1), score + weight, (out, history))
+                        continue
                     relax(((ctx[1], ctx[2], s), taken + 1 if long and k else 1),
                           score + weight + model[ctx[0], ctx[1], ctx[2], s], (out, history))
             paths = then
@@ -257,8 +267,8 @@ def decode(span: str, model: np.ndarray) -> str:
                 if (ctx, 0) not in best or path[0] > best[ctx, 0][0]:
                     best[ctx, 0] = path
             paths = best
-    last = max(((score + model[ctx[0], ctx[1], ctx[2], 0], history) for (ctx, _), (score, history) in paths.items()),
-               key=lambda x: x[0])
+    last = max(((score + (model[ctx[0], ctx[1], ctx[2], 0] if ctx[2] else 0.0), history)
+                for (ctx, _), (score, history) in paths.items()), key=lambda x: x[0])
     out, history = [], last[1]
     while history:
         out.append(history[0])
@@ -276,62 +286,45 @@ class Restorer:
     span is decoded once."""
 
     def __init__(self, model: np.ndarray, keep: int = 50_000):
-        def whole(span: bytes) -> str:
+        def whole(span: bytes) -> bytes:
             written = span.decode(errors="replace")
             text = decode(written, model)
-            return written if text == written.lower() else text            # nothing was hidden
-
-        def part(span: bytes) -> bytes:
-            text = "" if key(span) else whole(span)
-            return text.encode() if text and (len(span) < KEY or likely(text, model)) else span
+            return span if text == written.lower() else text.encode()      # nothing was hidden
 
-        self.decoded = Recent(lambda span: whole(span).encode(), keep).__getitem__
-        self.part, self.long = Recent(part, keep).__getitem__, part
+        known = Recent(whole, keep).__getitem__
+        # very long words are not kept: their answers have no bound
+        self.decoded = lambda span: known(span) if len(span) < LONG else whole(span)
 
     def spans(self, buf: bytes, first: int, end: int, at: list[int]):
         """(start, end, restored) of the obfuscated spans of one text, which is
-        buf[first:end], around the suspicious positions.  Addresses stand as
-        written.  A word of more than ``LONGEST`` characters is cut at other
-        signs and other scripts, and its parts that hold a suspicious position
-        are decoded, except keys."""
+        buf[first:end], around the suspicious positions.  Addresses and keys
+        stand as written; any other word with such a position is decoded whole,
+        however long it is."""
         out = []
         if buf.find(b"//", first, end) >= 0 or buf.find(b"@", first, end) >= 0:
             out = [m.span() for m in _ADDRESS.finditer(buf, first, end)]
         out.append((end, end))
-        done, over, parts, n, i = first, first, [], 0, 0       # over: the end of the word that is cut into parts
+        done, i = first, 0
         for k in at:
             while out[i][1] <= k:
                 i += 1
             if k < done or k >= out[i][0]:
                 continue
-            low, high = max(done, over, out[i - 1][1] if i else first), out[i][0]
+            low, high = max(done, out[i - 1][1] if i else first), out[i][0]
             if (m := _SPACED.match(buf, k, high)) and len(_LETTERS.findall(m.group())) >= 2:
                 yield k, m.end(), self.decoded(m.group())
                 done = m.end()
                 continue
-            if k >= over:
-                s, e = k, k
-                while s > low and buf[s - 1] not in _OPEN:
-                    s -= 1
-                while e < high and buf[e] not in _CLOSE:
-                    e += 1
-                raw = _trimmed(buf[s:e])
-                word = _STRETCHED.sub(rb"\1\1\1", raw)
-                if len(word) <= LONGEST:
-                    if len(word) > 1:
-                        yield s, s + len(raw), self.decoded(word)
-                    done = e
-                    continue
-                parts, over, n = [] if key(word) else [m.span() for m in _PART.finditer(buf, s, e)], e, 0
-            while n < len(parts) and parts[n][1] <= k:
-                n += 1
-            if n < len(parts) and parts[n][0] <= k + 1:
-                s, done = max(done, parts[n][0]), parts[n][1]
-                raw = _trimmed(buf[s:done])
-                word = _STRETCHED.sub(rb"\1\1\1", raw)
-                text = (self.part if len(word) <= 8 * LONGEST else self.long)(word)
-                if text != word and len(word) > 1:
-                    yield s, s + len(raw), text
+            s, e = k, k
+            while s > low and buf[s - 1] not in _OPEN:
+                s -= 1
+            while e < high and buf[e] not in _CLOSE:
+                e += 1
+            done = e
+            raw = _trimmed(buf[s:e])
+            word = _STRETCHED.sub(rb"\1\1\1", raw)
+            if len(word) > 1 and not key(word):
+                yield s, s + len(raw), self.decoded(word)
 
     def many(self, docs: list[str]) -> list[str]:
         """All texts with their obfuscated spans restored."""
