@@ -167,10 +167,12 @@ def doc_mod(col="doc_id"):
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
     """(doc_id, text, y) of at most ``bound`` labelled documents outside the
     held-out fifth, in the order of a hash of the id.  ``docs`` has doc_id and
-    text.  Several labels of a document: the largest counts.  The ids are at
-    most ``bound`` rows, so that the join's small side has a fixed bound."""
+    text.  Several labels of a document: the largest counts; several rows of a
+    document: the least text.  The ids are at most ``bound`` rows, so that the
+    join's small side has a fixed bound."""
     ids = (labels.select(labels["doc_id"].alias("doc_id"), labels[label].alias("y"))
            .where("doc_id is not null and y is not null").where(doc_mod() != 0)
            .groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound))
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return (docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+            .groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y"))

@@ -3,8 +3,9 @@
 Shared by the two classifiers.  Examples are sparse rows (indices, values)
 over ``2 ** bits`` hashed features plus one bias.  Training runs on shards: a
 bounded sample is dealt over ``shards`` tasks by a hash of the document, each
-makes its own FTRL-proximal passes, and the weights are averaged, so no task
-holds the whole sample.
+makes its own FTRL-proximal passes, and the weights are averaged.  Texts become
+feature lists in the tasks that read them; a shard holds at most ``2 ** bits``
+numbers a document, never a text.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import grouped, texts
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -57,31 +60,47 @@ def train(sample: DataFrame, features, s: Settings) -> np.ndarray:
     Without any row all weights are zero.  The result has a fixed length, so
     it may be handed to every task."""
     size = (1 << s.bits) + 1
+    kind = sample.schema["doc_id"].dataType.simpleString()
+
+    def featured(batches):
+        """Texts become feature lists where they are read: shards get no texts."""
+        for b in batches:
+            xs = [x for group in grouped(texts(b)) for x in features(group)]
+            ends = pa.array(np.cumsum([0, *(len(at) for at, _ in xs)]).astype(np.int32))
+            flat = [np.concatenate([x[k] for x in xs]) if xs else np.empty(0) for k in (0, 1)]
+            lists = [pa.ListArray.from_arrays(ends, pa.array(f.astype(t))) for f, t in zip(flat, (np.int64, np.float64))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), *lists], ["doc_id", "y", "at", "x"])
 
     def shard(table):
-        rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(),
-                          table.column("y").to_pylist()), key=lambda r: (str(r[0]), r[1] or "", r[2]))
-        xs = [x for at in range(0, len(rows), 256) for x in features([t or "" for _, t, _ in rows[at:at + 256]])]
+        ids, ys = table.column("doc_id").to_pylist(), table.column("y").to_pylist()
+        lists = {c: [v.values.to_numpy(zero_copy_only=False) for v in table.column(c)] for c in ("at", "x")}
+        own = sorted(range(len(ids)), key=lambda k: (str(ids[k]), ys[k]))
+        rows = [ys[k] for k in own]
+        xs = [(lists["at"][k], lists["x"][k]) for k in own]
         order = np.random.default_rng(7)
         model = Ftrl(s)
         for _ in range(s.epochs):
             for k in order.permutation(len(rows)):
                 at, x = xs[k]
-                model.update(np.append(at, size - 1), np.append(x, 1.0), rows[k][2])
+                model.update(np.append(at, size - 1), np.append(x, 1.0), rows[k])
         w = model.weights()
         at = np.flatnonzero(w)
-        return pa.table({"at": pa.array(at, pa.int64()), "w": pa.array(w[at]),
-                         "rows": pa.array(np.full(len(at), len(rows)), pa.int64())})
+        # the row at -1 counts the shard's documents
+        return pa.table({"at": pa.array([-1, *at.tolist()], pa.int64()), "w": pa.array([1.0, *w[at].tolist()], pa.float64()),
+                         "rows": pa.array(np.full(len(at) + 1, len(rows)), pa.int64())})
 
-    dealt = sample.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(s.shards)))
+    made = sample.select("doc_id", "text", "y").mapInArrow(featured, f"doc_id {kind}, y int, at array<bigint>, x array<double>")
+    dealt = made.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(s.shards)))
     # shards hold as good as equal numbers of documents; each counts by its size
     parts = (dealt.groupBy("shard").applyInArrow(shard, "at bigint, w double, rows bigint")
              .groupBy("at").agg(F.sum(F.col("w") * F.col("rows")).alias("w")))
-    total = sample.count()
-    out = np.zeros(size)
+    out, total = np.zeros(size), 0.0
     for r in parts.toLocalIterator():
-        out[r["at"]] = r["w"] / total
-    return out.astype(np.float32)
+        if r["at"] < 0:
+            total = r["w"]
+        else:
+            out[r["at"]] = r["w"]
+    return (out / max(total, 1.0)).astype(np.float32)
 
 
 def probability(margin: np.ndarray) -> np.ndarray:

@@ -155,13 +155,20 @@ def _gradient(flat: np.ndarray, groups) -> np.ndarray:
     return grad / max(1, total)
 
 
+PADDED = 1 << 15                 # lines of a group of training texts, padding included
+
+
 def fit_field(rows: list[tuple[str, int]], steps: int = STEPS, l2: float = 1e-3) -> np.ndarray:
     """Parameters for texts with the state of all their lines."""
     seqs = [(line_features(t)[0], y) for t, y in rows]
     seqs = sorted(((x, y) for x, y in seqs if len(x)), key=lambda s: len(s[0]))
-    groups = []
-    for at in range(0, len(seqs), 64):
-        part = seqs[at:at + 64]
+    groups, at = [], 0
+    while at < len(seqs):
+        # texts of like length, padded to the longest one: at most 64, and at most PADDED lines in all
+        many = 1
+        while many < 64 and at + many < len(seqs) and (many + 1) * len(seqs[at + many][0]) <= PADDED:
+            many += 1
+        part, at = seqs[at:at + many], at + many
         n = max(len(x) for x, _ in part)
         x = np.zeros((len(part), n, N_FEATURES))
         live = np.zeros((len(part), n), bool)
@@ -199,9 +206,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   share: float = SHARE, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, the five counts, n_lines,
+    """One row per row of ``docs``: doc_id, the five counts, base_failed, kept,
     content_lines (a string of C and B, a letter per line with a word),
-    content_share, base_failed, kept."""
+    content_share, n_lines."""
     prepare(docs.sparkSession)
     docs = docs.select(*id_and_text(docs, id_col, text_col))
     flat, kind = fit(docs, labels, sample_rows=sample_rows), docs.schema["doc_id"].dataType.simpleString()
@@ -227,4 +234,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return (docs.mapInArrow(run, f"doc_id {kind}, n_words bigint, word_chars bigint, n_symbols bigint, "
                                  "n_dup_lines bigint, n_repeat_words bigint, content_lines string, content_share double")
             .withColumn("n_lines", F.length("content_lines").cast("bigint")).withColumn("base_failed", failed)
-            .withColumn("kept", ~failed & (F.col("content_share") >= share)))
+            .withColumn("kept", ~failed & (F.col("content_share") >= share))
+            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                    "content_lines", "content_share", "n_lines"))

@@ -1,10 +1,11 @@
 """Operator 5, secret scans: fixed patterns plus a token-efficiency test.
 
 Ordinary words and names take few tokens of a byte-pair vocabulary, random
-strings many.  A run of 16 or more characters with letters and fewer than
-``ratio`` characters a token under a tiktoken vocabulary (letters of one case
-alone: fewer than ``LETTERS``, as long words of natural languages need) is
-reported as kind ``random``, by itself where a label stands before it (cut at
+strings many.  A run of ``shortest`` or more characters with letters and fewer
+characters a token under a tiktoken vocabulary than ``limit`` asks of its
+length (``ratio`` from 16 characters on, less for shorter runs, whose ratios
+spread wider; less for letters of one case alone, as long words of natural
+languages need) is reported as kind ``random``, by itself where a label stands before it (cut at
 ``=``; at ``_``, ``-`` and ``/`` if the whole run takes few tokens), unless it is a known digest or identifier: a
 hexadecimal string of a digest's length (MD5, SHA-1, SHA-2), a labelled digest
 (``sha256-...``), a UUID, a part of an address (URL path, e-mail, host), or a
@@ -33,7 +34,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, prepare, texts
+from .common import Recent, id_and_text, prepare, texts
 
 # --- fixed values: the patterns of the base scan ------------------------------
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -43,8 +44,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")          # runs are maximal: shorter ones fai
 KINDS = ("assign", "access", "hex", "random")
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-RATIO, SHORTEST, LETTERS = 1.9, 16, 1.75
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+RATIO, SHORTEST, LETTERS = 1.9, 8, 1.75
+SURE = 16                                   # from this length on a ratio spreads little
+STEP, LETTERS_SHORT, LETTERS_STEP = 0.04, 1.6, 0.05      # limits below it: measured, see the README
+KNOWN_RUNS = 1 << 16                        # runs whose number of tokens is kept in a task
 _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|"
                      r"[0-9a-fA-F]{128}|(?:md5|sha1|sha224|sha256|sha384|sha512)[-=:_][A-Za-z0-9+/=]+)\Z")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
@@ -55,7 +58,6 @@ _AT = re.compile(r"@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}")
 _NAME = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _HOST = re.compile(r"""(?<![\w.@-])((?:[a-z0-9-]{1,63}+\.)+[a-z]{2,63})(?![\w@-])(?:[:/][^\s?#"'<>()\[\]{}|\\^`,;]*+)?""")
 _PIECE = re.compile(r"[^=]+=*")
-_PART = re.compile(r"[^/_=-]{16,}")
 _PLAIN = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)=*\Z")
 LABEL = 8                                   # shorter labels of a host hold too little to be weighed
 
@@ -67,6 +69,22 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.lru_cache(8)
+def _runs(shortest: int) -> tuple[re.Pattern, re.Pattern]:
+    """Runs, and parts of runs, of at least so many characters."""
+    return re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % shortest), re.compile(r"[^/_=-]{%d,}" % shortest)
+
+
+@functools.lru_cache(KNOWN_RUNS)
+def _counted(enc: tiktoken.Encoding, run: str) -> int:
+    return len(enc.encode_ordinary(run))
+
+
+def n_tokens(enc: tiktoken.Encoding, run: str) -> int:
+    """How many tokens a run takes; recent answers for short runs are kept."""
+    return _counted(enc, run) if len(run) < 64 else len(enc.encode_ordinary(run))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the fixed patterns."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -75,8 +93,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def limit(run: str, ratio: float) -> float:
+    """The characters a token below which a run of its length is random."""
+    short = max(0, SURE - len(run))
+    if _PLAIN.match(run):
+        return min(ratio, LETTERS_SHORT - LETTERS_STEP * short if short else LETTERS)
+    return ratio - STEP * short
+
+
 def cheap(run: str, enc: tiktoken.Encoding, ratio: float) -> bool:
-    return len(run) >= ratio * len(enc.encode_ordinary(run))
+    return len(run) >= limit(run, ratio) * n_tokens(enc, run)
 
 
 def addresses(text: str, enc: tiktoken.Encoding, ratio: float) -> tuple[list[int], list[int]]:
@@ -115,46 +141,44 @@ def is_random(run: str, enc: tiktoken.Encoding, ratio: float) -> bool:
     slash may be a digit of base64 or part a path, whose parts are words: what
     stands between slashes is weighed without them and without what is known.
     More than a slash in four characters is a list."""
-    if _PLAIN.match(run):
-        ratio = min(ratio, LETTERS)
     if known(run) or cheap(run, enc, ratio):
         return False
     if "/" not in run:
         return True
     parts = [p for p in run.split("/") if p and not known(p)]
     return (4 * run.count("/") <= len(run)
-            and sum(map(len, parts)) < ratio * sum(len(enc.encode_ordinary(p)) for p in parts))
+            and sum(map(len, parts)) < limit(run, ratio) * sum(n_tokens(enc, p) for p in parts))
 
 
-def random_parts(text: str, s: int, e: int, enc: tiktoken.Encoding, ratio: float):
+def random_parts(text: str, s: int, e: int, enc: tiktoken.Encoding, ratio: float, shortest: int):
     """(start, end) of the random strings of a run without its labels: of each
     piece between equals signs all, or the parts that are random by themselves."""
     if identifier(text[s:e]):
         return
     for piece in _PIECE.finditer(text, s, e):
         run = piece[0]
-        if len(run) < SHORTEST or not re.search("[A-Za-z]", run):
+        if len(run) < shortest or not re.search("[A-Za-z]", run):
             continue
         if is_random(run, enc, ratio):
             yield piece.span()
         elif not identifier(run):
-            for m in _PART.finditer(text, *piece.span()):
+            for m in _runs(shortest)[1].finditer(text, *piece.span()):
                 if m[0] != run and re.search("[A-Za-z]", m[0]) and is_random(m[0], enc, ratio):
                     yield m.span()
 
 
-def random_spans(text: str, enc: tiktoken.Encoding, ratio: float,
-                 base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def random_spans(text: str, enc: tiktoken.Encoding, ratio: float, base: list[tuple[int, int, int]],
+                 shortest: int = SHORTEST) -> list[tuple[int, int, int]]:
     out, found = [], None
-    for m in _RUN.finditer(text):
+    for m in _runs(shortest)[0].finditer(text):
         s, e = m.span()
         while e > s and text[s] in "+/_=-":
             s += 1
         while e > s and text[e - 1] in "+/_-":
             e -= 1
-        if e - s < SHORTEST or any(a <= s and e <= b for a, _, b in base):
+        if e - s < shortest or any(a <= s and e <= b for a, _, b in base):
             continue
-        for s, e in random_parts(text, s, e, enc, ratio):
+        for s, e in random_parts(text, s, e, enc, ratio, shortest):
             if any(a <= s and e <= b for a, _, b in base):
                 continue
             found = addresses(text, enc, ratio) if found is None else found
@@ -182,24 +206,24 @@ def _path(path: str | None) -> str:
     return path or public_tokenizers.path(VOCABULARY)
 
 
-def scanner(path: str, ratio: float):
+def scanner(path: str, ratio: float, shortest: int = SHORTEST):
     enc = encoding(path)
 
     def scan(text: str):
         base = base_spans(text)
-        return base, sorted(base + random_spans(text, enc, ratio, base))
+        return base, sorted(base + random_spans(text, enc, ratio, base, shortest))
     return scan
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None,
-                ratio: float = RATIO) -> DataFrame:
+                ratio: float = RATIO, shortest: int = SHORTEST) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex,
     n_random, base_spans, base_sha256, spans."""
     prepare(docs.sparkSession)
     path, kind = _path(vocabulary), docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        scan = scanner(path, ratio)
+        scan = scanner(path, ratio, shortest)
         for b in batches:
             found = [scan(t) for t in texts(b)]
             counts = [pa.array([sum(k == n for _, k, _ in every) for _, every in found], pa.int64()) for n in range(4)]
@@ -216,7 +240,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def redact(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, ratio: float = RATIO,
-           length_col: str | None = None) -> DataFrame:
+           length_col: str | None = None, shortest: int = SHORTEST) -> DataFrame:
     """All rows and columns of ``docs``, every span of the text replaced by
     ``[secret]``; the length in ``length_col``, if named, follows.  Texts
     without a span, null texts included, stay as they are."""
@@ -226,7 +250,7 @@ def redact(docs: DataFrame, text_col: str = "text", vocabulary: str | None = Non
     size_at = docs.columns.index(length_col) if length_col else None
 
     def run(batches):
-        scan = scanner(path, ratio)
+        scan = scanner(path, ratio, shortest)
         for b in batches:
             cols = list(b.columns)
             old = cols[at].to_pylist()

@@ -98,7 +98,7 @@ def rule_globs(rules) -> list[str]:
 
 def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES,
                  globs=GLOBS) -> DataFrame:
-    """One row per row of ``pages``: page_id, host, path, rule, glob, verdict."""
+    """One row per row of ``pages``: page_id, host, path, rule, verdict, glob."""
     prepare(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
     name = [h + p for h, p, _ in rules]
@@ -121,11 +121,12 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                 [b.column("page_id"), pa.array([h for h, _ in parts], pa.string()),
                  pa.array([p for _, p in parts], pa.string()),
                  pa.array([None if r is None else name[r] for r in rule], pa.string()),
-                 pa.array([None if g is None else globs[g][0] for g in glob], pa.string()),
-                 pa.array(verdict, pa.string())], ["page_id", "host", "path", "rule", "glob", "verdict"])
+                 pa.array(verdict, pa.string()),
+                 pa.array([None if g is None else globs[g][0] for g in glob], pa.string())],
+                ["page_id", "host", "path", "rule", "verdict", "glob"])
 
     return pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url")).mapInArrow(
-        run, f"page_id {kind}, host string, path string, rule string, glob string, verdict string")
+        run, f"page_id {kind}, host string, path string, rule string, verdict string, glob string")
 
 
 def sql(rules=RULES, globs=GLOBS) -> str:
@@ -147,4 +148,4 @@ parts AS (
   SELECT page_id, {lower.format("regexp_extract(rest, '^[^/?#]*')")} AS host,
          substr(regexp_extract(rest, '^[^?#]*'), length(regexp_extract(rest, '^[^/?#]*')) + 1) AS path FROM cut),
 ruled AS (SELECT *, CASE {rule} END AS rule, CASE {glob} END AS "glob" FROM parts)
-SELECT page_id, host, path, rule, "glob", CASE {verdict} {own} ELSE 'allow' END AS verdict FROM ruled"""
+SELECT page_id, host, path, rule, CASE {verdict} {own} ELSE 'allow' END AS verdict, "glob" FROM ruled"""
