@@ -148,8 +148,9 @@ def _write_archives(folder: str, archive_bytes: int, level: int):
                     name, held, n = _name("crawl") + ".warc.gz", 0, 0
                     out, z = fs.open_output_stream(f"{base}/{name}", compression=None), zlib.compressobj(level, 8, 31)
                 payload = (html or "").encode()
-                out.write(z.compress(record(page, key, url or "", payload, digest, refers)))
-                held, n = held + len(payload), n + 1
+                written = record(page, key, url or "", payload, digest, refers)
+                out.write(z.compress(written))
+                held, n = held + len(written), n + 1          # headers count: empty pages fill an archive too
                 if held >= archive_bytes:
                     yield close()
                     out = None

@@ -16,6 +16,7 @@ from pricelens.llm import warc as W
 from pricelens.llm.common import run_dir
 
 from .conftest import frame
+from .test_simhash import brute_components, brute_fp
 
 
 @pytest.fixture(scope="module")
@@ -204,6 +205,20 @@ def test_records_over_any_piece_size():
         list(W.records([whole[:-10]]))
 
 
+def test_empty_pages_fill_archives(spark):
+    rows = [(i, "http://a/", "") for i in range(300)]
+    run = W.warc_round_trip(_pages(spark, rows).coalesce(1), archive_bytes=20_000)
+    assert run.count() == 300
+    seen = []
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({"page_id": [str(i) for i in range(300)], "key": [str(i) for i in range(300)],
+                                        "url": ["http://a/"] * 300, "html": [""] * 300,
+                                        "digest": [hashlib.sha1(b"").hexdigest()] * 300, "refers": [None] * 300})
+    for b in W._write_archives(run_dir(spark, "empty"), 20_000, 1)([batch]):
+        seen += b.column("records").to_pylist()
+    assert sum(seen) == 300 and len(seen) > 2 and max(seen) < 150
+
+
 def test_repeated_page_ids_and_empty_table(spark):
     rows = [(1, "u", "q" * 2000), (1, "u", "q" * 2000), (None, "u", "q" * 2000)]
     got = sorted((r.record_type, r.refers_to) for r in W.warc_round_trip(_pages(spark, rows)).collect())
@@ -235,6 +250,13 @@ def test_pipeline(spark, documents, tokenizer):
     assert 0 < len(frames[2]) <= len(frames[1])
     fps = {i: simhash.fingerprint(r.text) for i, r in frames[2].items()}
     assert all((fps[a] ^ fps[b]).bit_count() > 4 for a in fps for b in fps if a < b)
+    # one document of every component found by brute force, and no other
+    fps = {i: brute_fp(r.text) for i, r in frames[1].items()}
+    root = brute_components(fps.values())
+    groups = {}
+    for i, f in fps.items():
+        groups.setdefault(root[f], []).append(i)
+    assert sorted(frames[2]) == sorted(min(g) for g in groups.values())
     assert set(frames[3]) == set(frames[2])
     masked = spark.createDataFrame([(i, r.text) for i, r in frames[3].items()], "doc_id long, text string")
     assert not [r for r in secrets.secret_scan(masked).collect() if r.spans]

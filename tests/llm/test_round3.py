@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pricelens.llm import conversation_repair as CR
 from pricelens.llm import language_id as LI
-from pricelens.llm import queries
+from pricelens.llm import quality, queries, rules, secrets, toxicity, url_filter
 from pricelens.llm import reversed_search as RS
 
 from .conftest import SF, frame
@@ -346,6 +346,104 @@ def test_heaps_keep_the_best_of_ties():
         assert sorted((-s, i) for k, i, s in heaps.rows() if k == item) == want
 
 
+# --- scores of the classifiers by plain dictionaries ----------------------------------------------
+
+_M64 = (1 << 64) - 1
+
+
+def plain_mix(h):
+    h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & _M64
+    h = (h ^ (h >> 27)) * 0x94D049BB133111EB & _M64
+    return h ^ (h >> 31)
+
+
+def plain_tokens(text):
+    """Hashes of runs of word bytes and of other visible bytes."""
+    out = []
+    for token in re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x09-\x0d\x20]+", text.encode()):
+        h, power = 0, 1
+        for b in token:
+            h, power = (h + (b + 1) * power) & _M64, power * 0x9E3779B97F4A7C15 & _M64
+        out.append(plain_mix(h))
+    return out
+
+
+def plain_quality(text, weights, bits):
+    h = plain_tokens(text)
+    h = [0x5EED5EED5EED5EED if i and h[i] == h[i - 1] else x for i, x in enumerate(h)]
+    two = [plain_mix((a * 0xC2B2AE3D27D4EB4F + b) & _M64) for a, b in zip(h, h[1:])]
+    three = [plain_mix((a * 0x165667B19E3779F9 + b) & _M64) for a, b in zip(two, h[2:])]
+    grams = [g >> (64 - bits) for g in (*h, *two, *three)]
+    margin = sum(weights.get(g, 0.0) for g in grams) * quality.SCALE / max(1, len(grams)) + weights["bias"]
+    return 1 / (1 + math.exp(-margin))
+
+
+def plain_toxicity(text, weights, bits):
+    present = {h >> (64 - bits) for h in plain_tokens(text.lower())}
+    return 1 / (1 + math.exp(-(sum(weights.get(g, 0.0) for g in present) + weights["bias"])))
+
+
+def test_scores_are_plain_dot_products(spark, documents, labels, odd_texts):
+    texts = [t for t in odd_texts if t is None or len(t) < 70_000] + [r.text for r in documents.limit(60).collect()]
+    docs = frame(spark, texts)
+    as_dict = lambda w: {**{k: float(w[k]) for k in np.flatnonzero(w[:-1]).tolist()}, "bias": float(w[-1])}
+    w = quality.fit(documents, labels)
+    got = {r.doc_id: r.score for r in quality.quality_scores(docs, labels.limit(0)).collect()}
+    assert set(got.values()) == {0.5}                                      # nothing was learned
+    both = docs.selectExpr("doc_id + 1000000 as doc_id", "text").unionByName(documents.select("doc_id", "text"))
+    got = {r.doc_id: r.score for r in quality.quality_scores(both, labels).collect()}
+    for i, t in enumerate(texts):
+        assert got[i + 1_000_000] == pytest.approx(plain_quality(t or "", as_dict(w), quality.SETTINGS.bits), abs=1e-5)
+    got = {r.doc_id: r for r in toxicity.toxicity_scores(both, labels, with_text=True).collect()}
+    _, w = toxicity.fit(both, labels)
+    for i, t in enumerate(texts):
+        r = got[i + 1_000_000]
+        assert r.score == pytest.approx(plain_toxicity(r.restored, as_dict(w), toxicity.SETTINGS.bits), abs=1e-5)
+
+
+def test_training_takes_long_texts_and_repeated_rows(spark, documents, labels):
+    own = documents.select("doc_id", "text").limit(150)
+    marked = labels.join(own.select("doc_id"), "doc_id")
+    assert zlib.crc32(b"10000001") % 5 != 0
+    more = marked.unionByName(spark.createDataFrame([(10_000_001, 0, 1)], "doc_id long, quality int, toxic int").select(
+        *[F.col(c).cast(marked.schema[c].dataType) for c in marked.columns]))
+    for fit, lines in ((quality.fit, 200_000), (lambda d, m: toxicity.fit(d, m)[1], 200_000), (rules.fit, 3_000)):
+        text = "\n".join(f"line {k} of a list" for k in range(lines))
+        long = spark.createDataFrame([(10_000_001, text)], "doc_id long, text string")
+        once = own.unionByName(long)
+        a = fit(once, more)
+        assert np.abs(a).sum() > 0
+        if fit in (quality.fit, rules.fit):              # (the character model of op6 counts every row)
+            assert np.allclose(a, fit(own.unionByName(own).unionByName(long), more), atol=1e-6)
+
+
+def test_padded_groups_stay_small():
+    rows = [("\n".join(["a line of text"] * n), n % 2) for n in (1, 2, 3, 50, 60, 40_000, 70_000)]
+    assert len(rules.fit_field(rows, steps=1)) == 2 * rules.N_FEATURES + 6
+
+
+def test_columns_follow_the_contract(spark, labels):
+    pages = spark.createDataFrame([(1, "http://a.net/x", "h")], "page_id long, url string, html string")
+    assert url_filter.url_verdicts(pages).columns[:5] == ["page_id", "host", "path", "rule", "verdict"]
+    got = rules.quality_rules(frame(spark, ["a b c"]), labels).columns
+    assert got[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+
+
+def test_short_random_strings_are_found():
+    import public_tokenizers
+    enc = secrets.encoding(public_tokenizers.path(secrets.VOCABULARY))
+    find = lambda t, **k: [t[s:e] for s, _, e in secrets.random_spans(t, enc, secrets.RATIO, [], **k)]
+    rnd = random.Random(6)
+    digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for n, share in ((8, 0.7), (10, 0.85), (12, 0.97), (15, 0.98), (16, 0.98)):
+        words = ["k" + "".join(rnd.choice(digits) for _ in range(n - 2)) + "9" for _ in range(200)]
+        assert sum(find(f"key {w} end") == [w] for w in words) >= share * len(words), n
+    for plain in ("wonderful", "Strawberry", "2024-01-31T10", "x86_64-linux", "ISO-8859-1", "getElementById", "MP3-Player",
+                  "Straßenbahn", "einheitlich", "COVID-19", "user_id_12", "UNIVERSITY"):
+        assert find(f"a {plain} b") == [], plain
+    assert find("a xK9q b", shortest=4) == ["xK9q"] and find("a xK9q b") == []
+
+
 def test_queries_are_registered():
     assert {"op11_conversation_repair", "op12_language_id", "op13_lexical_search"} <= set(queries.QUERIES)
     assert {"op11_conversation_repair", "op13_lexical_search"} <= set(queries.ORACLE)
