@@ -63,33 +63,41 @@ def train(sample: DataFrame, features, s: Settings) -> np.ndarray:
     kind = sample.schema["doc_id"].dataType.simpleString()
 
     def featured(batches):
-        """Texts become feature lists where they are read: shards get no texts."""
+        """Texts become feature lists where they are read: shards get no texts.
+        A list is the bytes of its numbers; values that are all 1 are left out."""
         for b in batches:
-            xs = [x for group in grouped(texts(b)) for x in features(group)]
-            ends = pa.array(np.cumsum([0, *(len(at) for at, _ in xs)]).astype(np.int32))
-            flat = [np.concatenate([x[k] for x in xs]) if xs else np.empty(0) for k in (0, 1)]
-            lists = [pa.ListArray.from_arrays(ends, pa.array(f.astype(t))) for f, t in zip(flat, (np.int64, np.float64))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), *lists], ["doc_id", "y", "at", "x"])
+            at, x = [], []
+            for group in grouped(texts(b)):
+                for own, values in features(group):
+                    at.append(own.astype(np.int32).tobytes())
+                    x.append(None if (values == 1).all() else values.astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(at, pa.binary()),
+                                              pa.array(x, pa.binary())], ["doc_id", "y", "at", "x"])
 
     def shard(table):
-        ids, ys = table.column("doc_id").to_pylist(), table.column("y").to_pylist()
-        lists = {c: [v.values.to_numpy(zero_copy_only=False) for v in table.column(c)] for c in ("at", "x")}
-        own = sorted(range(len(ids)), key=lambda k: (str(ids[k]), ys[k]))
-        rows = [ys[k] for k in own]
-        xs = [(lists["at"][k], lists["x"][k]) for k in own]
+        ids, rows = table.column("doc_id").to_pylist(), table.column("y").to_pylist()
+        own = sorted(range(len(ids)), key=lambda k: (str(ids[k]), rows[k]))
+        rows = [rows[k] for k in own]
+        at, x = ([table.column(c)[k].as_py() for k in own] for c in ("at", "x"))
+        del table
+
+        def example(k):
+            places = np.frombuffer(at[k], np.int32)
+            values = np.ones(len(places)) if x[k] is None else np.frombuffer(x[k], np.float32)
+            return np.append(places, size - 1), np.append(values, 1.0)
+
         order = np.random.default_rng(7)
         model = Ftrl(s)
         for _ in range(s.epochs):
             for k in order.permutation(len(rows)):
-                at, x = xs[k]
-                model.update(np.append(at, size - 1), np.append(x, 1.0), rows[k])
+                model.update(*example(k), rows[k])
         w = model.weights()
-        at = np.flatnonzero(w)
+        live = np.flatnonzero(w)
         # the row at -1 counts the shard's documents
-        return pa.table({"at": pa.array([-1, *at.tolist()], pa.int64()), "w": pa.array([1.0, *w[at].tolist()], pa.float64()),
-                         "rows": pa.array(np.full(len(at) + 1, len(rows)), pa.int64())})
+        return pa.table({"at": pa.array(np.append(-1, live)), "w": pa.array(np.append(1.0, w[live])),
+                         "rows": pa.array(np.full(len(live) + 1, len(rows)), pa.int64())})
 
-    made = sample.select("doc_id", "text", "y").mapInArrow(featured, f"doc_id {kind}, y int, at array<bigint>, x array<double>")
+    made = sample.select("doc_id", "text", "y").mapInArrow(featured, f"doc_id {kind}, y int, at binary, x binary")
     dealt = made.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(s.shards)))
     # shards hold as good as equal numbers of documents; each counts by its size
     parts = (dealt.groupBy("shard").applyInArrow(shard, "at bigint, w double, rows bigint")
