@@ -2,10 +2,10 @@
 
 Writers hide words by leetspeak ("1d10t"), spacing ("i d i o t", "i.d.i.o.t")
 and repetition ("iiidiooot").  The channel: each written character may stand
-for several intended ones (a digit or sign for itself or for a letter, a separator beside
-a single letter for nothing, a run of equal letters for one or two).  A character language model
-of order 4, counted over *all* texts of the table, says which intended text is
-likely.  Viterbi decoding over the lattice of intended characters, with the
+for several intended ones (a digit or sign for itself or for a letter, a
+separator beside a single letter for nothing, a run of equal letters for one or
+two).  A character language model of order 4, counted over *all* texts of the
+table, says which intended text is likely.  Viterbi decoding over the lattice of intended characters, with the
 model's last three characters as state, gives the restored text; only spans
 that look obfuscated have more than one path, all others stand as written.
 

@@ -15,7 +15,7 @@ responses.  Equal means the same SHA-1 and length.
 Files are written under the shared folder by the tasks themselves, through
 the file system of the folder's address, under names with the attempt in
 them; a row with the names comes back, so what a lost attempt wrote is never
-read.  An archive is closed at ``archive_bytes`` of payload.
+read.  An archive is closed at ``archive_bytes`` of records.
 
 Null html counts as an empty payload, null urls as an empty target.  Of
 repeated rows with the same page_id one is the response (the largest locator).
