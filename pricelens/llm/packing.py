@@ -47,14 +47,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILE, ROW, gathered, id_and_text, located, prepare, run_dir, save, texts
+from .common import FILE, ROW, gathered, hand_back, id_and_text, located, prepare, run_dir, save, texts
 
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY, SEPARATOR, TARGET, MAX_K = 2048, 0, 20_000, 24
 WIDER = 3                      # each of the first rounds doubles the pieces of a partition, so often at most
-KEEP = 800_000                 # words whose ids are kept in a worker
+KEEP = 200_000                 # words after which the older half of a worker's memory of ids goes
+BATCH = 4 << 20                # bytes of text that a worker tokenises at once
+PARTS = 1 << 14                # parts of texts that one call of the tokenizer encodes
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_TWO = re.compile(r"\s\s")
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ODD = rf"\A{_SPACE}|{_SPACE}\z|{_SPACE}{_SPACE}"   # Arrow's syntax; the characters of Python's \s
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"          # ASCII signs but the apostrophe
 
 
@@ -85,15 +88,20 @@ class Tokens:
         self.merges = Tokenizer(self.whole.model)
         self.merges.pre_tokenizer = Split(chr(self.letters[10]), "isolated")
         (self.line_feed,) = self._encode(["\n"])[0]
-        self.words: dict[str, bytes] = {}                # of words that a space stands before
+        # of words that a space stands before: those met lately, and those met before them
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4") for k in range(0, len(texts), PARTS)
+                for e in self.whole.encode_batch_fast(texts[k:k + PARTS], add_special_tokens=False)]
 
     def _merged(self, parts: list[str]) -> list[bytes]:
-        """The ids of parts that the pattern leaves whole."""
-        if not parts:
-            return []
+        """The ids of parts that the pattern leaves whole.  An encoding takes
+        far more memory than its ids, so a call gets a bounded number of parts."""
+        return [ids for k in range(0, len(parts), PARTS) for ids in self._merged_at_once(parts[k:k + PARTS])]
+
+    def _merged_at_once(self, parts: list[str]) -> list[bytes]:
         text = ("\n".join(parts) + "\n").encode().decode("latin-1").translate(self.letters)
         ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         ends = 4 * np.flatnonzero(ids == self.line_feed)
@@ -103,9 +111,15 @@ class Tokens:
         return list(map(raw.__getitem__, map(slice, [0, *(ends[:-1] + 4).tolist()], ends.tolist())))
 
     def _learn(self, words: list[str]) -> None:
+        """A word met lately keeps its ids; the memory's older half goes when
+        the newer one is full, so words that come back stay."""
+        if len(self.words) > KEEP:
+            self.older, self.words = self.words, {}
         plain, core, signs, other = [], [], [], []
         for w in itertools.filterfalse(self.words.__contains__, words):
-            if w.isalpha():
+            if (ids := self.older.get(w)) is not None:
+                self.words[w] = ids
+            elif w.isalpha():
                 plain.append(w)
             elif (c := w.rstrip(_SIGNS)).isalpha():
                 core.append(w)
@@ -123,17 +137,16 @@ class Tokens:
     def many(self, docs: list[str]) -> list[np.ndarray]:
         """The ids of each text.  A batch's words are numbered by Arrow, so each
         different word is looked up once, and the ids are put together by numpy."""
-        if len(self.words) > KEEP:
-            self.words.clear()
-        odd = [d[:1].isspace() or d[-1:].isspace() or bool(_TWO.search(d)) for d in docs]
-        plain = pc.split_pattern(pa.array([d for d, o in zip(docs, odd) if not o], pa.string()), " ")
+        whole = pa.array(docs, pa.string())
+        odd = pc.match_substring_regex(whole, _ODD).to_numpy(zero_copy_only=False)
+        plain = pc.split_pattern(whole.filter(pa.array(~odd)), " ")
         other = pa.array([_CUT.split(d) for d, o in zip(docs, odd) if o], plain.type)
         lists = pa.concat_arrays([plain, other])
-        order = np.argsort(np.array(odd, bool), kind="stable")       # the text of each list
+        order = np.argsort(odd, kind="stable")       # the text of each list
         ends = lists.offsets.to_numpy()[1:]
         starts = lists.offsets.to_numpy()[:-1]
         coded = lists.values.dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         number = coded.indices.to_numpy().copy()
         self._learn(words)
         firsts = self._encode([words[number[s]] for s in starts])
@@ -143,7 +156,10 @@ class Tokens:
         base = np.cumsum(size) - size
         count = size[number]
         out = np.concatenate([[0], np.cumsum(count)])
-        flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(base[number] - out[:-1], count) + np.arange(out[-1])]
+        kind = np.int32 if max(out[-1], size.sum()) < 1 << 31 else np.int64
+        at = np.repeat((base[number] - out[:-1]).astype(kind), count)
+        at += np.arange(out[-1], dtype=kind)
+        flat = np.frombuffer(b"".join(ids), "<u4")[at]
         result = [None] * len(docs)
         for k, s, e in zip(order, starts, ends):
             result[k] = flat[out[s]:out[e]]
@@ -168,7 +184,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, separator: int) -> DataFra
     def run(batches):
         tokens = tokens_of(path)
         end = np.array([separator], "<u4")
-        for b in gathered(batches):
+        for b in gathered(batches, BATCH):
             src, piece, start, length, crc, flat = [], [], [], [], [], []
             for k, ids in enumerate(tokens.many(texts(b))):
                 ids = np.concatenate([ids, end])
@@ -187,6 +203,8 @@ def pieces(docs: DataFrame, path: str, capacity: int, separator: int) -> DataFra
                  pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
                  pa.array(crc, pa.int64()), pa.ListArray.from_arrays(at, values)],
                 ["doc_id", FILE, ROW, "piece", "start", "length", "ids_crc32", "ids"])
+            del b, ids, flat, src, values, at
+            hand_back()
 
     return docs.mapInArrow(run, f"doc_id {kind}, {FILE} string, {ROW} bigint, piece int, start bigint, length bigint, "
                                 "ids_crc32 bigint, ids array<int>")

@@ -280,3 +280,29 @@ def test_pipeline_stages_on_an_empty_table(spark):
     from .conftest import SF
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, frame(spark, []), SF).collect() == []
+
+
+def test_tokenizer_memory_is_bounded(tokenizer, monkeypatch):
+    """One call gets a bounded number of parts, and words that come back keep
+    their ids while others leave the memory."""
+    monkeypatch.setattr(P, "KEEP", 300)
+    own = P.Tokens(public_tokenizers.path(P.TOKENIZER))
+    calls = []
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, texts, **options):
+            calls.append(max(len(texts), sum(t.count(chr(own.letters[10])) for t in texts)))
+            return self.inner.encode_batch_fast(texts, **options)
+
+    own.merges, own.whole = Counted(own.merges), Counted(own.whole)
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, 6)))
+    for n in (40_000, 400, 400, 400, 400):
+        text = " ".join(["always", *(word() for _ in range(n)), "always,", "x1y2"])
+        assert own.many([text, "", " two  spaces　here "])[0].tolist() == \
+            tokenizer.encode(text, add_special_tokens=False).ids
+    assert max(calls) <= 1 << 14
+    assert len(own.words) + len(own.older) <= 2 * (300 + 403) and "always" in own.words
