@@ -58,13 +58,16 @@ def l2(m):
 def l2o(m):
     """L2 over observations that arrive out of order: three arrivals, each with
     rows between those of the others, up to the whole history late; the last
-    revisions equal the batch detection."""
+    revisions equal the batch detection.  The stream goes on as each arrival
+    lands and reads it in one batch, in however many files it came: the number
+    of batches, and so of passes over competitors and state, is that of the
+    arrivals and does not grow with the data."""
     path = f"{ensure_checkpoint_dir(m.spark)}/scratch/arrivals-{uuid.uuid4().hex[:8]}"
-    h = m.price_history
+    root, h = _root(m, "l2o"), m.price_history
     for part in (2, 0, 1):
         h.filter(F.col("id") % 3 == part).write.mode("append").parquet(path)
-    st = S.price_stream(m.spark, path, h.schema, max_files=1)
-    tables = run_alerts(st, m.competitors, m.products, _root(m, "l2o"))
+        st = S.price_stream(m.spark, path, h.schema, max_files=None)
+        tables = run_alerts(st, m.competitors, m.products, root)
     return _ntz(last_revision(tables.read("alerts")), "detected_at")
 
 

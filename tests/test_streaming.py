@@ -242,3 +242,23 @@ def test_digest_windows_of_any_frequency(spark):
         F.sum("alerts").alias("n"), F.count(F.lit(1)).alias("windows")).collect()
     assert {(r.user_id, r.freq, r.n) for r in got} == {(1, 8, 20), (2, 1, 20), (3, 48, 20), (4, 24, 20)}
     assert {r.user_id: r.windows for r in got} == {1: 12, 2: 20, 3: 3, 4: 4}    # 48-hour windows start on even days since 1970
+
+
+def test_out_of_order_arrivals_are_one_batch_each(spark, model):
+    """However many files an arrival comes in, the stream takes three batches."""
+    import os
+
+    import __spark_entry__ as E
+    from pricelens.config import ensure_checkpoint_dir
+    folder = f"{ensure_checkpoint_dir(spark)}/stream_tables"
+    known = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "200")
+    try:
+        got = E.queries()["L2_stream_alerts_out_of_order"](spark, SF)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    (own,) = (f for f in os.listdir(folder) if f not in known and f.startswith("l2o-"))
+    assert len([f for f in os.listdir(f"{folder}/{own}/commits") if f.startswith("batch=")]) == 3
+    cols = ["id", "alert_type", "new_price"]
+    want = sorted((r.id, r.alert_type, float(r.new_price)) for r in model.detections.select(*cols).collect())
+    assert [*map(tuple, _rows(got, cols))] == want
