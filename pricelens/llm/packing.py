@@ -55,10 +55,10 @@ WIDER = 3                      # each of the first rounds doubles the pieces of
 KEEP = 200_000                 # words after which the older half of a worker's memory of ids goes
 BATCH = 4 << 20                # bytes of text that a worker tokenises at once
 PARTS = 1 << 14                # parts of texts that one call of the tokenizer encodes
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_CUT = re.compile(r"(?<=\S)(?: (?=\S)|(?=\n\S))")
 _SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _ODD = rf"\A{_SPACE}|{_SPACE}\z|{_SPACE}{_SPACE}"   # Arrow's syntax; the characters of Python's \s
-_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"          # ASCII signs but the apostrophe
+_WORD = r"\A(?P<letters>\n?\p{L}+)(?P<signs>[!-&(-/:-@\[-`{-~]*)\z"   # all ASCII signs but the apostrophe
 
 
 # --- tokens -------------------------------------------------------------------------------------
@@ -72,11 +72,14 @@ def byte_letters() -> dict[int, int]:
 
 class Tokens:
     """Ids by ``tokenizers``.  The byte-level pattern always starts a new token
-    at a single space between two visible characters, so texts are cut there
-    into words.  Most words are letters, with signs behind them or not, which
-    the pattern cuts there and nowhere else: those that were not met lately go
-    to the vocabulary's merges in one text, a line feed behind each part.  All
-    other new words go through the whole tokenizer."""
+    at a single space between two visible characters, and makes a single line
+    feed between two a token of its own, so texts are cut there into words: a
+    word has a space before it or begins with its line feed.  Most words are
+    letters, with signs behind them or not, which the pattern cuts there and
+    nowhere else: different letters are remembered without their signs, and
+    those that were not met lately go to the vocabulary's merges in one text, a
+    line feed behind each part.  All other new words go through the whole
+    tokenizer."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -88,7 +91,7 @@ class Tokens:
         self.merges = Tokenizer(self.whole.model)
         self.merges.pre_tokenizer = Split(chr(self.letters[10]), "isolated")
         (self.line_feed,) = self._encode(["\n"])[0]
-        # of words that a space stands before: those met lately, and those met before them
+        # of words (of letters: without signs behind them): those met lately, and those met before them
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -115,43 +118,50 @@ class Tokens:
         the newer one is full, so words that come back stay."""
         if len(self.words) > KEEP:
             self.older, self.words = self.words, {}
-        plain, core, signs, other = [], [], [], []
+        plain, heads, other = [], [], []
         for w in itertools.filterfalse(self.words.__contains__, words):
             if (ids := self.older.get(w)) is not None:
                 self.words[w] = ids
             elif w.isalpha():
                 plain.append(w)
-            elif (c := w.rstrip(_SIGNS)).isalpha():
-                core.append(w)
-                signs.append(len(c))
+            elif w[:1] == "\n" and w[1:].isalpha():
+                heads.append(w)
             else:
                 other.append(w)
-        ids = self._merged([" " + w for w in plain] + [" " + w[:n] for w, n in zip(core, signs)])
-        tails = [w[n:] for w, n in zip(core, signs)]
-        different = list(dict.fromkeys(tails))
-        tail = dict(zip(different, self._merged(different)))
+        ids = self._merged([" " + w for w in plain] + [w[1:] for w in heads])
+        line_feed = self.line_feed.tobytes()
         self.words.update(zip(plain, ids))
-        self.words.update((w, a + tail[t]) for w, a, t in zip(core, ids[len(plain):], tails))
-        self.words.update(zip(other, (x.tobytes() for x in self._encode([" " + w for w in other]))))
+        self.words.update((w, line_feed + x) for w, x in zip(heads, ids[len(plain):]))
+        whole = self._encode([w if w[:1] == "\n" else " " + w for w in other])
+        self.words.update(zip(other, (x.tobytes() for x in whole)))
+
+    def _ids(self, words: pa.Array) -> list[bytes]:
+        """The ids of different words: those of the letters, then of the signs."""
+        found = pc.extract_regex(words, _WORD)
+        letters = pc.coalesce(pc.struct_field(found, "letters"), words).dictionary_encode()
+        signs = pc.coalesce(pc.struct_field(found, "signs"), "").dictionary_encode()
+        known, tails = (x.dictionary.to_numpy(zero_copy_only=False).tolist() for x in (letters, signs))
+        self._learn(known)
+        tail = dict(zip(filter(None, tails), self._merged([t for t in tails if t]))) | {"": b""}
+        first = np.array([*map(self.words.__getitem__, known), None], object)[letters.indices.to_numpy()]
+        return (first + np.array([*map(tail.__getitem__, tails), None], object)[signs.indices.to_numpy()]).tolist()
 
     def many(self, docs: list[str]) -> list[np.ndarray]:
         """The ids of each text.  A batch's words are numbered by Arrow, so each
-        different word is looked up once, and the ids are put together by numpy."""
+        different word is looked up once, and the ids are put together by numpy.
+        A text's first word gets a line feed, whose id goes again; where spaces
+        stand side by side or at an end, it goes through the whole tokenizer."""
         whole = pa.array(docs, pa.string())
         odd = pc.match_substring_regex(whole, _ODD).to_numpy(zero_copy_only=False)
-        plain = pc.split_pattern(whole.filter(pa.array(~odd)), " ")
-        other = pa.array([_CUT.split(d) for d, o in zip(docs, odd) if o], plain.type)
-        lists = pa.concat_arrays([plain, other])
+        lines = pc.replace_substring(whole.filter(pa.array(~odd)), "\n", " \n")
+        plain = pc.split_pattern(pc.binary_join_element_wise("\n", lines, ""), " ")
+        other = [_CUT.split(d) for d, o in zip(docs, odd) if o]
+        firsts = self._encode([words[0] for words in other])
+        lists = pa.concat_arrays([plain, pa.array([words[1:] for words in other], plain.type)])
         order = np.argsort(odd, kind="stable")       # the text of each list
-        ends = lists.offsets.to_numpy()[1:]
-        starts = lists.offsets.to_numpy()[:-1]
         coded = lists.values.dictionary_encode()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        number = coded.indices.to_numpy().copy()
-        self._learn(words)
-        firsts = self._encode([words[number[s]] for s in starts])
-        ids = [*map(self.words.__getitem__, words), *(f.tobytes() for f in firsts)]
-        number[starts] = len(words) + np.arange(len(starts))          # no space stands before a text's first word
+        ids = self._ids(coded.dictionary)
+        number = coded.indices.to_numpy()
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         base = np.cumsum(size) - size
         count = size[number]
@@ -160,9 +170,10 @@ class Tokens:
         at = np.repeat((base[number] - out[:-1]).astype(kind), count)
         at += np.arange(out[-1], dtype=kind)
         flat = np.frombuffer(b"".join(ids), "<u4")[at]
+        ends = out[lists.offsets.to_numpy()].tolist()
         result = [None] * len(docs)
-        for k, s, e in zip(order, starts, ends):
-            result[k] = flat[out[s]:out[e]]
+        for n, (k, s, e) in enumerate(zip(order.tolist(), ends, ends[1:])):
+            result[k] = flat[s + 1:e] if n < len(plain) else np.concatenate([firsts[n - len(plain)], flat[s:e]])
         return result
 
 

@@ -306,3 +306,35 @@ def test_tokenizer_memory_is_bounded(tokenizer, monkeypatch):
             tokenizer.encode(text, add_special_tokens=False).ids
     assert max(calls) <= 1 << 14
     assert len(own.words) + len(own.older) <= 2 * (300 + 403) and "always" in own.words
+
+
+def test_different_letters_are_encoded_once(tokenizer):
+    """Signs and line feeds beside the same letters cost no further call: the
+    whole tokenizer gets nothing, the merges each run of letters once with a
+    space before it and once at a line's start."""
+    own = P.Tokens(public_tokenizers.path(P.TOKENIZER))
+    parts, whole = [], []
+
+    class Merges:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, texts, **options):
+            parts.extend(p for t in texts for p in t.split(chr(own.letters[10]))[:-1])
+            return self.inner.encode_batch_fast(texts, **options)
+
+    class Whole(Merges):
+        def encode_batch_fast(self, texts, **options):
+            whole.extend(texts)
+            return self.inner.encode_batch_fast(texts, **options)
+
+    own.merges, own.whole = Merges(own.merges), Whole(own.whole)
+    text = " ".join(f"{w} {w}, {w}. {w};\n{w} {w}.\n{w}, {w}" for w in ("alpha", "béta", "gamma"))
+    for docs in ([text, "alpha"], [text + " béta:", "gamma."]):
+        for t, ids in zip(docs, own.many(docs)):
+            assert ids.tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    assert not whole and len([p for p in parts if p[-1].isalpha()]) == len(set(parts) - {*",.;:"}) == 6
+    odd = ["a\n\nb", "\na b\nc", " a\nb", "a \nb c\nd", "a\n b", "a b\n", "a\r\nb\nc", "'s\n's 's\n't x's\n", "\n", "x\n(y) z\n1",
+           "a\x1c\nb", "a\x85\nb\nc", "a\n\x1fb", "", "a\ńb\ńc", "two  a\nb, c.\nd"]
+    for t, ids in zip(odd, own.many(odd)):
+        assert ids.tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
