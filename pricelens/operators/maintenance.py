@@ -5,10 +5,19 @@ MERGE; here the caller writes the returned frame to a new path / partition.
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..config import ship_package
 from ..functions.text import escape_name
 from ..functions.url import domain_of
 from ..schemas import CONSTRAINTS, ROW_KEYS
@@ -309,22 +318,111 @@ def price_csv_rows(price_history: DataFrame, competitors: DataFrame) -> DataFram
         F.col("error_message").alias("Error"))
 
 
+_CSV = {"escape": '"', "emptyValue": ""}
+_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _store(path: str):
+    """The file system of a folder's address, and its path there.  A path
+    without a scheme is a mounted folder that driver and executors share."""
+    path = re.sub("^file:/+", "/", path)
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
+
+
+def _folder(name: str, value) -> str:
+    """A partition's folder, named and escaped as Spark does."""
+    text = "" if value is None else str(value)
+    return f"{name}=" + (re.sub(r"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", text) or _NO_VALUE)
+
+
+def _write_csv_files(path: str, header: str):
+    """A file for each run of rows (product_id, month, line) of one product and
+    month.  It is written under a hidden name, so that a task that is lost or
+    runs twice leaves no part of a file, and its last name is the same for
+    every attempt."""
+    def run(batches):
+        fs, base = _store(path)
+        name = f"part-{TaskContext.get().partitionId():05d}.csv"
+        key = out = at = hidden = None
+        n = 0
+
+        def close():
+            out.close()
+            if fs.get_file_info(f"{at}/{name}").type == pafs.FileType.NotFound:
+                fs.move(hidden, f"{at}/{name}")
+            else:                              # another attempt's: the same rows
+                fs.delete_file(hidden)
+
+        for b in batches:
+            ids, months = b.column("product_id"), b.column("month")
+            first = _starts(ids, months)
+            for s, e in zip(first, [*first[1:], b.num_rows]):
+                own = ids[s].as_py(), months[s].as_py()
+                if own != key:
+                    if out is not None:
+                        close()
+                    key, n = own, n + 1
+                    at = f"{base}/{_folder('product_id', own[0])}/{_folder('month', own[1])}"
+                    hidden = f"{at}/.{name}-{uuid.uuid4().hex}"
+                    fs.create_dir(at, recursive=True)
+                    out = fs.open_output_stream(hidden, compression=None)
+                    out.write(header.encode())
+                out.write("".join(f"{line}\n" for line in b.column("line").slice(s, e - s).to_pylist()).encode())
+        if out is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["files"])
+    return run
+
+
+def _starts(*columns: pa.Array) -> list[int]:
+    """Where rows begin whose values differ from those of the row before."""
+    new = np.arange(len(columns[0])) == 0
+    for c in columns:
+        number = c.dictionary_encode("encode").indices.to_numpy()
+        new[1:] |= number[1:] != number[:-1]
+    return np.flatnonzero(new).tolist()
+
+
 def write_price_csv(rows: DataFrame, path: str) -> None:
     """A8 sink: a folder per product and month, so that no task holds a whole
     product; a header, newest first; empty strings stay quoted-empty and nulls
-    are empty cells."""
-    (rows.withColumn("month", F.substring("Date", 1, 7)).repartition("product_id", "month")
-         .sortWithinPartitions("product_id", "month", F.col("__ts").desc(), F.col("__id").desc())
-         .drop("__ts", "__id")
-         .write.mode("overwrite").partitionBy("product_id", "month").option("header", True).option("escape", '"')
-         .option("emptyValue", "").csv(path))
+    are empty cells.  Spark makes the lines; the tasks write them through Arrow's
+    file systems, as a file is too small to bear the cost of Spark's own writer
+    (at local paths, a process for each folder and file) and of a commit that
+    moves files one after the other.  ``_SUCCESS`` marks a whole export."""
+    ship_package(rows.sparkSession)
+    cells = [c for c in rows.columns if c not in ("product_id", "__ts", "__id")]
+    # an empty name's folder is that of no value
+    named = {"product_id": F.col("product_id"), "month": F.substring("Date", 1, 7)}
+    named = {c: F.when(x.cast("string") != "", x) for c, x in named.items()}
+    lines = (rows.withColumns(named).repartition("product_id", "month")
+             .sortWithinPartitions("product_id", "month", F.col("__ts").desc(), F.col("__id").desc())
+             .select("product_id", "month", F.to_csv(F.struct(*cells), _CSV).alias("line")))
+    fs, base = _store(path)
+    if fs.get_file_info(base).type != pafs.FileType.NotFound:
+        fs.delete_dir(base)
+    fs.create_dir(base, recursive=True)
+    try:
+        lines.mapInArrow(_write_csv_files(path, ",".join(cells) + "\n"), "files bigint").agg(F.sum("files")).first()
+    except BaseException:
+        fs.delete_dir(base)
+        raise
+    with fs.open_output_stream(f"{base}/_SUCCESS", compression=None):
+        pass
 
 
 def read_price_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The exported files as one table."""
-    return spark.read.option("header", True).option("escape", '"').schema(
-        "Date string, Time string, Competitor string, Price string, Currency string, Status string, Error string, "
-        "product_id bigint, month string").csv(path)
+    """The exported files as one table.  Folders are listed by as many tasks as
+    a shuffle has, not by one each."""
+    tasks = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    prev = spark.conf.get(tasks)
+    spark.conf.set(tasks, spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        return spark.read.option("header", True).option("escape", '"').schema(
+            "Date string, Time string, Competitor string, Price string, Currency string, Status string, Error string, "
+            "product_id bigint, month string").csv(path)
+    finally:
+        spark.conf.set(tasks, prev)
 
 
 def product_documents(products: DataFrame, competitors: DataFrame) -> DataFrame:

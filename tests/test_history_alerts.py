@@ -159,3 +159,49 @@ def test_lists_of_any_length_come_in_chunks(spark):
     products = spark.createDataFrame([(5, 1, "p")], "id long, user_id long, product_name string")
     docs = MT.chart_documents(products, comp, h, "2024-01-31 00:00:00", size=500).filter("part = 'points'").collect()
     assert len(docs) == 20 and max(len(d.document) for d in docs) < 80_000
+
+
+def test_price_csv_is_one_file_a_product_and_month(spark, tmp_path):
+    """Folders, names and contents are those of Spark's own writer; there is
+    one file in each and nothing beside it, an older export goes, and no more
+    tasks list the folders than a shuffle has."""
+    import glob
+    import os
+    from pricelens.operators import maintenance as MT
+    odd = ["a/b=c:d%e", "it's [x]^{y}", "", None, "é 日", 'q"#*?\\', *(f"p{i}" for i in range(60))]
+    cells = [None, "", "a,b", 'say "x"', "two\nlines", "x\r\ny", " lead ", "\\"]
+    rows = [(p, f"2024-0{m}-01 00:00:{n:02d}" if m else None, 100 * i + 10 * m + n, cells[(i + n) % 8], cells[(i + m) % 8])
+            for i, p in enumerate(odd) for m in (0, 1, 2) for n in range(3)]
+    rows = spark.createDataFrame(rows, "product_id string, t string, __id long, Competitor string, Error string").select(
+        "product_id", F.col("t").cast("timestamp_ntz").alias("__ts"), "__id", F.substring("t", 1, 10).alias("Date"),
+        F.substring("t", 12, 8).alias("Time"), "Competitor", F.lit("1.5").alias("Price"), F.lit("USD").alias("Currency"),
+        F.lit("success").alias("Status"), "Error")
+    own, spark_s = str(tmp_path / "own"), str(tmp_path / "spark")
+    MT.write_price_csv(rows.limit(5), own)
+    MT.write_price_csv(rows, own)
+    (rows.replace("", None, ["product_id"]).withColumn("month", F.substring("Date", 1, 7)).repartition(1)
+     .sortWithinPartitions("product_id", "month", F.col("__ts").desc(), F.col("__id").desc()).drop("__ts", "__id")
+     .write.partitionBy("product_id", "month").option("header", True).option("escape", '"').option("emptyValue", "").csv(spark_s))
+
+    def contents(path):
+        return sorted((os.path.relpath(os.path.dirname(f), path), sorted(open(f, newline="").read().splitlines()))
+                      for f in glob.glob(path + "/*/*/part-*.csv"))
+
+    assert contents(own) == contents(spark_s)
+    every = [f for d, _, files in os.walk(own) for f in files]
+    assert len(every) == len(contents(own)) + 1 and "_SUCCESS" in every       # before: a checksum file for each
+    MT.write_price_csv(rows.withColumn("product_id", F.floor(F.col("__id") / 100)), own)
+    spark.sparkContext.setJobGroup("csv-list", "")
+    back = MT.read_price_csv(spark, own)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("csv-list") for s in tracker.getJobInfo(j).stageIds]
+    assert stages and all(s.numTasks <= 4 for s in stages)                     # before: one for each product
+    assert back.select("product_id").distinct().count() == len(odd)
+
+
+def test_price_csv_of_no_rows(spark, model, tmp_path):
+    from pricelens.operators import maintenance as MT
+    out = f"file://{tmp_path}/none"
+    MT.write_price_csv(MT.price_csv_rows(model.price_history.limit(0), model.competitors), out)
+    assert MT.read_price_csv(spark, out).collect() == []
